@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, oracles, packing, quality, urls
+from . import chat, minhash, oracles, packing, quality, urls
 from .common import table
 
 URL_RULES = [
@@ -42,13 +42,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_chat_format, op7_quality_rules, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_chat_format, op7_quality_rules, op8_minhash_near_dedup, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": oracles.URLS, "op2_chat_format": oracles.CHATS, "op7_quality_rules": oracles.QUALITY}
+    return {"op1_url_filter": oracles.URLS, "op2_chat_format": oracles.CHATS, "op7_quality_rules": oracles.QUALITY, "op8_minhash_near_dedup": oracles.NEAR}
