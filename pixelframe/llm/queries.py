@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, oracles, packing, quality, urls
+from . import chat, minhash, oracles, packing, quality, suffixes, urls
 from .common import table
 
 URL_RULES = [
@@ -35,6 +35,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(chats))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select(
@@ -51,7 +55,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_chat_format, op7_quality_rules, op8_minhash_near_dedup, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_chat_format, op6_suffix_dedup, op7_quality_rules, op8_minhash_near_dedup, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
