@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, oracles, packing, quality, suffixes, urls
+from . import chat, minhash, mixing, oracles, packing, quality, spotsigs, suffixes, urls, wordpieces
 from .common import table
 
 URL_RULES = [
@@ -35,6 +35,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(chats))
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpieces.count_pieces(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
@@ -54,8 +62,23 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_chat_format, op6_suffix_dedup, op7_quality_rules, op8_minhash_near_dedup, op9_best_fit_packing)}
+    operators = (
+        op1_url_filter,
+        op2_chat_format,
+        op3_spotsigs,
+        op4_token_counts,
+        op6_suffix_dedup,
+        op7_quality_rules,
+        op8_minhash_near_dedup,
+        op9_best_fit_packing,
+        op10_source_mixing,
+    )
+    return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
