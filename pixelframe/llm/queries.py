@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, mixing, oracles, packing, quality, spotsigs, suffixes, urls, wordpieces
+from . import chat, html_blocks, minhash, mixing, oracles, packing, quality, spotsigs, suffixes, urls, wordpieces
 from .common import table
 
 URL_RULES = [
@@ -43,6 +43,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpieces.count_pieces(table(spark, sf_dir, "documents"))
 
 
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_chat_format,
         op3_spotsigs,
         op4_token_counts,
+        op5_html_blocks,
         op6_suffix_dedup,
         op7_quality_rules,
         op8_minhash_near_dedup,
