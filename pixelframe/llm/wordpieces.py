@@ -1,6 +1,7 @@
 """Word-piece counts by a linear longest-match automaton.
 
-The vocabulary is a trie over bytes and an end-of-word symbol. Each node has a failure link and the
+The vocabulary is a trie over bytes and an end-of-word symbol; an end that no piece takes in ends the split
+and is no piece itself. Each node has a failure link and the
 number of pieces that following it pops: a node that is a piece pops itself and fails to the root, any
 other pops what its parent's chain pops until a node with the needed edge is found. Reading a word then
 takes one step for each symbol and gives the length of the greedy longest-match split without building it.
@@ -59,7 +60,7 @@ class Automaton:
         self.edge: dict[int, int] = {}
         parent, label = [-1], [-1]
         whole = set()
-        for piece in pieces:
+        for piece in [*pieces, (END,)]:
             node = 0
             for s in piece:
                 key = node * SYMBOLS + s
@@ -75,7 +76,7 @@ class Automaton:
         self.fail, self.pops = [-1] * len(parent), [0] * len(parent)
         for v in sorted(range(1, len(parent)), key=depth.__getitem__):
             if v in whole:
-                self.fail[v], self.pops[v] = 0, 1
+                self.fail[v], self.pops[v] = 0, int(v != self.edge[END])
                 continue
             z, popped = self.fail[parent[v]], self.pops[parent[v]]
             while z >= 0 and z * SYMBOLS + label[v] not in self.edge:
