@@ -1,6 +1,6 @@
 """Suffix-array dedup of byte passages that repeat anywhere in a corpus.
 
-Every window of `length` bytes is dealt by its anchor, the 64-byte string in it with the least hash, so
+Every window of `length` bytes is dealt by its anchor, the 128-byte string in it with the least hash, so
 that equal windows of any two texts meet under one key, at one distance from the anchor. Only anchors
 that occur at least twice travel with their bytes.
 
@@ -11,8 +11,10 @@ text position give the longest previous factor: of `length` or more for all but
 With keep="first" those later copies go and the first stays; with keep="none" every window in a run of two
 or more goes, the first included.
 
-Texts that occur more than once travel once, with their number of copies. A key of over HOT occurrences
-is not gathered: its windows go singly, by hash, to Spark's aggregation, which has no group in memory.
+Equal texts are one text with a number of copies, and occurrences of an anchor whose windows span equal
+bytes are one context with a number of occurrences; only contexts of anchors with two or more of them
+travel with their bytes. A key of over HOT contexts is not gathered: its windows go singly, by hash, to
+Spark's aggregation, which has no group in memory.
 
 Defined results. Null and empty texts have no bytes and nothing is removed. Texts under `length` bytes
 are left alone. Repeated rows are copies: with keep="none" all go; with keep="first" the row with the
@@ -33,20 +35,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import written
-from .minhash import by_group, mix, powers, starts_of
+from .minhash import by_group, mix, powers
 
-LENGTH, ANCHOR = 400, 64
-#: Occurrences of an anchor beyond which its windows are compared singly.
-HOT = 4000
+LENGTH, ANCHOR = 400, 128
+#: Contexts of an anchor beyond which its windows are compared singly.
+HOT = 20_000
 
 
-def _hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all `size`-byte strings of `data`."""
-    n = len(data)
-    up, down = powers.of(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    return mix((total[size:] - total[:-size]) * down[: n - size + 1])
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of bytes by powers: differences of them give the hash of any string of `data`."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers.of(len(data))[0], out=total[1:])
+    return total
+
+
+def _hashes(total: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all strings of `size` bytes."""
+    n = len(total) - size
+    return mix((total[size:] - total[:-size]) * powers.of(n)[1])
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -58,10 +64,10 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:m], x[width - k : width - k + m])
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(total: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, first window, last window, anchor) for the runs of windows with one anchor; the leftmost of equal anchors."""
     width = length - ANCHOR + 1
-    h = _hashes(data, ANCHOR)
+    h = _hashes(total, ANCHOR)
     least = _least(h, width)
     # A place is an anchor of some window where the greatest minimum of the windows around it is its own hash.
     around = np.full(len(least) + 2 * (width - 1), 0, np.uint64)
@@ -86,128 +92,126 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(x) for x in (keys, lo, hi, at))
 
 
-FOUND = "tid binary, key long, lo int, hi int, at int"
+FOUND = "tid binary, key long, context long, place long"
 
 
 def _find(length: int):
+    """Anchors of each text: the anchor's and the context's hash, and the place: first window, windows - 1, bytes before the anchor."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for tid, text in zip(batch["tid"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 data = np.frombuffer((text or "").encode(), np.uint8)
                 if len(data) >= length:
-                    k, lo, hi, at = anchors(data, length)
+                    total = _sums(data)
+                    k, lo, hi, at = anchors(total, length)
+                    whole = (total[hi + length] - total[lo]) * powers.of(len(total))[1][lo]
+                    place = lo << 20 | (hi - lo) << 10 | (at - lo)
                     out[0] += [tid] * len(k)
-                    for column, x in zip(out[1:], (k.view(np.int64), lo, hi, at), strict=True):
-                        column.append(x)
+                    for column, x in zip(out[1:], (k, mix(whole + mix((place & 0xFFFFF).astype(np.uint64))), place), strict=True):
+                        column.append(x.view(np.int64))
             if out[0]:
-                kinds = (np.int64, np.int32, np.int32, np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.binary()), *(pa.array(np.concatenate(c).astype(t)) for c, t in zip(out[1:], kinds, strict=True))],
-                    ["tid", "key", "lo", "hi", "at"],
+                    [pa.array(out[0], pa.binary()), *(pa.array(np.concatenate(c)) for c in out[1:])], ["tid", "key", "context", "place"]
                 )
 
     return run
 
 
-CONTEXT = "key long, doc long, tid binary, copies long, lo int, hi int, at int, bytes binary"
+LO, COUNT, LEAD = "shiftright({0}, 20)", "(shiftright({0}, 10) & 1023) + 1", "{0} & 1023"
+CONTEXT = "key long, context long, doc long, tid binary, place long, weight long, bytes binary"
 
 
 def _cut(length: int):
-    """The bytes of each anchor's windows."""
-
-    names = ["key", "doc", "tid", "copies", "lo", "hi", "at", "bytes"]
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    """The bytes of each context's windows, from the text that holds its first occurrence."""
+    names = ["key", "context", "doc", "tid", "place", "weight", "bytes"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 200):
                 batch = whole.slice(k, 200)
                 rows: list[tuple] = []
-                for doc, tid, copies, text, places in zip(*(batch[c].to_pylist() for c in ("doc", "tid", "copies", "text", "places")), strict=True):
+                for doc, tid, text, wanted in zip(*(batch[c].to_pylist() for c in ("doc", "tid", "text", "wanted")), strict=True):
                     raw = text.encode()
-                    rows += [(p["key"], doc, tid, copies, p["lo"], p["hi"], p["at"], raw[p["lo"] : p["hi"] + length]) for p in places]
+                    for w in wanted:
+                        lo, more = w["place"] >> 20, w["place"] >> 10 & 1023
+                        rows.append((w["key"], w["context"], doc, tid, w["place"], w["weight"], raw[lo : lo + more + length]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-SPANS = "tid binary, start int, stop int"
+SPANS = "key long, context long, start int, stop int"
 
 
-def repeated(group: np.ndarray, contexts: list[bytes], lead: np.ndarray, count: np.ndarray, place: np.ndarray, copies: np.ndarray, length: int, first: bool) -> Iterator[tuple[int, np.ndarray]]:
+def repeated(group: np.ndarray, contexts: list[bytes], lead: np.ndarray, count: np.ndarray, position: np.ndarray, weight: np.ndarray, length: int, first: bool) -> Iterator[tuple[int, np.ndarray]]:
     """For each distance l from the anchor: l, and the rows whose window there is a copy to remove.
 
-    Rows: group (of one anchor), context, lead (bytes before the anchor), count (of windows), place (rank of
-    the text position) and copies (of the text).
+    Rows: group (of one anchor), context, lead (bytes before the anchor), count (of windows), position (rank of the
+    context's first occurrence in the corpus) and weight (its occurrences).
     """
     n = len(contexts)
-    ends = np.cumsum([len(c) for c in contexts])
-    at = ends - [len(c) for c in contexts] + lead  # the anchor in all contexts joined
+    size = np.array([len(c) for c in contexts])
+    at = np.cumsum(size) - size + lead  # the anchor in all contexts joined
     data = np.frombuffer(b"".join(contexts), np.uint8)
-    up, down = powers.of(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    total, down = _sums(data), powers.of(len(data) + 1)[1]
     right = [c[x:] for c, x in zip(contexts, lead.tolist(), strict=True)]
-    order = np.array(sorted(range(n), key=right.__getitem__), np.int64)
     rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
+    rank[sorted(range(n), key=right.__getitem__)] = np.arange(n)
     rows = np.arange(n)
     for l in range(int(lead.max()) + 1):
-        key = group << 41 | rank if not l else None
-        if l:
-            rows = rows[lead[rows] >= l]
-            key = group[rows] << 41 | data[at[rows] - l].astype(np.int64) << 32 | rank[rows]
-        sort = np.argsort(key)
+        rows = rows[lead[rows] >= l]
+        before = data[at[rows] - l].astype(np.int64) << 32 if l else 0
+        sort = np.argsort(group[rows] << 41 | before | rank[rows])
         rank[rows[sort]] = np.arange(len(rows))
         due = rows[sort]
         due = due[lead[due] - l < count[due]]  # a window of this row starts here
-        if len(due) < 1:
+        if not len(due):
             continue
         start = at[due] - l
         # Neighbours in suffix order share `length` bytes where their windows' hashes agree.
         window = (total[start + length] - total[start]) * down[start]
-        run = np.concatenate(([True], (window[1:] != window[:-1]) | (group[due][1:] != group[due][:-1])))
-        heads = np.flatnonzero(run)
-        size = np.diff(np.concatenate((heads, [len(due)])))
+        heads = np.flatnonzero(np.concatenate(([True], (window[1:] != window[:-1]) | (group[due][1:] != group[due][:-1]))))
+        members = np.diff(np.concatenate((heads, [len(due)])))
         if first:
-            # Previous and next smaller positions exist in the run for all but its least position.
-            least = np.repeat(np.minimum.reduceat(place[due], heads), size)
-            gone = due[place[due] > least]
+            # A previous or a next smaller position is in the run for all but its least position.
+            gone = due[position[due] > np.repeat(np.minimum.reduceat(position[due], heads), members)]
         else:
-            gone = due[np.repeat(np.add.reduceat(copies[due], heads), size) > 1]
+            gone = due[np.repeat(np.add.reduceat(weight[due], heads), members) > 1]
         if len(gone):
             yield l, gone
 
 
 def _spans(length: int, first: bool):
+    """Spans to remove, from the start of each context, at its first occurrence."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, ["key"], 16_000):
-            # Rows that repeat doc_id and text bring their text more than once; one occurrence of each place stays.
-            seen = list(zip(*(t[c].to_pylist() for c in ("key", "tid", "lo")), strict=True))
-            t = t.filter(pa.array([k == 0 or x != seen[k - 1] for k, x in enumerate(seen)]))
-            cut = starts_of(t, ["key"])
-            group = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-            lo, hi, at = (t[c].to_numpy().astype(np.int64) for c in ("lo", "hi", "at"))
+            # Rows that repeat doc_id and text bring a context more than once.
+            same = np.zeros(t.num_rows, bool)
+            key, context = t["key"].to_numpy(), t["context"].to_numpy()
+            same[1:] = (key[1:] == key[:-1]) & (context[1:] == context[:-1])
+            t = t.filter(pa.array(~same))
+            key, context, place, weight = (t[c].to_numpy() for c in ("key", "context", "place", "weight"))
+            group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
             tid, doc = t["tid"].to_pylist(), t["doc"].to_pylist()
-            positions = [(d is None, d or 0, x, a) for d, x, a in zip(doc, tid, lo.tolist(), strict=True)]
-            place = np.empty(len(tid), np.int64)
-            place[sorted(range(len(tid)), key=positions.__getitem__)] = np.arange(len(tid))
-            gone_rows, gone_starts = [], []
-            for l, rows in repeated(group, t["bytes"].to_pylist(), at - lo, hi - lo + 1, place, t["copies"].to_numpy(), length, first):
-                gone_rows.append(rows)
-                gone_starts.append(at[rows] - l)
-            if gone_rows:
-                rows, starts = np.concatenate(gone_rows), np.concatenate(gone_starts)
+            positions = [(d is None, d or 0, x, a) for d, x, a in zip(doc, tid, (place >> 20).tolist(), strict=True)]
+            position = np.empty(len(tid), np.int64)
+            position[sorted(range(len(tid)), key=positions.__getitem__)] = np.arange(len(tid))
+            lead, count = place & 1023, (place >> 10 & 1023) + 1
+            found = [(rows, lead[rows] - l) for l, rows in repeated(group, t["bytes"].to_pylist(), lead, count, position, weight, length, first)]
+            if found:
+                rows, starts = (np.concatenate(x) for x in zip(*found, strict=True))
                 sort = np.lexsort((starts, rows))
                 rows, starts = rows[sort], starts[sort]
-                new = np.concatenate(([True], (rows[1:] != rows[:-1]) | (starts[1:] > starts[:-1] + length)))
-                a = np.flatnonzero(new)
+                a = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (starts[1:] > starts[:-1] + length))))
                 b = np.concatenate((a[1:], [len(rows)])) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([tid[r] for r in rows[a].tolist()], pa.binary()), pa.array(starts[a].astype(np.int32)), pa.array((starts[b] + length).astype(np.int32))],
-                    ["tid", "start", "stop"],
+                    [pa.array(key[rows[a]]), pa.array(context[rows[a]]), pa.array(starts[a].astype(np.int32)), pa.array((starts[b] + length).astype(np.int32))],
+                    ["key", "context", "start", "stop"],
                 )
 
     return run
@@ -218,22 +222,25 @@ def _windows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, tid, copies, lo, hi, raw in zip(*(batch[c].to_pylist() for c in ("doc", "tid", "copies", "lo", "hi", "bytes")), strict=True):
+            names = ["key", "context", "doc", "tid", "place", "weight"]
+            for raw, *facts in zip(batch["bytes"].to_pylist(), *(batch[c].to_pylist() for c in names), strict=True):
                 data = np.frombuffer(raw, np.uint8)
-                n = hi - lo + 1
-                one, two = _hashes(data, length), _hashes(data[::-1], length)[::-1]
+                one, two = _hashes(_sums(data), length), _hashes(_sums(data[::-1]), length)[::-1]
+                n = len(one)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array(np.ascontiguousarray(two).view(np.int64)), pa.array([doc] * n, pa.int64()), pa.array([tid] * n, pa.binary()), pa.array([copies] * n, pa.int64()), pa.array(np.arange(lo, hi + 1, dtype=np.int32))],
-                    ["w1", "w2", "doc", "tid", "copies", "start"],
+                    [pa.array(one.view(np.int64)), pa.array(np.ascontiguousarray(two).view(np.int64)), pa.array(np.arange(n, dtype=np.int32))]
+                    + [pa.array([x] * n, k) for x, k in zip(facts, kinds, strict=True)],
+                    ["w1", "w2", "start", *names],
                 )
 
     return run
 
 
 def find_spans(docs: DataFrame, length: int = LENGTH, first: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): doc_id, text, tid, rep, copies of every row, and tid, spans (sorted, disjoint [start, stop)) to remove from its bytes.
+    """(texts, spans): doc_id, text and tid of every row, and tid, spans (sorted [start, stop)) to remove from its bytes.
 
-    rep: the least doc_id of the rows with this text.
+    With first=True the spans are those of a text's first row.
     """
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
@@ -243,35 +250,50 @@ def find_spans(docs: DataFrame, length: int = LENGTH, first: bool = False) -> tu
         texts.select("tid", "text")
         .mapInArrow(_find(length), FOUND)
         .repartition("key")
-        .dropDuplicates(["key", "tid", "lo", "hi", "at"])
+        .dropDuplicates(["key", "tid", "context", "place"])
         .withColumn("n", F.count("*").over(Window.partitionBy("key")))
     )
-    found = written(found.filter("n > 1"), "anchors")
-    places = found.groupBy("tid").agg(F.collect_list(F.struct("key", "lo", "hi", "at")).alias("places")).join(kinds, "tid")
-    held = texts.join(places, "tid").filter(F.col("doc_id").eqNullSafe(F.col("doc")))
-    context = held.select("doc", "tid", "copies", "text", "places").mapInArrow(_cut(length), CONTEXT)
-    hot = found.filter(F.col("n") > HOT).select("key").distinct()
+    # An anchor in one text only, once, has no repeated window unless the text has copies, which go whole.
+    found = written(found.filter("n > 1").drop("n").join(kinds, "tid"), "anchors")
+    where = F.struct(F.col("doc").isNull().alias("none"), "doc", "tid", "place")
+    contexts = written(
+        found.groupBy("key", "context").agg(F.sum("copies").alias("weight"), F.count("*").alias("seen"), F.min(where).alias("least")),
+        "contexts",
+    )
+    several = contexts.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    wanted = several.groupBy(F.col("least.tid").alias("tid"), F.col("least.doc").alias("doc")).agg(
+        F.collect_list(F.struct("key", "context", F.col("least.place").alias("place"), "weight")).alias("wanted")
+    )
+    held = texts.join(wanted, "tid").filter(F.col("doc_id").eqNullSafe(F.col("doc")))
+    cut = held.select("doc", "tid", "text", "wanted").mapInArrow(_cut(length), CONTEXT)
+    hot = several.filter(F.col("n") > HOT).select("key").distinct()
     some_hot = bool(hot.head(1))
     if some_hot:
-        context = written(context, "contexts")
-    gathered = context.join(hot, "key", "left_anti") if some_hot else context
-    spans = gathered.repartition("key").sortWithinPartitions("key", "doc", "tid", "lo").mapInArrow(_spans(length, first), SPANS)
+        cut = written(cut, "bytes")
+    gathered = cut.join(hot, "key", "left_anti") if some_hot else cut
+    parts = gathered.repartition("key").sortWithinPartitions("key", "context").mapInArrow(_spans(length, first), SPANS)
     if some_hot:
         single = (
-            context.join(hot, "key", "left_semi")
-            .mapInArrow(_windows(length), "w1 long, w2 long, doc long, tid binary, copies long, start int")
-            .dropDuplicates(["tid", "start"])
+            cut.join(hot, "key", "left_semi")
+            .mapInArrow(_windows(length), f"w1 long, w2 long, start int, {CONTEXT.removesuffix(', bytes binary')}")
+            .dropDuplicates(["key", "context", "start"])
         )
-        place = F.struct(F.col("doc").isNull().alias("x"), "doc", "tid", "start")
-        known = single.groupBy("w1", "w2").agg(F.sum("copies").alias("total"), F.min(place).alias("least"))
-        gone = single.join(known, ["w1", "w2"]).filter(place != F.col("least") if first else F.col("total") > 1)
-        spans = spans.unionByName(gone.select("tid", "start", (F.col("start") + length).alias("stop")))
+        spot = F.struct(F.col("doc").isNull().alias("none"), "doc", "tid", (F.expr(LO.format("place")) + F.col("start")).alias("at"))
+        known = single.groupBy("w1", "w2").agg(F.sum("weight").alias("total"), F.min(spot).alias("least"))
+        gone = single.join(known, ["w1", "w2"]).filter(spot != F.col("least") if first else F.col("total") > 1)
+        parts = parts.unionByName(gone.select("key", "context", "start", (F.col("start") + length).alias("stop")))
+    # All of a context is repeated where it occurs again: everywhere, or at all but its first occurrence.
+    facts = found.join(contexts, ["key", "context"])
+    again = (where != F.col("least")) if first else F.col("weight") > 1
+    lo, count = F.expr(LO.format("place")).cast("int"), F.expr(COUNT.format("place")).cast("int")
+    spans = facts.filter(again).select("tid", lo.alias("start"), (lo + count + (length - 1)).alias("stop"))
+    once = facts.filter(~again).join(parts, ["key", "context"])
+    spans = spans.unionByName(once.select("tid", (lo + F.col("start")).alias("start"), (lo + F.col("stop")).alias("stop")))
     if not first:
         # A text of several rows goes whole: each of its windows starts in another row too.
         whole = texts.filter(F.octet_length("text") >= length).join(kinds.filter("copies > 1"), "tid", "left_semi")
         spans = spans.unionByName(whole.select("tid", F.lit(0).alias("start"), F.octet_length("text").alias("stop")).distinct())
-    spans = spans.groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    return texts, spans
+    return texts, spans.groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
