@@ -187,7 +187,7 @@ def apply_feathered_mask(pixels: DataFrame, mask: DataFrame, color: tuple[float,
     soft = gaussian_blur(_unit_mask(mask).select(F.lit(0).alias("frame_id"), "y", "x", F.col("m").alias("v")), 2 * math.ceil(3 * sigma) + 1, sigma)
     blend = F.col("v") * F.col("m") + gray_of(color, F.col("bit_depth")) * (1 - F.col("m"))
     joined = pixels.join(soft.select("y", "x", F.col("v").alias("m")), ["y", "x"], "left")
-    return joined.withColumn("v", truncated(blend, full_scale(F.col("bit_depth")))).drop("m")
+    return joined.withColumn("v", truncated(F.round(blend, 6), full_scale(F.col("bit_depth")).cast("double"))).drop("m")
 
 
 def sum_brightness(pixels: DataFrame, brightfield: bool = False, mask: DataFrame | None = None, background: float | None = None) -> DataFrame:

@@ -245,3 +245,22 @@ def analyze_pulsatility(series: DataFrame, fps: float, min_bpm: float = 30.0, ma
 
 def roi_waveforms_wide(waveform: DataFrame, rois: list[str]) -> DataFrame:
     return waveform.groupBy("idx", "time_s").pivot("series_id", rois).agg(F.first("wave").alias("wave"), F.first("value").alias("motion"))
+
+
+def block_motion(pixels: DataFrame, block: int = 16, by: str = "stack_id", order: str = "z") -> DataFrame:
+    """speed (pixels a frame) by block and frame: least squares over spatial and temporal differences; 0 where they leave it open.
+
+    Inner pixels only: each needs its four neighbours and its next frame.
+    """
+    row, col = Window.partitionBy(by, order, "y").orderBy("x"), Window.partitionBy(by, order, "x").orderBy("y")
+    time = Window.partitionBy(by, "y", "x").orderBy(order)
+    p = pixels.withColumns({"_t": F.lead("v").over(time) - F.col("v")}).withColumns({"_x": (F.lead("v").over(row) - F.lag("v").over(row)) / 2})
+    p = p.withColumn("_y", (F.lead("v").over(col) - F.lag("v").over(col)) / 2).filter("_t IS NOT NULL AND _x IS NOT NULL AND _y IS NOT NULL")
+    cell = [F.floor(F.col(c) / block).cast("int").alias(f"block_{c}") for c in ("y", "x")]
+    product = lambda a, b: F.sum(F.col(a) * F.col(b))
+    s = p.groupBy(by, order, *cell).agg(
+        product("_x", "_x").alias("a"), product("_x", "_y").alias("b"), product("_y", "_y").alias("c"), product("_x", "_t").alias("e"), product("_y", "_t").alias("f")
+    )
+    det = F.col("a") * F.col("c") - F.col("b") * F.col("b")
+    u, v = (F.col("b") * F.col("f") - F.col("c") * F.col("e")) / det, (F.col("b") * F.col("e") - F.col("a") * F.col("f")) / det
+    return s.select(by, order, "block_y", "block_x", F.when(det > 1e-6, F.sqrt(u * u + v * v)).otherwise(0.0).alias("speed"))

@@ -751,3 +751,124 @@ def v_stills(spark, sf):
     from .workflows import stack_stills
 
     return stack_stills(fx.px8(spark, sf), 1.2).select(F.col("frame_id").alias("stack_id"), "y", "x", F.col("rgb.g").alias("g"))
+
+
+# --- depth of field, kernels and compositions
+
+@query("""
+WITH q AS (SELECT stack_id, z, y // 2 AS y, x // 2 AS x, sum(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN v ELSE 0 END) AS p00, sum(CASE WHEN y % 2 = 0 AND x % 2 = 1 THEN v ELSE 0 END) AS p01,
+  sum(CASE WHEN y % 2 = 1 AND x % 2 = 0 THEN v ELSE 0 END) AS p10, sum(CASE WHEN y % 2 = 1 AND x % 2 = 1 THEN v ELSE 0 END) AS p11 FROM px8 GROUP BY 1, 2, 3, 4),
+c AS (SELECT stack_id, z, y, x, (p00 + p01 + p10 + p11) / 2 AS a, (p00 + p01 - p10 - p11) / 2 AS h, (p00 - p01 + p10 - p11) / 2 AS v, (p00 - p01 - p10 + p11) / 2 AS d FROM q),
+k AS (SELECT *, row_number() OVER (PARTITION BY stack_id, y, x ORDER BY round(sqrt(h * h + v * v), 9) DESC, z) AS kd, row_number() OVER (PARTITION BY stack_id, y, x ORDER BY abs(a) DESC, z) AS ka FROM c),
+s AS (SELECT stack_id, y, x, max(a) FILTER (ka = 1) AS a, max(h) FILTER (kd = 1) AS h, max(v) FILTER (kd = 1) AS v, max(d) FILTER (kd = 1) AS d FROM k GROUP BY 1, 2, 3)
+SELECT stack_id, CAST(2 * y + i AS INT) AS y, CAST(2 * x + j AS INT) AS x, CAST(trunc(round(least(255, greatest(0,
+  (a + (1 - 2 * i) * h + (1 - 2 * j) * v + (1 - 2 * i) * (1 - 2 * j) * d) / 2)), 6)) AS INT) AS v FROM s, range(2) a(i), range(2) b(j)
+""")
+def e_edf_haar(spark, sf):
+    from ..operators.wavelet import edf_fuse
+
+    return edf_fuse(fx.px8(spark, sf), "haar", 1)
+
+
+@query()
+def e_edf_db3(spark, sf):
+    from ..operators.wavelet import edf_fuse
+
+    return edf_fuse(fx.px8(spark, sf), "db3", 1, top_n=2)
+
+
+
+@query(f"""
+WITH t(k, w) AS (VALUES {", ".join(f"({k - 5}, {w!r}::DOUBLE)" for k, w in enumerate(P.taps(11)))}),
+rx AS (SELECT p.frame_id, p.y, p.x, sum(q.v * w) AS v FROM px8 p, t, px8 q WHERE q.frame_id = p.frame_id AND q.y = p.y AND q.x = greatest(0, least(7, p.x + k)) GROUP BY 1, 2, 3),
+ry AS (SELECT p.frame_id, p.y, p.x, sum(q.v * w) AS v FROM rx p, t, rx q WHERE q.frame_id = p.frame_id AND q.x = p.x AND q.y = greatest(0, least(7, p.y + k)) GROUP BY 1, 2, 3)
+SELECT frame_id, y, x FROM px8 JOIN ry m USING (frame_id, y, x) WHERE px8.v <= floor(m.v + 0.5) - 2
+""")
+def t_adaptive_threshold(spark, sf):
+    return segment.adaptive_threshold(fx.px8(spark, sf))
+
+
+@query(f"""
+WITH t(k, w) AS (VALUES {", ".join(f"({k - 3}, {w!r}::DOUBLE)" for k, w in enumerate(P.taps(7, 1.0)))}),
+m0 AS (SELECT y, x, m / 255.0 AS v FROM mask8),
+rx AS (SELECT p.y, p.x, sum(q.v * w) AS v FROM m0 p, t, m0 q WHERE q.y = p.y AND q.x = 7 - abs(((p.x + k + 14) % 14) - 7) GROUP BY 1, 2),
+ry AS (SELECT p.y, p.x, sum(q.v * w) AS m FROM rx p, t, rx q WHERE q.x = p.x AND q.y = 7 - abs(((p.y + k + 14) % 14) - 7) GROUP BY 1, 2)
+SELECT frame_id, y, x, CAST(trunc(round(v * m + 40 * (1 - m), 6)) AS INT) AS v FROM px8 JOIN ry USING (y, x)
+""")
+def j_feathered_mask(spark, sf):
+    return P.apply_feathered_mask(fx.px8(spark, sf), fx.mask8(spark), X.parse_color("40"), 1.0).select(*PX, "v")
+
+
+@query("SELECT frame_id, y, x FROM (SELECT frame_id, y, x FROM px8 WHERE v >= 150 UNION SELECT frame_id, y, x FROM px8 WHERE v <= 90)")
+def o_mask_union(spark, sf):
+    p = fx.px8(spark, sf)
+    return p.filter("v >= 150").select(*PX).union(p.filter("v <= 90").select(*PX)).distinct()
+
+
+@query("SELECT frame_id, y, x FROM px8 WHERE v >= 100 INTERSECT SELECT frame_id, y, x FROM px8 WHERE v <= 130")
+def o_mask_intersection(spark, sf):
+    p = fx.px8(spark, sf)
+    return p.filter("v >= 100").select(*PX).intersect(p.filter("v <= 130").select(*PX))
+
+
+@query("SELECT filename FROM nam WHERE filename LIKE '%.tif' UNION ALL SELECT filename FROM nam WHERE lower(filename) LIKE '%.tiff'")
+def o_listings(spark, sf):
+    n = fx.names_mixed(spark, sf).select("filename")
+    return n.filter(F.col("filename").endswith(".tif")).unionByName(n.filter(F.lower("filename").endswith(".tiff")))
+
+
+@query("""
+WITH s AS (SELECT user_id % 4 AS session, extract(day FROM ts)::INT AS timepoint, (sum(round(value)::BIGINT) % 5 - 2)::BIGINT AS dy, (count(*) % 3 - 1)::BIGINT AS dx FROM events
+  WHERE extract(day FROM ts) % 6 <> 0 GROUP BY 1, 2),
+n AS (SELECT *, CASE WHEN timepoint - lag(timepoint) OVER w = 1 THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY session ORDER BY timepoint)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY timepoint) AS island FROM n)
+SELECT session, timepoint, island::BIGINT AS island, (sum(CASE WHEN new = 1 THEN 0 ELSE dy END) OVER w)::BIGINT AS sum_dy, (sum(CASE WHEN new = 1 THEN 0 ELSE dx END) OVER w)::BIGINT AS sum_dx
+FROM i WINDOW w AS (PARTITION BY session, island ORDER BY timepoint)
+""")
+def w_chained_drift(spark, sf):
+    e = fx.table(spark, sf, "events").withColumns({"session": F.col("user_id") % 4, "timepoint": F.dayofmonth("ts")}).filter("timepoint % 6 <> 0")
+    steps = e.groupBy("session", "timepoint").agg((F.sum(F.round("value").cast("long")) % 5 - 2).alias("dy"), (F.count("*") % 3 - 1).alias("dx"))
+    return register.chain(steps).select("session", "timepoint", "island", "sum_dy", "sum_dx")
+
+
+@query("""
+WITH s AS (SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR, date_trunc('hour', ts) - INTERVAL 2 HOUR]) AS window_start, value FROM events)
+SELECT event_type, window_start, count(*) AS n, round(sum(CAST(round(value * 100) AS BIGINT)) / 100, 2) AS total FROM s GROUP BY 1, 2
+""")
+def r_sliding_sums(spark, sf):
+    from ..streaming.live import tumbling_sums
+
+    e = fx.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return tumbling_sums(e, "3 hours", slide="1 hour").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""
+WITH g AS (SELECT p.stack_id, p.z, p.y, p.x, p.v, n.v - p.v AS it, (r.v - l.v) / 2.0 AS ix, (d.v - u.v) / 2.0 AS iy FROM px8 p JOIN px8 n ON n.stack_id = p.stack_id AND n.z = p.z + 1 AND n.y = p.y AND n.x = p.x
+  JOIN px8 l ON l.frame_id = p.frame_id AND l.y = p.y AND l.x = p.x - 1 JOIN px8 r ON r.frame_id = p.frame_id AND r.y = p.y AND r.x = p.x + 1
+  JOIN px8 u ON u.frame_id = p.frame_id AND u.x = p.x AND u.y = p.y - 1 JOIN px8 d ON d.frame_id = p.frame_id AND d.x = p.x AND d.y = p.y + 1),
+b AS (SELECT stack_id, z, y // 4 AS ty, x // 4 AS tx, sum(ix * ix) AS a, sum(ix * iy) AS b, sum(iy * iy) AS c, sum(ix * it) AS e, sum(iy * it) AS f FROM g GROUP BY 1, 2, 3, 4)
+SELECT stack_id, z, ty::INT AS block_y, tx::INT AS block_x, round(CASE WHEN a * c - b * b > 1e-6 THEN sqrt(pow((b * f - c * e) / (a * c - b * b), 2) + pow((b * e - a * f) / (a * c - b * b), 2)) ELSE 0 END, 5) AS speed FROM b
+""")
+def z_block_motion(spark, sf):
+    return pulse.block_motion(fx.px8(spark, sf), 4).withColumn("speed", r("speed", 5))
+
+
+@query()
+def v_track_regions(spark, sf):
+    from .workflows import track_regions
+
+    return track_regions(fx.px8(spark, sf), 8, 8, 3, 6, 2)
+
+
+@query()
+def v_aligned_and_cropped(spark, sf):
+    from .workflows import aligned_and_cropped
+
+    return aligned_and_cropped(fx.px8(spark, sf), 1).select(*PX, "rgb.g")
+
+
+@query()
+def v_pulsatility_report(spark, sf):
+    from .workflows import pulsatility_report
+
+    return pulsatility_report(fx.px8(spark, sf), fx.rois8(spark), 10.0)[0]

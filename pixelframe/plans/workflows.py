@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pixels as P
 from ..operators import pulse, register, segment, series
+from ..operators.durable import written
 
 
 def fluorescence_curve(pixels: DataFrame, window: int, level: float = 0.95, brightfield: bool = False) -> DataFrame:
@@ -39,8 +40,8 @@ def track_regions(pixels: DataFrame, height: int, width: int, adjustment: int =
     even = segment.clahe(p8, height, width, 2.0, tiles)
     soft = P.gaussian_blur(even, 5).withColumn("v", F.floor(F.col("v") + 0.5).cast("int"))
     dark = segment.below(soft, segment.otsu(soft, adjustment))
-    solid = segment.close_(segment.open_(dark, segment.ELLIPSE5, height, width), segment.ELLIPSE5, height, width)
-    region = segment.largest_component(segment.connected_components(solid), min_area)
+    solid = written(segment.close_(segment.open_(dark, segment.ELLIPSE5, height, width), segment.ELLIPSE5, height, width), "solid")
+    region = written(segment.largest_component(segment.connected_components(solid), min_area), "region")
     stats = segment.darkness_stats(pixels, region)
     return stats.join(segment.region_measures(region), "frame_id", "left").na.fill(0)
 
