@@ -843,10 +843,11 @@ def r_sliding_sums(spark, sf):
 
 
 @query("""
-WITH g AS (SELECT p.stack_id, p.z, p.y, p.x, p.v, n.v - p.v AS it, (r.v - l.v) / 2.0 AS ix, (d.v - u.v) / 2.0 AS iy FROM px8 p JOIN px8 n ON n.stack_id = p.stack_id AND n.z = p.z + 1 AND n.y = p.y AND n.x = p.x
-  JOIN px8 l ON l.frame_id = p.frame_id AND l.y = p.y AND l.x = p.x - 1 JOIN px8 r ON r.frame_id = p.frame_id AND r.y = p.y AND r.x = p.x + 1
-  JOIN px8 u ON u.frame_id = p.frame_id AND u.x = p.x AND u.y = p.y - 1 JOIN px8 d ON d.frame_id = p.frame_id AND d.x = p.x AND d.y = p.y + 1),
-b AS (SELECT stack_id, z, y // 4 AS ty, x // 4 AS tx, sum(ix * ix) AS a, sum(ix * iy) AS b, sum(iy * iy) AS c, sum(ix * it) AS e, sum(iy * it) AS f FROM g GROUP BY 1, 2, 3, 4)
+WITH g AS (SELECT stack_id, z, y, x, lead(v) OVER (PARTITION BY stack_id, y, x ORDER BY z) - v AS it,
+    (lead(v) OVER (PARTITION BY frame_id, y ORDER BY x) - lag(v) OVER (PARTITION BY frame_id, y ORDER BY x)) / 2.0 AS ix,
+    (lead(v) OVER (PARTITION BY frame_id, x ORDER BY y) - lag(v) OVER (PARTITION BY frame_id, x ORDER BY y)) / 2.0 AS iy FROM px8),
+b AS (SELECT stack_id, z, y // 4 AS ty, x // 4 AS tx, sum(ix * ix)::DOUBLE AS a, sum(ix * iy)::DOUBLE AS b, sum(iy * iy)::DOUBLE AS c, sum(ix * it)::DOUBLE AS e, sum(iy * it)::DOUBLE AS f
+  FROM g WHERE ix IS NOT NULL AND iy IS NOT NULL AND it IS NOT NULL GROUP BY 1, 2, 3, 4)
 SELECT stack_id, z, ty::INT AS block_y, tx::INT AS block_x, round(CASE WHEN a * c - b * b > 1e-6 THEN sqrt(pow((b * f - c * e) / (a * c - b * b), 2) + pow((b * e - a * f) / (a * c - b * b), 2)) ELSE 0 END, 5) AS speed FROM b
 """)
 def z_block_motion(spark, sf):
