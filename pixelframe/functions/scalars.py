@@ -131,3 +131,10 @@ def parse_roi(spec: Column) -> Column:
     name = F.when(has, F.trim(F.substring_index(spec, "=", 1)))
     body = F.when(has, F.regexp_replace(spec, "^[^=]*=", "")).otherwise(spec)
     return F.struct(name.alias("name"), F.transform(F.split(F.translate(body, ";", ","), ","), lambda p: F.trim(p).try_cast("double")).alias("v"))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation; null where one side is constant."""
+    x, y = a.cast("double"), b.cast("double")
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((sx > 0) & (sy > 0), F.covar_pop(x, y) / (sx * sy))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import correlation
+
 
 def estimate_shift(pixels: DataFrame, reference: DataFrame, max_shift: int, key: str = "stack_id") -> DataFrame:
     """frame_id, dy, dx, corr: where each frame lies relative to its key's reference (key, y, x, v).
@@ -16,8 +18,7 @@ def estimate_shift(pixels: DataFrame, reference: DataFrame, max_shift: int, key:
     moved = pixels.select("frame_id", key, "y", "x", "v", F.explode(shifts).alias("s"))
     moved = moved.select("frame_id", key, "s", "v", (F.col("y") - F.col("s.dy")).alias("y"), (F.col("x") - F.col("s.dx")).alias("x"))
     both = moved.join(reference.select(key, "y", "x", F.col("v").alias("r")), [key, "y", "x"])
-    c = both.groupBy("frame_id", "s").agg(F.round(F.corr(F.col("v").cast("double"), F.col("r").cast("double")), 9).alias("c"))
-    c = c.withColumn("c", F.when(~F.isnan("c"), F.col("c")))
+    c = both.groupBy("frame_id", "s").agg(F.round(correlation(F.col("v"), F.col("r")), 9).alias("c"))
     rank = F.struct("c", -(F.abs("s.dy") + F.abs("s.dx")), -F.col("s.dy"), -F.col("s.dx"))
     best = c.groupBy("frame_id").agg(F.max_by("s", F.when(F.col("c").isNotNull(), rank)).alias("s"), F.max("c").alias("corr"))
     return best.select("frame_id", F.coalesce("s.dy", F.lit(0)).alias("dy"), F.coalesce("s.dx", F.lit(0)).alias("dx"), "corr")

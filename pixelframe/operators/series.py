@@ -8,6 +8,8 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import correlation
+
 
 def _by(series: str = "series_id", order: str = "idx"):
     return Window.partitionBy(series).orderBy(order)
@@ -138,7 +140,7 @@ def growth_summary(tracks: DataFrame) -> DataFrame:
 
 
 def area_darkness_corr(tracks: DataFrame) -> DataFrame:
-    return load_tracks(tracks).groupBy("series_id").agg(F.corr("area_pixels", "average_darkness").alias("corr"))
+    return load_tracks(tracks).groupBy("series_id").agg(correlation(F.col("area_pixels"), F.col("average_darkness")).alias("corr"))
 
 
 def summary_lines(tracks: DataFrame) -> DataFrame:
