@@ -6,6 +6,7 @@ background matters.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -243,3 +244,108 @@ def clahe(pixels: DataFrame, height: int, width: int, clip_limit: float = 2.0, t
     four = p.withColumn("c", corners).select("frame_id", "y", "x", "v", at("y1", "c.a").alias("ty"), at("x1", "c.b").alias("tx"), share.alias("share"))
     blended = four.join(table, [*keys, "v"]).groupBy("frame_id", "y", "x").agg(F.sum(F.col("share") * F.col("lut")).alias("s"))
     return blended.select("frame_id", "y", "x", F.rint("s").cast("int").alias("v"))
+
+
+_TURNS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+
+
+def contour_length(points: set[tuple[int, int]]) -> float:
+    """Length of the outer contour of a pixel set: 1 for a straight step, root 2 for a diagonal one."""
+    start = min(points)
+    at, heading, total, first = start, 6, 0.0, None
+    while True:
+        for k in range(8):
+            turn = (heading + k) % 8
+            step = (at[0] + _TURNS[turn][0], at[1] + _TURNS[turn][1])
+            if step in points:
+                break
+        else:
+            return 0.0
+        if first is None:
+            first = (at, turn)
+        elif (at, turn) == first:
+            return total
+        total += 1.0 if turn % 2 == 0 else 2**0.5
+        at, heading = step, (turn + 5) % 8 if turn % 2 else (turn + 6) % 8
+
+
+def perimeter(components: DataFrame) -> DataFrame:
+    """frame_id, label, perimeter, from each component's boundary pixels alone."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        length = contour_length(set(zip(pdf.y.tolist(), pdf.x.tolist(), strict=True)))
+        return pd.DataFrame({"frame_id": pdf.frame_id.iloc[:1], "label": pdf.label.iloc[:1], "perimeter": [length]})
+
+    b = boundary(components)
+    kind = b.schema["frame_id"].dataType.simpleString()
+    return b.groupBy("frame_id", "label").applyInPandas(run, f"frame_id {kind}, label long, perimeter double")
+
+
+def with_circularity(regions: DataFrame, perimeters: DataFrame, px: Column) -> DataFrame:
+    """perimeter, perimeter_um and 4 pi A / P**2 by the polygon area; 0 without perimeter."""
+    joined = regions.join(perimeters, ["frame_id", "label"])
+    round_ = F.when(F.col("perimeter") > 0, 4 * F.pi() * F.col("polygon_area") / F.pow("perimeter", F.lit(2))).otherwise(0.0)
+    return joined.withColumns({"perimeter_um": F.when(px > 0, F.col("perimeter") * px).otherwise(0.0), "circularity": round_})
+
+
+def hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Corners of the convex hull, by monotone chains."""
+    points = sorted(set(points))
+    if len(points) < 3:
+        return points
+
+    def chain(order: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for p in order:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return chain(points) + chain(points[::-1])
+
+
+def polygon_area(corners: list[tuple[int, int]]) -> float:
+    return abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(corners, corners[1:] + corners[:1], strict=True))) / 2
+
+
+def convexity(components: DataFrame) -> DataFrame:
+    """frame_id, label, area, hull_area (of pixel centres), convexity; 1 under four rows' ends or without area.
+
+    Only the ends of a component's rows reach the hull.
+    """
+    ends = components.groupBy("frame_id", "label", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    sizes = region_measures(components).select("frame_id", "label", "polygon_area")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        area = polygon_area(hull([*zip(pdf.y.tolist(), pdf.a.tolist(), strict=True), *zip(pdf.y.tolist(), pdf.b.tolist(), strict=True)]))
+        return pd.DataFrame({"frame_id": pdf.frame_id.iloc[:1], "label": pdf.label.iloc[:1], "hull_area": [area]})
+
+    kind = components.schema["frame_id"].dataType.simpleString()
+    hulls = ends.groupBy("frame_id", "label").applyInPandas(run, f"frame_id {kind}, label long, hull_area double")
+    ratio = F.when(F.col("hull_area") > 0, F.col("polygon_area") / F.col("hull_area")).otherwise(1.0)
+    return sizes.join(hulls, ["frame_id", "label"]).withColumn("convexity", ratio)
+
+
+def hull_fallback(components: DataFrame, least: float = 0.75, growth: float = 0.3) -> DataFrame:
+    """Components under `least` convexity whose hull adds less than `growth` are replaced by it: frame_id, y, x, label."""
+    loose = convexity(components).filter((F.col("convexity") < least) & (F.col("hull_area") < (1 + growth) * F.col("polygon_area")))
+    ends = components.join(loose, ["frame_id", "label"], "left_semi").groupBy("frame_id", "label", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        corners = hull([*zip(pdf.y.tolist(), pdf.a.tolist(), strict=True), *zip(pdf.y.tolist(), pdf.b.tolist(), strict=True)])
+        rows = []
+        for y in range(int(pdf.y.min()), int(pdf.y.max()) + 1):
+            xs = []
+            for (y0, x0), (y1, x1) in zip(corners, corners[1:] + corners[:1], strict=True):
+                if min(y0, y1) <= y <= max(y0, y1):
+                    xs += [x0, x1] if y0 == y1 else [x0 + (x1 - x0) * (y - y0) / (y1 - y0)]
+            rows.append((y, int(-(-min(xs) // 1)), int(max(xs) // 1)))
+        out = pd.DataFrame(rows, columns=["y", "a", "b"])
+        return out.assign(frame_id=pdf.frame_id.iloc[0], label=pdf.label.iloc[0])[["frame_id", "label", "y", "a", "b"]]
+
+    kind = components.schema["frame_id"].dataType.simpleString()
+    filled = ends.groupBy("frame_id", "label").applyInPandas(run, f"frame_id {kind}, label long, y int, a int, b int")
+    cells = filled.select("frame_id", "y", F.explode(F.sequence("a", "b")).alias("x"), "label")
+    rest = components.join(loose, ["frame_id", "label"], "left_anti").select("frame_id", "y", "x", "label")
+    return rest.unionByName(cells)

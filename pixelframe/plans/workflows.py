@@ -56,3 +56,21 @@ def pulsatility_report(pixels: DataFrame, rois: DataFrame, fps: float, **bands:
     motion = P.motion_diff(pixels, rois)
     s = motion.select(F.concat_ws("/", "stack_id", "roi").alias("series_id"), (F.col("z") - 1).alias("idx"), F.col("motion").alias("value"))
     return pulse.analyze_pulsatility(s, fps, **bands)
+
+
+def core_outer(pixels: DataFrame, height: int, width: int, tiles: int = 8, core_min: int = 1000, outer_min: int = 5000, radius: int = 10) -> DataFrame:
+    """Core (bright centre) and outer region of every frame with their statistics; frames without a core have no row."""
+    flat = P.minmax_normalize(pixels)
+    soft, wide = (P.gaussian_blur(flat, k, s).withColumn("v", F.floor(F.col("v") + 0.5).cast("int")) for k, s in ((3, 0.0), (9, 2.0)))
+    even = segment.clahe(soft, height, width, 2.0, tiles)
+    bright = segment.percentile_masks(wide).filter("core").select("frame_id", "y", "x")
+    core = written(segment.remove_small(bright, core_min), "core")
+    core = segment.close_(segment.fill_holes(core, height, width), segment.disk(radius), height, width)
+    core = written(segment.hull_fallback(segment.largest_component(segment.connected_components(written(core, "closed")), 1)).select("frame_id", "y", "x"), "core")
+    ring = segment.percentile_masks(even).filter("outer").select("frame_id", "y", "x")
+    outer = written(segment.remove_small(ring, outer_min).unionByName(core).distinct(), "ring")
+    outer = written(segment.fill_holes(outer, height, width), "filled")
+    outer = segment.containing_component(segment.connected_components(outer), core).select("frame_id", "y", "x").join(core, ["frame_id", "y", "x"], "left_anti")
+    marks = core.withColumns({"core": F.lit(True), "outer": F.lit(False)}).unionByName(outer.withColumns({"core": F.lit(False), "outer": F.lit(True)}))
+    masks = segment.grid(core, height, width).join(marks, ["frame_id", "y", "x"], "left").na.fill(False, ["core", "outer"])
+    return segment.core_outer_stats(pixels, masks)

@@ -183,3 +183,30 @@ def test_moving_texture_rate(spark):
     s = speed.select(F.col("stack_id").cast("string").alias("series_id"), F.col("z").alias("idx"), "value")
     row = pulse.analyze_pulsatility(s, 30.0)[0].head()
     assert row["bpm_spectral"] == pytest.approx(60, abs=8) and row["n_pulses"] >= 3
+
+
+def test_contours_and_hulls(spark):
+    square = {(y, x) for y in range(5) for x in range(5)}
+    assert segment.contour_length(square) == 16
+    assert segment.contour_length({(0, 1), (1, 0), (1, 1), (1, 2), (2, 1)}) == pytest.approx(4 * 2**0.5)
+    assert segment.contour_length({(3, 3)}) == 0
+    assert segment.polygon_area(segment.hull(sorted(square))) == 16
+    a = np.zeros((20, 20), int)
+    a[2:12, 2:12] = 1
+    a[4:6, 8:12] = 0  # a dent
+    c = segment.connected_components(region(spark, a))
+    row = segment.convexity(c).head()
+    assert row["hull_area"] == 81 and 0.5 < row["convexity"] < 1
+    m = segment.with_circularity(segment.region_measures(c), segment.perimeter(c), F.lit(0.5)).head()
+    assert m["perimeter_um"] == m["perimeter"] / 2 and 0 < m["circularity"] < 1
+    assert segment.hull_fallback(c, least=0.99, growth=0.9).count() == 100
+    assert segment.hull_fallback(c, least=0.1).count() == a.sum()
+
+
+def test_core_and_outer(spark):
+    y, x = np.mgrid[:32, :32]
+    d = np.hypot(y - 16, x - 16)
+    p = frame(spark, np.where(d < 4, 240, np.where(d < 10, 120 - 3 * d, 10 + x // 8)))
+    got = workflows.core_outer(p, 32, 32, 2, 8, 8, 1).collect()
+    assert len(got) == 1 and got[0]["core_area"] > 20 and got[0]["total_pixels"] == 1024
+    assert got[0]["core_sum"] / got[0]["core_area"] > got[0]["total_sum"] / 1024
