@@ -99,12 +99,13 @@ def extract_times(files: DataFrame, offset: float = 0.0, by: str | None = None)
 
     keys = [by] if by else []
     first = files.groupBy(*keys, "N").agg(F.min(F.struct("filename", "mtime")).alias("f")).select(*keys, "N", "f.filename", "f.mtime")
-    seconds = F.unix_micros(F.col("mtime").cast("timestamp")) / 1e6
-    start = first.groupBy(*keys).agg(F.min_by("mtime", "N").alias("_start"))
-    # One start for each folder, or one row in all.
-    joined = first.join(start, keys) if keys else first.join(F.broadcast(start), F.lit(True))
-    elapsed = seconds - F.unix_micros(F.col("_start").cast("timestamp")) / 1e6
-    return joined.select(
+    micros = F.unix_micros(F.col("mtime").cast("timestamp"))
+    if by:
+        first = first.join(first.groupBy(by).agg(F.min_by(micros, "N").alias("_start")), by)
+    else:
+        first = first.withColumn("_start", F.lit(first.agg(F.min_by(micros, "N")).head()[0]).cast("long"))
+    elapsed, seconds = (micros - F.col("_start")) / 1e6, micros / 1e6
+    return first.select(
         *keys, "N", "filename", F.date_format("mtime", "yyyy-MM-dd HH:mm:ss").alias("actual_time"), format_elapsed(elapsed + offset).alias("elapsed_time"),
         F.round(elapsed + offset, 3).alias("elapsed_seconds"), F.round(elapsed, 3).alias("raw_elapsed_seconds"), F.lit(float(offset)).alias("time_offset"), seconds.alias("raw_timestamp"),
     )

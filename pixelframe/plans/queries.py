@@ -615,7 +615,18 @@ def m_erode(spark, sf):
     return segment.erode(fx.regions8(spark, sf), segment.disk(1), 8, 8)
 
 
-@query()
+def _near(src: str) -> str:
+    return f"FROM px8 g JOIN {src} b ON b.frame_id = g.frame_id AND b.y BETWEEN g.y - 1 AND g.y + 1 AND b.x BETWEEN g.x - 1 AND g.x + 1 GROUP BY g.frame_id, g.y, g.x"
+
+
+_WHOLE = "HAVING count(*) = (CASE WHEN g.y IN (0, 7) THEN 2 ELSE 3 END) * (CASE WHEN g.x IN (0, 7) THEN 2 ELSE 3 END)"
+_CELL = "SELECT g.frame_id, g.y, g.x"
+
+
+@query(f"""
+WITH e1 AS ({_CELL} {_near("reg8")} {_WHOLE}), d1 AS ({_CELL} {_near("e1")}), d2 AS ({_CELL} {_near("d1")}), e2 AS ({_CELL} {_near("d2")} {_WHOLE})
+SELECT frame_id, y, x FROM e2
+""")
 def m_open_close(spark, sf):
     return segment.close_(segment.open_(fx.regions8(spark, sf), segment.SQUARE3, 8, 8), segment.SQUARE3, 8, 8)
 
@@ -664,7 +675,12 @@ def o_mask_difference(spark, sf):
     return back.groupBy("frame_id").agg(F.count("*").alias("background"))
 
 
-@query()
+@query("""
+WITH RECURSIVE bg AS (SELECT frame_id, y, x FROM px8 WHERE v < 128),
+o(frame_id, y, x) AS (SELECT frame_id, y, x FROM bg WHERE y IN (0, 7) OR x IN (0, 7) UNION
+  SELECT b.frame_id, b.y, b.x FROM o JOIN bg b ON b.frame_id = o.frame_id AND abs(b.y - o.y) + abs(b.x - o.x) = 1)
+SELECT frame_id, y, x FROM reg8 UNION ALL SELECT bg.frame_id, bg.y, bg.x FROM bg ANTI JOIN o USING (frame_id, y, x)
+""")
 def m_fill_holes(spark, sf):
     return segment.fill_holes(fx.regions8(spark, sf), 8, 8)
 
