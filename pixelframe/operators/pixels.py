@@ -216,10 +216,10 @@ def merge_timestamps(series: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def _around(pixels: DataFrame) -> tuple[DataFrame, list[Column]]:
-    """Pixels with the eight neighbours' values, coordinates clamped at the border, from two passes of lag and lead."""
+    """Pixels with the eight neighbours' values, coordinates clamped at the border, from lag and lead along rows and columns, after one exchange."""
     row, col = Window.partitionBy("frame_id", "y").orderBy("x"), Window.partitionBy("frame_id", "x").orderBy("y")
     v = F.col("v")
-    p = pixels.withColumns({"_l": F.coalesce(F.lag("v").over(row), v), "_r": F.coalesce(F.lead("v").over(row), v)})
+    p = pixels.repartition("frame_id").withColumns({"_l": F.coalesce(F.lag("v").over(row), v), "_r": F.coalesce(F.lead("v").over(row), v)})
     names = []
     for c in ("v", "_l", "_r"):
         for d, f in (("u", F.lag), ("d", F.lead)):
@@ -285,7 +285,8 @@ def _along(pixels: DataFrame, axis: str, weights: list[float], border: str) -> D
 def gaussian_blur(pixels: DataFrame, ksize: int, sigma: float = 0.0, border: str = "reflect") -> DataFrame:
     """frame_id, y, x, v (double): separable blur with reflected (or clamped) borders. Lines of a frame are the unit of work."""
     w = taps(ksize, sigma)
-    return _along(_along(pixels.select("frame_id", "y", "x", "v"), "x", w, border), "y", w, border).select("frame_id", "y", "x", "v")
+    whole = pixels.select("frame_id", "y", "x", "v").repartition("frame_id")  # one exchange for both axes
+    return _along(_along(whole, "x", w, border), "y", w, border).select("frame_id", "y", "x", "v")
 
 
 def find_max_brightness(pixels: DataFrame, blur_kernel: int = 5, bit_depth: int = 8) -> DataFrame:

@@ -76,7 +76,7 @@ def _up(p: DataFrame, axis: str, wavelet: str, pairs: list[tuple[str, str, str]]
 
 def decompose(pixels: DataFrame, wavelet: str, levels: int) -> tuple[DataFrame, DataFrame]:
     """(details: stack_id, z, level, y, x, h, v, d; approximation: stack_id, z, y, x, a)."""
-    a = pixels.select("stack_id", "z", "y", "x", F.col("v").cast("double").alias("a"))
+    a = pixels.select("stack_id", "z", "y", "x", F.col("v").cast("double").alias("a")).repartition("stack_id", "z")  # one exchange for all axes and levels
     details = None
     for level in range(1, levels + 1):
         both = _down(_down(a, "x", wavelet, ["a"]), "y", wavelet, ["a_l", "a_h"])
