@@ -92,6 +92,13 @@ def anchors(total: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in (keys, lo, hi, at))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that texts and what is made of them do not pile up in a Python worker."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 FOUND = "tid binary, key long, context long, place long"
 
 
@@ -99,7 +106,7 @@ def _find(length: int):
     """Anchors of each text: the anchor's and the context's hash, and the place: first window, windows - 1, bytes before the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], []]
             for tid, text in zip(batch["tid"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 data = np.frombuffer((text or "").encode(), np.uint8)
@@ -129,17 +136,15 @@ def _cut(length: int):
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 200):
-                batch = whole.slice(k, 200)
-                rows: list[tuple] = []
-                for doc, tid, text, wanted in zip(*(batch[c].to_pylist() for c in ("doc", "tid", "text", "wanted")), strict=True):
-                    raw = text.encode()
-                    for w in wanted:
-                        lo, more = w["place"] >> 20, w["place"] >> 10 & 1023
-                        rows.append((w["key"], w["context"], doc, tid, w["place"], w["weight"], raw[lo : lo + more + length]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        for batch in slices(batches):
+            rows: list[tuple] = []
+            for doc, tid, text, wanted in zip(*(batch[c].to_pylist() for c in ("doc", "tid", "text", "wanted")), strict=True):
+                raw = text.encode()
+                for w in wanted:
+                    lo, more = w["place"] >> 20, w["place"] >> 10 & 1023
+                    rows.append((w["key"], w["context"], doc, tid, w["place"], w["weight"], raw[lo : lo + more + length]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
@@ -189,7 +194,7 @@ def _spans(length: int, first: bool):
     """Spans to remove, from the start of each context, at its first occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, ["key"], 16_000):
+        for t in by_group(batches, ["key"], 4_000):
             # Rows that repeat doc_id and text bring a context more than once.
             same = np.zeros(t.num_rows, bool)
             key, context = t["key"].to_numpy(), t["context"].to_numpy()
@@ -242,9 +247,10 @@ def find_spans(docs: DataFrame, length: int = LENGTH, first: bool = False) -> tu
 
     With first=True the spans are those of a text's first row.
     """
+    # tid is never null, and says so: joins then add no filter to one of the two that read the texts, and share their exchange.
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    ).withColumn("tid", F.unhex(F.md5("text")))
+    ).withColumn("tid", F.coalesce(F.unhex(F.md5("text")), F.lit(b"")))
     kinds = written(texts.groupBy("tid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "texts")
     found = (
         texts.select("tid", "text")
@@ -264,7 +270,10 @@ def find_spans(docs: DataFrame, length: int = LENGTH, first: bool = False) -> tu
     wanted = several.groupBy(F.col("least.tid").alias("tid"), F.col("least.doc").alias("doc")).agg(
         F.collect_list(F.struct("key", "context", F.col("least.place").alias("place"), "weight")).alias("wanted")
     )
-    held = texts.join(wanted, "tid").filter(F.col("doc_id").eqNullSafe(F.col("doc")))
+    # Of the rows of one text the first; as a difference, so that the join's key stays tid alone.
+    least_id = F.lit(-(2**63))
+    first_row = F.coalesce("doc_id", least_id).bitwiseXOR(F.coalesce("doc", least_id)) == 0
+    held = texts.join(wanted, "tid").filter(first_row)
     cut = held.select("doc", "tid", "text", "wanted").mapInArrow(_cut(length), CONTEXT)
     hot = several.filter(F.col("n") > HOT).select("key").distinct()
     some_hot = bool(hot.head(1))
@@ -322,7 +331,7 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts, spans = find_spans(docs, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text, found in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
                 raw, gone = text.encode(), merged(found or [])

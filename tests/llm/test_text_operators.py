@@ -413,3 +413,11 @@ def test_pipeline_stages(spark):
         assert docs.columns == columns and 0 < n <= before
     packed = p.STAGES[-1][1](spark, docs, "")
     assert packed.select("doc_id").distinct().count() == n
+
+
+def test_empty_tables(spark):
+    none = docs_of(spark, [], extra=False)
+    assert suffixes.digest(none).count() == quality.judge(none).count() == wordpieces.count_pieces(none).count() == 0
+    assert suffixes.remove_copies(none).count() == minhash.keep_one(none).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_blocks.extract(pages).count() == urls.judge_urls(pages, spark.createDataFrame([], "host string, path string, verdict string")).count() == 0
