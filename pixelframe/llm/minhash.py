@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import SPACES, free_name, written
 
 WORDS, BANDS, ROWS, LOW_BITS = 5, 50, 5, 4
 MINIMA = BANDS * ROWS
@@ -123,7 +123,8 @@ SIGNED = "doc_id long, n_shingles long, cls binary, sig binary, bands array<long
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """SIGNED for every row of docs(doc_id, text); cls, sig and bands are null for an empty set."""
+    """SIGNED for every row of docs(doc_id, text); cls, sig and bands are null for an empty set. A column `digest` (binary) is carried along."""
+    carried = ["digest"] if "digest" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -145,11 +146,13 @@ def signed(docs: DataFrame) -> DataFrame:
                         pa.array(cls, pa.binary()),
                         pa.array(sig, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
+                        *(batch[c] for c in carried),
                     ],
-                    ["doc_id", "n_shingles", "cls", "sig", "bands"],
+                    ["doc_id", "n_shingles", "cls", "sig", "bands", *carried],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    schema = ", ".join([SIGNED, *(f"{c} binary" for c in carried)])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carried).mapInArrow(run, schema)
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
@@ -341,15 +344,18 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cls binary, set binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (long), kept (boolean) for every row of docs(doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signed rows of docs(doc_id long, text string), and their classes: cls, rep (the least doc_id) and the component's root.
+
+    Where docs has a `digest` of the text, the classes have `row` too: their least row by doc_id, nulls last, and digest.
+    """
+    by_row = "digest" in docs.columns
     all_signed = written(signed(docs), "signed")
-    members = all_signed.select("doc_id", "n_shingles", "cls")
+    least = [F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("row")] if by_row else []
     classes = written(
         all_signed.filter("cls IS NOT NULL")
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
+        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), *least),
         "classes",
     )
     met = written(
@@ -367,12 +373,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ),
         "chosen",
     )
-    wanted = chosen.select("cls").distinct().join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("doc_id"))
-    texts = docs.join(wanted.distinct(), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    wanted = chosen.select("cls").distinct().join(classes, "cls")
+    if by_row:
+        texts = docs.join(*matching(docs, wanted.select("row.doc_id", "row.digest")), "left_semi")
+    else:
+        wanted = wanted.select(F.col("rep").alias("doc_id"))
+        texts = docs.join(wanted.distinct(), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     sets = sets_of(texts).groupBy("cls").agg(F.min("set").alias("set"))
     links = chosen.join(sets, "cls").repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(confirmed, "a binary, b binary")
     roots = components(links)
-    named_roots = classes.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
+    carried = ["cls", "rep", *(["row"] if by_row else [])]
+    return all_signed, classes.select(*carried).join(roots, F.col("cls") == F.col("node"), "left").select(*carried, F.coalesce("root", "cls").alias("root"))
+
+
+def matching(docs: DataFrame, rows: DataFrame, digest: str = "digest") -> tuple[DataFrame, Column]:
+    """`rows` (doc_id, digest) and the condition that a row of `docs` is one of them."""
+    rows = rows.select(F.col("doc_id").alias("_row_id"), F.col("digest").alias("_row_digest"))
+    return rows, docs["doc_id"].cast("long").eqNullSafe(rows["_row_id"]) & (docs[digest] == rows["_row_digest"])
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (long), kept (boolean) for every row of docs(doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    all_signed, named_roots = rooted(docs)
+    members = all_signed.select("doc_id", "n_shingles", "cls")
     least = named_roots.groupBy("root").agg(F.min("rep").alias("component"))
     component = named_roots.join(least, "root").select("cls", "component")
     return (
@@ -382,9 +406,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component, all columns, and every row with an empty set.
+
+    It is the component's row with the least doc_id, nulls last; of several with that id, or without any, the one with the least
+    digest of its text. Rows equal in id and text are one. Ids need not be unique: other texts under the same id, or under none, stay.
+    """
+    text, digest = F.col("text").cast("string"), free_name(docs, "_digest")
+    hashed = F.unhex(F.md5(text))
+    empty = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES)) == ""
+    all_signed, classes = rooted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), hashed.alias("digest")))
+    first = classes.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row.digest")
+    full = docs.filter(~empty).withColumn(digest, hashed)
+    out = full.join(*matching(full, first, digest), "left_semi")
+    if not all_signed.filter("cls IS NOT NULL").groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", digest])
+    return out.drop(digest).unionByName(docs.filter(empty))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are kept, all columns; of several rows with one doc_id, one."""
-    found = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    out = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["kept_id"]), "left_semi")
-    ids = found.agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col("kept_id").cast("string"), F.lit("null"))).alias("d")).head()
-    return out if ids["n"] == ids["d"] else out.dropDuplicates(["doc_id"])
+    """As `one_of_each`, and of several rows with one doc_id (null is one) only one: for callers that need ids to be unique."""
+    return one_of_each(docs).dropDuplicates(["doc_id"])

@@ -311,6 +311,18 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
     assert len(kept) == len({x[0] for x in kept})
 
 
+def test_one_of_each_decides_by_row(spark):
+    import corpus_pipeline
+
+    t = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(5)]
+    near = t[0].replace("w0x20", "other")
+    rows = [(None, t[0]), (7, near), (None, t[1]), (None, t[1].upper()), (None, t[2]), (9, t[3]), (9, t[4]), (9, t[4]), (None, None), (None, " \n"), (9, ""), (3, None), (3, None)]
+    got = sorted(corpus_pipeline.near_dedup(spark, docs_of(spark, rows), "").select("doc_id", "text").collect(), key=str)
+    one = min((t[1], t[1].upper()), key=lambda x: hashlib.md5(x.encode()).digest())
+    want = [(7, near), (None, one), (None, t[2]), (9, t[3]), (9, t[4]), (None, None), (None, " \n"), (9, ""), (3, None), (3, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_packing_plan_is_tight_and_valid():
     r = random.Random(5)
     for room in (10, 37, 100):
