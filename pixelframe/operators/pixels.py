@@ -322,14 +322,16 @@ def assign_rois(pixels: DataFrame, rois: DataFrame) -> DataFrame:
     return pixels.join(F.broadcast(rois.limit(6)), inside).drop("x0", "y0", "x1", "y1")
 
 
-def label_rois(labels: DataFrame, limit: int = 5) -> DataFrame:
-    """roi1.. by falling area of painted labels (y, x, label > 0), with bounding boxes."""
-    boxes = labels.filter("label > 0").groupBy("label").agg(
+def label_rois(labels: DataFrame, limit: int = 5, by: list[str] | None = None) -> DataFrame:
+    """roi1.. by falling area of painted labels (y, x, label > 0), with bounding boxes; the `limit` largest of each `by` (a frame's key)."""
+    by = by or []
+    boxes = labels.filter("label > 0").groupBy(*by, "label").agg(
         F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1")
     )
-    top = boxes.orderBy(F.desc("area"), "label").limit(limit)
-    rank = F.row_number().over(Window.orderBy(F.desc("area"), "label"))
-    return top.withColumn("roi", F.concat(F.lit("roi"), rank)).select("roi", "label", "area", "x0", "y0", "x1", "y1")
+    top = boxes if by else boxes.orderBy(F.desc("area"), "label").limit(limit)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("area"), "label"))
+    ranked = top.withColumn("_k", rank).filter(F.col("_k") <= limit)
+    return ranked.select(*by, F.concat(F.lit("roi"), "_k").alias("roi"), "label", "area", "x0", "y0", "x1", "y1")
 
 
 def downscale(pixels: DataFrame, factor: int) -> DataFrame:

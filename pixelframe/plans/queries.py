@@ -381,6 +381,26 @@ def j_label_rois(spark, sf):
     return P.label_rois(fx.li_raster(spark, sf).filter("frame_id = 3").select("y", "x", (F.col("v") % 9).alias("label")))
 
 
+@query("""
+WITH l AS (SELECT frame_id, y, x, v % 9 AS label FROM li WHERE v % 9 > 0),
+b AS (SELECT frame_id, label, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM l GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY area DESC, label) AS k FROM b)
+SELECT frame_id, 'roi' || k AS roi, label, area, x0, y0, x1, y1 FROM k WHERE k <= 5
+""")
+def j_label_rois_frames(spark, sf):
+    return P.label_rois(fx.li_raster(spark, sf).select("frame_id", "y", "x", (F.col("v") % 9).alias("label")), by=["frame_id"])
+
+
+@query("""
+WITH n AS (SELECT series_id, idx, value, lag(value) OVER w AS p, lead(value) OVER w AS q FROM evs WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
+p AS (SELECT series_id, idx FROM n WHERE value > p AND value > q), t AS (SELECT series_id, idx AS trough FROM n WHERE value < p AND value < q)
+SELECT series_id, idx, arg_min(trough, row(abs(trough - idx), trough)) AS trough FROM p JOIN t USING (series_id) GROUP BY 1, 2
+""")
+def j_nearest_asof_extrema(spark, sf):
+    s = fx.ev_series(spark, sf)
+    return pulse.nearest_asof(pulse.local_maxima(s), pulse.local_maxima(s.withColumn("value", -F.col("value"))))
+
+
 # --- aggregations
 
 @query("SELECT frame_id, sum(v)::DOUBLE AS sum_brightness FROM px8 GROUP BY 1")

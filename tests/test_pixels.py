@@ -100,6 +100,31 @@ def test_label_rois(spark):
     assert [(g["roi"], g["label"], g["x0"], g["y0"], g["x1"], g["y1"]) for g in got] == [("roi1", 2, 40, 30, 70, 50), ("roi2", 1, 5, 5, 30, 20)]
 
 
+def test_label_rois_by_frame(spark):
+    rows = [(f, 0, x, 1 + (x + f) % 7) for f in range(3) for x in range(60 + f)]
+    got = P.label_rois(spark.createDataFrame(rows, "frame_id int, y int, x int, label int"), by=["frame_id"]).collect()
+    for f in range(3):
+        areas = sorted(((-sum(r[0] == f and r[3] == k for r in rows), k) for k in range(1, 8)))[:5]
+        assert sorted((g["roi"], -g["area"], g["label"]) for g in got if g["frame_id"] == f) == [(f"roi{k}", *a) for k, a in enumerate(areas, 1)]
+
+
+@pytest.mark.parametrize(("name", "sql"), [("j_label_rois_frames", "frame_id"), ("j_nearest_asof_extrema", "series_id")])
+def test_whole_tables_equal_sql(spark, name, sql):
+    import duckdb
+
+    from pixelframe.plans import fixtures, queries
+
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("lineitem", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    columns = queries.QUERIES[name](spark, at).columns
+    got = sorted(map(tuple, queries.QUERIES[name](spark, at).collect()))
+    assert got == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall())
+    every = {"frame_id": fixtures.li_raster, "series_id": fixtures.ev_series}[sql](spark, at).select(sql).distinct().count()
+    assert len({g[0] for g in got}) == every
+
+
 @pytest.mark.parametrize(("name", "levels", "shape"), [("haar", 1, (8, 8)), ("db3", 2, (16, 12)), ("db3", 1, (9, 11))])
 def test_wavelets_rebuild_a_single_slice(spark, name, levels, shape):
     a = np.random.default_rng(3).integers(0, 256, shape)
