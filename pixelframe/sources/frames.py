@@ -16,10 +16,20 @@ def list_frames(spark: SparkSession, path: str, extensions: list[str]) -> DataFr
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """8-bit images: frame_id, height, width, bit_depth, data. 16-bit images must come as tables: the image source keeps a byte of each."""
-    i = spark.read.format("image").load(path).select("image.*").filter("nChannels = 1")
+    """8-bit images: frame_id, height, width, bit_depth, data. 16-bit images must come as tables: the image source keeps a byte of each.
+
+    Color images come as luminance, 0.299 r + 0.587 g + 0.114 b, rounded as the reference's `convert("L")` does; alpha is ignored.
+    """
+    i = spark.read.format("image").load(path).select("image.*")
     byte = lambda k: F.conv(F.hex(F.substring("data", k, F.lit(1))), 16, 10).cast("int")
-    data = F.transform(F.sequence(F.lit(1), F.col("height") * F.col("width")), byte)
+    n = F.col("nChannels")
+
+    def gray(k):  # noqa: ANN001, ANN202
+        at = (k - 1) * n + 1  # blue, green, red, alpha
+        luminance = F.shiftright(byte(at + 2) * 19595 + byte(at + 1) * 38470 + byte(at) * 7471 + 0x8000, 16)
+        return F.when(n == 1, byte(k)).when(n.isin(3, 4), luminance).otherwise(F.raise_error(F.concat(F.lit("channels not handled: "), n.cast("string"))).cast("int"))
+
+    data = F.transform(F.sequence(F.lit(1), F.col("height") * F.col("width")), gray)
     return i.select(F.col("origin").alias("frame_id"), "height", "width", F.lit(8).alias("bit_depth"), data.alias("data"))
 
 

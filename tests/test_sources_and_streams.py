@@ -30,6 +30,23 @@ def test_listing_by_extension(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[1] for r in S.list_frames(spark, str(tmp_path), ["png"]).collect()] == ["a.png", "b.PNG"]
 
 
+def test_mixed_folder_keeps_color_frames(spark, tmp_path):
+    import struct
+    import zlib
+
+    def png(name, kind, row):
+        chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
+        width = len(row) // {0: 1, 2: 3, 6: 4}[kind]
+        head = struct.pack(">IIBBBBB", width, 1, 8, kind, 0, 0, 0)
+        (tmp_path / name).write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"\0" + bytes(row))) + chunk(b"IEND", b""))
+
+    png("gray.png", 0, [0, 7, 255])
+    png("rgb.png", 2, [255, 0, 0, 0, 255, 0, 0, 0, 255, 255, 255, 255])
+    png("rgba.png", 6, [10, 200, 30, 255, 0, 0, 0, 255])
+    got = {r["frame_id"].rsplit("/", 1)[1]: (r["height"], r["width"], r["data"]) for r in S.read_frames(spark, str(tmp_path)).collect()}
+    assert got == {"gray.png": (1, 3, [0, 7, 255]), "rgb.png": (1, 4, [76, 150, 29, 255]), "rgba.png": (1, 2, [124, 0])}
+
+
 def test_csv_readers(spark, tmp_path):
     (tmp_path / "t.csv").write_text("N,actual_time\n1,a\nx,b\n2,c\n1,d\n")
     assert {r["N"]: r["actual_time"] for r in S.read_timestamps(spark, str(tmp_path / "t.csv")).collect()} == {1: "d", 2: "c"}
