@@ -412,6 +412,17 @@ def test_raking_meets_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_raking_tells_its_error_and_the_kept_share(spark):
+    facts = spark.createDataFrame([("a", "x", "t", 5), ("b", "y", "t", 5)], "source string, lang string, topic string, n_tokens long")
+    share = lambda v, s: spark.createDataFrame([(v, s)], "value string, share double")
+    assert all(r["marginal_error"] <= mixing.TOLERANCE for r in mixing.calibrated(facts).collect())
+    with pytest.warns(RuntimeWarning, match="marginals miss"):
+        off = mixing.calibrated(facts, named={"source": share("a", 0.9), "lang": share("x", 0.1)}).collect()
+    assert all(r["marginal_error"] > 1 for r in off)
+    mixed = spark.createDataFrame([(10, 1.0, True), (30, 0.5, False)], "n_tokens long, probability double, kept boolean")
+    assert tuple(mixing.kept_share(mixed).head()) == (2, 1, 0.75, 0.625)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
