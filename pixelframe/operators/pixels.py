@@ -317,9 +317,11 @@ def parse_rois(specs: list[str], width: int, height: int, scale: float = 1.0, li
 
 
 def assign_rois(pixels: DataFrame, rois: DataFrame) -> DataFrame:
-    """Pixels with the name of each rectangle (at most five and the full field) that holds them."""
+    """Pixels with the name of each rectangle (at most five and the full field; more raise) that holds them."""
+    if rois.limit(7).count() > 6:
+        raise ValueError("at most five regions and the full field")
     inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
-    return pixels.join(F.broadcast(rois.limit(6)), inside).drop("x0", "y0", "x1", "y1")
+    return pixels.join(F.broadcast(rois), inside).drop("x0", "y0", "x1", "y1")
 
 
 def label_rois(labels: DataFrame, limit: int = 5, by: list[str] | None = None) -> DataFrame:

@@ -94,6 +94,14 @@ def test_roi_specs():
             P.parse_rois(bad, 200, 100)
 
 
+def test_assign_rois_raises_above_the_bound(spark):
+    pixels = spark.createDataFrame([(0, 0, 0, 5)], "frame_id int, y int, x int, v int")
+    rois = lambda n: spark.createDataFrame([(f"r{k}", 0, 0, 1, 1) for k in range(n)], "roi string, x0 int, y0 int, x1 int, y1 int")
+    assert P.assign_rois(pixels, rois(6)).count() == 6
+    with pytest.raises(ValueError, match="at most five"):
+        P.assign_rois(pixels, rois(7))
+
+
 def test_label_rois(spark):
     rows = [(y, x, 1 if 5 <= y < 20 and 5 <= x < 30 else 2 if 30 <= y < 50 and 40 <= x < 70 else 0) for y in range(60) for x in range(80)]
     got = P.label_rois(spark.createDataFrame(rows, "y int, x int, label int")).orderBy("roi").collect()
