@@ -4,8 +4,8 @@ A signature is a common word and the chain of the next two content words (words
 that follow it; of several common words in a row the last is the anchor. Where STRETCH words pass without
 a common one, each further word is an anchor itself, so that lists and junk have signatures too. A fingerprint is the set of a
 text's signatures, as sorted 32-bit hashes. Sets fall into partitions by length such that two sets with a
-similarity of `threshold` or more are in one partition or in neighbours; `likeness` is the Jaccard
-similarity, which the lengths bound from above: where they leave nothing to find no set is read.
+similarity of `threshold` or more are in one partition or in neighbours; nothing here joins by it yet.
+`likeness` is the exact Jaccard similarity: every pair of nonempty sets is intersected, whatever the lengths.
 
 Texts of common words only take all pairs of neighbouring words, texts without a word the text itself.
 
@@ -91,7 +91,7 @@ def length_part(sigs: Column, threshold: float = THRESHOLD) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets, 0 to 1; sets whose lengths allow none are not intersected."""
+    """Jaccard similarity of two sets, 0 to 1; only empty sets are not intersected."""
     bound = F.least(F.size(a), F.size(b))
     both = F.size(F.array_intersect(a, b))
     return (
