@@ -112,3 +112,18 @@ def test_stream_static_join(spark, tmp_path):
     mask = spark.createDataFrame([(0, 1, 255.0)], "y int, x int, m double")
     live.run_available(live.enriched(live.new_frames(spark, f"{tmp_path}/in", p.schema), mask), f"{tmp_path}/out", f"{tmp_path}/c")
     assert [r["v"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [6]
+
+
+def test_written_tables_need_a_shared_folder_and_can_be_dropped(spark):
+    from types import SimpleNamespace
+
+    from pixelframe.operators import durable
+
+    unset = SimpleNamespace(get=lambda key, default=None: default, set=lambda key, value: None)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        durable.shared_folder(cluster)
+    made = durable.written(spark.range(3), "three")
+    assert made.count() == 3 and durable.drop_written(spark) >= 1
+    with pytest.raises(Exception, match="(?i)path|file"):
+        made.count()
