@@ -1,14 +1,17 @@
-"""What the text operators share: table paths, let-bindings and durable intermediate tables."""
+"""What the text operators share: table paths, let-bindings, free names, and batches cut by bytes for Python workers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.durable import written as written
+
 #: The white space that parts words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -26,9 +29,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def without(text: Column, letters: str) -> Column:
+    """`text` less the given ASCII characters. A search for each beats `translate`, which looks every character up."""
+    for x in letters:
+        text = F.replace(text, F.lit(x), F.lit(""))
+    return text
+
+
 def words(text: Column) -> Column:
     """The runs of characters other than SPACES, in order; none for null or blank text."""
-    flat = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
+    flat = F.coalesce(text, F.lit(""))
+    for x in SPACES[1:]:
+        flat = F.replace(flat, F.lit(x), F.lit(" "))
     return F.array_remove(F.split(flat, " "), "")
 
 
@@ -40,22 +52,24 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or an own one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+def slots(spark: SparkSession) -> int:
+    """How many parts to split a hot group into: the session's shuffle partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a table in the shared folder, read back: what follows neither recomputes it nor depends on executors that made it."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes of text that a Python worker turns into arrays at a time; a single longer text is a batch of its own.
+BLOCK = 1 << 20
 
 
-def slots(spark: SparkSession) -> int:
-    """How many parts to split a hot group into: the session's shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def slices(batches: Iterator[pa.RecordBatch], by: str = "text", size: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about `size` bytes of column `by`, so that what is made of texts does not pile up. Memory goes back at the end."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[by]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+    pa.default_memory_pool().release_unused()

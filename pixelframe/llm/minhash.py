@@ -8,9 +8,14 @@ meets in no band with probability 1e-6, and falls below the estimate's limit, si
 
 No pairs are emitted: a bucket's task only names the members that have a candidate there, their sets
 follow, and a second task confirms candidates, best estimate first, skips those that are connected
-already and emits the links that joined two parts, so a bucket of m classes gives at most m - 1 links.
-A pair is confirmed in the first band that it shares. Buckets are dealt in tiles of 1024 by 1024
-members; larger ones take more tiles, none is capped.
+already and emits a star for each connected part, so a bucket of m classes gives at most m - 1 links.
+A pair is confirmed in the first band that it shares.
+
+A bucket of up to TILE classes is one task. In a larger one each class is first compared with the bucket's
+least class, TILE of them in a task; after that only classes outside of the bucket's largest component are
+compared with the rest of the bucket, in tiles. A group of m near copies so takes about m comparisons, not
+m * m / 2, and no pair of unconnected classes is left out. Bucket sizes are counted by partial aggregates and joined back, so
+no task holds a whole bucket.
 
 Defined results. Null, empty and blank texts have an empty set, link with nothing and are kept. Texts of
 under five words are one shingle, the whole sequence. Repeated rows are copies like any other. A null
@@ -23,11 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import SPACES, free_name, written
+from .common import BLOCK, SPACES, free_name, slices, written
 
 WORDS, BANDS, ROWS, LOW_BITS = 5, 50, 5, 4
 MINIMA = BANDS * ROWS
@@ -52,37 +56,62 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown as needed."""
+    """Powers of an odd number and of its inverse modulo 2**64; those up to about BLOCK stay, longer ones are made anew."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+        self.held = (np.ones(1, np.uint64),) * 2
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            inverse = np.uint64(pow(int(_ODD), -1, 2**64))
-            for name, base in (("up", _ODD), ("down", inverse)):
-                x = np.full(size, base, np.uint64)
+        if len(self.held[0]) < n:
+            made = []
+            for base in (_ODD, np.uint64(pow(int(_ODD), -1, 2**64))):
+                x = np.full(n if n > BLOCK + 4096 else BLOCK + 4096, base, np.uint64)
                 x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up[:n], self.down[:n]
+                made.append(np.multiply.accumulate(x))
+            if n > BLOCK + 4096:
+                return made[0], made[1]
+            self.held = (made[0], made[1])
+        return self.held[0][:n], self.held[1][:n]
 
 
 powers = Powers()
 
 
+def lower_bytes(raw: bytes) -> np.ndarray:
+    """A-Z lower-cased."""
+    return _LOWER[np.frombuffer(raw, np.uint8)]
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of `data` (lower-cased bytes that end in a blank), in parts of about BLOCK bytes cut at blanks."""
+    starts_of, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    at = 0
+    while at < len(data):
+        size = BLOCK
+        while True:
+            part = data[at : at + size]
+            blank = (part == 32) | ((part >= 9) & (part <= 13))
+            cut = len(part) if at + size >= len(data) else len(part) - int(blank[::-1].argmax()) if blank.any() else 0
+            if cut:
+                break
+            size *= 2
+        part, blank = part[:cut], blank[:cut]
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], blank))))  # starts and ends of words in turn
+        starts, stops = edge[0::2], edge[1::2]
+        up, down = powers.of(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        hashes.append(mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64)))
+        starts_of.append(starts + at)
+        at += cut
+    return np.concatenate(starts_of), np.concatenate(hashes)
+
+
 def shingles(texts: list[str | None]) -> list[np.ndarray]:
     """The sorted set of each text's shingle hashes."""
     raw = [(t or "").encode() for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raw])
-    data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank))))  # text starts and ends of words in turn
-    starts, stops = edge[0::2], edge[1::2]
-    up, down = powers.of(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    word = mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    starts, word = word_hashes(lower_bytes(b"\n".join(raw) + b"\n"))
     bounds = np.concatenate(([0], np.searchsorted(starts, ends)))
     n = len(word)
     five = np.zeros(max(0, n - WORDS + 1), np.uint64)
@@ -127,36 +156,34 @@ def signed(docs: DataFrame) -> DataFrame:
     carried = ["digest"] if "digest" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
-                sets = shingles(batch["text"].to_pylist())
-                full = [i for i, s in enumerate(sets) if len(s)]
-                cls: list = [None] * len(sets)
-                sig: list = [None] * len(sets)
-                bands: list = [None] * len(sets)
-                if full:
-                    names, packed, hashed = signatures([sets[i] for i in full])
-                    for j, i in enumerate(full):
-                        cls[i], sig[i], bands[i] = names[j], packed[j].tobytes(), hashed[j]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch["doc_id"],
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(cls, pa.binary()),
-                        pa.array(sig, pa.binary()),
-                        pa.array(bands, pa.list_(pa.int64())),
-                        *(batch[c] for c in carried),
-                    ],
-                    ["doc_id", "n_shingles", "cls", "sig", "bands", *carried],
-                )
+        for batch in slices(batches):
+            sets = shingles(batch["text"].to_pylist())
+            full = [i for i, s in enumerate(sets) if len(s)]
+            cls: list = [None] * len(sets)
+            sig: list = [None] * len(sets)
+            bands: list = [None] * len(sets)
+            if full:
+                names, packed, hashed = signatures([sets[i] for i in full])
+                for j, i in enumerate(full):
+                    cls[i], sig[i], bands[i] = names[j], packed[j].tobytes(), hashed[j]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["doc_id"],
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(cls, pa.binary()),
+                    pa.array(sig, pa.binary()),
+                    pa.array(bands, pa.list_(pa.int64())),
+                    *(batch[c] for c in carried),
+                ],
+                ["doc_id", "n_shingles", "cls", "sig", "bands", *carried],
+            )
 
     schema = ", ".join([SIGNED, *(f"{c} binary" for c in carried)])
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carried).mapInArrow(run, schema)
 
 
-def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by `keys`, several small groups to a table."""
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], size: int = 4 << 20) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by `keys`: small groups together up to about `size` bytes, a larger group alone."""
     held: list[pa.RecordBatch] = []
     n = 0
 
@@ -168,19 +195,22 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_
         at = np.flatnonzero(change)
         return int(at[-1]) if len(at) else 0
 
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            t = pa.Table.from_batches(held)
-            cut = last_start(t)
-            if cut:
-                yield t.slice(0, cut)
-                held = t.slice(cut).combine_chunks().to_batches()
-                n = t.num_rows - cut
-            rows = max(rows, 2 * n)
+    for whole in batches:
+        step = max(1, whole.num_rows * size // max(1, whole.nbytes))
+        for k in range(0, whole.num_rows, step):
+            held.append(whole.slice(k, step))
+            n += held[-1].nbytes
+            if n >= size:
+                t = pa.Table.from_batches(held)
+                cut = last_start(t)
+                if cut:
+                    yield t.slice(0, cut)
+                    held = t.slice(cut).combine_chunks().to_batches()
+                    n = sum(x.nbytes for x in held)
+                size = max(size, 2 * n)
     if n:
         yield pa.Table.from_batches(held)
+    pa.default_memory_pool().release_unused()
 
 
 def starts_of(t: pa.Table, keys: list[str]) -> list[int]:
@@ -214,7 +244,7 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def candidates(sig: np.ndarray, digest: np.ndarray, side: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i < j), of a tile's two sides where it has two, with estimates of CANDIDATE or more whose first common band is `band`."""
+    """Pairs (i < j), of a tile's two sides where it has two, with estimates of CANDIDATE or more whose first common band is `band` (any if negative)."""
     two = side.max() != side.min()
     found = []
     for k in range(0, len(sig), 256):
@@ -225,6 +255,8 @@ def candidates(sig: np.ndarray, digest: np.ndarray, side: np.ndarray, band: int)
         ok = (i < j) & ((side[i] != side[j]) if two else True)
         found.append((i[ok], j[ok], v[ok]))
     i, j, v = (np.concatenate(x) for x in zip(*found, strict=True))
+    if band < 0:
+        return i, j, v
     first = np.empty(len(i), np.int64)
     for k in range(0, len(i), 100_000):
         first[k : k + 100_000] = (digest[i[k : k + 100_000]] == digest[j[k : k + 100_000]]).argmax(1)
@@ -235,15 +267,49 @@ def candidates(sig: np.ndarray, digest: np.ndarray, side: np.ndarray, band: int)
 KEYS = ["bucket", "ti", "tj"]
 
 
-def tiles(met: DataFrame) -> DataFrame:
-    """`met` (bucket, cls, m: the bucket's size) once for each tile that it takes part in: ti, tj and the side that it is on."""
-    parts = F.ceil(F.col("m") / TILE).cast("int")
-    return (
-        met.withColumn("parts", parts)
-        .withColumn("t", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-        .withColumn("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("bucket", "band", "cls", F.least("t", "u").alias("ti"), F.greatest("t", "u").alias("tj"), (F.col("t") > F.col("u")).cast("int").alias("side"))
+TILED = [*KEYS, "cls", "side", "band"]
+
+
+def one_tile(met: DataFrame) -> DataFrame:
+    """Buckets of at most TILE classes: each is one tile."""
+    zero = F.lit(0)
+    return met.select("bucket", zero.alias("ti"), zero.alias("tj"), "cls", zero.alias("side"), "band")
+
+
+def leader_tiles(big: DataFrame) -> DataFrame:
+    """Each bucket's least class beside all others, TILE of them to a tile; a pair that meets in several bands goes once."""
+    heads = written(big.groupBy("bucket").agg(F.min("cls").alias("leader")), "leaders")
+    led = written(big.join(heads, "bucket").filter("cls != leader").select("leader", "cls").distinct(), "led")
+    parts = written(led.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "parts")
+    bucket, none, no_band = F.xxhash64("leader").alias("bucket"), F.lit(-1).alias("tj"), F.lit(-1).alias("band")
+    members = led.join(parts, "leader").select(
+        bucket, F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("ti"), none, "cls", F.lit(0).alias("side"), no_band
     )
+    heads = parts.select(bucket, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("ti"), none, F.col("leader").alias("cls"), F.lit(1).alias("side"), no_band)
+    return members.unionByName(heads)
+
+
+def rest_tiles(big: DataFrame, roots: DataFrame) -> DataFrame:
+    """What leaders leave to compare: the classes of a bucket outside of its largest component with all of the bucket.
+
+    Two classes of that component are connected already. A bucket in one component gives no tile.
+    """
+    joined = big.join(roots, big["cls"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+    joined = written(joined, "rooted")
+    sums = joined.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    tops = sums.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    tops = written(tops.select("bucket", F.col("top.root").alias("top"), (F.col("all") - F.col("top.n")).alias("others")).filter("others > 0"), "tops")
+    dealt = joined.join(tops, "bucket").select(
+        "bucket", "band", "cls", (F.col("root") != F.col("top")).alias("other"), F.xxhash64("cls").alias("h"),
+        F.ceil(F.col("m") / TILE).cast("int").alias("p"), F.ceil(F.col("others") / TILE).cast("int").alias("q"),
+    )
+    every = dealt.withColumn("tj", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).select(
+        "bucket", F.pmod("h", "p").cast("int").alias("ti"), "tj", "cls", F.lit(0).alias("side"), "band"
+    )
+    other = dealt.filter("other").withColumn("ti", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select(
+        "bucket", "ti", F.pmod("h", "q").cast("int").alias("tj"), "cls", F.lit(1).alias("side"), "band"
+    )
+    return every.unionByName(other)
 
 
 def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,16 +329,17 @@ def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) that join two parts of a tile's members, each confirmed on the sets."""
-    for t in by_group(batches, KEYS, 2_000):
+    """Links (a, b) of each part of a tile's members that confirmed pairs connect: from its least name to all others."""
+    for t in by_group(batches, KEYS):
         sig, digest = matrix(t["sig"]), matrix(t["digest"], np.uint32)
         side, band, names = t["side"].to_numpy(), t["band"].to_numpy(), t["cls"].to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["set"]]
         cut = starts_of(t, KEYS)
-        links = []
+        links: list[tuple[bytes, bytes]] = []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             if b - a < 2:
                 continue
+            joined = False
             i, j, v = candidates(sig[a:b], digest[a:b], side[a:b], int(band[a]))
             root = list(range(b - a))
 
@@ -291,7 +358,14 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 if 100 * both >= LINK * (len(p) + len(q) - both):
                     root[top(x)] = top(y)
-                    links.append((names[a + x], names[a + y]))
+                    joined = True
+            if joined:
+                parts: dict[int, set[bytes]] = {}
+                for x in range(b - a):
+                    parts.setdefault(top(x), set()).add(names[a + x])
+                for part in parts.values():
+                    least, *others = sorted(part)
+                    links += [(least, x) for x in others]
         if links:
             a, b = zip(*links, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -303,7 +377,8 @@ def components(links: DataFrame) -> DataFrame:
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both if large else both.filter("b < a")
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # A table, not an aggregate: Spark splits a skewed side only in joins of two plain exchanges.
+        least = written(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         moved = near.join(least, "a")
         if large:
             out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -311,14 +386,16 @@ def components(links: DataFrame) -> DataFrame:
             out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return out.filter("a != b").distinct()
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).head())
+    def kept(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+        """The edges as a table, and what tells one set of edges from another, counted while writing."""
+        seen = Observation()
+        out = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), label)
+        return out, (seen.get["n"], seen.get["x"])
 
-    edges = written(links.filter("a != b").distinct(), "links")
-    now = state(edges)
+    edges, now = kept(links.filter("a != b").distinct(), "links")
     while True:
-        edges = written(star(star(edges, True), False), "stars")
-        now, before = state(edges), now
+        edges, after = kept(star(star(edges, True), False), "stars")
+        now, before = after, now
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
@@ -329,17 +406,16 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """cls and the sorted set of each row of docs(text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                sets = [s for s in shingles(whole.slice(k, 1000)["text"].to_pylist()) if len(s)]
-                if sets:
-                    flat = np.concatenate(sets)
-                    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-                    names = np.stack([np.add.reduceat(mix(flat), at), np.add.reduceat(mix(flat + _ODD), at)], 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x.tobytes() for x in names], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                        ["cls", "set"],
-                    )
+        for batch in slices(batches):
+            sets = [s for s in shingles(batch["text"].to_pylist()) if len(s)]
+            if sets:
+                flat = np.concatenate(sets)
+                at = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
+                names = np.stack([np.add.reduceat(mix(flat), at), np.add.reduceat(mix(flat + _ODD), at)], 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x.tobytes() for x in names], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["cls", "set"],
+                )
 
     return docs.select("text").mapInArrow(run, "cls binary, set binary")
 
@@ -358,30 +434,36 @@ def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), *least),
         "classes",
     )
-    met = written(
-        classes.select("cls", F.posexplode("bands").alias("band", "bucket"))
-        .withColumn("m", F.count("*").over(Window.partitionBy("bucket", "band")))
-        .filter("m > 1"),
-        "met",
-    )
+    exploded = classes.select("cls", F.posexplode("bands").alias("band", "bucket"))
+    sizes = written(exploded.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
+    met = written(exploded.join(sizes, "bucket"), "met")
     digest = F.transform("bands", lambda b: F.lpad(F.hex(b.bitwiseAND(F.lit(2**32 - 1))), 8, "0"))
     kinds = classes.select("cls", "sig", F.unhex(F.array_join(digest, "")).alias("digest"))
-    dealt = tiles(met).join(kinds, "cls").repartition(*KEYS).sortWithinPartitions(*KEYS)
-    chosen = written(
-        dealt.select("bucket", "ti", "tj", "cls", "side", "band", "sig", "digest").mapInArrow(
-            named, "bucket long, ti int, tj int, cls binary, side int, band int, sig binary, digest binary"
-        ),
-        "chosen",
-    )
-    wanted = chosen.select("cls").distinct().join(classes, "cls")
-    if by_row:
-        texts = docs.join(*matching(docs, wanted.select("row.doc_id", "row.digest")), "left_semi")
-    else:
-        wanted = wanted.select(F.col("rep").alias("doc_id"))
-        texts = docs.join(wanted.distinct(), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    sets = sets_of(texts).groupBy("cls").agg(F.min("set").alias("set"))
-    links = chosen.join(sets, "cls").repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(confirmed, "a binary, b binary")
-    roots = components(links)
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        """Confirmed links of the tiles in `dealt`."""
+        near = dealt.join(kinds, "cls").repartition(*KEYS).sortWithinPartitions(*KEYS)
+        chosen = written(
+            near.select(*TILED, "sig", "digest").mapInArrow(named, "bucket long, ti int, tj int, cls binary, side int, band int, sig binary, digest binary"),
+            "chosen",
+        )
+        wanted = chosen.select("cls").distinct().join(classes, "cls")
+        if by_row:
+            texts = docs.join(*matching(docs, wanted.select("row.doc_id", "row.digest")), "left_semi")
+        else:
+            wanted = wanted.select(F.col("rep").alias("doc_id"))
+            texts = docs.join(wanted.distinct(), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+        sets = sets_of(texts).groupBy("cls").agg(F.min("set").alias("set"))
+        return chosen.join(sets, "cls").repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(confirmed, "a binary, b binary")
+
+    big = met.filter(F.col("m") > TILE)
+    links = written(linked(one_tile(met.filter(F.col("m") <= TILE))), "links")
+    if not big.isEmpty():
+        links = links.unionByName(written(linked(leader_tiles(big)), "links"))
+        roots = written(components(links), "roots")
+        rest = written(linked(rest_tiles(big, roots)), "links")
+        links = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest)
+    roots = written(components(links), "roots")
     carried = ["cls", "rep", *(["row"] if by_row else [])]
     return all_signed, classes.select(*carried).join(roots, F.col("cls") == F.col("node"), "left").select(*carried, F.coalesce("root", "cls").alias("root"))
 
@@ -397,7 +479,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_signed, named_roots = rooted(docs)
     members = all_signed.select("doc_id", "n_shingles", "cls")
-    least = named_roots.groupBy("root").agg(F.min("rep").alias("component"))
+    named_roots = written(named_roots, "named")
+    least = written(named_roots.groupBy("root").agg(F.min("rep").alias("component")), "component")
     component = named_roots.join(least, "root").select("cls", "component")
     return (
         members.join(component, "cls", "left")
@@ -423,7 +506,3 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         out = out.dropDuplicates(["doc_id", digest])
     return out.drop(digest).unionByName(docs.filter(empty))
 
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """As `one_of_each`, and of several rows with one doc_id (null is one) only one: for callers that need ids to be unique."""
-    return one_of_each(docs).dropDuplicates(["doc_id"])
