@@ -1,8 +1,8 @@
 """Suffix-array dedup of byte passages that repeat anywhere in a corpus.
 
-Every window of `length` bytes is dealt by its anchor, the 128-byte string in it with the least hash, so
-that equal windows of any two texts meet under one key, at one distance from the anchor. Only anchors
-that occur at least twice travel with their bytes.
+Every window of `length` bytes is dealt by its anchor, the string of `anchor_size(length)` bytes in it with the
+least hash, so that equal windows of any two texts meet under one key, at one distance from the anchor. Only
+anchors that occur at least twice travel with their bytes.
 
 For the windows of one key a task builds the suffix order distance by distance: the order of the suffixes
 that start l bytes before the anchor follows from the byte there and the order at l - 1. Where neighbours
@@ -13,13 +13,16 @@ or more goes, the first included.
 
 Equal texts are one text with a number of copies, and occurrences of an anchor whose windows span equal
 bytes are one context with a number of occurrences; only contexts of anchors with two or more of them
-travel with their bytes. A key of over HOT contexts is not gathered: its windows go singly, by hash, to
-Spark's aggregation, which has no group in memory.
+travel with their bytes. How often a key occurs is counted by partial aggregates and joined back. A group of
+over HOT contexts is not gathered: its distances are parted into PARTS, all windows of a part share the bytes
+around the anchor, and the hash of these deals the contexts to smaller groups, again and again while a group is
+too large. Windows of one last distance that still are too many for a task go singly: there suffix order is
+equality, and Spark's aggregation, which has no group in memory, finds the run's size and first position.
 
 Defined results. Null and empty texts have no bytes and nothing is removed. Texts under `length` bytes
 are left alone. Repeated rows are copies: with keep="none" all go; with keep="first" the row with the
 least doc_id (null last) keeps its text, among rows with one doc_id and text every one does.
-Text positions are ordered by doc_id, then text digest, then offset.
+Text positions are ordered by doc_id, then text digest, then offset. Columns of the input keep their values.
 """
 
 from __future__ import annotations
@@ -28,18 +31,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import written
+from .common import BLOCK, free_name, slices, written
 from .minhash import by_group, mix, powers
 
-LENGTH, ANCHOR = 400, 128
-#: Contexts of an anchor beyond which its windows are compared singly.
-HOT = 20_000
+LENGTH = 400
+#: For passages of over 50 words: under the bytes of nearly every 51 words in a row, and the whole words that a removed run must hold.
+PASSAGE, PASSAGE_WORDS = 224, 50
+#: Contexts of a group beyond which it is parted, and into how many parts.
+HOT, PARTS = 4_000, 4
+
+
+def anchor_size(length: int) -> int:
+    return max(1, length * 8 // 25)
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -66,8 +73,9 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(total: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, first window, last window, anchor) for the runs of windows with one anchor; the leftmost of equal anchors."""
-    width = length - ANCHOR + 1
-    h = _hashes(total, ANCHOR)
+    size = anchor_size(length)
+    width = length - size + 1
+    h = _hashes(total, size)
     least = _least(h, width)
     # A place is an anchor of some window where the greatest minimum of the windows around it is its own hash.
     around = np.full(len(least) + 2 * (width - 1), 0, np.uint64)
@@ -92,13 +100,6 @@ def anchors(total: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in (keys, lo, hi, at))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows, so that texts and what is made of them do not pile up in a Python worker."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
-
-
 FOUND = "tid binary, key long, context long, place long"
 
 
@@ -106,15 +107,20 @@ def _find(length: int):
     """Anchors of each text: the anchor's and the context's hash, and the place: first window, windows - 1, bytes before the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # saves work on copies in one task; what it misses is made distinct later
         for batch in slices(batches):
             out: list[list] = [[], [], [], []]
             for tid, text in zip(batch["tid"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                if len(data) >= length:
-                    total = _sums(data)
+                if not text or len(text) * 4 < length or tid in seen:
+                    continue
+                if len(seen) < 100_000:
+                    seen.add(tid)
+                data = np.frombuffer(text.encode(), np.uint8)
+                for base in range(0, len(data) - length + 1, BLOCK):
+                    total = _sums(data[base : base + BLOCK + length - 1])
                     k, lo, hi, at = anchors(total, length)
                     whole = (total[hi + length] - total[lo]) * powers.of(len(total))[1][lo]
-                    place = lo << 20 | (hi - lo) << 10 | (at - lo)
+                    place = (lo + base) << 20 | (hi - lo) << 10 | (at - lo)
                     out[0] += [tid] * len(k)
                     for column, x in zip(out[1:], (k, mix(whole + mix((place & 0xFFFFF).astype(np.uint64))), place), strict=True):
                         column.append(x.view(np.int64))
@@ -127,24 +133,55 @@ def _find(length: int):
 
 
 LO, COUNT, LEAD = "shiftright({0}, 20)", "(shiftright({0}, 10) & 1023) + 1", "{0} & 1023"
-CONTEXT = "key long, context long, doc long, tid binary, place long, weight long, bytes binary"
+#: Contexts on the way to their group: part, the distances `near` to `far` that the group compares, and `skip`, the bytes cut off in front.
+CONTEXT = "key long, context long, doc long, tid binary, place long, weight long, part long, near int, far int, skip int, bytes binary"
+COLUMNS = [x.split()[0] for x in CONTEXT.split(", ")]
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+
+
+def _contexts(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], COLUMNS)
 
 
 def _cut(length: int):
     """The bytes of each context's windows, from the text that holds its first occurrence."""
-    names = ["key", "context", "doc", "tid", "place", "weight", "bytes"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = length - anchor_size(length)
         for batch in slices(batches):
             rows: list[tuple] = []
             for doc, tid, text, wanted in zip(*(batch[c].to_pylist() for c in ("doc", "tid", "text", "wanted")), strict=True):
                 raw = text.encode()
                 for w in wanted:
                     lo, more = w["place"] >> 20, w["place"] >> 10 & 1023
-                    rows.append((w["key"], w["context"], doc, tid, w["place"], w["weight"], raw[lo : lo + more + length]))
+                    rows.append((w["key"], w["context"], doc, tid, w["place"], w["weight"], w["key"], 0, far, 0, raw[lo : lo + more + length]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield _contexts(rows)
+
+    return run
+
+
+def _parted(length: int):
+    """Contexts of too large groups, once for each part of the distances that they have windows in, dealt by the bytes that the part's windows share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "bytes"):
+            rows: list[tuple] = []
+            for row in zip(*(batch[c].to_pylist() for c in COLUMNS), strict=True):
+                key, context, doc, tid, place, weight, part, near, far, skip, raw = row
+                lo, count, lead = place >> 20, (place >> 10 & 1023) + 1, place & 1023
+                step = -(-(far - near + 1) // PARTS)
+                for a in range(near, far + 1, step):
+                    b = min(a + step - 1, far)
+                    first, last = max(a, lead - count + 1), min(b, lead)
+                    if first > last:
+                        continue
+                    cut = lead - last
+                    core = hashlib.blake2b(raw[lead - a : lead - b + length], digest_size=8, key=b"%d %d %d" % (part, a, b)).digest()
+                    where = (lo + cut) << 20 | (last - first) << 10 | last
+                    rows.append((key, context, doc, tid, where, weight, int.from_bytes(core, "big", signed=True), a, b, skip + cut, raw[cut : lead - first + length]))
+            if rows:
+                yield _contexts(rows)
 
     return run
 
@@ -194,14 +231,14 @@ def _spans(length: int, first: bool):
     """Spans to remove, from the start of each context, at its first occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, ["key"], 4_000):
+        for t in by_group(batches, ["part"], 2 << 20):
             # Rows that repeat doc_id and text bring a context more than once.
             same = np.zeros(t.num_rows, bool)
-            key, context = t["key"].to_numpy(), t["context"].to_numpy()
-            same[1:] = (key[1:] == key[:-1]) & (context[1:] == context[:-1])
+            part, key, context = (t[c].to_numpy() for c in ("part", "key", "context"))
+            same[1:] = (part[1:] == part[:-1]) & (key[1:] == key[:-1]) & (context[1:] == context[:-1])
             t = t.filter(pa.array(~same))
-            key, context, place, weight = (t[c].to_numpy() for c in ("key", "context", "place", "weight"))
-            group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+            part, key, context, place, weight, skip = (t[c].to_numpy() for c in ("part", "key", "context", "place", "weight", "skip"))
+            group = np.cumsum(np.concatenate(([0], part[1:] != part[:-1])))
             tid, doc = t["tid"].to_pylist(), t["doc"].to_pylist()
             positions = [(d is None, d or 0, x, a) for d, x, a in zip(doc, tid, (place >> 20).tolist(), strict=True)]
             position = np.empty(len(tid), np.int64)
@@ -214,8 +251,9 @@ def _spans(length: int, first: bool):
                 rows, starts = rows[sort], starts[sort]
                 a = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (starts[1:] > starts[:-1] + length))))
                 b = np.concatenate((a[1:], [len(rows)])) - 1
+                cut = skip[rows[a]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[rows[a]]), pa.array(context[rows[a]]), pa.array(starts[a].astype(np.int32)), pa.array((starts[b] + length).astype(np.int32))],
+                    [pa.array(key[rows[a]]), pa.array(context[rows[a]]), pa.array((starts[a] + cut).astype(np.int32)), pa.array((starts[b] + length + cut).astype(np.int32))],
                     ["key", "context", "start", "stop"],
                 )
 
@@ -223,25 +261,42 @@ def _spans(length: int, first: bool):
 
 
 def _windows(length: int):
-    """Single windows of hot anchors: a 128-bit name of the window, and where it is."""
+    """Single windows of the last distance: a 128-bit name of the window, and where it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = ["key", "context", "doc", "tid", "place", "weight"]
-            for raw, *facts in zip(batch["bytes"].to_pylist(), *(batch[c].to_pylist() for c in names), strict=True):
-                data = np.frombuffer(raw, np.uint8)
-                one, two = _hashes(_sums(data), length), _hashes(_sums(data[::-1]), length)[::-1]
-                n = len(one)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array(np.ascontiguousarray(two).view(np.int64)), pa.array(np.arange(n, dtype=np.int32))]
-                    + [pa.array([x] * n, k) for x, k in zip(facts, kinds, strict=True)],
-                    ["w1", "w2", "start", *names],
-                )
+        for batch in slices(batches, "bytes"):
+            names = [int.from_bytes(hashlib.blake2b(x.as_py(), digest_size=8, person=b"%d" % k).digest(), "big", signed=True) for k in (1, 2) for x in batch["bytes"]]
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[:n], pa.int64()), pa.array(names[n:], pa.int64()), *(batch[c] for c in ("skip", *COLUMNS[:6]))], ["w1", "w2", "start", *COLUMNS[:6]]
+            )
 
     return run
 
 
+def _gathered(cut: DataFrame, hot: DataFrame, length: int, first: bool) -> DataFrame:
+    """SPANS of the contexts in `cut`; the groups of over HOT contexts (`hot`: part, wide) are parted until they are not."""
+    gather = lambda df: df.repartition("part").sortWithinPartitions("part", "key", "context").mapInArrow(_spans(length, first), SPANS)
+    large = lambda df: written(df.groupBy("part").agg(F.count("*").alias("n"), F.max(F.col("far") - F.col("near")).alias("wide")).filter(F.col("n") > HOT), "hot")
+    if hot.isEmpty():
+        return gather(cut)
+    cut = written(cut, "bytes")
+    spans = gather(cut.join(hot, "part", "left_anti"))
+    while True:
+        last = cut.join(hot.filter("wide = 0").select("part"), "part", "left_semi").select(*COLUMNS)
+        single = last.mapInArrow(_windows(length), f"w1 long, w2 long, start int, {CONTEXT.split(', part')[0]}").dropDuplicates(["key", "context", "start"])
+        at = F.struct(F.col("doc").isNull().alias("none"), "doc", "tid", F.expr(LO.format("place")).alias("at"))
+        known = written(single.groupBy("w1", "w2").agg(F.sum("weight").alias("total"), F.min(at).alias("least")), "windows")
+        gone = single.join(known, ["w1", "w2"]).filter(at != F.col("least") if first else F.col("total") > 1)
+        spans = spans.unionByName(gone.select("key", "context", "start", (F.col("start") + length).alias("stop")))
+        wide = hot.filter("wide > 0").select("part")
+        if wide.isEmpty():
+            return spans
+        cut = written(cut.join(wide, "part", "left_semi").select(*COLUMNS).mapInArrow(_parted(length), CONTEXT), "parted")
+        hot = large(cut)
+        spans = spans.unionByName(gather(cut.join(hot, "part", "left_anti")))
+
+
 def find_spans(docs: DataFrame, length: int = LENGTH, first: bool = False) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): doc_id, text and tid of every row, and tid, spans (sorted [start, stop)) to remove from its bytes.
 
@@ -252,52 +307,37 @@ def find_spans(docs: DataFrame, length: int = LENGTH, first: bool = False) -> tu
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).withColumn("tid", F.coalesce(F.unhex(F.md5("text")), F.lit(b"")))
     kinds = written(texts.groupBy("tid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "texts")
-    found = (
-        texts.select("tid", "text")
-        .mapInArrow(_find(length), FOUND)
-        .repartition("key")
-        .dropDuplicates(["key", "tid", "context", "place"])
-        .withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    )
+    places = written(texts.select("tid", "text").mapInArrow(_find(length), FOUND), "places")
     # An anchor in one text only, once, has no repeated window unless the text has copies, which go whole.
-    found = written(found.filter("n > 1").drop("n").join(kinds, "tid"), "anchors")
+    # Keys with two places are a table, not an aggregate: Spark splits a skewed side only in joins of two plain exchanges.
+    one = F.xxhash64("tid", "place")
+    keys = written(places.groupBy("key").agg(F.min(one).alias("a"), F.max(one).alias("b")).filter("a != b").select("key"), "keys")
+    found = places.join(keys, "key", "left_semi").join(kinds, "tid")
+    found = written(found.dropDuplicates(["tid", "key", "context", "place"]), "anchors")
     where = F.struct(F.col("doc").isNull().alias("none"), "doc", "tid", "place")
     contexts = written(
         found.groupBy("key", "context").agg(F.sum("copies").alias("weight"), F.count("*").alias("seen"), F.min(where).alias("least")),
         "contexts",
     )
-    several = contexts.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    wanted = several.groupBy(F.col("least.tid").alias("tid"), F.col("least.doc").alias("doc")).agg(
+    shared = written(contexts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    hot = shared.filter(F.col("n") > HOT).select(F.col("key").alias("part"), F.lit(length - anchor_size(length)).alias("wide"))
+    wanted = contexts.join(shared, "key", "left_semi").groupBy(F.col("least.tid").alias("tid"), F.col("least.doc").alias("doc")).agg(
         F.collect_list(F.struct("key", "context", F.col("least.place").alias("place"), "weight")).alias("wanted")
     )
     # Of the rows of one text the first; as a difference, so that the join's key stays tid alone.
     least_id = F.lit(-(2**63))
     first_row = F.coalesce("doc_id", least_id).bitwiseXOR(F.coalesce("doc", least_id)) == 0
     held = texts.join(wanted, "tid").filter(first_row)
-    cut = held.select("doc", "tid", "text", "wanted").mapInArrow(_cut(length), CONTEXT)
-    hot = several.filter(F.col("n") > HOT).select("key").distinct()
-    some_hot = bool(hot.head(1))
-    if some_hot:
-        cut = written(cut, "bytes")
-    gathered = cut.join(hot, "key", "left_anti") if some_hot else cut
-    parts = gathered.repartition("key").sortWithinPartitions("key", "context").mapInArrow(_spans(length, first), SPANS)
-    if some_hot:
-        single = (
-            cut.join(hot, "key", "left_semi")
-            .mapInArrow(_windows(length), f"w1 long, w2 long, start int, {CONTEXT.removesuffix(', bytes binary')}")
-            .dropDuplicates(["key", "context", "start"])
-        )
-        spot = F.struct(F.col("doc").isNull().alias("none"), "doc", "tid", (F.expr(LO.format("place")) + F.col("start")).alias("at"))
-        known = single.groupBy("w1", "w2").agg(F.sum("weight").alias("total"), F.min(spot).alias("least"))
-        gone = single.join(known, ["w1", "w2"]).filter(spot != F.col("least") if first else F.col("total") > 1)
-        parts = parts.unionByName(gone.select("key", "context", "start", (F.col("start") + length).alias("stop")))
-    # All of a context is repeated where it occurs again: everywhere, or at all but its first occurrence.
-    facts = found.join(contexts, ["key", "context"])
+    parts = _gathered(held.select("doc", "tid", "text", "wanted").mapInArrow(_cut(length), CONTEXT), hot, length, first)
+    # All of a context is repeated where it occurs again: everywhere, or at all but its first occurrence; else what `parts` has of it.
+    cuts = parts.groupBy("key", "context").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
+    known = contexts.join(cuts, ["key", "context"], "left").filter("weight > 1 OR cuts IS NOT NULL")
+    known = written(known.select("key", "context", "least", "weight", "cuts"), "known")
     again = (where != F.col("least")) if first else F.col("weight") > 1
     lo, count = F.expr(LO.format("place")).cast("int"), F.expr(COUNT.format("place")).cast("int")
-    spans = facts.filter(again).select("tid", lo.alias("start"), (lo + count + (length - 1)).alias("stop"))
-    once = facts.filter(~again).join(parts, ["key", "context"])
-    spans = spans.unionByName(once.select("tid", (lo + F.col("start")).alias("start"), (lo + F.col("stop")).alias("stop")))
+    whole = F.array(F.struct(lo.alias("start"), (lo + count + (length - 1)).alias("stop")))
+    some = F.transform("cuts", lambda c: F.struct((lo + c["start"]).alias("start"), (lo + c["stop"]).alias("stop")))
+    spans = found.join(known, ["key", "context"]).select("tid", F.inline(F.when(again, whole).otherwise(some)))
     if not first:
         # A text of several rows goes whole: each of its windows starts in another row too.
         whole = texts.filter(F.octet_length("text") >= length).join(kinds.filter("copies > 1"), "tid", "left_semi")
@@ -323,11 +363,20 @@ def kept_parts(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def whole_words(raw: bytes, a: int, b: int) -> int:
+    """Words of raw[a:b] that are whole in `raw`."""
+    blank = b" \t\n\x0b\x0c\r"
+    inside = raw[a:b]
+    cut = a > 0 and raw[a - 1] not in blank and inside[0] not in blank
+    cut_end = b < len(raw) and raw[b] not in blank and inside[-1] not in blank
+    return len(inside.split()) - int(cut) - int(cut_end)
+
+
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """DIGEST of every row with all repeated windows removed."""
+    """DIGEST of every row with all repeated windows removed. kept_text leaves out the bytes of characters that are cut in part."""
     texts, spans = find_spans(docs, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,37 +385,43 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for doc, text, found in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
                 raw, gone = text.encode(), merged(found or [])
                 kept = kept_parts(raw, gone)
-                rows.append((doc, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            columns = list(zip(*rows, strict=True)) or [()] * 5
+                rows.append((doc, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
             )
 
     return texts.join(spans, "tid", "left").select("doc_id", "text", "spans").mapInArrow(run, DIGEST)
 
 
-def remove_copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_copies(docs: DataFrame, length: int = PASSAGE, min_words: int = PASSAGE_WORDS) -> DataFrame:
     """`docs` with later copies of repeated passages cut from `text` and the first kept; same columns and rows.
 
-    n_chars, where the input has it, counts the new text. Bytes of a character that is cut in part go with it.
+    What goes: every run of bytes that windows of `length` bytes with an earlier copy cover, if it holds `min_words` whole words or
+    more. n_chars, where the input has it, counts the new text. Bytes of a character that is cut in part go with it.
     """
     _, spans = find_spans(docs, length, first=True)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    whole = docs.withColumn("_tid", F.unhex(F.md5(text)))
-    ids = whole.groupBy("_tid").agg(F.min(F.col("doc_id").cast("long")).alias("_doc"))
-    facts = ids.join(spans.select(F.col("tid").alias("_tid"), F.col("spans").alias("_spans")), "_tid", "left")
-    later = ~F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.octet_length(text) >= length)
-    joined = whole.join(facts, "_tid").withColumn("text", F.when(later, F.lit("")).otherwise(F.col("text")))
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, gone: pd.Series) -> pd.Series:
-        parts = (kept_parts(t.encode(), merged(g)) for t, g in zip(text, gone, strict=True))
-        return pd.Series([p.decode("utf-8", "ignore") for p in parts], dtype=object)
-
-    touched = F.col("_spans").isNotNull() & (F.coalesce(F.col("text"), F.lit("")) != "")
-    out = joined.filter(~touched).unionByName(joined.filter(touched).withColumn("text", cut("text", "_spans")))
+    tid, doc, gone = (free_name(docs, c) for c in ("tid_of", "doc_of", "spans_of"))
+    whole = docs.withColumn(tid, F.unhex(F.md5(text)))
+    ids = whole.groupBy(tid).agg(F.min(F.col("doc_id").cast("long")).alias(doc))
+    facts = written(ids.join(spans.select(F.col("tid").alias(tid), F.col("spans").alias(gone)), tid, "left"), "facts")
+    later = ~F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.octet_length(text) >= length)
+    # A later row of a text is one run from end to end.
+    spans = F.when(later, F.array(F.struct(F.lit(0).alias("start"), F.octet_length(text).alias("stop")))).otherwise(F.col(gone))
+    joined = whole.join(facts, tid).withColumn(gone, spans)
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for t, g in zip(texts, spans, strict=True):
+            raw = t.as_py().encode()
+            out.append(kept_parts(raw, [(a, b) for a, b in merged(g.as_py()) if whole_words(raw, a, b) >= min_words]).decode("utf-8", "ignore"))
+        return pa.array(out, pa.string())
+
+    touched = F.col(gone).isNotNull() & (text != "")
+    out = joined.filter(~touched).unionByName(joined.filter(touched).withColumn("text", cut(text, F.col(gone))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

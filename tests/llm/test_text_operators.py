@@ -74,11 +74,14 @@ def test_cascade_order_changes_no_verdict(spark, corpus):
     docs = docs_of(spark, corpus, extra=False)
     verdicts = set()
     for order in itertools.islice(itertools.permutations(quality.RULES), 0, 720, 179):
-        out = docs.select("doc_id", quality.cascade(F.col("text"), list(order)).isNull().alias("k")).collect()
+        out = docs.select("doc_id", quality.cascade(quality.Facts.of(F.col("text")), list(order)).isNull().alias("k")).collect()
         verdicts.add(tuple(sorted((str(r[0]), r[1]) for r in out)))
     assert len(verdicts) == 1
     planned = quality.plan_cascade(docs, quality.RULES)
-    assert {p[0].name for p in planned} == {r.name for r in quality.RULES} and planned[0][2] >= planned[-1][2] or planned[0][1] > 0
+    assert {p[0].name for p in planned} == {r.name for r in quality.RULES}
+    gain = [share / seconds for _, seconds, share in planned]
+    assert gain == sorted(gain, reverse=True) and gain[0] > 0
+    assert len(quality.plan_cascade(docs, quality.RULES, sample_rows=5)) == len(quality.RULES)
 
 
 def fits(host, path, rule):
@@ -133,34 +136,64 @@ def test_chat_query_digests(spark):
     assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
 
 
-def test_spotsigs_edits(spark, corpus):
+def spot_sets(text):
+    """Signatures in plain Python, as tuples."""
+    w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+    common = set(spotsigs.ANCHORS)
+    content = [(k, x) for k, x in enumerate(w) if x not in common]
+    out = set()
+    for j, (k, x) in enumerate(content):
+        follow = content[j + 1][1] if j + 1 < len(content) else None
+        if k and w[k - 1] in common:
+            out.add((w[k - 1], x, follow))
+        elif j >= spotsigs.STRETCH and content[j - spotsigs.STRETCH][0] == k - spotsigs.STRETCH:
+            out.add((content[j - 1][1], x, follow))
+    if not out and w:
+        out = {(x, w[k + 1] if k + 1 < len(w) else None) for k, x in enumerate(w)}
+    return out or ({text} if text else set())
+
+
+def spot_likeness(a, b):
+    x = len(a & b) / len(a | b) if a | b else 1.0
+    return x if x >= spotsigs.FLOOR else 0.0
+
+
+def test_spotsigs_equal_brute_force(spark, corpus):
+    r = random.Random(31)
+    pool = ["the", "of", "und", "la", "a"] * 8 + [f"w{k}é" for k in range(60)]
     rows = [r for r in corpus if r[0] is not None]
-    rows = list({r[0]: r for r in rows}.values())
+    rows = list({r[0]: r for r in rows}.values()) + [(3000 + k, " ".join(r.choices(pool, k=r.randint(1, 80)))) for k in range(40)]
+    rows += [(4000, "the of and"), (4001, "the of and"), (4002, "cat"), (4003, "!?"), (4004, " ".join(f"x{k}" for k in range(30)))]
     got = {r["doc_id"]: r for r in spotsigs.compare_edited(docs_of(spark, rows)).collect()}
     order = sorted(rows)
     assert len(got) == len(rows)
+    near = set()
     for k, (i, t) in enumerate(order):
         t, follow = t or "", order[(k + 1) % len(order)][1] or ""
         q = len(t) // 4
         edited = t[: len(t) - q] + follow[:q]
-        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[i]["n_chars"] == len(t) and 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(t)
+        a, b, c = spot_sets(t), spot_sets(edited), spot_sets(follow)
+        assert len(got[i]["fingerprint"]) == 8 * len(a) and len(got[i]["edited_fingerprint"]) == 8 * len(b)
+        assert got[i]["near_edited"] == pytest.approx(spot_likeness(a, b)), t
+        assert got[i]["near_next"] == pytest.approx(spot_likeness(a, c)), t
+        near.add(got[i]["near_next"])
+    assert 0.0 in near and 1.0 in near
     assert got[3]["fingerprint"] == got[40]["fingerprint"]
-
-    def jaccard(a, b):
-        a, b = ({x[k : k + 8] for k in range(0, len(x), 8)} for x in (a, b))
-        return len(a & b) / len(a | b) if a | b else 1.0
-
-    for k, (i, _) in enumerate(order):
-        follow = got[order[(k + 1) % len(order)][0]]["fingerprint"]
-        assert got[i]["near_next"] == pytest.approx(jaccard(got[i]["fingerprint"], follow))
-        assert got[i]["near_edited"] == pytest.approx(jaccard(got[i]["fingerprint"], got[i]["edited_fingerprint"]))
     one = spotsigs.compare_edited(spark.createDataFrame([(1, "the cat sat on the mat")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert spotsigs.compare_edited(docs_of(spark, corpus)).count() == len(corpus)
     assert spotsigs.compare_edited(docs_of(spark, corpus).limit(0)).count() == 0
 
 
+def test_length_parts_lose_no_pair():
+    import math
+
+    part = lambda n: math.floor(math.log(n) / -math.log(spotsigs.FLOOR))
+    for n in range(1, 3000):
+        assert all(abs(part(n) - part(m)) <= 1 for m in (n, max(1, math.ceil(n * spotsigs.FLOOR)), math.floor(n / spotsigs.FLOOR)))
+
+
 def test_automaton_equals_greedy_longest_match():
     r = random.Random(2)
     letters = [b"ab", b"abc"]
@@ -237,35 +270,72 @@ def brute_windows(raw, length):
         for s in range(len(b) - length + 1):
             if count[b[s : s + length]] > 1:
                 gone[s : s + length] = b"\1" * length
-        out.append((len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", [0, 3, 4000])
 def test_suffix_dedup_equals_brute_force(spark, corpus, hot, monkeypatch):
-    monkeypatch.setattr(suffixes, "HOT", 1 if hot else 4000)
+    """hot = 0 parts every group down to single distances, 3 some of them."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
     got = suffixes.digest(docs_of(spark, corpus)).collect()
     want = brute_windows([(t or "").encode() for _, t in corpus], 400)
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted((str(i), *w) for (i, _), w in zip(corpus, want, strict=True))
 
 
-def test_suffix_dedup_keeps_the_first(spark, corpus):
-    rows = list({r[0]: r for r in corpus if r[0] is not None}.values())
-    rows = [r for r in rows if r[0] != 48]
-    got = dict(suffixes.remove_copies(docs_of(spark, rows, extra=False)).collect())
-    raw = {i: (t or "").encode() for i, t in rows}
-    seen = set()
-    for i, _ in sorted(rows):
-        b, gone = raw[i], bytearray(len(raw[i]))
-        fresh = set()
-        for s in range(len(b) - 399):
-            w = b[s : s + 400]
+def test_suffix_dedup_of_a_group_beyond_the_limit(spark):
+    """One passage in more texts than HOT contexts, each with other bytes around it."""
+    r = random.Random(12)
+    letters = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage = letters(200)
+    rows = [(i, letters(150) + passage + letters(150)) for i in range(suffixes.HOT + 200)]
+    rows += [(10_000 + i, letters(150) + passage + rows[i][1][350:450]) for i in range(60)]
+    got = suffixes.digest(docs_of(spark, rows, extra=False), 224).collect()
+    want = brute_windows([t.encode() for _, t in rows], 224)
+    assert sum(w[1] for w in want) >= 120 * 300
+    assert sorted((r[0], *r[1:]) for r in got) == sorted((i, *w) for (i, _), w in zip(rows, want, strict=True))
+
+
+def brute_first(rows, length, min_words):
+    """Texts of `rows` (unique ids) without later copies of windows, runs of under `min_words` whole words left in."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        b = (t or "").encode()
+        gone, fresh = bytearray(len(b)), set()
+        for s in range(len(b) - length + 1):
+            w = b[s : s + length]
             if w in seen or w in fresh:
-                gone[s : s + 400] = b"\1" * 400
+                gone[s : s + length] = b"\1" * length
             fresh.add(w)
         seen |= fresh
-        want = bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
-        assert (got[i] or "") == want, i
+        for m in re.finditer(b"\1+", bytes(gone)):
+            inside = [w for w in re.finditer(rb"[^\x20\x09-\x0D]+", b) if m.start() <= w.start() and w.end() <= m.end()]
+            if len(inside) < min_words:
+                gone[m.start() : m.end()] = bytes(m.end() - m.start())
+        out[i] = bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+    return out
+
+
+@pytest.mark.parametrize(("length", "min_words", "hot"), [(400, 0, 4000), (224, 50, 4000), (224, 0, 0), (130, 30, 2)])
+def test_suffix_dedup_keeps_the_first(spark, corpus, length, min_words, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rows = [r for r in {r[0]: r for r in corpus if r[0] is not None}.values() if r[0] != 48]
+    got = suffixes.remove_copies(docs_of(spark, rows), length, min_words)
+    assert got.columns == docs_of(spark, rows).columns and {tuple(x[2:]) for x in got.collect()} == {(1, "x", 2, "t", 0)}
+    assert {x[0]: x[1] or "" for x in got.collect()} == brute_first(rows, length, min_words)
+
+
+def test_passages_of_over_fifty_words_go_and_names_do_not_clash(spark):
+    r = random.Random(13)
+    pool = ["".join(r.choices("abcdefghiéñ", k=r.randint(1, 9))) for _ in range(4000)]
+    say = lambda n: " ".join(r.choices(pool, k=n))
+    long, short = say(51), say(40)
+    rows = [(i, f"{say(80)} {long} {say(80)} {short} {say(60)}", 7, 8, 9) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _tid int, _doc int, _spans int")
+    got = sorted(suffixes.remove_copies(docs).collect())
+    assert [long in x["text"] for x in got] == [True] + [False] * 19 and all(short in x["text"] for x in got)
+    assert all(tuple(x)[2:] == (7, 8, 9) for x in got) and got[0]["text"] == rows[0][1]
 
 
 def shingle_set(t):
@@ -273,7 +343,9 @@ def shingle_set(t):
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def test_near_duplicates_equal_brute_force(spark, corpus):
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_near_duplicates_equal_brute_force(spark, corpus, tile, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", tile)
     r = random.Random(3)
     base = corpus[7][1].split(" ") + corpus[8][1].split(" ")
     rows = list(corpus)
@@ -307,8 +379,7 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
     key = lambda x: tuple(map(str, x))
     assert sorted(got, key=key) == sorted(want, key=key)
     assert minhash.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
-    kept = minhash.keep_one(docs_of(spark, rows)).select("doc_id").collect()
-    assert len(kept) == len({x[0] for x in kept})
+    assert minhash.one_of_each(docs_of(spark, rows)).columns == docs_of(spark, rows).columns
 
 
 def test_one_of_each_decides_by_row(spark):
@@ -392,32 +463,77 @@ def test_packed_documents(spark, corpus):
     assert packing.pack_documents(docs_of(spark, rows).limit(0)).count() == 0
 
 
-def test_raking_meets_targets(spark):
+def raked(tokens, goals, rounds=500):
+    """Iterative proportional fitting in numpy: tokens by cell, goals by axis."""
+    w = tokens / tokens.sum()
+    for _ in range(rounds):
+        for axis, goal in enumerate(goals):
+            sums = w.sum(axis=tuple(k for k in range(w.ndim) if k != axis), keepdims=True)
+            w = w * np.divide(goal.reshape(sums.shape), sums, out=np.zeros_like(sums), where=sums > 0)
+    return w
+
+
+def test_raking_equals_numpy(spark):
+    r = np.random.default_rng(9)
+    tokens = r.integers(1, 5000, (4, 3, 3)).astype(float)
+    tokens[0, 1, 2] = 0
+    rows = [(f"s{a}", f"l{b}", f"t{c}", int(tokens[a, b, c])) for a, b, c in np.ndindex(tokens.shape) if tokens[a, b, c]]
+    facts = spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long")
+    table = spark.createDataFrame([("lang", "l0", 0.5), ("lang", "l1", 0.3), ("lang", "l2", 0.2), ("source", "s3", 0.4)], "dimension string, value string, share double")
+    sums = [tokens.sum(axis=tuple(k for k in range(3) if k != axis)) ** mixing.TEMPER for axis in range(3)]
+    goals = [s / s.sum() for s in sums]
+    goals[1] = np.array([0.5, 0.3, 0.2])
+    goals[0] = np.append(goals[0][:3] / goals[0][:3].sum() * 0.6, 0.4)
+    want = raked(tokens, goals) / np.maximum(tokens, 1) * tokens.sum()
+    got = {(x["source"], x["lang"], x["topic"]): x for x in mixing.calibrated(facts, table).collect()}
+    assert len(got) == len(rows)
+    rates = sorted(((want[a, b, c], tokens[a, b, c]) for a, b, c in np.ndindex(tokens.shape) if tokens[a, b, c]), reverse=True)
+    over = np.cumsum([n for _, n in rates])
+    top = rates[int((over <= mixing.SLACK * tokens.sum()).sum())][0]
+    for (s, l, t), x in got.items():
+        rate = want[int(s[1]), int(l[1]), int(t[1])]
+        assert x["rate"] == pytest.approx(rate, rel=1e-4) and x["marginal_error"] <= mixing.TOLERANCE
+        assert x["probability"] == pytest.approx(min(1, rate / top), rel=3e-3)
+
+
+def test_mix_samples_by_its_probabilities(spark):
     r = random.Random(8)
-    rows = [(i, " ".join(["w"] * r.randint(0, 40)) + r.choice(["", " | x", " a@b"]), r.choice(["en", "en", "fr", None]), r.choice(["s1", "s1", "s1", "s2", None])) for i in range(400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("rate", F.lit("clash"))
-    named = {"lang": spark.createDataFrame([("fr", 0.5)], "value string, share double")}
-    got = mixing.mix(df, named=named).toPandas()
+    pool = [[f"{k}w{i}" for i in range(40)] for k in range(3)]
+    rows = [(i, " ".join(r.choices(pool[i % 3], k=r.randint(0, 60))), r.choice(["en", "en", "fr", None]), r.choice(["s1", "s1", "s1", "s2", None])) for i in range(600)]
+    rows += [(700, "long " * 200_000, "en", "s1"), (701, None, None, None), (702, "", "fr", "s2"), (None, "same text", "en", "s1"), (None, "same text", "en", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit("clash") for c in ("topic", "_p", "_rate", "of_topic", "measured", "p")})
+    targets = spark.createDataFrame([("lang", "fr", 0.4)], "dimension string, value string, share double")
+    got = mixing.mix(df, targets).toPandas()
     assert len(got) == len(rows) and got.probability.between(0, 1).all() and got.probability.max() == 1
-    expected = got.n_tokens * got.probability
-    share = expected[got.lang == "fr"].sum() / expected.sum()
-    assert share == pytest.approx(0.5, abs=1e-3)
-    for c in ("source", "topic"):
-        key = got[c].fillna("null")
-        n = got.n_tokens.groupby(key).sum() ** mixing.TEMPER
-        assert np.allclose((expected.groupby(key).sum() / expected.sum()).sort_index(), (n / n.sum()).sort_index(), atol=2e-3)
-    kept = {x[0] for x in mixing.sampled(df).select("doc_id").collect()}
-    assert mixing.sampled(df).columns == df.columns and 0 < len(kept) < len(rows)
-    assert kept == {x[0] for x in mixing.sampled(df.repartition(7)).select("doc_id").collect()}
-    assert mixing.mix(df.limit(0)).count() == 0
+    assert got.n_tokens.tolist() and got.set_index("doc_id").n_tokens[700] == 200_000
+    assert set(got.topic[got.n_tokens == 0]) == {"none"} and len(set(got.topic)) > 2
+    kept = sorted(map(str, mixing.sampled(df, targets).collect()))
+    assert len(kept) == int(got.kept.sum()) and 0 < len(kept) < len(rows)
+    assert mixing.sampled(df, targets).columns == df.columns
+    again = mixing.sampled(df.repartition(7), targets)
+    assert kept == sorted(map(str, again.collect())) and {x["topic"] for x in again.collect()} == {"clash"}
+    assert mixing.mix(df.limit(0)).count() == mixing.sampled(df.limit(0), targets).count() == 0
+
+
+def test_topics_are_those_of_the_texts():
+    r = random.Random(10)
+    pool = [[f"{k}x{i}" for i in range(30)] for k in range(3)]
+    texts = [" ".join(r.choices(pool[k % 3], k=50)) for k in range(300)]
+    counts = mixing.word_counts(texts)
+    assert counts.sum(1).tolist() == [50] * 300 and (mixing.word_counts([texts[0].upper(), None]) == [counts[0], counts[0] * 0]).all()
+    model = mixing.fit(counts[:90], ["en"] * 90, 3)
+    found = model.assign(counts[90:], ["en"] * 210)
+    by = [{found[i] for i in range(210) if (i + 90) % 3 == k} for k in range(3)]
+    assert all(len(x) == 1 for x in by) and len(set.union(*by)) == 3
+    assert mixing.fit(counts[:0], [], 3).assign(counts[:1], [None]) == ["t0"]
 
 
 def test_raking_tells_its_error_and_the_kept_share(spark):
     facts = spark.createDataFrame([("a", "x", "t", 5), ("b", "y", "t", 5)], "source string, lang string, topic string, n_tokens long")
-    share = lambda v, s: spark.createDataFrame([(v, s)], "value string, share double")
+    off_targets = spark.createDataFrame([("source", "a", 0.9), ("lang", "x", 0.1)], "dimension string, value string, share double")
     assert all(r["marginal_error"] <= mixing.TOLERANCE for r in mixing.calibrated(facts).collect())
     with pytest.warns(RuntimeWarning, match="marginals miss"):
-        off = mixing.calibrated(facts, named={"source": share("a", 0.9), "lang": share("x", 0.1)}).collect()
+        off = mixing.calibrated(facts, off_targets).collect()
     assert all(r["marginal_error"] > 1 for r in off)
     mixed = spark.createDataFrame([(10, 1.0, True), (30, 0.5, False)], "n_tokens long, probability double, kept boolean")
     assert tuple(mixing.kept_share(mixed).head()) == (2, 1, 0.75, 0.625)
@@ -441,6 +557,6 @@ def test_pipeline_stages(spark):
 def test_empty_tables(spark):
     none = docs_of(spark, [], extra=False)
     assert suffixes.digest(none).count() == quality.judge(none).count() == wordpieces.count_pieces(none).count() == 0
-    assert suffixes.remove_copies(none).count() == minhash.keep_one(none).count() == 0
+    assert suffixes.remove_copies(none).count() == minhash.one_of_each(none).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_blocks.extract(pages).count() == urls.judge_urls(pages, spark.createDataFrame([], "host string, path string, verdict string")).count() == 0
