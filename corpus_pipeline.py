@@ -19,13 +19,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of passages of 400 bytes or more; n_chars counts the new text."""
+    """Texts without later copies of passages of over 50 words; the first copy stays. n_chars counts the new text."""
     return suffixes.remove_copies(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by probabilities raked to source, language and topic targets."""
-    return mixing.sampled(docs)
+    """A sample by probabilities raked to source, language and topic targets: mixing.TARGETS, tempered shares where they name none."""
+    targets = spark.createDataFrame(mixing.TARGETS, "dimension string, value string, share double")
+    return mixing.sampled(docs, targets)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
