@@ -37,7 +37,7 @@ def key_index(name: Column) -> Column:
     return _number(name, r"(?i).*_(\d+)_.*\.tiff?$")
 
 
-#: Tried in this order on the stem.
+# Patterns of a timepoint, tried in this order on the stem.
 TIMEPOINT_PATTERNS = (r"_(\d+)$", r"(?i)t(\d+)", r"(?i)timepoint[_\s]*(\d+)", r"(?i)tp(\d+)", r"(\d+)_", r"(\d+)")
 
 
@@ -57,10 +57,15 @@ def key_stack(name: Column) -> Column:
 
 
 def key_by_pattern(name: Column, pattern: str) -> Column:
-    """First group of a pattern anywhere in the name; 0 if the pattern has no group or does not fit."""
+    """First group of a pattern anywhere in the name; null where it does not fit, 0 if the pattern has no group."""
     if not re.compile(pattern).groups:
-        return F.lit(0)
-    return F.coalesce(_number(name, pattern), F.lit(0))
+        return F.when(name.rlike(pattern), F.lit(0))
+    return _number(name, pattern)
+
+
+def files_by_pattern(files: DataFrame, pattern: str, name_col: str = "filename") -> DataFrame:
+    """The files whose name the pattern fits, with its number as `key`; the others are left out."""
+    return files.withColumn("key", key_by_pattern(F.col(name_col), pattern)).filter("key IS NOT NULL")
 
 
 def subset_z(frames: DataFrame, lo: int, hi: int, step: int, name_col: str = "filename") -> DataFrame:

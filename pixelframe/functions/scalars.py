@@ -17,9 +17,9 @@ COLORS = {
     "lightgrey": (211, 211, 211), "darkgray": (64, 64, 64), "darkgrey": (64, 64, 64), "white16": (65535, 65535, 65535),
     "lightgray16": (49151, 49151, 49151), "gray16": (32767, 32767, 32767), "darkgray16": (16383, 16383, 16383), "black16": (0, 0, 0),
 }
+# Time formats, tried in this order. Times without a date are of 1900-01-01.
 TIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
+    "yyyy-M-d H:m:s", "yyyy-M-d H:m:s.SSSSSS", "M/d/yyyy H:m:s", "M/d/yyyy H:m", "yyyy-M-d", "M/d/yyyy", "H:m:s", "H:m",
 )
 
 
@@ -111,7 +111,8 @@ def format_elapsed(seconds: Column) -> Column:
 
 def parse_timestamp(text: Column) -> Column:
     """The first of TIME_FORMATS that fits, then epoch seconds; null otherwise."""
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS]
+    dated = lambda f: (text, f) if "y" in f else (F.concat(F.lit("1900-1-1 "), text), f"yyyy-M-d {f}")
+    tries = [F.try_to_timestamp(t, F.lit(f)) for t, f in map(dated, TIME_FORMATS)]
     return F.coalesce(*tries, F.timestamp_seconds(text.try_cast("double")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,16 +11,27 @@ from ..functions.scalars import parse_timestamp
 
 
 def list_frames(spark: SparkSession, path: str, extensions: list[str]) -> DataFrame:
-    """path, modificationTime, length of files with an extension in any case; contents are not read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length")
+    """path, modificationTime, length of files with an extension in any case; contents are not read. A missing folder has no files."""
+    try:
+        files = spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = spark.createDataFrame([], "path string, modificationTime timestamp, length long")
     return files.filter(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin([e.lower().lstrip(".") for e in extensions])).orderBy("path")
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """8-bit images: frame_id, height, width, bit_depth, data. 16-bit images must come as tables: the image source keeps a byte of each.
+    """8-bit images: frame_id, height, width, bit_depth, data. The image source keeps a byte of each value, so a 16-bit PNG raises: such
+    frames must come as tables.
 
     Color images come as luminance, 0.299 r + 0.587 g + 0.114 b, rounded as the reference's `convert("L")` does; alpha is ignored.
     """
+    files = spark.read.format("binaryFile").load(path)
+    png = F.hex(F.substring("content", 1, 4)) == "89504E47"
+    deep = files.filter(png & (F.hex(F.substring("content", 25, 1)) == "10")).select("path").head(1)
+    if deep:
+        raise ValueError(f"16-bit image: {deep[0][0]}")
     i = spark.read.format("image").load(path).select("image.*")
     byte = lambda k: F.conv(F.hex(F.substring("data", k, F.lit(1))), 16, 10).cast("int")
     n = F.col("nChannels")

@@ -127,3 +127,13 @@ def test_written_tables_need_a_shared_folder_and_can_be_dropped(spark):
     assert made.count() == 3 and durable.drop_written(spark) >= 1
     with pytest.raises(Exception, match="(?i)path|file"):
         made.count()
+
+
+def test_missing_folders_and_deep_images(spark, tmp_path):
+    import struct
+
+    assert S.list_frames(spark, f"{tmp_path}/none", ["png"]).count() == 0
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">IIBBBBB", 1, 1, 16, 0, 0, 0, 0))
+    with pytest.raises(ValueError, match="16-bit"):
+        S.read_frames(spark, f"{tmp_path}/deep")
