@@ -140,14 +140,17 @@ def detect_bit_depth(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy(*FRAME).agg(F.when(F.max("v") > 255, 16).otherwise(8).alias("bit_depth"))
 
 
-def decimate(frames: DataFrame, stride: int = 1, max_frames: int | None = None, fps: Column | None = None) -> DataFrame:
-    """Every stride-th frame_idx of each stack, at most max_frames of them, with the rate that results (30 where none is known)."""
-    idx = F.col("frame_idx")
-    kept = frames.filter(idx % stride == 0)
+def decimate(frames: DataFrame, stride: int = 1, max_frames: int | None = None, fps: Column | None = None, least: int = 3) -> DataFrame:
+    """Every stride-th frame of each stack in order of frame_idx, at most max_frames of them, with the rate that results (30 where none
+    is known). A stack that is left with under `least` frames raises."""
+    place = F.row_number().over(Window.partitionBy("stack_id").orderBy("frame_idx")) - 1
+    kept = frames.withColumn("_k", place).filter(F.col("_k") % stride == 0)
     if max_frames is not None:
-        kept = kept.filter(idx < stride * max_frames)
+        kept = kept.filter(F.col("_k") < stride * max_frames)
     rate = fps if fps is not None else F.col("fps")
-    return kept.withColumn("fps", F.when(rate > 0, rate).otherwise(30.0) / stride)
+    known = F.when(rate > 0, rate).otherwise(30.0) / stride
+    few = F.count("*").over(Window.partitionBy("stack_id")) < least
+    return kept.withColumn("fps", F.when(few, F.raise_error(F.lit("too few frames")).cast("double")).otherwise(known)).drop("_k")
 
 
 def overlay_scale_bar(pixels: DataFrame, scale_um: float, px: float, margin: int = 20, bar_height: int = 8, value: int = 255) -> DataFrame:
@@ -176,10 +179,18 @@ def _unit_mask(mask: DataFrame) -> DataFrame:
 
 
 def apply_mask(pixels: DataFrame, mask: DataFrame, color: tuple[float, float, float]) -> DataFrame:
-    """v becomes the color's gray where the mask is under one half. A pixel without mask raises."""
+    """Where the mask is under one half, v becomes the color's gray, and `rgb` (a struct of r, g, b and perhaps alpha a), if there is one,
+    the color, opaque. A pixel without mask raises."""
     m = F.coalesce("m", F.raise_error(F.lit("mask shape differs")).cast("double"))
-    gray = gray_of(color, F.col("bit_depth")).cast("int")
-    return pixels.join(_unit_mask(mask), ["y", "x"], "left").withColumn("v", F.when(m < 0.5, gray).otherwise(F.col("v"))).drop("m")
+    out = pixels.join(_unit_mask(mask), ["y", "x"], "left")
+    if "rgb" in pixels.columns:
+        names = pixels.schema["rgb"].dataType.names
+        top = full_scale(F.col("bit_depth")) if "bit_depth" in pixels.columns else F.lit(255)
+        painted = F.struct(*((F.lit(int(dict(zip("rgb", color, strict=True))[c])) if c in "rgb" else top).cast("int").alias(c) for c in names))
+        out = out.withColumn("rgb", F.when(m < 0.5, painted).otherwise(F.struct(*(F.col("rgb")[c].cast("int").alias(c) for c in names))))
+    if "v" in pixels.columns:
+        out = out.withColumn("v", F.when(m < 0.5, gray_of(color, F.col("bit_depth")).cast("int")).otherwise(F.col("v")))
+    return out.drop("m")
 
 
 def apply_feathered_mask(pixels: DataFrame, mask: DataFrame, color: tuple[float, float, float], sigma: float) -> DataFrame:
@@ -296,8 +307,10 @@ def find_max_brightness(pixels: DataFrame, blur_kernel: int = 5, bit_depth: int
     return p.groupBy(*FRAME).agg(F.max("v").cast("double").alias("max_value")).withColumns({"abs_max": F.lit(top), "ratio": F.col("max_value") / top})
 
 
-def parse_rois(specs: list[str], width: int, height: int, scale: float = 1.0, limit: int = 5) -> list[tuple[str, int, int, int, int]]:
-    """(name, x0, y0, x1, y1) of `[name=]x,y,w,h` in pixels or fractions, clipped to the frame; more than `limit` raise."""
+def parse_rois(specs: list[str], width: int, height: int, scale: float = 1.0, units: str = "pixel", limit: int = 5) -> list[tuple[str, int, int, int, int]]:
+    """(name, x0, y0, x1, y1) of `[name=]x,y,w,h`, clipped to the frame: pixels, times `scale`, or fractions of it. More than `limit` raise."""
+    if units not in ("pixel", "fraction"):
+        raise ValueError(f"unknown units {units!r}")
     if len(specs) > limit:
         raise ValueError(f"at most {limit} regions")
     out = []
@@ -306,8 +319,9 @@ def parse_rois(specs: list[str], width: int, height: int, scale: float = 1.0, li
         v = [float(p) for p in body.replace(";", ",").split(",")]
         if len(v) != 4:
             raise ValueError(f"not a region: {spec!r}")
-        fractions = max(v) <= 1.0
-        x, y, w, h = (a * b for a, b in zip(v, (width, height) * 2, strict=True)) if fractions else (a * scale for a in v)
+        if min(v[2:]) <= 0:
+            raise ValueError(f"region without area: {spec!r}")
+        x, y, w, h = (a * b for a, b in zip(v, (width, height) * 2, strict=True)) if units == "fraction" else (a * scale for a in v)
         x0, y0 = max(0, round(x)), max(0, round(y))
         x1, y1 = min(width, round(x + w)), min(height, round(y + h))
         if x1 <= x0 or y1 <= y0:
@@ -336,6 +350,38 @@ def label_rois(labels: DataFrame, limit: int = 5, by: list[str] | None = None) -
     return ranked.select(*by, F.concat(F.lit("roi"), "_k").alias("roi"), "label", "area", "x0", "y0", "x1", "y1")
 
 
+def resize_labels(labels: DataFrame, height: int, width: int, to_height: int, to_width: int) -> DataFrame:
+    """labels (y, x, label, and what else a row holds) of a height by width image on another size; every pixel takes the one at its scaled place."""
+
+    def targets(c: str, size: int, to: int) -> Column:
+        first = F.ceil(F.col(c) * to / size).cast("int")
+        last = F.ceil((F.col(c) + 1) * to / size).cast("int") - 1
+        return F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))
+
+    rest = [c for c in labels.columns if c not in ("y", "x")]
+    return labels.select(*rest, "x", targets("y", height, to_height).alias("y")).select(*rest, "y", targets("x", width, to_width).alias("x"))
+
+
+def downscale_to(pixels: DataFrame, height: int, width: int, to_width: int) -> tuple[DataFrame, float]:
+    """(frame_id, y, x, v: area averages at `to_width`, its height rounded; the scale). Narrower frames stay, at scale 1."""
+    if to_width >= width:
+        return pixels.select("frame_id", "y", "x", F.col("v").cast("double").alias("v")), 1.0
+    to_height = max(1, round(height * to_width / width))
+
+    def parts(c: str, size: int, to: int) -> Column:
+        """Targets of a row or column with the share of it that they take."""
+        at = F.col(c) * F.lit(to / size)
+        end = F.least((F.col(c) + 1) * F.lit(to / size), F.lit(float(to)))
+        first = F.floor(at).cast("int")
+        last = F.greatest(F.ceil(end - 1e-9).cast("int") - 1, first)
+        return F.transform(F.sequence(first, last), lambda t: F.struct(t.alias("t"), (F.least(end, t + 1.0) - F.greatest(at, t * F.lit(1.0))).alias("w")))
+
+    rows = pixels.select("frame_id", "x", "v", F.explode(parts("y", height, to_height)).alias("r"))
+    cells = rows.select("frame_id", "v", "r", F.explode(parts("x", width, to_width)).alias("c"))
+    w = F.col("r.w") * F.col("c.w")
+    return cells.groupBy("frame_id", F.col("r.t").alias("y"), F.col("c.t").alias("x")).agg((F.sum(F.col("v") * w) / F.sum(w)).alias("v")), to_width / width
+
+
 def downscale(pixels: DataFrame, factor: int) -> DataFrame:
     """Area average over factor by factor pixels."""
     y, x = (F.floor(F.col(c) / factor).cast("int").alias(c) for c in ("y", "x"))
@@ -356,9 +402,17 @@ def reference_frame(pixels: DataFrame, by: str = "stack_id") -> DataFrame:
     return pixels.groupBy(by, "y", "x").agg(F.median("v").alias("v"))
 
 
+def motion_by_roi(local: DataFrame, rois: DataFrame, order: str = "z", by: str = "stack_id", value: str = "diff") -> DataFrame:
+    """Mean of a local motion (by, order, y, x, value) in each rectangle and frame; 0 in one without a pixel."""
+    found = assign_rois(local, rois).groupBy(by, "roi", order).agg(F.avg(value).alias("motion"))
+    names = [r["roi"] for r in rois.select("roi").collect()]  # six at most: assign_rois has counted them
+    every = local.select(by, order).distinct().withColumn("roi", F.explode(F.array(*map(F.lit, names)))) if names else found.select(by, order, "roi")
+    return every.join(found, [by, "roi", order], "left").select(by, "roi", order, F.coalesce("motion", F.lit(0.0)).alias("motion"))
+
+
 def motion_diff(pixels: DataFrame, rois: DataFrame, order: str = "z", by: str = "stack_id") -> DataFrame:
     """Mean absolute frame difference by ROI and frame."""
-    return assign_rois(frame_diff(pixels, order, by), rois).groupBy(by, "roi", order).agg(F.avg("diff").alias("motion"))
+    return motion_by_roi(frame_diff(pixels, order, by), rois, order, by)
 
 
 PROJECTIONS = ("mean", "max", "median", "std", "percentile")

@@ -42,26 +42,21 @@ def detrend(series: DataFrame, fps: float, lo_hz: float) -> DataFrame:
 
 
 def power_spectrum(series: DataFrame, fps: float, value: str = "detrended", max_hz: float | None = None) -> DataFrame:
-    """series_id, k, freq, power: Hann-windowed, zero-padded to four times the length (256 at least), up to max_hz."""
-    n = F.count("*").over(_series())
-    mean, spread = F.avg(value).over(_series()), F.stddev_pop(value).over(_series())
-    i = F.row_number().over(_order()) - 1
-    hann = F.when(F.col("_n") > 1, 0.5 - 0.5 * F.cos(2 * math.pi * F.col("_i") / (F.col("_n") - 1))).otherwise(1.0)
-    s = series.withColumns({"_n": n, "_m": mean, "_s": spread, "_i": i}).withColumn(
-        "_v", (F.col(value) - F.col("_m")) * F.when(F.col("_s") > 0, hann).otherwise(1.0)
-    )
-    lines = s.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("s"), F.first("_n").alias("n"))
-    fft = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(4 * F.col("n"), F.lit(256)).cast("double")))).cast("int")
-    sized = lines.withColumn("fft", fft)
-    top = F.col("fft") / 2 if max_hz is None else F.least(F.col("fft") / 2, F.ceil(F.col("fft") * max_hz / fps))
-    bins = sized.withColumn("k", F.explode(F.sequence(F.lit(0), top.cast("int"))))
-    angle = 2 * math.pi * F.col("k") / F.col("fft")
-    zero = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
-    both = F.aggregate(
-        "s", zero, lambda a, c: F.struct((a["re"] + c["_v"] * F.cos(angle * c["_i"])).alias("re"), (a["im"] + c["_v"] * F.sin(angle * c["_i"])).alias("im"))
-    )
-    power = bins.withColumn("_z", both)
-    return power.select("series_id", "k", (F.col("k") * fps / F.col("fft")).alias("freq"), (F.pow("_z.re", F.lit(2)) + F.pow("_z.im", F.lit(2))).alias("power"))
+    """series_id, k, freq, power: Hann-windowed, zero-padded to four times the length (256 at least), up to max_hz. One transform a series."""
+
+    def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("idx")[value].to_numpy(float)
+        size = 1 << math.ceil(math.log2(max(4 * len(v), 256)))
+        x = v - v.mean()
+        if v.std() > 0:
+            x = x * np.hanning(len(v))
+        top = size // 2 if max_hz is None else min(size // 2, math.ceil(size * max_hz / fps))
+        k = np.arange(top + 1)
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "k": k, "freq": k * fps / size, "power": np.abs(np.fft.rfft(x, size)[: top + 1]) ** 2})
+
+    kind = series.schema["series_id"].dataType.simpleString()
+    rows = series.select("series_id", "idx", F.col(value).cast("double").alias(value))
+    return rows.groupBy("series_id").applyInPandas(spectrum, f"series_id {kind}, k int, freq double, power double")
 
 
 def dominant_frequency(spectrum: DataFrame, fps: float, lo: float, hi: float) -> DataFrame:
@@ -264,3 +259,13 @@ def block_motion(pixels: DataFrame, block: int = 16, by: str = "stack_id", order
     det = F.col("a") * F.col("c") - F.col("b") * F.col("b")
     u, v = (F.col("b") * F.col("f") - F.col("c") * F.col("e")) / det, (F.col("b") * F.col("e") - F.col("a") * F.col("f")) / det
     return s.select(by, order, "block_y", "block_x", F.when(det > 1e-6, F.sqrt(u * u + v * v)).otherwise(0.0).alias("speed"))
+
+
+def block_motion_by_roi(pixels: DataFrame, rois: DataFrame, block: int = 16, by: str = "stack_id", order: str = "z") -> DataFrame:
+    """Mean block speed in each rectangle and frame: every pixel of a block moves as the block does."""
+    from .pixels import motion_by_roi
+
+    speeds = block_motion(pixels, block, by, order)
+    cell = [F.floor(F.col(c) / block).cast("int").alias(f"block_{c}") for c in ("y", "x")]
+    local = pixels.select(by, order, "y", "x", *cell).join(speeds, [by, order, "block_y", "block_x"])
+    return motion_by_roi(local, rois, order, by, "speed")

@@ -1,42 +1,107 @@
-"""Registration by integer shifts: the shift of greatest correlation with a reference."""
+"""Registration by shifts: the shift of greatest correlation with a reference, whole pixels or refined by parabolas."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import correlation
 
+def _image(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and a mask of the pixels that there are, of a list of (y, x, v)."""
+    y, x, v = (np.asarray(cells.field(c)) for c in ("y", "x", "v"))
+    out, have = np.zeros((y.max() + 1, x.max() + 1)), np.zeros((y.max() + 1, x.max() + 1), bool)
+    out[y, x], have[y, x] = v, True
+    return out, have
 
-def estimate_shift(pixels: DataFrame, reference: DataFrame, max_shift: int, key: str = "stack_id") -> DataFrame:
+
+def _correlation(a: np.ndarray, b: np.ndarray) -> float | None:
+    if len(a) == 0 or a.std() == 0 or b.std() == 0:
+        return None
+    return round(float(((a - a.mean()) * (b - b.mean())).mean() / (a.std() * b.std())), 9)
+
+
+def _shift_of(frame: tuple, reference: tuple, most: int, subpixel: bool) -> tuple[float, float, float | None]:
+    (f, in_f), (r, in_r) = frame, reference
+    h, w = min(f.shape[0], r.shape[0] + most), min(f.shape[1], r.shape[1] + most)
+    found: dict[tuple[int, int], float] = {}
+    for dy in range(-most, most + 1):
+        ya, yb = max(0, dy), min(h, r.shape[0] + dy)
+        for dx in range(-most, most + 1):
+            xa, xb = max(0, dx), min(w, r.shape[1] + dx)
+            if ya >= yb or xa >= xb:
+                continue
+            fs, rs = np.s_[ya:yb, xa:xb], np.s_[ya - dy : yb - dy, xa - dx : xb - dx]
+            both = in_f[fs] & in_r[rs]
+            c = _correlation(f[fs][both], r[rs][both])
+            if c is not None:
+                found[dy, dx] = c
+    if not found:
+        return 0.0, 0.0, None
+    dy, dx = max(found, key=lambda s: (found[s], -abs(s[0]) - abs(s[1]), -s[0], -s[1]))
+
+    def refined(at: int, before: float | None, after: float | None) -> float:
+        """The top of the parabola through the best shift and its neighbours."""
+        bend = 0.0 if before is None or after is None else before - 2 * found[dy, dx] + after
+        return at + (before - after) / (2 * bend) if bend < 0 else float(at)
+
+    if not subpixel:
+        return float(dy), float(dx), found[dy, dx]
+    return refined(dy, found.get((dy - 1, dx)), found.get((dy + 1, dx))), refined(dx, found.get((dy, dx - 1)), found.get((dy, dx + 1))), found[dy, dx]
+
+
+def estimate_shift(pixels: DataFrame, reference: DataFrame, max_shift: int, key: str = "stack_id", subpixel: bool = False) -> DataFrame:
     """frame_id, dy, dx, corr: where each frame lies relative to its key's reference (key, y, x, v).
 
-    Of equal correlations the smallest shift wins, then the lower dy and dx; a flat frame has null corr and shift 0.
+    Of equal correlations the smallest shift wins, then the lower dy and dx; a flat frame has null corr and shift 0. With
+    `subpixel` dy and dx are doubles, refined by parabolas. A frame and its reference meet as two arrays; all shifts are tried in one task.
     """
-    r = range(-max_shift, max_shift + 1)
-    shifts = F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in r for b in r))
-    moved = pixels.select("frame_id", key, "y", "x", "v", F.explode(shifts).alias("s"))
-    moved = moved.select("frame_id", key, "s", "v", (F.col("y") - F.col("s.dy")).alias("y"), (F.col("x") - F.col("s.dx")).alias("x"))
-    both = moved.join(reference.select(key, "y", "x", F.col("v").alias("r")), [key, "y", "x"])
-    c = both.groupBy("frame_id", "s").agg(F.round(correlation(F.col("v"), F.col("r")), 9).alias("c"))
-    rank = F.struct("c", -(F.abs("s.dy") + F.abs("s.dx")), -F.col("s.dy"), -F.col("s.dx"))
-    best = c.groupBy("frame_id").agg(F.max_by("s", F.when(F.col("c").isNotNull(), rank)).alias("s"), F.max("c").alias("corr"))
-    return best.select("frame_id", F.coalesce("s.dy", F.lit(0)).alias("dy"), F.coalesce("s.dx", F.lit(0)).alias("dx"), "corr")
+    cells = F.collect_list(F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v")))
+    frames = pixels.groupBy("frame_id", F.col(key).alias("_key")).agg(cells.alias("cells"))
+    references = reference.groupBy(F.col(key).alias("_key")).agg(cells.alias("ref"))
+    kind = pixels.schema["frame_id"].dataType.simpleString()
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            rows = [
+                _shift_of(_image(batch["cells"][k].values), _image(batch["ref"][k].values), max_shift, subpixel) if batch["ref"][k].is_valid else (0.0, 0.0, None)
+                for k in range(batch.num_rows)
+            ]
+            dy, dx, corr = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch["frame_id"], *(pa.array(c, pa.float64()) for c in (dy, dx, corr))], ["frame_id", "dy", "dx", "corr"])
+
+    met = frames.join(references, "_key").select("frame_id", "cells", "ref")
+    out = met.mapInArrow(run, f"frame_id {kind}, dy double, dx double, corr double")
+    return out if subpixel else out.select("frame_id", F.col("dy").cast("int").alias("dy"), F.col("dx").cast("int").alias("dx"), "corr")
 
 
 def apply_shift(pixels: DataFrame, shifts: DataFrame) -> DataFrame:
-    """Each frame on the reference's grid; what comes from outside is 0."""
+    """Each frame on the reference's grid; what comes from outside is 0. Fractions of a pixel are blended bilinearly and truncated."""
     full = pixels.select("frame_id", "stack_id", "z", "y", "x", "bit_depth")
     s = shifts.select("frame_id", "dy", "dx")
-    moved = pixels.join(s, "frame_id").select("frame_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), "v")
-    return full.join(moved, ["frame_id", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+    if all(s.schema[c].dataType.simpleString() in ("int", "bigint") for c in ("dy", "dx")):
+        moved = pixels.join(s, "frame_id").select("frame_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), "v")
+        return full.join(moved, ["frame_id", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+
+    def parts(c: str, d: str) -> Column:
+        """Targets of a source line: the place below and above its shifted one, with weights."""
+        at = F.col(c) - F.col(d)
+        low = F.floor(at)
+        both = F.array(F.struct(low.cast("int").alias("t"), (1 - (at - low)).alias("w")), F.struct((low + 1).cast("int").alias("t"), (at - low).alias("w")))
+        return F.explode(F.filter(both, lambda p: p["w"] > 0))
+
+    rows = pixels.join(s, "frame_id").select("frame_id", "v", "x", "dx", parts("y", "dy").alias("a"))
+    cells = rows.select("frame_id", "v", "a", parts("x", "dx").alias("b"))
+    moved = cells.groupBy("frame_id", F.col("a.t").alias("y"), F.col("b.t").alias("x")).agg(F.sum(F.col("v") * F.col("a.w") * F.col("b.w")).alias("v"))
+    return full.join(moved, ["frame_id", "y", "x"], "left").withColumn("v", F.coalesce(F.floor(F.round("v", 6)).cast("int"), F.lit(0)))
 
 
-def align_stack(pixels: DataFrame, max_shift: int, z: Column | None = None) -> DataFrame:
+def align_stack(pixels: DataFrame, max_shift: int, z: Column | None = None, subpixel: bool = False) -> DataFrame:
     """Every frame of a stack to its first one (or the one at `z`); frames without a correlation stay."""
     first = F.min("z").over(Window.partitionBy("stack_id")) if z is None else z
     reference = pixels.withColumn("_f", first).filter(F.col("z") == F.col("_f")).select("stack_id", "y", "x", "v")
-    return apply_shift(pixels, estimate_shift(pixels, reference, max_shift))
+    return apply_shift(pixels, estimate_shift(pixels, reference, max_shift, subpixel=subpixel))
 
 
 def chain(steps: DataFrame, by: str = "session", order: str = "timepoint") -> DataFrame:
@@ -49,13 +114,37 @@ def chain(steps: DataFrame, by: str = "session", order: str = "timepoint") -> Da
     return s.withColumns(sums).drop("_new")
 
 
-def align_session(pixels: DataFrame, base_z: int, max_shift: int) -> DataFrame:
-    """Shifts of each timepoint's base frame, chained over consecutive timepoints of a session: session, timepoint, sum_dy, sum_dx.
+def align_session(
+    pixels: DataFrame, base_z: int, max_shift: int, reference: DataFrame | None = None, temporal: bool = True, subpixel: bool = False
+) -> DataFrame:
+    """Shifts of every frame of a session: session, timepoint, z, frame_id, island, sum_dy, sum_dx; ready for `apply_shift` as dy, dx.
 
-    pixels: session, timepoint, z, y, x, v, frame_id. Each base is compared with the one before; translations add up.
+    pixels: session, timepoint, z, y, x, v, frame_id. `temporal`: each base frame is compared with the one before, and translations
+    add up over consecutive timepoints. With a `reference` (y, x, v) the first of a run, or without `temporal` every base frame, is
+    compared with it. The other slices of a timepoint are compared with its base frame and move with it.
     """
-    base = pixels.filter(F.col("z") == base_z).withColumn("_k", F.concat_ws("/", "session", "timepoint"))
-    before = base.select(F.concat_ws("/", "session", F.col("timepoint") + 1).alias("_k"), "y", "x", "v")
-    steps = estimate_shift(base, before, max_shift, "_k")
-    frames = base.select("session", "timepoint", "frame_id").distinct().join(steps, "frame_id", "left").na.fill(0, ["dy", "dx"])
-    return chain(frames).select("session", "timepoint", "island", "sum_dy", "sum_dx")
+    name = F.concat_ws("/", F.col("session").cast("string"), F.col("timepoint").cast("string"))
+    base = pixels.filter(F.col("z") == base_z).withColumn("_k", name)
+    zero = F.lit(0.0 if subpixel else 0)
+    frames = base.select("session", "timepoint", "frame_id").distinct()
+    if temporal:
+        before = base.select(F.concat_ws("/", F.col("session").cast("string"), (F.col("timepoint") + 1).cast("string")).alias("_k"), "y", "x", "v")
+        steps = estimate_shift(base, before, max_shift, "_k", subpixel)
+        placed = chain(frames.join(steps, "frame_id", "left").na.fill(0, ["dy", "dx"])).select("session", "timepoint", "frame_id", "island", "sum_dy", "sum_dx")
+    else:
+        placed = frames.select("session", "timepoint", "frame_id", F.lit(0).alias("island"), zero.alias("sum_dy"), zero.alias("sum_dx"))
+    if reference is not None:
+        fixed = reference.select(F.lit(0).alias("_r"), "y", "x", "v")
+        first = F.min("timepoint").over(Window.partitionBy("session", "island")) if temporal else F.col("timepoint")
+        heads = placed.withColumn("_f", first).filter("timepoint = _f").select("session", "island", "timepoint", "frame_id")
+        to_fixed = estimate_shift(base.join(heads.select("frame_id"), "frame_id", "left_semi").withColumn("_r", F.lit(0)), fixed, max_shift, "_r", subpixel)
+        on = ["session", "island"] if temporal else ["session", "timepoint"]
+        start = heads.join(to_fixed, "frame_id").select(*on, F.col("dy").alias("_dy"), F.col("dx").alias("_dx"))
+        placed = placed.join(start, on, "left").withColumns({f"sum_{c}": F.col(f"sum_{c}") + F.coalesce(f"_{c}", zero) for c in ("dy", "dx")}).drop("_dy", "_dx")
+    others = pixels.filter(F.col("z") != base_z).withColumn("_k", name)
+    slices = estimate_shift(others, base.select("_k", "y", "x", "v"), max_shift, "_k", subpixel)
+    rest = others.select("session", "timepoint", "z", "frame_id").distinct().join(slices.drop("corr"), "frame_id", "left")
+    at = placed.select("session", "timepoint", "island", "sum_dy", "sum_dx")
+    rest = rest.join(at, ["session", "timepoint"]).withColumns({f"sum_{c}": F.col(f"sum_{c}") + F.coalesce(c, zero) for c in ("dy", "dx")})
+    columns = ["session", "timepoint", "z", "frame_id", "island", "sum_dy", "sum_dx"]
+    return placed.withColumn("z", F.lit(base_z)).select(*columns).unionByName(rest.select(*columns))

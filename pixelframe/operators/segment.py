@@ -6,7 +6,9 @@ background matters.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,39 +60,84 @@ def percentile_masks(pixels: DataFrame, core: float = 90, outer_lo: float = 40,
     return both.select("frame_id", "y", "x", (F.col("v") > at(0)).alias("core"), ((F.col("v") > at(1)) & (F.col("v") < at(2))).alias("outer"))
 
 
-def _shifted(region: DataFrame, offsets: Offsets, sign: int) -> DataFrame:
-    o = F.explode(F.array(*(F.struct(F.lit(sign * dy).alias("dy"), F.lit(sign * dx).alias("dx")) for dy, dx in offsets)))
-    moved = region.select("frame_id", "y", "x", o.alias("o"))
-    return moved.select("frame_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+def _runs(region: DataFrame) -> DataFrame:
+    """frame_id, y, a, b: the maximal runs of set pixels of each line."""
+    p = region.select("frame_id", "y", "x").repartition("frame_id")  # one exchange for all that follows by line
+    placed = p.withColumn("_g", F.col("x") - F.row_number().over(Window.partitionBy("frame_id", "y").orderBy("x")))
+    return placed.groupBy("frame_id", "y", "_g").agg(F.min("x").alias("a"), F.max("x").alias("b")).drop("_g")
 
 
-def _inside(height: int, width: int) -> Column:
-    return F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
+def _set_pixels(runs: DataFrame) -> DataFrame:
+    return runs.select("frame_id", "y", F.explode(F.sequence("a", "b")).alias("x"))
+
+
+def _rows_of(offsets: Offsets) -> list[tuple[int, int, int]]:
+    """(dy, least dx, greatest dx) for each unbroken stretch of a row of offsets."""
+    out: list[tuple[int, int, int]] = []
+    for dy, dx in sorted(set(offsets)):
+        if out and out[-1][0] == dy and out[-1][2] == dx - 1:
+            out[-1] = (dy, out[-1][1], dx)
+        else:
+            out.append((dy, dx, dx))
+    return out
+
+
+def _widened(runs: DataFrame, offsets: Offsets, height: int, width: int) -> DataFrame:
+    """Runs of the pixels that some offset leads from to a set one: each run once for each row of offsets, those that meet merged."""
+    rows = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for dy, lo, hi in _rows_of(offsets))))
+    moved = runs.withColumn("o", rows).select(
+        "frame_id", (F.col("y") - F.col("o.dy")).alias("y"), F.greatest(F.col("a") - F.col("o.hi"), F.lit(0)).alias("a"),
+        F.least(F.col("b") - F.col("o.lo"), F.lit(width - 1)).alias("b"),
+    ).filter(F.col("y").between(0, height - 1) & (F.col("a") <= F.col("b")))
+    line = Window.partitionBy("frame_id", "y").orderBy("a", "b")
+    before = F.max("b").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    parted = moved.repartition("frame_id").withColumn("_new", F.coalesce((F.col("a") > before + 1).cast("int"), F.lit(1)))
+    parted = parted.withColumn("_k", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return parted.groupBy("frame_id", "y", "_k").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_k")
+
+
+def _unset(runs: DataFrame, height: int, width: int) -> DataFrame:
+    """Runs of the pixels between those of `runs`, in all lines of their frames."""
+    lines = runs.select("frame_id").distinct().select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+    ends = lines.select("frame_id", "y", F.lit(width).alias("a"), F.lit(width).alias("b"))
+    last = F.lag("b").over(Window.partitionBy("frame_id", "y").orderBy("a"))
+    gaps = runs.select("frame_id", "y", "a", "b").unionByName(ends).select("frame_id", "y", (F.coalesce(last, F.lit(-1)) + 1).alias("a"), (F.col("a") - 1).alias("b"))
+    return gaps.filter("a <= b")
+
+
+def _narrowed(runs: DataFrame, offsets: Offsets, height: int, width: int) -> DataFrame:
+    """Runs of the pixels whose offsets inside the frame all lead to set ones: what no widened unset run reaches. A frame that
+    is set all over has no unset run and stays."""
+    bare = written(_unset(runs, height, width), "unset")
+    wide = _widened(bare, offsets, height, width)
+    every = runs.select("frame_id").distinct()
+    whole = every.join(bare, "frame_id", "left_anti").select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"), F.lit(0).alias("a"), F.lit(width - 1).alias("b"))
+    return _unset(wide, height, width).unionByName(whole)
 
 
 def dilate(region: DataFrame, offsets: Offsets, height: int, width: int) -> DataFrame:
-    """Pixels that some offset leads to from a set one; outside the frame counts as unset."""
-    return _shifted(region, offsets, -1).filter(_inside(height, width)).distinct()
+    """Pixels that some offset leads to from a set one; outside the frame counts as unset. The work is on runs of lines, one copy a row of offsets."""
+    return _set_pixels(_widened(_runs(region), offsets, height, width))
 
 
 def erode(region: DataFrame, offsets: Offsets, height: int, width: int) -> DataFrame:
     """Pixels whose offsets inside the frame all lead to set ones."""
-    counts = _shifted(region, offsets, -1).filter(_inside(height, width)).groupBy("frame_id", "y", "x").count()
-    o = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets))
-    due = F.size(F.filter(o, lambda s: (F.col("y") + s["dy"]).between(0, height - 1) & (F.col("x") + s["dx"]).between(0, width - 1)))
-    return counts.filter(F.col("count") == due).select("frame_id", "y", "x")
+    return _set_pixels(_narrowed(_runs(region), offsets, height, width))
+
+
+def _chain(region: DataFrame, steps: list, offsets: Offsets, height: int, width: int) -> DataFrame:
+    runs = _runs(region)
+    for step in steps:
+        runs = written(step(runs, offsets, height, width), "runs")
+    return _set_pixels(runs)
 
 
 def open_(region: DataFrame, offsets: Offsets, height: int, width: int, k: int = 1) -> DataFrame:
-    for step in [erode] * k + [dilate] * k:
-        region = step(region, offsets, height, width)
-    return region
+    return _chain(region, [_narrowed] * k + [_widened] * k, offsets, height, width)
 
 
 def close_(region: DataFrame, offsets: Offsets, height: int, width: int, k: int = 1) -> DataFrame:
-    for step in [dilate] * k + [erode] * k:
-        region = step(region, offsets, height, width)
-    return region
+    return _chain(region, [_widened] * k + [_narrowed] * k, offsets, height, width)
 
 
 def _roots(edges: DataFrame) -> DataFrame:
@@ -119,22 +166,65 @@ def _roots(edges: DataFrame) -> DataFrame:
             return edges.select("frame_id", F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+#: Runs of a frame up to which it is labelled in one task; frames of more go by stars over all tasks.
+FRAME_RUNS = 500_000
+
+
+def _labelled(reach: int):  # noqa: ANN202
+    """A frame's runs (node, y, a, b) to their component's least node."""
+
+    def run(t: pa.Table) -> pa.Table:
+        y, a, b, node = (t[c].to_numpy() for c in ("y", "a", "b", "node"))
+        order = np.lexsort((a, y))
+        y, a, b, node = (v[order].tolist() for v in (y, a, b, node))
+        root = list(range(len(node)))
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        above = 0  # the first run of the line above that may still touch
+        for k in range(len(node)):
+            while above < k and (y[above] < y[k] - 1 or y[above] == y[k] - 1 and b[above] + reach < a[k]):
+                above += 1
+            i = above
+            while i < k and y[i] == y[k] - 1 and a[i] <= b[k] + reach:
+                p, q = top(i), top(k)
+                root[max(p, q)] = min(p, q)  # runs are in order of their first pixel, so the least index is the least node
+                i += 1
+        label = [node[top(k)] for k in range(len(node))]
+        return pa.table({"frame_id": t["frame_id"], "node": pa.array(node, pa.int64()), "label": pa.array(label, pa.int64())})
+
+    return run
+
+
 def connected_components(region: DataFrame, connectivity: int = 8) -> DataFrame:
     """frame_id, y, x, label: the row-major place of the component's first pixel.
 
-    Rows are first cut into runs by a gaps-and-islands window; runs of neighbouring rows that touch are edges.
+    Rows are first cut into runs by a gaps-and-islands window. No component leaves its frame, so a frame of up to FRAME_RUNS runs is
+    labelled in one task; in larger ones runs of neighbouring rows that touch are the edges of a graph.
     """
     order = Window.partitionBy("frame_id", "y").orderBy("x")
-    placed = region.select("frame_id", "y", "x").withColumn("_g", F.col("x") - F.row_number().over(order))
+    placed = region.select("frame_id", "y", "x").repartition("frame_id").withColumn("_g", F.col("x") - F.row_number().over(order))
     line = 1 << 24  # wider than any frame
     node = F.min(F.col("y").cast("long") * line + F.col("x")).alias("node")
-    runs = placed.groupBy("frame_id", "y", "_g").agg(F.min("x").alias("a"), F.max("x").alias("b"), node)
+    runs = written(placed.groupBy("frame_id", "y", "_g").agg(F.min("x").alias("a"), F.max("x").alias("b"), node), "runs")
     reach = 1 if connectivity == 8 else 0
-    below = runs.select("frame_id", (F.col("y") - 1).alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("node").alias("node2"))
-    touch = runs.join(below, ["frame_id", "y"]).filter((F.col("a2") <= F.col("b") + reach) & (F.col("b2") >= F.col("a") - reach))
-    roots = _roots(touch.select("frame_id", F.col("node").alias("a"), F.col("node2").alias("b")))
-    labelled = runs.join(roots, ["frame_id", "node"], "left").select("frame_id", "y", "_g", F.coalesce("root", "node").alias("label"))
-    return placed.join(labelled, ["frame_id", "y", "_g"]).select("frame_id", "y", "x", "label")
+    large = written(runs.groupBy("frame_id").count().filter(F.col("count") > FRAME_RUNS).select("frame_id"), "large")
+    kind = region.schema["frame_id"].dataType.simpleString()
+    labels = runs.select("frame_id", "y", "a", "b", "node").join(large, "frame_id", "left_anti").groupBy("frame_id").applyInArrow(
+        _labelled(reach), f"frame_id {kind}, node long, label long"
+    )
+    if not large.isEmpty():
+        some = runs.join(large, "frame_id", "left_semi")
+        below = some.select("frame_id", (F.col("y") - 1).alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("node").alias("node2"))
+        touch = some.join(below, ["frame_id", "y"]).filter((F.col("a2") <= F.col("b") + reach) & (F.col("b2") >= F.col("a") - reach))
+        roots = _roots(touch.select("frame_id", F.col("node").alias("a"), F.col("node2").alias("b")))
+        of_large = some.join(roots, ["frame_id", "node"], "left").select("frame_id", "node", F.coalesce("root", "node").alias("label"))
+        labels = labels.unionByName(of_large)
+    found = runs.join(labels, ["frame_id", "node"])
+    return found.select("frame_id", "y", F.explode(F.sequence("a", "b")).alias("x"), "label")
 
 
 def remove_small(region: DataFrame, k: int, connectivity: int = 4) -> DataFrame:
@@ -221,29 +311,58 @@ def core_outer_stats(pixels: DataFrame, masks: DataFrame) -> DataFrame:
     )
 
 
-def clahe(pixels: DataFrame, height: int, width: int, clip_limit: float = 2.0, tiles: int = 8, bins: int = 256) -> DataFrame:
-    """frame_id, y, x, v: equalized by tile with clipped histograms, look-up tables blended bilinearly. Sizes are multiples of `tiles`."""
-    th, tw = height // tiles, width // tiles
+def clahe(pixels: DataFrame, height: int, width: int, clip_limit: float = 2.0, tiles: int = 8, bins: int = 256, channel: str | None = None) -> DataFrame:
+    """frame_id, y, x, v: equalized by tile with clipped histograms, look-up tables blended bilinearly.
+
+    Sizes that are no multiples of `tiles` are mirrored on the right and at the bottom for the histograms. With a channel (red, green
+    or blue) that field of `rgb` is equalized, and the result has frame_id, y, x, rgb. Lines of pixels meet the tables of two rows of tiles.
+    """
+    if channel is not None:
+        if "rgb" not in pixels.columns:
+            raise ValueError("a channel needs an rgb column")
+        c = {"red": "r", "green": "g", "blue": "b"}[channel]
+        even = clahe(pixels.withColumn("v", F.col("rgb")[c]), height, width, clip_limit, tiles, bins)
+        both = pixels.select("frame_id", "y", "x", "rgb").join(even, ["frame_id", "y", "x"])
+        return both.select("frame_id", "y", "x", F.struct(*(F.col("v" if n == c else f"rgb.{n}").cast("int").alias(n) for n in "rgb")).alias("rgb"))
+    whole = height % tiles == 0 and width % tiles == 0
+    full_h, full_w = (height, width) if whole else (height + tiles - height % tiles, width + tiles - width % tiles)
+    th, tw = full_h // tiles, full_w // tiles
     area = th * tw
     clip = max(1, int(clip_limit * area / bins))
-    tiled = pixels.withColumns({"ty": F.floor(F.col("y") / th).cast("int"), "tx": F.floor(F.col("x") / tw).cast("int")})
+
+    def mirrored(c: str, size: int, full: int) -> Column:
+        """The place itself and, near the far edge, its mirror image beyond it."""
+        twin = 2 * (size - 1) - F.col(c)
+        return F.explode(F.array_compact(F.array(F.col(c), F.when((twin >= size) & (twin < full), twin))))
+
+    placed = pixels.select("frame_id", "y", "x", "v").repartition("frame_id")
+    padded = placed if whole else placed.select("frame_id", "v", "x", mirrored("y", height, full_h).alias("y")).select("frame_id", "v", "y", mirrored("x", width, full_w).alias("x"))
     keys = ["frame_id", "ty", "tx"]
-    counts = tiled.groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    counts = padded.groupBy("frame_id", F.floor(F.col("y") / th).cast("int").alias("ty"), F.floor(F.col("x") / tw).cast("int").alias("tx"), "v").agg(F.count("*").alias("n"))
     over = counts.groupBy(*keys).agg(F.sum(F.greatest(F.col("n") - clip, F.lit(0))).alias("excess"))
     dense = over.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(counts, [*keys, "v"], "left")
     batch, rest = F.floor(F.col("excess") / bins), F.col("excess") % bins
     step = F.greatest(F.floor(bins / rest), F.lit(1))
     extra = F.when(rest > 0, F.least(F.floor(F.col("v") / step) + 1, rest)).otherwise(0)
     running = F.sum(F.least(F.coalesce("n", F.lit(0)), F.lit(clip))).over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    table = dense.select(*keys, "v", F.least(F.rint((running + batch * (F.col("v") + 1) + extra) * (bins - 1) / area), F.lit(bins - 1.0)).alias("lut"))
-    fy, fx = F.col("y") / th - 0.5, F.col("x") / tw - 0.5
-    p = pixels.select("frame_id", "y", "x", "v").withColumns({"ya": fy - F.floor(fy), "xa": fx - F.floor(fx), "y1": F.floor(fy).cast("int"), "x1": F.floor(fx).cast("int")})
-    corners = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1))))
-    at = lambda c, d: F.least(F.greatest(F.col(c) + F.col(d), F.lit(0)), F.lit(tiles - 1))
-    share = F.when(F.col("c.a") == 1, F.col("ya")).otherwise(1 - F.col("ya")) * F.when(F.col("c.b") == 1, F.col("xa")).otherwise(1 - F.col("xa"))
-    four = p.withColumn("c", corners).select("frame_id", "y", "x", "v", at("y1", "c.a").alias("ty"), at("x1", "c.b").alias("tx"), share.alias("share"))
-    blended = four.join(table, [*keys, "v"]).groupBy("frame_id", "y", "x").agg(F.sum(F.col("share") * F.col("lut")).alias("s"))
-    return blended.select("frame_id", "y", "x", F.rint("s").cast("int").alias("v"))
+    lut = F.least(F.rint((running + batch * (F.col("v") + 1) + extra) * (bins - 1) / area), F.lit(bins - 1.0))
+    rows = dense.select(*keys, "v", lut.alias("lut")).groupBy("frame_id", "ty").agg(F.sort_array(F.collect_list(F.struct("tx", "v", "lut"))).alias("t"))
+    rows = rows.select("frame_id", "ty", F.transform("t", lambda c: c["lut"]).alias("t"))  # by tx * bins + v
+    fy = F.col("y") / th - 0.5
+    at = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(tiles - 1)).cast("int")
+    lines = placed.groupBy("frame_id", "y").agg(F.collect_list(F.struct("x", "v")).alias("line"))
+    lines = lines.withColumns({"y1": at(F.floor(fy)), "y2": at(F.floor(fy) + 1), "ya": fy - F.floor(fy)})
+    upper, lower = (rows.select("frame_id", F.col("ty").alias(k), F.col("t").alias(f"t{k}")) for k in ("y1", "y2"))
+    met = lines.join(upper, ["frame_id", "y1"]).join(lower, ["frame_id", "y2"])
+
+    def blended(p: Column) -> Column:
+        fx = p["x"] / tw - 0.5
+        xa, x1, x2 = fx - F.floor(fx), at(F.floor(fx)) * bins + p["v"], at(F.floor(fx) + 1) * bins + p["v"]
+        line = lambda t: F.get(t, x1.cast("int")) * (1 - xa) + F.get(t, x2.cast("int")) * xa
+        s = line(F.col("ty1")) * (1 - F.col("ya")) + line(F.col("ty2")) * F.col("ya")
+        return F.struct(p["x"].alias("x"), F.rint(F.round(s, 6)).cast("int").alias("v"))
+
+    return met.select("frame_id", "y", F.inline(F.transform("line", blended))).select("frame_id", "y", "x", "v")
 
 
 _TURNS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]

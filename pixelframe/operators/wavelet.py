@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import written
+
 _S = 1 / math.sqrt(2)
 # Low-pass decomposition filters.
 LOW = {
@@ -79,7 +81,8 @@ def decompose(pixels: DataFrame, wavelet: str, levels: int) -> tuple[DataFrame,
     a = pixels.select("stack_id", "z", "y", "x", F.col("v").cast("double").alias("a")).repartition("stack_id", "z")  # one exchange for all axes and levels
     details = None
     for level in range(1, levels + 1):
-        both = _down(_down(a, "x", wavelet, ["a"]), "y", wavelet, ["a_l", "a_h"])
+        # Written: details and the next level read the same transform.
+        both = written(_down(_down(a, "x", wavelet, ["a"]), "y", wavelet, ["a_l", "a_h"]), "level")
         d = both.select("stack_id", "z", F.lit(level).alias("level"), "y", "x", F.col("a_l_h").alias("h"), F.col("a_h_l").alias("v"), F.col("a_h_h").alias("d"))
         details = d if details is None else details.unionByName(d)
         a = both.select("stack_id", "z", "y", "x", F.col("a_l_l").alias("a"))
@@ -109,3 +112,14 @@ def edf_fuse(pixels: DataFrame, wavelet: str = "db3", levels: int = 3, top_n: in
     top = F.when(F.col("bit_depth") == 16, 65535.0).otherwise(255.0)
     value = F.least(F.greatest(F.round("a", 6), F.lit(0.0)), top).cast("int")
     return a.join(depth, "stack_id").filter((F.col("y") <= F.col("_h")) & (F.col("x") <= F.col("_w"))).select("stack_id", "y", "x", value.alias("v"))
+
+
+def edf_z_range(pixels: DataFrame, wavelet: str = "db3", levels: int = 3, top_n: int = 1, invert: bool = False) -> DataFrame:
+    """stack_id, min_z, max_z: places in the stack, from 0, of the first and the last slice that the fusion's approximation takes."""
+    _, a = decompose(pixels, wavelet, levels)
+    place = F.dense_rank().over(Window.partitionBy("stack_id").orderBy("z")) - 1
+    slices = pixels.select("stack_id", "z").distinct().select("stack_id", "z", place.alias("k"))
+    strength = F.round(F.abs("a"), 9)
+    rank = F.row_number().over(Window.partitionBy("stack_id", "y", "x").orderBy(strength if invert else strength.desc(), "z"))
+    used = a.withColumn("_r", rank).filter(F.col("_r") <= top_n).select("stack_id", "z").distinct()
+    return used.join(slices, ["stack_id", "z"]).groupBy("stack_id").agg(F.min("k").alias("min_z"), F.max("k").alias("max_z"))

@@ -87,9 +87,10 @@ def test_lone_pixel_is_found_and_repaired(spark):
 
 def test_roi_specs():
     assert P.parse_rois(["a=20,40,80,100"], 200, 100, 0.5) == [("a", 10, 20, 50, 70)]
-    assert P.parse_rois(["0.5;0.5;0.25;0.25"], 200, 100) == [("roi1", 100, 50, 150, 75)]
+    assert P.parse_rois(["0.5;0.5;0.25;0.25"], 200, 100, units="fraction") == [("roi1", 100, 50, 150, 75)]
+    assert P.parse_rois(["0,0,1,1"], 200, 100) == [("roi1", 0, 0, 1, 1)]
     assert P.parse_rois(["40,40,100,100"], 50, 50) == [("roi1", 40, 40, 50, 50)]
-    for bad in (["1,1,2,2"] * 6, ["300,1,5,5"], ["1,2,3"]):
+    for bad in (["1,1,2,2"] * 6, ["300,1,5,5"], ["1,2,3"], ["1,1,0,4"]):
         with pytest.raises(ValueError):
             P.parse_rois(bad, 200, 100)
 
@@ -184,3 +185,47 @@ def test_name_keys(spark):
     names = [("12_zs+3.png",), ("a_3_b_7_c.tif",), ("T15b.tif",), ("x",)]
     got = spark.createDataFrame(names, "f string").select(keys.key_timepoint_raw(F.col("f")), keys.key_index(F.col("f")), keys.key_timepoint(F.col("f")), keys.key_prefix(F.col("f"))).collect()
     assert [tuple(g) for g in got] == [(12, None, 12, "12"), (None, 7, 3, "a"), (None, None, 15, "T15b"), (None, None, 0, "x")]
+
+
+def test_width_targets_and_label_sizes(spark):
+    a = np.random.default_rng(4).integers(0, 256, (7, 10))
+    got, scale = P.downscale_to(frame(spark, a), 7, 10, 4)
+    assert scale == 0.4 and got.count() == 12
+    fine = np.repeat(np.repeat(a, 3, 0), 4, 1).astype(float)  # 21 by 40: whole parts of 3 by 4 targets
+    want = fine.reshape(3, 7, 4, 10).mean((1, 3))
+    assert np.allclose(back(got, 3, 4), want)
+    same, scale = P.downscale_to(frame(spark, a), 7, 10, 10)
+    assert scale == 1.0 and (back(same, 7, 10) == a).all()
+    labels = frame(spark, a).select("y", "x", F.col("v").alias("label"))
+    for h, w in ((5, 23), (14, 3)):
+        out = np.full((h, w), -1)
+        for r in P.resize_labels(labels, 7, 10, h, w).collect():
+            out[r["y"], r["x"]] = r["label"]
+        assert (out == a[np.arange(h) * 7 // h][:, np.arange(w) * 10 // w]).all()
+
+
+def test_decimation_counts_frames(spark):
+    f = spark.createDataFrame([(0, i, 10.0) for i in range(3, 40, 3)], "stack_id int, frame_idx int, fps double")
+    got = P.decimate(f, 2, 4).orderBy("frame_idx").collect()
+    assert [g["frame_idx"] for g in got] == [3, 9, 15, 21] and {g["fps"] for g in got} == {5.0}
+    with pytest.raises(Exception, match="too few frames"):
+        P.decimate(f, 7).collect()
+
+
+def test_empty_regions_have_no_motion(spark):
+    p = frame(spark, np.full((4, 4), 10)).unionByName(frame(spark, np.full((4, 4), 30), 1, 0, 1))
+    rois = spark.createDataFrame([("in", 0, 0, 2, 2), ("out", 9, 9, 12, 12)], "roi string, x0 int, y0 int, x1 int, y1 int")
+    assert {r["roi"]: r["motion"] for r in P.motion_diff(p, rois).collect()} == {"in": 20.0, "out": 0.0}
+
+
+def test_masks_paint_color_frames(spark):
+    p = frame(spark, [[1, 2]]).withColumn("rgb", F.struct(*(F.lit(k).alias(c) for k, c in enumerate("rgba"))))
+    mask = spark.createDataFrame([(0, 0, 255.0), (0, 1, 0.0)], "y int, x int, m double")
+    got = {r["x"]: tuple(r["rgb"]) for r in P.apply_mask(p, mask, (9, 8, 7)).collect()}
+    assert got == {0: (0, 1, 2, 3), 1: (9, 8, 7, 255)}
+
+
+def test_files_that_no_pattern_fits_are_left_out(spark):
+    f = spark.createDataFrame([("a12b.png",), ("b.png",), ("a3b.png",)], "filename string")
+    assert sorted(r["key"] for r in keys.files_by_pattern(f, r"a(\d+)b").collect()) == [3, 12]
+    assert keys.files_by_pattern(f, r"a\d").count() == 2

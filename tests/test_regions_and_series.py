@@ -210,3 +210,114 @@ def test_core_and_outer(spark):
     got = workflows.core_outer(p, 32, 32, 2, 8, 8, 1).collect()
     assert len(got) == 1 and got[0]["core_area"] > 20 and got[0]["total_pixels"] == 1024
     assert got[0]["core_sum"] / got[0]["core_area"] > got[0]["total_sum"] / 1024
+
+
+@pytest.mark.parametrize("limit", [0, 20])
+def test_components_of_large_frames_are_the_same(spark, limit, monkeypatch):
+    r = np.random.default_rng(21)
+    df = None
+    for k, share in enumerate((0.3, 0.6, 0.02)):
+        a = region(spark, r.random((16, 16)) < share).withColumn("frame_id", F.lit(k))
+        df = a if df is None else df.unionByName(a)
+    want = sorted(map(tuple, segment.connected_components(df).collect()))
+    monkeypatch.setattr(segment, "FRAME_RUNS", limit)
+    assert sorted(map(tuple, segment.connected_components(df).collect())) == want
+
+
+@pytest.mark.parametrize("offsets", [segment.ELLIPSE5, segment.disk(3), [(0, -2), (0, 0), (0, 2), (1, 1)]])
+def test_morphology_of_frames_equals_numpy(spark, offsets):
+    r = np.random.default_rng(22)
+    images = {0: r.random((13, 17)) < 0.7, 1: np.ones((13, 17), bool), 2: r.random((13, 17)) < 0.1}
+    df = None
+    for k, a in images.items():
+        one = region(spark, a).withColumn("frame_id", F.lit(k))
+        df = one if df is None else df.unionByName(one)
+    h, w = 13, 17
+
+    def dil(a):
+        return np.array([[any(0 <= y + b < h and 0 <= x + c < w and a[y + b, x + c] for b, c in offsets) for x in range(w)] for y in range(h)])
+
+    def ero(a):
+        return np.array([[all(not (0 <= y + b < h and 0 <= x + c < w) or a[y + b, x + c] for b, c in offsets) for x in range(w)] for y in range(h)])
+
+    pts = lambda d: {tuple(x) for x in d.select("frame_id", "y", "x").collect()}
+    of = lambda f: {(k, int(y), int(x)) for k, a in images.items() for y, x in zip(*np.nonzero(f(a)))}
+    assert pts(segment.dilate(df, offsets, h, w)) == of(dil)
+    assert pts(segment.erode(df, offsets, h, w)) == of(ero)
+    assert pts(segment.open_(df, offsets, h, w)) == of(lambda a: dil(ero(a)))
+    assert pts(segment.close_(df, offsets, h, w)) == of(lambda a: ero(dil(a)))
+
+
+def equalized(a, tiles, clip_limit=2.0):
+    """Local equalization in numpy: mirrored to whole tiles, clipped histograms, bilinear look-up."""
+    h, w = a.shape
+    pad = (0, 0) if h % tiles == 0 and w % tiles == 0 else (tiles - h % tiles, tiles - w % tiles)
+    b = np.pad(a, ((0, pad[0]), (0, pad[1])), mode="reflect")
+    th, tw = b.shape[0] // tiles, b.shape[1] // tiles
+    clip = max(1, int(clip_limit * th * tw / 256))
+    lut = np.zeros((tiles, tiles, 256))
+    for i in range(tiles):
+        for j in range(tiles):
+            n = np.bincount(b[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256)
+            extra = int(np.maximum(n - clip, 0).sum())
+            n = np.minimum(n, clip) + extra // 256
+            left = extra % 256
+            if left:
+                n[:: max(256 // left, 1)][:left] += 1
+            lut[i, j] = np.minimum(np.rint(np.cumsum(n) * 255 / (th * tw)), 255)
+    out = np.zeros((h, w), int)
+    for y in range(h):
+        for x in range(w):
+            fy, fx = y / th - 0.5, x / tw - 0.5
+            y0, x0 = math.floor(fy), math.floor(fx)
+            at = lambda i, j: lut[min(max(i, 0), tiles - 1), min(max(j, 0), tiles - 1), a[y, x]]  # noqa: B023, E731
+            s = (at(y0, x0) * (1 - fx + x0) + at(y0, x0 + 1) * (fx - x0)) * (1 - fy + y0) + (at(y0 + 1, x0) * (1 - fx + x0) + at(y0 + 1, x0 + 1) * (fx - x0)) * (fy - y0)
+            out[y, x] = round(round(s, 6))
+    return out
+
+
+@pytest.mark.parametrize(("shape", "tiles"), [((16, 24), 4), ((13, 22), 4), ((12, 13), 3)])
+def test_equalization_of_any_size_equals_numpy(spark, shape, tiles):
+    a = np.random.default_rng(23).integers(0, 256, shape)
+    got = np.zeros(shape, int)
+    for x in segment.clahe(frame(spark, a), *shape, 2.0, tiles).collect():
+        got[x["y"], x["x"]] = x["v"]
+    assert (got == equalized(a, tiles)).all()
+    with pytest.raises(ValueError, match="rgb"):
+        segment.clahe(frame(spark, a), *shape, channel="red")
+
+
+def test_subpixel_drift_and_bilinear_resampling(spark):
+    y, x = np.mgrid[:32, :32]
+    blob = lambda cy, cx: np.rint(200 * np.exp(-((y - cy) ** 2 + (x - cx) ** 2) / 18)).astype(int) + 10
+    p = frame(spark, blob(15, 15), 0, 0, 0).unionByName(frame(spark, blob(15.4, 17.7), 1, 0, 1))
+    ref = p.filter("z = 0").select("stack_id", "y", "x", "v")
+    got = register.estimate_shift(p, ref, 4, subpixel=True).orderBy("frame_id").collect()
+    assert (got[0]["dy"], got[0]["dx"]) == pytest.approx((0, 0), abs=0.05) and (got[1]["dy"], got[1]["dx"]) == pytest.approx((0.4, 2.7), abs=0.1)
+    moved = {(r["y"], r["x"]): r["v"] for r in register.align_stack(p, 4, subpixel=True).filter("z = 1").collect()}
+    assert len(moved) == 32 * 32
+    assert max(abs(moved[int(a), int(b)] - blob(15, 15)[a, b]) for a in range(4, 28) for b in range(4, 26)) <= 8
+
+
+def test_session_with_other_slices_and_a_reference(spark):
+    y, x = np.mgrid[:28, :28]
+    dot = lambda cx: np.where((y - 13) ** 2 + (x - cx) ** 2 <= 16, 200, 30)
+    df = None
+    for k, (t, z, cx) in enumerate([(0, 0, 10), (1, 0, 12), (0, 1, 11), (1, 1, 14), (5, 0, 9)]):
+        f = frame(spark, dot(cx), k, 0, z).withColumns({"session": F.lit("s"), "timepoint": F.lit(t)})
+        df = f if df is None else df.unionByName(f)
+    at = lambda **k: {(r["timepoint"], r["z"]): (r["sum_dy"], r["sum_dx"]) for r in register.align_session(df, 0, 5, **k).collect()}
+    assert at() == {(0, 0): (0, 0), (1, 0): (0, 2), (0, 1): (0, 1), (1, 1): (0, 4), (5, 0): (0, 0)}
+    fixed = frame(spark, dot(8)).select("y", "x", "v")
+    assert at(reference=fixed) == {(0, 0): (0, 2), (1, 0): (0, 4), (0, 1): (0, 3), (1, 1): (0, 6), (5, 0): (0, 1)}
+    assert at(reference=fixed, temporal=False) == {(0, 0): (0, 2), (1, 0): (0, 4), (0, 1): (0, 3), (1, 1): (0, 6), (5, 0): (0, 1)}
+
+
+def test_focal_sequence_of_16_bits(spark):
+    a = np.random.default_rng(24).integers(0, 65536, (2, 8, 8))
+    p = frame(spark, a[0], 0, 3, 0, 16).unionByName(frame(spark, a[1], 1, 3, 1, 16))
+    got = workflows.focal_stack_sequence(p, 8, 8, "edf", tiles=2, wavelet="haar", levels=1, channel="red").collect()
+    assert len(got) == 64 and {g["frame_id"] for g in got} == {3}
+    assert max(g["rgb"]["r"] for g in got) == 255 and min(g["rgb"]["r"] for g in got) == 0 and {g["rgb"]["g"] for g in got} == {0}
+    with pytest.raises(ValueError, match="no focal stacks"):
+        workflows.focal_stack_sequence(p.limit(0), 8, 8)
