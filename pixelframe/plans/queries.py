@@ -44,7 +44,7 @@ SELECT p_partkey, filename, try_cast(nullif(regexp_extract(filename, '^(\d+)_(-?
     try_cast(nullif(regexp_extract(stem, '(\d+)_', 1), '') AS INT), try_cast(nullif(regexp_extract(stem, '(\d+)', 1), '') AS INT), 0) AS timepoint,
   CASE WHEN contains(filename, '_') THEN split_part(filename, '_', 1) ELSE stem END AS prefix,
   try_cast(nullif(regexp_extract(filename, '(?i)stack_(\d+)\.tiff?$', 1), '') AS INT) AS stack,
-  coalesce(try_cast(nullif(regexp_extract(filename, '(\d+)b', 1), '') AS INT), 0) AS by_pattern
+  try_cast(nullif(regexp_extract(filename, '(\d+)b', 1), '') AS INT) AS by_pattern
 FROM (SELECT *, regexp_replace(filename, '\.[^.]*$', '') AS stem FROM nam)
 """)
 def k_file_keys(spark, sf):
@@ -120,14 +120,19 @@ def p_colors(spark, sf):
 
 
 @query("""
-WITH d AS (SELECT o_orderkey, o_orderkey % 4 AS k, o_orderdate AS t FROM orders)
-SELECT o_orderkey, epoch_us(CASE WHEN k < 3 THEN date_trunc('second', t) END)::BIGINT AS micros FROM d
+WITH d AS (SELECT o_orderkey, o_orderkey % 11 AS k, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS t FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN epoch_us(t) WHEN 1 THEN epoch_us(t) + 250000 WHEN 2 THEN epoch_us(t) WHEN 3 THEN epoch_us(date_trunc('minute', t))
+  WHEN 4 THEN epoch_us(date_trunc('day', t)::TIMESTAMP) WHEN 5 THEN epoch_us(date_trunc('day', t)::TIMESTAMP) WHEN 6 THEN epoch_us(TIMESTAMP '1900-01-01' + (t - date_trunc('day', t)))
+  WHEN 7 THEN epoch_us(TIMESTAMP '1900-01-01' + (date_trunc('minute', t) - date_trunc('day', t))) WHEN 8 THEN epoch_us(t) END::BIGINT AS micros FROM d
 """)
 def x_timestamps(spark, sf):
-    k = F.col("o_orderkey") % 4
-    s = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).when(
-        k == 2, F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string")).otherwise("soon")
-    return fx.table(spark, sf, "orders").select("o_orderkey", F.unix_micros(X.parse_timestamp(s)).alias("micros"))
+    k = F.col("o_orderkey") % 11
+    t = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400)
+    formats = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.'25'", "MM/dd/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "yyyy-MM-dd", "MM/dd/yyyy", "HH:mm:ss", "H:mm"]
+    s = F.when(k == 8, F.unix_seconds(t).cast("string")).when(k == 9, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"))
+    for n, form in enumerate(formats):
+        s = s.when(k == n, F.date_format(t, form))
+    return fx.table(spark, sf, "orders").select("o_orderkey", F.unix_micros(X.parse_timestamp(s.otherwise("soon"))).alias("micros"))
 
 
 @query("""
@@ -373,12 +378,13 @@ def j_nearest_asof(spark, sf):
 
 
 @query("""
-WITH l AS (SELECT y, x, v % 9 AS label FROM li WHERE frame_id = 3 AND v % 9 > 0),
+WITH l AS (SELECT y + 32 * frame_id AS y, x, v % 9 AS label FROM li WHERE v % 9 > 0),
 b AS (SELECT label, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM l GROUP BY 1)
 SELECT 'roi' || row_number() OVER (ORDER BY area DESC, label) AS roi, * FROM b ORDER BY area DESC, label LIMIT 5
 """)
 def j_label_rois(spark, sf):
-    return P.label_rois(fx.li_raster(spark, sf).filter("frame_id = 3").select("y", "x", (F.col("v") % 9).alias("label")))
+    tall = fx.li_raster(spark, sf).select((F.col("y") + 32 * F.col("frame_id")).alias("y"), "x", (F.col("v") % 9).alias("label"))
+    return P.label_rois(tall)
 
 
 @query("""
@@ -730,21 +736,130 @@ def a_core_outer_stats(spark, sf):
     return s.withColumns({c: r(c) for c in s.columns if c.endswith("fraction")})
 
 
-@query("""
-WITH t AS (SELECT frame_id, y // 4 AS ty, x // 4 AS tx, v, count(*) AS n FROM px8 GROUP BY 1, 2, 3, 4), e AS (SELECT frame_id, ty, tx, sum(greatest(n - 1, 0)) AS ex FROM t GROUP BY 1, 2, 3),
-d AS (SELECT frame_id, ty, tx, ex, u::INT AS v, least(coalesce(n, 0), 1) AS n FROM (SELECT * FROM e, range(256) r(u)) q LEFT JOIN t USING (frame_id, ty, tx) WHERE false),
+def _even(source: str, padded: str | None = None, size: int = 4) -> str:
+    """CTEs: `ev`, `source` (frame_id, y, x, v) equalized in 2 by 2 tiles of `size` pixels, histograms from `padded`."""
+    area = size * size
+    clip = max(1, 2 * area // 256)
+    return f"""
+t AS (SELECT frame_id, y // {size} AS ty, x // {size} AS tx, v, count(*) AS n FROM {padded or source} GROUP BY 1, 2, 3, 4),
+e AS (SELECT frame_id, ty, tx, sum(greatest(n - {clip}, 0)) AS ex FROM t GROUP BY 1, 2, 3),
 g AS (SELECT e.frame_id, e.ty, e.tx, e.ex, r.u::INT AS v FROM e, range(256) r(u)),
-l AS (SELECT g.frame_id, g.ty, g.tx, g.v, least(255, round_even((sum(least(coalesce(n, 0), 1)) OVER (PARTITION BY g.frame_id, g.ty, g.tx ORDER BY g.v) + (ex // 256) * (g.v + 1)
-  + CASE WHEN ex % 256 > 0 THEN least(g.v // greatest(256 // (ex % 256), 1) + 1, ex % 256) ELSE 0 END) * 255.0 / 16, 0)) AS lut FROM g LEFT JOIN t ON t.frame_id = g.frame_id AND t.ty = g.ty AND t.tx = g.tx AND t.v = g.v),
-p AS (SELECT frame_id, y, x, v, y / 4.0 - 0.5 AS fy, x / 4.0 - 0.5 AS fx FROM px8),
+l AS (SELECT g.frame_id, g.ty, g.tx, g.v, least(255, round_even((sum(least(coalesce(n, 0), {clip})) OVER (PARTITION BY g.frame_id, g.ty, g.tx ORDER BY g.v) + (ex // 256) * (g.v + 1)
+  + CASE WHEN ex % 256 > 0 THEN least(g.v // greatest(256 // (ex % 256), 1) + 1, ex % 256) ELSE 0 END) * 255.0 / {area}, 0)) AS lut FROM g LEFT JOIN t ON t.frame_id = g.frame_id AND t.ty = g.ty AND t.tx = g.tx AND t.v = g.v),
+p AS (SELECT frame_id, y, x, v, y / {size}.0 - 0.5 AS fy, x / {size}.0 - 0.5 AS fx FROM {source}),
 c AS (SELECT p.*, a, b, greatest(0, least(1, floor(fy) + a))::INT AS ty, greatest(0, least(1, floor(fx) + b))::INT AS tx,
-  (CASE WHEN a = 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE WHEN b = 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) AS w FROM p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(a, b))
-SELECT c.frame_id, c.y, c.x, round_even(sum(w * lut), 0)::INT AS v FROM c JOIN l USING (frame_id, ty, tx, v) GROUP BY 1, 2, 3
-""")
+  (CASE WHEN a = 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE WHEN b = 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) AS w FROM p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(a, b)),
+ev AS (SELECT c.frame_id, c.y, c.x, round_even(round(sum(w * lut), 6), 0)::INT AS v FROM c JOIN l USING (frame_id, ty, tx, v) GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_even('px8')} SELECT * FROM ev")
 def c_clahe(spark, sf):
     return segment.clahe(fx.px8(spark, sf), 8, 8, 2.0, 2)
 
 
+@query(f"""
+WITH s7 AS (SELECT frame_id, y, x, v FROM px8 WHERE y < 7 AND x < 7), m(k, j) AS (SELECT range, range FROM range(7) UNION ALL VALUES (5, 7)),
+pad AS (SELECT frame_id, a.j AS y, b.j AS x, v FROM s7 JOIN m a ON a.k = y JOIN m b ON b.k = x), {_even('s7', 'pad')} SELECT * FROM ev
+""")
+def c_clahe_mirrored(spark, sf):
+    return segment.clahe(fx.px8(spark, sf).filter("y < 7 AND x < 7"), 7, 7, 2.0, 2)
+
+
+@query(f"WITH s AS (SELECT frame_id, y, x, 255 - v AS v FROM px8), {_even('s')} SELECT frame_id, y, x, px8.v AS r, ev.v AS g, (px8.v + 1) // 2 AS b FROM ev JOIN px8 USING (frame_id, y, x)")
+def c_clahe_channel(spark, sf):
+    v = F.col("v")
+    rgb = F.struct(v.alias("r"), (255 - v).alias("g"), F.floor((v + 1) / 2).cast("int").alias("b"))
+    return segment.clahe(fx.px8(spark, sf).withColumn("rgb", rgb), 8, 8, 2.0, 2, channel="green").select(*PX, "rgb.*")
+
+
+@query(f"""
+WITH f AS (SELECT stack_id AS frame_id, y, x, CAST(trunc(round(avg(v), 9)) AS INT) AS v FROM px8 GROUP BY 1, 2, 3),
+b AS (SELECT frame_id, y, x, CAST(least(255, round_even(v * 1.5, 0)) AS INT) AS v FROM f), {_even('b')}
+SELECT frame_id, y, x, bar::INT * 255 AS r, CASE WHEN bar THEN 255 ELSE v END AS g, bar::INT * 255 AS b FROM (SELECT *, y BETWEEN 6 AND 7 AND x BETWEEN 1 AND 4 AS bar FROM ev)
+""")
+def v_focal_sequence(spark, sf):
+    from .workflows import focal_stack_sequence
+
+    return focal_stack_sequence(fx.px8(spark, sf), 8, 8, "average", 1.5, 2.0, 2, scale_um=3.0, pixel_size_um=1.0, bar_height=1, bar_margin=1).select(*PX, "rgb.*")
+
+
+@query("""
+SELECT frame_id, y, x, CASE WHEN m < 128 THEN 10 ELSE v END AS r, CASE WHEN m < 128 THEN 20 ELSE 255 - v END AS g, CASE WHEN m < 128 THEN 30 ELSE 0 END AS b, CASE WHEN m < 128 THEN 255 ELSE v // 2 END AS a
+FROM px8 JOIN mask8 USING (y, x)
+""")
+def j_color_mask(spark, sf):
+    v = F.col("v")
+    rgb = F.struct(v.alias("r"), (255 - v).alias("g"), F.lit(0).alias("b"), F.floor(v / 2).cast("int").alias("a"))
+    return P.apply_mask(fx.px8(spark, sf).withColumn("rgb", rgb), fx.mask8(spark), X.parse_color("10,20,30")).select(*PX, "rgb.*")
+
+
+@query("""
+WITH w AS (SELECT frame_id, t.i AS y, u.i AS x, v, (least((y + 1) * 0.375, t.i + 1) - greatest(y * 0.375, t.i)) * (least((x + 1) * 0.375, u.i + 1) - greatest(x * 0.375, u.i)) AS w FROM px8, range(3) t(i), range(3) u(i)
+  WHERE (y + 1) * 0.375 > t.i AND y * 0.375 < t.i + 1 AND (x + 1) * 0.375 > u.i AND x * 0.375 < u.i + 1)
+SELECT frame_id, y::INT AS y, x::INT AS x, round(sum(v * w)::DOUBLE / sum(w)::DOUBLE, 6) AS v FROM w GROUP BY 1, 2, 3
+""")
+def a_downscale_to_width(spark, sf):
+    return P.downscale_to(fx.px8(spark, sf), 8, 8, 3)[0].withColumn("v", r("v"))
+
+
+@query("SELECT li.frame_id, a.i::INT AS y, b.i::INT AS x, v AS label FROM range(20) a(i), range(48) b(i), li WHERE li.y = floor(a.i * 1.6) AND li.x = floor(b.i * 2 / 3)")
+def j_resize_labels(spark, sf):
+    return P.resize_labels(fx.li_raster(spark, sf).withColumnRenamed("v", "label"), 32, 32, 20, 48).select(*PX, "label")
+
+
+@query("""
+WITH a AS (SELECT stack_id, z, y // 2 AS y, x // 2 AS x, sum(v) AS a FROM px8 GROUP BY 1, 2, 3, 4), k AS (SELECT *, row_number() OVER (PARTITION BY stack_id, y, x ORDER BY abs(a) DESC, z) AS k FROM a)
+SELECT stack_id, min(z)::INT AS min_z, max(z)::INT AS max_z FROM k WHERE k <= 2 GROUP BY 1
+""")
+def e_edf_z_range(spark, sf):
+    from ..operators.wavelet import edf_z_range
+
+    return edf_z_range(fx.px8(spark, sf), "haar", 1, 2)
+
+
+@query(f"WITH {_EIGHT}, core AS (SELECT frame_id, trunc(avg(y))::INT AS y, trunc(avg(x))::INT AS x FROM px8 WHERE v >= 150 GROUP BY 1), h AS (SELECT frame_id, label FROM cc JOIN core USING (frame_id, y, x)) SELECT cc.* FROM cc JOIN h USING (frame_id, label)")
+def m_containing_component(spark, sf):
+    cores = fx.px8(spark, sf).filter("v >= 150").select(*PX)
+    return segment.containing_component(segment.connected_components(fx.regions8(spark, sf)), cores).select(*PX, "label")
+
+
+@query(f"WITH {_EIGHT} SELECT * FROM cc c WHERE (SELECT count(*) FROM cc q WHERE q.frame_id = c.frame_id AND q.label = c.label AND abs(q.y - c.y) + abs(q.x - c.x) = 1) < 4")
+def m_boundary(spark, sf):
+    return segment.boundary(segment.connected_components(fx.regions8(spark, sf))).select(*PX, "label")
+
+
+@query()
+def m_contours_and_hulls(spark, sf):
+    c = segment.connected_components(fx.regions8(spark, sf))
+    shapes = segment.with_circularity(segment.region_measures(c), segment.perimeter(c), F.lit(0.5))
+    hulls = segment.convexity(c).select("frame_id", "label", "hull_area", r("convexity").alias("convexity"))
+    return shapes.join(hulls, ["frame_id", "label"]).select("frame_id", "label", r("perimeter").alias("perimeter"), r("circularity").alias("circularity"), "hull_area", "convexity")
+
+
+@query("""
+SELECT frame_id, area_pixels, round(CASE WHEN frame_id % 3 > 0 THEN area_pixels * pow(frame_id % 3 * 0.25, 2) ELSE 0 END, 6) AS area_um2 FROM (SELECT frame_id, count(*) AS area_pixels FROM reg8 GROUP BY 1)
+""")
+def a_physical_area(spark, sf):
+    areas = fx.regions8(spark, sf).groupBy("frame_id").agg(F.count("*").alias("area_pixels"))
+    px = F.when(F.col("frame_id") % 3 > 0, F.col("frame_id") % 3 * 0.25)
+    return segment.with_physical_units(areas, px).withColumn("area_um2", r("area_um2"))
+
+
+@query("""
+WITH n AS (SELECT series_id, idx, value, lag(value) OVER w AS p, lead(value) OVER w AS q, value - avg(value) OVER (PARTITION BY series_id) AS wave FROM evs WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
+p AS (SELECT series_id, idx, value FROM n WHERE value > p AND value > q), t AS (SELECT series_id, idx AS trough, value AS low FROM n WHERE value < p AND value < q),
+m AS (SELECT series_id, idx, any_value(value) AS value, arg_min(low, row(abs(trough - idx), trough)) AS low FROM p JOIN t USING (series_id) GROUP BY 1, 2),
+d AS (SELECT series_id, median(abs(value - low)) AS p2p FROM m GROUP BY 1)
+SELECT series_id, round(sqrt(avg(wave * wave)), 6) AS rms, round(any_value(p2p), 6) AS p2p FROM n LEFT JOIN d USING (series_id) GROUP BY 1
+""")
+def a_amplitudes(spark, sf):
+    s = fx.ev_series(spark, sf)
+    high, low = (pulse.local_maxima(s.withColumn("value", sign * F.col("value"))).select("series_id", "idx", F.lit(True).alias(n)) for sign, n in ((1, "is_peak"), (-1, "is_trough")))
+    marked = s.join(high, ["series_id", "idx"], "left").join(low, ["series_id", "idx"], "left").na.fill(False, ["is_peak", "is_trough"])
+    wave = marked.withColumn("wave", F.col("value") - F.avg("value").over(Window.partitionBy("series_id")))
+    return pulse.amplitudes(wave).withColumns({"rms": r("rms"), "p2p": r("p2p")})
+
+
 # --- streaming twins and the flagship
 
 @query("SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n, round(sum(CAST(round(value * 100) AS BIGINT)) / 100, 2) AS total FROM events GROUP BY 1, 2")
@@ -854,15 +969,16 @@ def o_listings(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT user_id % 4 AS session, extract(day FROM ts)::INT AS timepoint, (sum(round(value)::BIGINT) % 5 - 2)::BIGINT AS dy, (count(*) % 3 - 1)::BIGINT AS dx FROM events
-  WHERE extract(day FROM ts) % 6 <> 0 GROUP BY 1, 2),
+WITH s AS (SELECT user_id % 4 AS session, (extract(day FROM ts) + extract(day FROM ts) // 6)::INT AS timepoint, (sum(round(value)::BIGINT) % 5 - 2)::BIGINT AS dy, (count(*) % 3 - 1)::BIGINT AS dx FROM events
+  GROUP BY 1, 2),
 n AS (SELECT *, CASE WHEN timepoint - lag(timepoint) OVER w = 1 THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY session ORDER BY timepoint)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY timepoint) AS island FROM n)
 SELECT session, timepoint, island::BIGINT AS island, (sum(CASE WHEN new = 1 THEN 0 ELSE dy END) OVER w)::BIGINT AS sum_dy, (sum(CASE WHEN new = 1 THEN 0 ELSE dx END) OVER w)::BIGINT AS sum_dx
 FROM i WINDOW w AS (PARTITION BY session, island ORDER BY timepoint)
 """)
 def w_chained_drift(spark, sf):
-    e = fx.table(spark, sf, "events").withColumns({"session": F.col("user_id") % 4, "timepoint": F.dayofmonth("ts")}).filter("timepoint % 6 <> 0")
+    day = F.dayofmonth("ts")  # each sixth number is left out of the timepoints, no event is
+    e = fx.table(spark, sf, "events").withColumns({"session": F.col("user_id") % 4, "timepoint": (day + F.floor(day / 6)).cast("int")})
     steps = e.groupBy("session", "timepoint").agg((F.sum(F.round("value").cast("long")) % 5 - 2).alias("dy"), (F.count("*") % 3 - 1).alias("dx"))
     return register.chain(steps).select("session", "timepoint", "island", "sum_dy", "sum_dx")
 
@@ -890,6 +1006,20 @@ def z_block_motion(spark, sf):
     return pulse.block_motion(fx.px8(spark, sf), 4).withColumn("speed", r("speed", 5))
 
 
+@query("""
+WITH g AS (SELECT stack_id, z, y, x, lead(v) OVER (PARTITION BY stack_id, y, x ORDER BY z) - v AS it,
+    (lead(v) OVER (PARTITION BY frame_id, y ORDER BY x) - lag(v) OVER (PARTITION BY frame_id, y ORDER BY x)) / 2.0 AS ix,
+    (lead(v) OVER (PARTITION BY frame_id, x ORDER BY y) - lag(v) OVER (PARTITION BY frame_id, x ORDER BY y)) / 2.0 AS iy FROM px8),
+b AS (SELECT stack_id, z, y // 4 AS ty, x // 4 AS tx, sum(ix * ix)::DOUBLE AS a, sum(ix * iy)::DOUBLE AS b, sum(iy * iy)::DOUBLE AS c, sum(ix * it)::DOUBLE AS e, sum(iy * it)::DOUBLE AS f
+  FROM g WHERE ix IS NOT NULL AND iy IS NOT NULL AND it IS NOT NULL GROUP BY 1, 2, 3, 4),
+s AS (SELECT stack_id, z, ty, tx, CASE WHEN a * c - b * b > 1e-6 THEN sqrt(pow((b * f - c * e) / (a * c - b * b), 2) + pow((b * e - a * f) / (a * c - b * b), 2)) ELSE 0 END AS speed FROM b)
+SELECT p.stack_id, roi, p.z, round(avg(speed), 5) AS motion FROM px8 p JOIN s ON s.stack_id = p.stack_id AND s.z = p.z AND s.ty = p.y // 4 AND s.tx = p.x // 4
+JOIN rois8 ON p.y >= y0 AND p.y < y1 AND p.x >= x0 AND p.x < x1 GROUP BY 1, 2, 3
+""")
+def z_block_motion_by_roi(spark, sf):
+    return pulse.block_motion_by_roi(fx.px8(spark, sf), fx.rois8(spark), 4).withColumn("motion", r("motion", 5))
+
+
 @query()
 def v_track_regions(spark, sf):
     from .workflows import track_regions

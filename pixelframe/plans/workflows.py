@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pixels as P
 from ..operators import pulse, register, segment, series
+from ..operators import wavelet as wavelet_fusion
 from ..operators.durable import written
 
 
@@ -20,10 +21,40 @@ def fluorescence_curve(pixels: DataFrame, window: int, level: float = 0.95, brig
     return band.select("series_id", "idx", F.col("raw").alias("value"), "pct", "ma", "ci")
 
 
-def stack_stills(pixels: DataFrame, factor: float = 1.0, projection: str = "mean", channel: str = "green", gamma: float = 1.0) -> DataFrame:
+def fused_stacks(pixels: DataFrame, method: str = "average", wavelet: str = "db3", levels: int = 3, top_n: int = 1, invert: bool = False) -> DataFrame:
+    """One frame a stack, with frame_id = stack_id: depth of field (`edf`), a mean (`average`) or another projection."""
+    if method == "edf":
+        depth = pixels.groupBy("stack_id").agg(F.max("bit_depth").alias("bit_depth"))
+        fused = wavelet_fusion.edf_fuse(pixels, wavelet, levels, top_n, invert).join(depth, "stack_id")
+    else:
+        fused = P.fuse_project(pixels, "mean" if method == "average" else method)
+    return fused.withColumn("frame_id", F.col("stack_id"))
+
+
+def stack_stills(pixels: DataFrame, factor: float = 1.0, projection: str = "average", channel: str = "green", gamma: float = 1.0, **edf: object) -> DataFrame:
     """A colored still for each stack."""
-    fused = P.fuse_project(pixels, projection).withColumn("frame_id", F.col("stack_id"))
-    return P.grey_to_color(P.scale_brightness(fused, factor), channel, gamma)
+    return P.grey_to_color(P.scale_brightness(fused_stacks(pixels, projection, **edf), factor), channel, gamma)
+
+
+def focal_stack_sequence(
+    pixels: DataFrame, height: int, width: int, method: str = "edf", brightness: float = 1.0, clip_limit: float = 2.0, tiles: int = 8,
+    channel: str = "green", gamma: float = 1.0, scale_um: float | None = None, pixel_size_um: float | None = None, bar_height: int = 3,
+    bar_margin: int = 5, normalize: str = "global", **edf: object,
+) -> DataFrame:
+    """The frames of an animation, one a stack (timepoint): fused, brightened, locally equalized, normalized to 8 bits, colored and with a white
+    scale bar where both sizes are given: frame_id, y, x, v, rgb. An input without stacks raises."""
+    if pixels.isEmpty():
+        raise ValueError("no focal stacks")
+    fused = fused_stacks(pixels, method, **edf)
+    lit = P.scale_brightness(fused, brightness) if brightness != 1.0 else fused
+    bits = fused.agg(F.max("bit_depth")).head()[0]
+    even = segment.clahe(lit, height, width, clip_limit, tiles, 65536 if bits == 16 else 256).withColumns({"bit_depth": F.lit(bits), "sequence": F.lit(0)})
+    out = P.grey_to_color(P.normalize_frames(even, normalize, by="sequence"), channel, gamma).drop("sequence")
+    if scale_um is None or pixel_size_um is None:
+        return out
+    marked = P.overlay_scale_bar(out.withColumn("_v", F.col("v")).withColumn("v", F.lit(0)), scale_um, pixel_size_um, bar_margin, bar_height, 1)
+    white = F.struct(*(F.lit(255).alias(c) for c in "rgb"))
+    return marked.withColumn("rgb", F.when(F.col("v") == 1, white).otherwise(F.col("rgb"))).withColumn("v", F.col("_v")).drop("_v")
 
 
 def aligned_and_cropped(pixels: DataFrame, max_shift: int, channel: str = "green") -> DataFrame:
@@ -51,9 +82,11 @@ def growth_tables(tracks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return series.growth_rate(tracks), series.growth_summary(tracks), series.area_darkness_corr(tracks)
 
 
-def pulsatility_report(pixels: DataFrame, rois: DataFrame, fps: float, **bands: float) -> tuple[DataFrame, DataFrame]:
-    """Motion by region (frame differences), then the pulse analysis of every region: (summary, waveform)."""
-    motion = P.motion_diff(pixels, rois)
+def pulsatility_report(pixels: DataFrame, rois: DataFrame, fps: float, method: str = "diff", block: int = 16, **bands: float) -> tuple[DataFrame, DataFrame]:
+    """Motion by region (frame differences, or `flow`: speeds of blocks), then the pulse analysis of every region: (summary, waveform)."""
+    if method not in ("flow", "diff"):
+        raise ValueError(f"unknown method {method!r}")
+    motion = P.motion_diff(pixels, rois) if method == "diff" else pulse.block_motion_by_roi(pixels, rois, block)
     s = motion.select(F.concat_ws("/", "stack_id", "roi").alias("series_id"), (F.col("z") - 1).alias("idx"), F.col("motion").alias("value"))
     return pulse.analyze_pulsatility(s, fps, **bands)
 
