@@ -34,6 +34,16 @@ def li_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.sum("l_quantity").cast("int").alias("v"))
 
 
+def li_frames(spark: SparkSession, sf_dir: str, size: int = 256, frames: int = 8) -> DataFrame:
+    """Dense frames of size by size with summed quantities, in two stacks; a place without a line item is 0."""
+    keys = [(F.col(c) % n).cast("int").alias(a) for c, n, a in (("l_suppkey", frames, "frame_id"), ("l_partkey", size, "y"), ("l_orderkey", size, "x"))]
+    found = table(spark, sf_dir, "lineitem").groupBy(*keys).agg((F.sum("l_quantity").cast("int") % 256).alias("v"))
+    every = found.select("frame_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    dense = every.join(found, ["frame_id", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+    z = F.floor(F.col("frame_id") / 2).cast("int")
+    return dense.select("frame_id", (F.col("frame_id") % 2).alias("stack_id"), z.alias("z"), "y", "x", "v", F.lit(8).alias("bit_depth"))
+
+
 def ev_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily sums by event type, in whole cents: series_id, idx, ts, value."""
     cents = F.sum(F.round(F.col("value") * 100).cast("long"))

@@ -921,7 +921,30 @@ def e_edf_haar(spark, sf):
     return edf_fuse(fx.px8(spark, sf), "haar", 1)
 
 
-@query()
+def _taps(name: str) -> str:
+    from ..operators.wavelet import filters
+
+    lo, hi = filters(name)
+    return f"taps(k, lo, hi) AS (VALUES {', '.join(f'({k}, {a!r}::DOUBLE, {b!r}::DOUBLE)' for k, (a, b) in enumerate(zip(lo, hi, strict=True)))})"
+
+
+def _mirror(i: str) -> str:
+    """The line's sample under tap k of coefficient i, of 8 with half-sample symmetric borders."""
+    at = f"((2 * {i} + 17 - k) % 16)"
+    return f"CASE WHEN {at} < 8 THEN {at} ELSE 15 - {at} END"
+
+
+@query(f"""
+WITH {_taps('db3')},
+dx AS (SELECT stack_id, z, y, i AS x, sum(lo * v) AS l, sum(hi * v) AS h FROM px8, taps, range(6) r(i) WHERE x = {_mirror('i')} GROUP BY 1, 2, 3, 4),
+c AS (SELECT stack_id, z, i AS y, x, sum(lo * l) AS a, sum(hi * l) AS h, sum(lo * h) AS v, sum(hi * h) AS d FROM dx, taps, range(6) r(i) WHERE y = {_mirror('i')} GROUP BY 1, 2, 3, 4),
+k AS (SELECT *, row_number() OVER (PARTITION BY stack_id, y, x ORDER BY round(sqrt(h * h + v * v), 9) DESC, z) AS kd, row_number() OVER (PARTITION BY stack_id, y, x ORDER BY round(abs(a), 9) DESC, z) AS ka FROM c),
+s AS (SELECT stack_id, y, x, avg(a) FILTER (ka <= 2) AS a, avg(h) FILTER (kd <= 2) AS h, avg(v) FILTER (kd <= 2) AS v, avg(d) FILTER (kd <= 2) AS d FROM k GROUP BY 1, 2, 3),
+f AS (SELECT 5 - k AS k, lo, hi FROM taps),
+uy AS (SELECT stack_id, j AS y, x, sum(a * lo + h * hi) AS l, sum(v * lo + d * hi) AS h FROM s, f, range(8) r(j) WHERE (j + 4 - k) % 2 = 0 AND y = (j + 4 - k) // 2 GROUP BY 1, 2, 3),
+ux AS (SELECT stack_id, y, j AS x, sum(l * lo + h * hi) AS v FROM uy, f, range(8) r(j) WHERE (j + 4 - k) % 2 = 0 AND x = (j + 4 - k) // 2 GROUP BY 1, 2, 3)
+SELECT stack_id, y::INT AS y, x::INT AS x, trunc(least(255, greatest(0, round(v, 6))))::INT AS v FROM ux
+""")
 def e_edf_db3(spark, sf):
     from ..operators.wavelet import edf_fuse
 
@@ -1027,7 +1050,18 @@ def v_track_regions(spark, sf):
     return track_regions(fx.px8(spark, sf), 8, 8, 3, 6, 2)
 
 
-@query()
+@query("""
+WITH s(dy, dx) AS (SELECT a.i, b.i FROM range(-1, 2) a(i), range(-1, 2) b(i)),
+c AS (SELECT f.frame_id, dy, dx, round(corr(f.v::DOUBLE, g.v::DOUBLE), 9) AS c FROM px8 f, s, px8 g WHERE g.stack_id = f.stack_id AND g.z = 0 AND g.y = f.y - dy AND g.x = f.x - dx GROUP BY 1, 2, 3),
+m AS (SELECT frame_id, arg_max(dy, k)::INT AS dy, arg_max(dx, k)::INT AS dx FROM (SELECT *, row(c, -(abs(dy) + abs(dx)), -dy, -dx) AS k FROM c) GROUP BY 1),
+al AS (SELECT a.frame_id, a.y, a.x, coalesce(b.v, 0) AS v FROM px8 a JOIN m USING (frame_id) LEFT JOIN px8 b ON b.frame_id = a.frame_id AND b.y = a.y + dy AND b.x = a.x + dx),
+cr AS (SELECT frame_id, y - 1 AS y, x - 1 AS x, v FROM al WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6),
+t(d, w) AS (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)),
+rx AS (SELECT p.frame_id, p.y, p.x, sum(q.v * w) AS v FROM cr p, t, cr q WHERE q.frame_id = p.frame_id AND q.y = p.y AND q.x = 5 - abs(((p.x + d + 10) % 10) - 5) GROUP BY 1, 2, 3),
+bl AS (SELECT p.frame_id, p.y, p.x, sum(q.v * w) / 256.0 AS v FROM rx p, t, rx q WHERE q.frame_id = p.frame_id AND q.x = p.x AND q.y = 5 - abs(((p.y + d + 10) % 10) - 5) GROUP BY 1, 2, 3),
+r AS (SELECT frame_id, max(floor(v + 0.5))::DOUBLE / 255.0::DOUBLE AS ratio FROM bl GROUP BY 1)
+SELECT frame_id, y::INT AS y, x::INT AS x, least(255, round_even(v / ratio, 0))::INT AS g FROM cr JOIN r USING (frame_id)
+""")
 def v_aligned_and_cropped(spark, sf):
     from .workflows import aligned_and_cropped
 
