@@ -1043,11 +1043,49 @@ def z_block_motion_by_roi(spark, sf):
     return pulse.block_motion_by_roi(fx.px8(spark, sf), fx.rois8(spark), 4).withColumn("motion", r("motion", 5))
 
 
-@query()
+_E5 = ", ".join(f"({dy}, {dx})" for dy, dx in segment.ELLIPSE5)
+
+
+def _grown(name: str, source: str) -> str:
+    return f"{name} AS (SELECT DISTINCT g.frame_id, g.y, g.x FROM px8 g, e5, {source} b WHERE b.frame_id = g.frame_id AND b.y = g.y + dy AND b.x = g.x + dx)"
+
+
+def _worn(name: str, source: str) -> str:
+    return f"""{name} AS (SELECT g.frame_id, g.y, g.x FROM px8 g JOIN e5 ON g.y + dy BETWEEN 0 AND 7 AND g.x + dx BETWEEN 0 AND 7
+  LEFT JOIN {source} b ON b.frame_id = g.frame_id AND b.y = g.y + dy AND b.x = g.x + dx GROUP BY 1, 2, 3 HAVING count(b.y) = count(*))"""
+
+
+_REGION = ", ".join(f'coalesce("{c}", 0) AS "{c}"' for c in ("label", "area_pixels", "bx", "by", "width", "height", "cx", "cy", "border", "polygon_area"))
+
+
+@query(f"""
+WITH RECURSIVE
+st AS (SELECT frame_id, y, x, v, min(v) OVER (PARTITION BY frame_id) AS lo, max(v) OVER (PARTITION BY frame_id) AS hi FROM px8),
+s8 AS (SELECT frame_id, y, x, CASE WHEN hi > lo THEN CAST(trunc((v - lo) * 255.0 / (hi - lo)) AS INT) ELSE 128 END AS v FROM st), {_even("s8")},
+tp(d, w) AS (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)),
+bx AS (SELECT p.frame_id, p.y, p.x, sum(q.v * w) AS v FROM ev p, tp, ev q WHERE q.frame_id = p.frame_id AND q.y = p.y AND q.x = 7 - abs(((p.x + d + 14) % 14) - 7) GROUP BY 1, 2, 3),
+sb AS (SELECT p.frame_id, p.y, p.x, floor(sum(q.v * w) / 256.0 + 0.5)::INT AS v FROM bx p, tp, bx q WHERE q.frame_id = p.frame_id AND q.x = p.x AND q.y = 7 - abs(((p.y + d + 14) % 14) - 7) GROUP BY 1, 2, 3),
+hs AS (SELECT frame_id, v, count(*) AS n FROM sb GROUP BY 1, 2),
+ot AS (SELECT frame_id, v, sum(n) OVER w / 64.0 AS o, sum(v * n) OVER w / 64.0 AS m, sum(v * n) OVER (PARTITION BY frame_id) / 64.0 AS t FROM hs WINDOW w AS (PARTITION BY frame_id ORDER BY v)),
+th AS (SELECT frame_id, greatest(arg_max(v, row(round(CASE WHEN o < 1 THEN pow(t * o - m, 2) / (o * (1 - o)) ELSE 0 END, 9), -v)) - 3, 0)::INT AS threshold FROM ot GROUP BY 1),
+dark AS (SELECT frame_id, y, x FROM sb JOIN th USING (frame_id) WHERE v <= threshold), e5(dy, dx) AS (VALUES {_E5}),
+{_worn("o1", "dark")}, {_grown("o2", "o1")}, {_grown("o3", "o2")}, {_worn("solid", "o3")},
+{_EIGHT.removeprefix("RECURSIVE").replace("reg8", "solid")},
+nn AS (SELECT frame_id, label, count(*) AS n FROM cc GROUP BY 1, 2), best AS (SELECT frame_id, arg_max(label, row(n, -label)) AS label, max(n) AS n FROM nn GROUP BY 1),
+rg AS (SELECT frame_id, label, y, x FROM cc JOIN best USING (frame_id, label) WHERE n >= 6),
+bo AS (SELECT frame_id, count(*) AS border FROM rg c WHERE (SELECT count(*) FROM rg q WHERE q.frame_id = c.frame_id AND abs(q.y - c.y) + abs(q.x - c.x) = 1) < 4 GROUP BY 1),
+ms AS (SELECT frame_id, label, count(*) AS area_pixels, min(x) AS bx, min(y) AS by, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, trunc(avg(x))::INT AS cx, trunc(avg(y))::INT AS cy, border,
+  round((max(x) - min(x) + 1) / (max(y) - min(y) + 1), 6) AS aspect_ratio, count(*) - border / 2 - 1 AS polygon_area FROM rg JOIN bo USING (frame_id) GROUP BY frame_id, label, border),
+ds AS (SELECT frame_id, sum(255 - v)::DOUBLE AS total_darkness, avg(255 - v) AS average_darkness, min(255 - v)::DOUBLE AS min_darkness, max(255 - v)::DOUBLE AS max_darkness, avg(v) AS raw_mean,
+  min(v)::DOUBLE AS raw_min, max(v)::DOUBLE AS raw_max FROM px8 JOIN rg USING (frame_id, y, x) GROUP BY 1)
+SELECT f.frame_id, ds.frame_id IS NOT NULL AS contour_found, coalesce(total_darkness, 0) AS total_darkness, round(coalesce(average_darkness, 0), 6) AS average_darkness, coalesce(min_darkness, 0) AS min_darkness,
+  coalesce(max_darkness, 0) AS max_darkness, round(coalesce(raw_mean, 0), 6) AS raw_mean, coalesce(raw_min, 0) AS raw_min, coalesce(raw_max, 0) AS raw_max, coalesce(aspect_ratio, 0) AS aspect_ratio, {_REGION}
+FROM (SELECT DISTINCT frame_id FROM px8) f LEFT JOIN ds USING (frame_id) LEFT JOIN ms USING (frame_id)
+""")
 def v_track_regions(spark, sf):
     from .workflows import track_regions
 
-    return track_regions(fx.px8(spark, sf), 8, 8, 3, 6, 2)
+    return track_regions(fx.px8(spark, sf), 8, 8, 3, 6, 2).withColumns({c: r(c) for c in ("average_darkness", "raw_mean", "aspect_ratio")})
 
 
 @query("""
