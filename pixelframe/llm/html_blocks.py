@@ -6,7 +6,8 @@ and its length, link share, punctuation and place. A bidirectional LSTM in numpy
 page in order, so that every block is classified with the whole page as context.
 
 The network is trained here, on `TRAINING_PAGES` pages that `page` makes from a seed: layouts drawn from common
-element and class names, with known labels. It has a fixed size and goes to the tasks in their closure.
+element and class names, with known labels; `trained()` makes it again, and its weights lie beside this module as text. It has
+a fixed size and goes to the tasks in their closure.
 
 Defined results. Null and empty html have no blocks: the text is empty. Cut-off markup at the end of a page is
 dropped. Repeated pages are read row by row. An empty table gives an empty table. Only page_id, url, html are read.
@@ -19,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -453,9 +455,33 @@ def trained(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED)
     return Labeller().train(sequences, labels, epochs)
 
 
+#: The weights that `trained()` gives, as text; made by `python -m pixelframe.llm.html_blocks`.
+WEIGHTS = Path(__file__).with_name("html_labeller.txt")
+
+
+def save(model: Labeller, path: Path = WEIGHTS) -> None:
+    """A line for each parameter: its name, its shape and its values in order, rounded to four digits."""
+    with open(path, "w", encoding="ascii") as f:
+        for name, v in model.p.items():
+            print(name, "x".join(map(str, v.shape)), *(f"{x:.4f}".rstrip("0").rstrip(".") for x in v.ravel().tolist()), file=f)
+
+
+@lru_cache(1)
+def labeller(path: Path = WEIGHTS) -> Labeller:
+    """The saved model; without the file it is trained."""
+    if not path.exists():
+        return trained()
+    model = Labeller()
+    with open(path, encoding="ascii") as f:
+        for line in f:
+            name, shape, *values = line.split(" ")
+            model.p[name] = np.array(values, np.float32).reshape([int(n) for n in shape.split("x")])
+    return model
+
+
 def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """page_id, url, text and n_chars (long, code points) for every row of pages(page_id, url, html)."""
-    model = model or trained()
+    model = model or labeller()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -476,3 +502,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(
         run, "page_id long, url string, text string, n_chars long"
     )
+
+
+if __name__ == "__main__":
+    save(trained())
