@@ -126,6 +126,14 @@ def scale_bar_px(scale_um: Column, px: Column) -> Column:
     return F.rint(scale_um / px).cast("int")
 
 
+def scale_bar_label(scale_um: Column) -> Column:
+    """`5 um`, `0.25 um`: six significant digits without trailing zeros, from 0.0001 to 999999."""
+    text = F.format_string("%.0f", scale_um.cast("double"))
+    for exponent in range(4, -5, -1):
+        text = F.when(scale_um >= 10.0 ** (exponent + 1), text).otherwise(F.regexp_replace(F.format_string(f"%.{5 - exponent}f", scale_um.cast("double")), r"\.?0+$", ""))
+    return F.concat(text, F.lit(" um"))
+
+
 def parse_roi(spec: Column) -> Column:
     """struct name, v (array<double>) of `[name=]x,y,w,h`; `;` may part the numbers. A null name is left to the caller."""
     has = F.contains(spec, F.lit("="))

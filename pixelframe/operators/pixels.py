@@ -140,16 +140,16 @@ def detect_bit_depth(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy(*FRAME).agg(F.when(F.max("v") > 255, 16).otherwise(8).alias("bit_depth"))
 
 
-def decimate(frames: DataFrame, stride: int = 1, max_frames: int | None = None, fps: Column | None = None, least: int = 3) -> DataFrame:
+def decimate(frames: DataFrame, stride: int = 1, max_frames: int | None = None, fps: Column | None = None, least: int = 3, by: str = "stack_id") -> DataFrame:
     """Every stride-th frame of each stack in order of frame_idx, at most max_frames of them, with the rate that results (30 where none
     is known). A stack that is left with under `least` frames raises."""
-    place = F.row_number().over(Window.partitionBy("stack_id").orderBy("frame_idx")) - 1
+    place = F.row_number().over(Window.partitionBy(by).orderBy("frame_idx")) - 1
     kept = frames.withColumn("_k", place).filter(F.col("_k") % stride == 0)
     if max_frames is not None:
         kept = kept.filter(F.col("_k") < stride * max_frames)
     rate = fps if fps is not None else F.col("fps")
     known = F.when(rate > 0, rate).otherwise(30.0) / stride
-    few = F.count("*").over(Window.partitionBy("stack_id")) < least
+    few = F.count("*").over(Window.partitionBy(by)) < least
     return kept.withColumn("fps", F.when(few, F.raise_error(F.lit("too few frames")).cast("double")).otherwise(known)).drop("_k")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,8 @@ from ..functions import keys as K
 from ..functions import scalars as X
 from ..operators import pixels as P
 from ..operators import pulse, register, segment, series
+from ..operators.durable import shared_folder
+from ..sources import frames as S
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -282,7 +285,7 @@ def p_scale_bar(spark, sf):
 @query("SELECT frame_id, stack_id AS video, z AS frame_idx, 5.0 AS fps, round((z + 0.5) / 10.0, 6) AS time_s FROM (SELECT DISTINCT frame_id, stack_id, z FROM px8) WHERE z % 2 = 0 AND z < 20")
 def p_decimate(spark, sf):
     frames = fx.px8(spark, sf).select("frame_id", F.col("stack_id").alias("video"), F.col("z").alias("frame_idx"), F.lit(10.0).alias("fps")).distinct()
-    return pulse.with_times(P.decimate(frames, 2, 10).withColumn("idx", F.col("frame_idx")), 10.0).select("frame_id", "video", "frame_idx", "fps", r("time_s").alias("time_s"))
+    return pulse.with_times(P.decimate(frames, 2, 10, by="video").withColumn("idx", F.col("frame_idx")), 10.0).select("frame_id", "video", "frame_idx", "fps", r("time_s").alias("time_s"))
 
 
 # --- joins
@@ -904,6 +907,110 @@ def v_stills(spark, sf):
     return stack_stills(fx.px8(spark, sf), 1.2).select(F.col("frame_id").alias("stack_id"), "y", "x", F.col("rgb.g").alias("g"))
 
 
+@query("SELECT p_partkey, printf('%g um', p_size * CASE p_partkey % 3 WHEN 0 THEN 0.25 WHEN 1 THEN 1.0 ELSE 15000.0 END) AS label FROM part")
+def x_scale_bar_label(spark, sf):
+    k = F.col("p_partkey") % 3
+    scale = F.col("p_size") * F.when(k == 0, 0.25).when(k == 1, 1.0).otherwise(15000.0)
+    return fx.table(spark, sf, "part").select("p_partkey", X.scale_bar_label(scale).alias("label"))
+
+
+# --- sources, sinks, user functions and streams: what goes to files lies in the folder that driver and executors share
+
+def _place(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT frame_id, stack_id, 64 AS pixels, sum(v)::BIGINT AS total FROM px8 GROUP BY 1, 2")
+def s_frame_table(spark, sf):
+    at = _place(spark, "frames")
+    S.write_frames(P.implode_pixels(fx.px8(spark, sf)).withColumn("stack_id", F.col("frame_id") % 5), at)
+    back = S.read_frame_table(spark, at).drop("stack_id").join(fx.px8(spark, sf).select("frame_id", "stack_id").distinct(), "frame_id")
+    total = F.aggregate("data", F.lit(0).cast("long"), lambda a, v: a + v)
+    return back.select("frame_id", "stack_id", F.size("data").alias("pixels"), total.alias("total"))
+
+
+@query("SELECT o_orderkey::INT AS N, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS actual_time FROM orders WHERE o_orderkey % 7 <> 0")
+def s_timestamps_csv(spark, sf):
+    at = _place(spark, "timestamps")
+    key = F.col("o_orderkey")
+    rows = fx.table(spark, sf, "orders").select(F.when(key % 7 == 0, "none").otherwise(key.cast("string")).alias("N"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("actual_time"))
+    S.write_csv(rows, at)
+    return S.read_timestamps(spark, at)
+
+
+@query("SELECT o_orderkey::INT AS idx, trunc(o_totalprice)::BIGINT AS value, epoch_us(date_trunc('minute', o_orderdate))::BIGINT AS micros FROM orders WHERE o_orderkey % 5 <> 0")
+def s_sum_series_csv(spark, sf):
+    at = _place(spark, "sums")
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("string")
+    o = fx.table(spark, sf, "orders")
+    S.write_csv(o.select(key.alias("index"), F.when(key % 5 == 0, "missing").otherwise(price).alias("sum_brightness"), F.date_format("o_orderdate", "MM/dd/yyyy HH:mm").alias("actual_time")), at)
+    return S.read_sum_series(spark, at).select("idx", "value", F.unix_micros("ts").alias("micros"))
+
+
+@query("SELECT series_id, idx, printf('%.5f', (idx + 0.5) / 8.0) AS time_s, printf('%.6f', value::DOUBLE) AS value, CASE WHEN idx % 4 = 0 THEN 1 ELSE 0 END AS is_pulse_peak FROM evs")
+def s_waveform_text(spark, sf):
+    wave = pulse.with_times(fx.ev_series(spark, sf), 8.0).withColumns({"detrended": F.col("value"), "wave": F.col("value"), "is_peak": F.col("idx") % 4 == 0})
+    return S.format_waveform(wave).select("series_id", "idx", "time_s", "value", "is_pulse_peak")
+
+
+@query("SELECT frame_id, round(avg(v), 6) AS mean, max(v)::INT AS top, CASE WHEN max(v) > 200 THEN 'too bright' END AS error FROM px8 GROUP BY 1 HAVING max(v) <= 200 UNION ALL SELECT frame_id, NULL, NULL, 'too bright' FROM px8 GROUP BY 1 HAVING max(v) > 200")
+def u_map_frames(spark, sf):
+    def measure(row: dict) -> dict:
+        if max(row["data"]) > 200:
+            raise ValueError("too bright")
+        return {"frame_id": row["frame_id"], "mean": sum(row["data"]) / len(row["data"]), "top": max(row["data"])}
+
+    return S.map_frames(P.implode_pixels(fx.px8(spark, sf)), measure, "frame_id long, mean double, top int", on_error="null").withColumn("mean", r("mean"))
+
+
+@query("SELECT stack_id, count(DISTINCT z) AS frames, arg_min(v, z)::INT AS first_value, arg_max(v, z)::INT AS last_value FROM px8 WHERE y = 0 AND x = 0 GROUP BY 1")
+def u_map_stacks(spark, sf):
+    def ends(pdf):
+        return pdf.iloc[:1][["stack_id"]].assign(frames=len(pdf), first_value=int(pdf["v"].iloc[0]), last_value=int(pdf["v"].iloc[-1]))
+
+    corner = fx.px8(spark, sf).filter("y = 0 AND x = 0").select("stack_id", "z", "v")
+    return S.map_stacks(corner, ends, "stack_id int, frames long, first_value int, last_value int")
+
+
+@query("SELECT idx, round((idx + 0.5) / 4.0, 6) AS time_s, round(max(value - m) FILTER (series_id = 'click'), 6) AS click_wave, round(max(value) FILTER (series_id = 'click'), 6) AS click_motion, round(max(value - m) FILTER (series_id = 'view'), 6) AS view_wave, round(max(value) FILTER (series_id = 'view'), 6) AS view_motion FROM (SELECT *, min(value) OVER (PARTITION BY series_id) AS m FROM evs) GROUP BY 1")
+def a_wide_waveform(spark, sf):
+    s = fx.ev_series(spark, sf)
+    wave = pulse.with_times(s.withColumn("wave", F.col("value") - F.min("value").over(Window.partitionBy("series_id"))), 4.0)
+    return pulse.roi_waveforms_wide(wave, ["click", "view"]).withColumns({c: r(c) for c in ("time_s", "click_wave", "click_motion", "view_wave", "view_motion")})
+
+
+@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT event_id, user_id FROM events) GROUP BY 1")
+def r_once(spark, sf):
+    from ..streaming.live import once
+
+    e = fx.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return once(e.unionByName(e), "event_id").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT frame_id, sum(v)::BIGINT AS inside FROM px8 JOIN mask8 USING (y, x) WHERE m > 127 GROUP BY 1")
+def r_stream_with_mask(spark, sf):
+    from ..streaming.live import enriched, new_frames, run_available
+
+    source, out = _place(spark, "arriving"), _place(spark, "enriched")
+    fx.px8(spark, sf).select("frame_id", "y", "x", "v").write.parquet(source)
+    run_available(enriched(new_frames(spark, source, "frame_id long, y int, x int, v int"), fx.mask8(spark)), out, _place(spark, "progress"))
+    return spark.read.parquet(out).filter("m > 127").groupBy("frame_id").agg(F.sum("v").alias("inside"))
+
+
+@query()
+def r_live_growth(spark, sf):
+    from ..streaming.live import live_growth, new_frames, run_available
+
+    source, out = _place(spark, "arriving"), _place(spark, "growth")
+    tracks = fx.ev_tracks(spark, sf).select("series_id", "timepoint", F.col("area_pixels").cast("double").alias("area_pixels"), "contour_found")
+    tracks.coalesce(1).write.parquet(source)
+    run_available(live_growth(new_frames(spark, source, "series_id int, timepoint int, area_pixels double, contour_found boolean")), out, _place(spark, "progress"))
+    return spark.read.parquet(out).withColumn("growth_pct", r("growth_pct"))
+
+
+ORACLES["r_live_growth"] = ORACLES["w_growth_rate"]
+
+
 # --- depth of field, kernels and compositions
 
 @query("""
