@@ -12,8 +12,8 @@ already and emits a star for each connected part, so a bucket of m classes gives
 A pair is confirmed in the first band that it shares.
 
 A bucket of up to TILE classes is one task. In a larger one each class is first compared with the bucket's
-least class, TILE of them in a task; after that only classes outside of the bucket's largest component are
-compared with the rest of the bucket, in tiles. A group of m near copies so takes about m comparisons, not
+least class, TILE of them in a task; after that only classes without a link to it are compared with the
+rest of the bucket, in tiles. A group of m copies near the leader so takes about m comparisons, not
 m * m / 2, and no pair of unconnected classes is left out. Bucket sizes are counted by partial aggregates and joined back, so
 no task holds a whole bucket.
 
@@ -38,6 +38,9 @@ MINIMA = BANDS * ROWS
 #: Similarity of a link, in hundredths, and the estimate from which a pair is confirmed.
 LINK, CANDIDATE = 75, 0.58
 TILE = 1024
+#: Edges of all nodes beyond which a node's least neighbour comes from a table, not an aggregate: Spark splits a node of very
+#: many edges over tasks only in joins of two plain exchanges.
+NODE_EDGES = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -276,32 +279,29 @@ def one_tile(met: DataFrame) -> DataFrame:
     return met.select("bucket", zero.alias("ti"), zero.alias("tj"), "cls", zero.alias("side"), "band")
 
 
-def leader_tiles(big: DataFrame) -> DataFrame:
-    """Each bucket's least class beside all others, TILE of them to a tile; a pair that meets in several bands goes once."""
-    heads = written(big.groupBy("bucket").agg(F.min("cls").alias("leader")), "leaders")
+def leader_tiles(big: DataFrame, heads: DataFrame) -> DataFrame:
+    """Each bucket's leader (`heads`: bucket, leader) beside all others, TILE of them to a tile; a pair that meets in several bands goes once."""
     led = written(big.join(heads, "bucket").filter("cls != leader").select("leader", "cls").distinct(), "led")
     parts = written(led.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "parts")
     bucket, none, no_band = F.xxhash64("leader").alias("bucket"), F.lit(-1).alias("tj"), F.lit(-1).alias("band")
     members = led.join(parts, "leader").select(
         bucket, F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("ti"), none, "cls", F.lit(0).alias("side"), no_band
     )
-    heads = parts.select(bucket, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("ti"), none, F.col("leader").alias("cls"), F.lit(1).alias("side"), no_band)
-    return members.unionByName(heads)
+    leaders = parts.select(bucket, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("ti"), none, F.col("leader").alias("cls"), F.lit(1).alias("side"), no_band)
+    return members.unionByName(leaders)
 
 
-def rest_tiles(big: DataFrame, roots: DataFrame) -> DataFrame:
-    """What leaders leave to compare: the classes of a bucket outside of its largest component with all of the bucket.
+def rest_tiles(big: DataFrame, heads: DataFrame, links: DataFrame) -> DataFrame:
+    """What leaders leave to compare: the classes of a bucket that no link (a, b) joins to its leader with all of the bucket.
 
-    Two classes of that component are connected already. A bucket in one component gives no tile.
+    Two classes that link to the leader are connected already. A bucket in which all do gives no tile.
     """
-    joined = big.join(roots, big["cls"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
-    joined = written(joined, "rooted")
-    sums = joined.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    tops = sums.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
-    tops = written(tops.select("bucket", F.col("top.root").alias("top"), (F.col("all") - F.col("top.n")).alias("others")).filter("others > 0"), "tops")
-    dealt = joined.join(tops, "bucket").select(
-        "bucket", "band", "cls", (F.col("root") != F.col("top")).alias("other"), F.xxhash64("cls").alias("h"),
-        F.ceil(F.col("m") / TILE).cast("int").alias("p"), F.ceil(F.col("others") / TILE).cast("int").alias("q"),
+    linked = links.select(F.col("a").alias("leader"), F.col("b").alias("cls"), F.lit(False).alias("other")).distinct()
+    joined = big.join(heads, "bucket").join(linked, ["leader", "cls"], "left")
+    joined = written(joined.withColumn("other", F.coalesce("other", F.col("cls") != F.col("leader"))).select("bucket", "band", "cls", "m", "other"), "rest")
+    others = written(joined.groupBy("bucket").agg(F.count_if("other").alias("others")).filter("others > 0"), "others")
+    dealt = joined.join(others, "bucket").select(
+        "bucket", "band", "cls", "other", F.xxhash64("cls").alias("h"), F.ceil(F.col("m") / TILE).cast("int").alias("p"), F.ceil(F.col("others") / TILE).cast("int").alias("q")
     )
     every = dealt.withColumn("tj", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).select(
         "bucket", F.pmod("h", "p").cast("int").alias("ti"), "tj", "cls", F.lit(0).alias("side"), "band"
@@ -374,11 +374,11 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links(a, b), by alternating large and small stars until nothing changes."""
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, split: bool) -> DataFrame:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both if large else both.filter("b < a")
-        # A table, not an aggregate: Spark splits a skewed side only in joins of two plain exchanges.
-        least = written(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = written(least, "least") if split else least
         moved = near.join(least, "a")
         if large:
             out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -394,7 +394,8 @@ def components(links: DataFrame) -> DataFrame:
 
     edges, now = kept(links.filter("a != b").distinct(), "links")
     while True:
-        edges, after = kept(star(star(edges, True), False), "stars")
+        split = now[0] > NODE_EDGES
+        edges, after = kept(star(star(edges, True, split), False, split), "stars")
         now, before = after, now
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
@@ -457,12 +458,13 @@ def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return chosen.join(sets, "cls").repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(confirmed, "a binary, b binary")
 
     big = met.filter(F.col("m") > TILE)
-    links = written(linked(one_tile(met.filter(F.col("m") <= TILE))), "links")
-    if not big.isEmpty():
-        links = links.unionByName(written(linked(leader_tiles(big)), "links"))
-        roots = written(components(links), "roots")
-        rest = written(linked(rest_tiles(big, roots)), "links")
-        links = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest)
+    small = one_tile(met.filter(F.col("m") <= TILE))
+    if big.isEmpty():
+        links = linked(small)
+    else:
+        heads = written(big.groupBy("bucket").agg(F.min("cls").alias("leader")), "leaders")
+        links = written(linked(small.unionByName(leader_tiles(big, heads))), "links")
+        links = links.unionByName(linked(rest_tiles(big, heads, links)))
     roots = written(components(links), "roots")
     carried = ["cls", "rep", *(["row"] if by_row else [])]
     return all_signed, classes.select(*carried).join(roots, F.col("cls") == F.col("node"), "left").select(*carried, F.coalesce("root", "cls").alias("root"))

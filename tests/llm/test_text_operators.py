@@ -238,7 +238,7 @@ def test_token_counts_with_the_real_vocabulary(spark, corpus):
 def test_html_labeller_on_held_out_pages():
     r = np.random.default_rng(77)
     pool = html_blocks.made_words(r)
-    model = html_blocks.trained()
+    model = html_blocks.labeller()
     wrong = total = 0
     for _ in range(150):
         text, want = html_blocks.page(r, pool)
@@ -346,6 +346,7 @@ def shingle_set(t):
 @pytest.mark.parametrize("tile", [4, 1024])
 def test_near_duplicates_equal_brute_force(spark, corpus, tile, monkeypatch):
     monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(minhash, "NODE_EDGES", 0 if tile == 4 else 10**6)
     r = random.Random(3)
     base = corpus[7][1].split(" ") + corpus[8][1].split(" ")
     rows = list(corpus)
@@ -554,6 +555,84 @@ def test_pipeline_stages(spark):
     assert packed.select("doc_id").distinct().count() == n
 
 
+def good(text):
+    """The quality rules in plain Python."""
+    import unicodedata
+
+    t = text or ""
+    w = WORD.findall(t)
+    grams = Counter(zip(w, w[1:], w[2:]))
+    inside = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    chars, dup = sum(map(len, w)), len(lines) - len(set(lines))
+    return not (
+        len(w) < 50 or 2 * len(inside) > len(w) or 10 * sum(c in quality.SYMBOLS for c in t) > 3 * len(w)
+        or 2 * sum(unicodedata.category(c) == "Lu" for c in t) > chars or 2 * dup > t.count("\n") + 1 or not 2 * len(w) <= chars <= 20 * len(w)
+    )
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline as p
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(41)
+    pool = ["".join(r.choices("abcdefghiklmnoprstué", k=r.randint(2, 9))) for _ in range(3000)]
+    say = lambda n: " ".join(r.choices(pool, k=n))
+    passage, short = say(60), say(20)
+    texts = [say(r.randint(20, 200)) for _ in range(60)] + [f"{say(60)} {passage} {say(60)} {short}" for _ in range(8)]
+    texts += [texts[3], texts[30].replace(" ", "  ", 1), texts[40] + " end", "SHOUT " * 80, "# $ " * 60, "a b c " * 90, "same line here\n" * 40, None, "", say(3000)]
+    rows = [(i, t, "en" if i % 3 else "fr", f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    stages = dict(p.STAGES)
+    kept = {}
+    docs = spark.read.parquet(path)
+    for name in [s for s, _ in p.STAGES][:4]:
+        docs = p.written(stages[name](spark, docs, str(tmp_path)), name)
+        kept[name] = {x["doc_id"]: x["text"] for x in docs.collect()}
+    want = {i: t for i, t, *_ in rows if good(t)}
+    assert kept["quality_rules"] == want and len(want) < len(rows) - 5
+    root = {i: i for i in want}
+    sets = {i: shingle_set(t) for i, t in want.items()}
+    for a in want:
+        for b in want:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    want = {i: t for i, t in want.items() if root[i] == i}
+    assert kept["near_dedup"] == want and len(want) < len(kept["quality_rules"])
+    want = brute_first(sorted(want.items()), suffixes.PASSAGE, suffixes.PASSAGE_WORDS)
+    assert kept["suffix_dedup"] == want and sum(passage in t for t in want.values()) == 1
+    chosen = kept["source_mixing"]
+    assert chosen and all(want[i] == t for i, t in chosen.items())
+    json = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = p.run(spark, str(tmp_path)).collect()
+    ids = {i: json.encode(t, add_special_tokens=False).ids + [2] for i, t in chosen.items()}
+    assert {x["doc_id"] for x in packed} == set(ids)
+    for x in packed:
+        part = ids[x["doc_id"]][x["start"] : x["start"] + x["length"]]
+        assert zlib.crc32(np.array(part, "<u4").tobytes()) == x["ids_crc32"]
+    assert sum(x["length"] for x in packed) == sum(map(len, ids.values()))
+    tokens = sum(map(len, ids.values()))
+    assert len({x["sequence_id"] for x in packed}) <= -(-tokens // 1024) + 1
+
+
+def test_ids_equal_those_of_the_named_tokenizer():
+    """Hostile white space, special tokens and broken-up words, in bulk."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    json = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder(packing.VOCABULARY)
+    r = random.Random(42)
+    bits = [" ", "  ", "\t", "\n", "\r\n", "\u00a0", "\u2003", "\x1c", "\x0b", "don't", "we'LL", "x1y22", "é", "e\u0301", "ß", "中文", "🙂", "<|endoftext|>", "<|", "|>", "'s", "...", "_a", "Word", "1234567", "\u200b"]
+    for _ in range(3000):
+        text = "".join(r.choices(bits, k=r.randint(0, 14)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == json.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [], extra=False)
     assert suffixes.digest(none).count() == quality.judge(none).count() == wordpieces.count_pieces(none).count() == 0
