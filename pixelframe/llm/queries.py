@@ -67,7 +67,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    targets = spark.createDataFrame(mixing.TARGETS, "dimension string, value string, share double")
+    return mixing.mix(table(spark, sf_dir, "documents"), targets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

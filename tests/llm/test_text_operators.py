@@ -516,6 +516,16 @@ def test_mix_samples_by_its_probabilities(spark):
     assert mixing.mix(df.limit(0)).count() == mixing.sampled(df.limit(0), targets).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 1000])
+def test_blocks_cover_all_rows_once(block, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    for texts in ([], ["abc"], ["abc", "d"], [None, "", "abcdefg"], ["a", None, "bcd", "efg"]):
+        found = mixing._blocks(pa.array(texts, pa.string()))
+        assert [k for a, b in found for k in range(a, b)] == list(range(len(texts))) and all(a < b for a, b in found)
+
+
 def test_topics_are_those_of_the_texts():
     r = random.Random(10)
     pool = [[f"{k}x{i}" for i in range(30)] for k in range(3)]
