@@ -1,13 +1,14 @@
 """Document fingerprints by SpotSigs, in DataFrame functions only.
 
 A signature is a common word and the chain of the next two content words (words that are not common)
-that follow it; of several common words in a row the last is the anchor. Where STRETCH words pass without
-a common one, each further word is an anchor itself, so that lists and junk have signatures too. A fingerprint is the set of a
-text's signatures, as sorted 32-bit hashes. Sets fall into partitions by length such that two sets with a
-similarity of `threshold` or more are in one partition or in neighbours; nothing here joins by it yet.
-`likeness` is the exact Jaccard similarity: every pair of nonempty sets is intersected, whatever the lengths.
+that follow it; of several common words in a row the last is the anchor. A fingerprint is the set of a
+text's signatures, as sorted 32-bit hashes. Prose has a common word every few words; lists and junk may have none:
+where STRETCH content words pass without one, the word before serves as anchor. Texts without a chain take all
+pairs of neighbouring words, texts without a word the text itself.
 
-Texts of common words only take all pairs of neighbouring words, texts without a word the text itself.
+Sets fall into partitions by length such that two sets with a Jaccard similarity of `floor` or more are in one
+partition or in neighbours. `likeness` is pruned Jaccard: pairs from partitions further apart, and pairs
+whose lengths alone keep them under `floor`, are not intersected; it is exact from `floor` on and 0 below.
 
 `with_next` brings each row's successor by doc_id without a global sort: rows are dealt by ranges of
 doc_id with bounds from approx_percentile, at most a few for each shuffle partition, and the rows at a
@@ -33,8 +34,10 @@ ANCHORS = (
     "le la les de des un une et à du en que qui pour dans par sur est pas au "
     "el los las y del por con una para es al se lo como su"
 ).split()
-THRESHOLD = 0.75
-STRETCH = 3
+#: Similarity under which pairs are pruned: sets of texts with nothing but chance in common are below it.
+FLOOR = 0.1
+#: Content words in a row after which each further word has its predecessor as anchor.
+STRETCH = 8
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 8
 
@@ -52,24 +55,16 @@ def signatures(text: Column) -> Column:
         return F.coalesce(x.isin(common), F.lit(False))
 
     def spots(w: Column) -> Column:
-        marked = F.transform(w, lambda x, i: F.struct(x.alias("w"), F.get(w, i - 1).alias("before"), is_common(x).alias("c")))
+        # Content words with their place, and the common word right before, if there is one.
+        before = lambda x, i: F.when(is_common(F.get(w, i - 1)), F.get(w, i - 1)).alias("anchor")
+        marked = F.transform(w, lambda x, i: F.when(~is_common(x), F.struct(x.alias("w"), i.alias("i"), before(x, i))))
 
-        def placed(m: Column) -> Column:
-            def near(i: Column) -> Column:
-                """0: content word after an anchor; 1: after STRETCH words of content; 2: neither; 3: a common word."""
-                back = [F.coalesce(F.get(m, i - k)["c"], F.lit(False)) for k in range(1, STRETCH + 1)]
-                free = ~back[0]
-                for x in back[1:]:
-                    free = free & ~x
-                return F.when(F.get(m, i)["c"], 3).when(back[0], 0).when(free, 1).otherwise(2)
+        def chains(c: Column) -> Column:
+            bare = lambda p, j: F.get(c, j - STRETCH)["i"] == p["i"] - STRETCH
+            anchor = lambda p, j: F.when(p["anchor"].isNotNull(), p["anchor"]).when(bare(p, j), F.get(c, j - 1)["w"])
+            return F.transform(c, lambda p, j: let(anchor(p, j), lambda a: F.when(a.isNotNull(), F.hash(a, p["w"], F.get(c, j + 1)["w"]))))
 
-            content = F.filter(F.transform(m, lambda p, i: F.struct(p["w"].alias("w"), p["before"].alias("before"), near(i).alias("kind"))), lambda p: p["kind"] < 3)
-            return let(
-                content,
-                lambda c: F.array_compact(F.transform(c, lambda p, i: F.when(p["kind"] < 2, F.hash(p["before"], p["w"], F.get(c, i + 1)["w"])))),
-            )
-
-        return let(marked, placed)
+        return F.array_compact(let(F.array_compact(marked), chains))
 
     def of(w: Column) -> Column:
         neighbours = F.transform(w, lambda x, i: F.hash(x, F.get(w, i + 1)))
@@ -85,19 +80,20 @@ def fingerprint(sigs: Column) -> Column:
     return F.array_join(F.transform(sigs, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(2**32 - 1))), 8, "0")), "")
 
 
-def length_part(sigs: Column, threshold: float = THRESHOLD) -> Column:
-    """Partition by set length: lengths within a factor of 1 / threshold; -1 for an empty set."""
-    return F.when(F.size(sigs) > 0, F.floor(F.log(F.size(sigs)) / -F.log(F.lit(threshold)))).otherwise(-1).cast("int")
+def length_part(sigs: Column, floor: float = FLOOR) -> Column:
+    """Partition by set length: lengths within a factor of 1 / floor; -1 for an empty set."""
+    return F.when(F.size(sigs) > 0, F.floor(F.log(F.size(sigs)) / -F.log(F.lit(floor)))).otherwise(-1).cast("int")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets, 0 to 1; only empty sets are not intersected."""
-    bound = F.least(F.size(a), F.size(b))
-    both = F.size(F.array_intersect(a, b))
+def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
+    """Jaccard similarity of two sets, 0 to 1, from `floor` on; 0 below. What lengths exclude is not intersected."""
+    few, many = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    apart = F.abs(length_part(a, floor) - length_part(b, floor)) > 1
+    exact = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
     return (
-        F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))
-        .when(bound == 0, F.lit(0.0))
-        .otherwise(let(both, lambda n: n / (F.size(a) + F.size(b) - n)))
+        F.when(many == 0, F.lit(1.0))
+        .when((few == 0) | apart | (few < floor * many), F.lit(0.0))
+        .otherwise(let(exact, lambda x: F.when(x >= floor, x).otherwise(0.0)))
     )
 
 
