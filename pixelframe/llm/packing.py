@@ -24,17 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slots, written
+from .common import slices, slots, written
 
 ROOM = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k"
+#: Size up to which the plan's places are broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Cached words a Python worker holds at most; the cache is then emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 class Encoder:
-    """Ids of a byte-level BPE, by `tiktoken` over the ranks of the same vocabulary, word by word with a cache.
+    """Ids of a byte-level BPE, by `tiktoken` over the ranks of the same vocabulary, word by word with a cache: the ids that
+    `tokenizers` gives for the vocabulary's .json file, which tests compare on hostile white space and special tokens.
 
     Pre-tokens never span a blank that has a character other than white space on both sides, so a
     text is the concatenation of its blank-parted words, each encoded with the blank before it.
@@ -98,7 +101,7 @@ def pieces(docs: DataFrame, room: int = ROOM, name: str = VOCABULARY) -> DataFra
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(name), np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = encode(text or "") + end
@@ -225,13 +228,16 @@ def pack(parts: DataFrame, room: int = ROOM) -> DataFrame:
         [(x, v) for x, v in runs.items()],
         "length long, places array<struct<lo:long,hi:long,first:long,offset:long>>",
     )
+    # A place takes some 40 bytes; a table beyond the bound is joined by its key.
+    if 40 * len(places) <= BROADCAST_BYTES:
+        table = F.broadcast(table)
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_slice.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
         parts.withColumn("inside", F.row_number().over(inside) - 1)
         .join(bases, ["length", "slice"])
-        .join(F.broadcast(table), "length")
+        .join(table, "length")
         .withColumn("rank", F.col("base") + F.col("inside"))
     )
     place = F.get(F.filter("places", lambda p: (p["lo"] <= F.col("rank")) & (F.col("rank") < p["hi"])), F.lit(0))

@@ -31,7 +31,7 @@ END, SYMBOLS = 256, 257
 PLAIN_BYTES = (range(33, 127), range(161, 173), range(174, 256))
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Cached runs a Python worker holds at most; the cache is then emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def byte_of() -> dict[str, int]:
