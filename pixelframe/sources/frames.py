@@ -25,7 +25,7 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """8-bit images: frame_id, height, width, bit_depth, data. The image source keeps a byte of each value, so a 16-bit PNG raises: such
     frames must come as tables.
 
-    Color images come as luminance, 0.299 r + 0.587 g + 0.114 b, rounded as the reference's `convert("L")` does; alpha is ignored.
+    Color images come as luminance, 0.299 r + 0.587 g + 0.114 b, rounded in 16-bit fixed point; alpha is ignored.
     """
     files = spark.read.format("binaryFile").load(path)
     png = F.hex(F.substring("content", 1, 4)) == "89504E47"
