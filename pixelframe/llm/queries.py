@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_blocks, minhash, mixing, oracles, packing, quality, spotsigs, suffixes, urls, wordpieces
+from . import chat, html_blocks, minhash, mixing, oracles, packing, quality, sentencepieces, spotsigs, suffixes, urls, wordpieces
 from .common import table
 
 URL_RULES = [
@@ -71,6 +71,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), targets)
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_url_filter,
@@ -83,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_minhash_near_dedup,
         op9_best_fit_packing,
         op10_source_mixing,
+        op13_sentencepiece,
     )
     return {f.__name__: f for f in operators}
 
