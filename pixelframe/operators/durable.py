@@ -22,10 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """`df` as a table in the shared folder, read back: what follows neither recomputes it nor depends on executors that made it."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
