@@ -1,13 +1,14 @@
 """SentencePiece encoding through a table of distinct chunks, and decoding from ids.
 
 The model's text form puts a marker before every word. Where no piece has a marker behind another character, no merge
-crosses the place in front of a run of markers, and a text falls into chunks: a run of markers and the word behind it. A line
-feed is a chunk of its own. A model whose pieces do cross markers has whole texts as chunks.
+crosses the place in front of a run of markers, and a text falls into chunks: a run of markers and the word behind it. By the same
+reason a character that no longer piece holds is a chunk of its own, and a word ends before a sign that no piece has behind a
+letter. A model whose pieces do cross markers has whole texts as chunks.
 
-A text is kept as positions in the chunk dictionary of its block of some megabytes of texts, so that a
-word travels once for each block it occurs in. The chunk table has each distinct chunk of the whole corpus once; it alone is segmented, by
-byte-pair merges of the model's scores, and its ids come back to the blocks by a join and to the texts by
-position. A very common word has as many rows in that join as there are blocks, and Spark can split them, since both sides are plain.
+A text is kept as positions in the chunk dictionary of its block of some megabytes of texts (the commonest chunk first, as
+variable bytes), so that a word travels once for each block it occurs in. Dealt by chunk and sorted, all blocks' dictionaries make the
+table of distinct chunks: each is segmented once, by byte-pair merges of the model's scores, as its run of rows passes, and its ids go back
+to the blocks and there to the texts by position. A very common word has one row for each block, whatever its number of occurrences.
 
 Defined results. Null and empty texts have the begin and end ids only. Blanks, line ends and characters without a piece
 are encoded as they are, the latter by bytes. A literal marker (U+2581) reads back as a blank, as the library has it. Repeated
@@ -33,8 +34,20 @@ from pyspark.sql import functions as F
 from .common import slices, written
 
 MARK = "▁"
-#: Bytes of texts with one dictionary.
-BLOCK_BYTES = 4 << 20
+#: Bytes of texts with one dictionary; a single longer text is a block of its own.
+BLOCK_BYTES = 16 << 20
+#: Characters up to which a chunk's pairs are scanned, not kept in a heap.
+SHORT = 40
+
+
+def _chunk_pattern(longer: list[str]) -> str:
+    """Chunks, where pieces cross no marker: `longer` are the pieces of two or more characters."""
+    held = {c for x in longer for c in x} - {MARK}
+    word = {c for c in held if re.match(r"\w", c)}
+    behind = {b for x in longer for a, b in zip(x, x[1:], strict=False) if a in word and b not in word}
+    of = lambda chars: f"[{re.escape(''.join(sorted(chars)))}]" if chars else "(?!)"
+    signs, words = of(held - word), of(word)
+    return f"(?s)[^{of(held | {MARK})[1:]}|(?=.){MARK}*{signs}*{words}*(?:{of(behind)}{signs}*{words}*)*"
 
 
 class Vocabulary:
@@ -49,9 +62,9 @@ class Vocabulary:
         self.ids = {self.piece[i]: i for i in plain}
         self.scores = {self.piece[i]: model.get_score(i) for i in plain}
         self.bytes = {int(self.piece[i][1:-1], 16): i for i in every if model.is_byte(i)}
-        self.crosses = any(MARK in self.piece[i].lstrip(MARK) for i in plain)
-        feeds = any("\n" in self.piece[i] and len(self.piece[i]) > 1 for i in plain)
-        self.chunk = re.compile("(?s).+" if self.crosses or feeds else f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+        longer = [self.piece[i] for i in plain if len(self.piece[i]) > 1]
+        crosses = any(MARK in x.lstrip(MARK) for x in longer)
+        self.chunk = re.compile("(?s).+" if crosses else _chunk_pattern(longer))
         # What each id reads as, for decoding: bytes in one array, with ends.
         said = [b""] * len(self.piece)
         for i in plain:
@@ -74,6 +87,8 @@ class Vocabulary:
     def segment(self, chunk: str) -> list[int]:
         """Ids of a chunk: the adjacent pair of best score is merged, the leftmost of equal ones, until no pair is a piece."""
         n, scores = len(chunk), self.scores
+        if n <= SHORT:
+            return self._ids(self._short(chunk))
         end, left = list(range(1, n + 1)), list(range(-1, n - 1))  # each symbol's end, and the start of the one before
         agenda: list[tuple[float, int, int, int]] = []
 
@@ -94,9 +109,33 @@ class Vocabulary:
                 offer(a, to)
             if left[a] >= 0:
                 offer(left[a], a)
-        out, a = [], 0
+        parts, a = [], 0
         while a < n:
-            piece = chunk[a : end[a]]
+            parts.append(chunk[a : end[a]])
+            a = end[a]
+        return self._ids(parts)
+
+    def _short(self, chunk: str) -> list[str]:
+        """The pieces of a short chunk: scanning its pairs beats a heap of them."""
+        parts, score = list(chunk), self.scores.get
+        low = float("-inf")
+        pairs = [score(a + b, low) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            best = max(pairs)
+            if best == low:
+                break
+            k = pairs.index(best)
+            parts[k] += parts.pop(k + 1)
+            del pairs[k]
+            if k:
+                pairs[k - 1] = score(parts[k - 1] + parts[k], low)
+            if k < len(pairs):
+                pairs[k] = score(parts[k] + parts[k + 1], low)
+        return parts
+
+    def _ids(self, parts: list[str]) -> list[int]:
+        out = []
+        for piece in parts:
             known = self.ids.get(piece)
             if known is not None:
                 out.append(known)
@@ -104,7 +143,6 @@ class Vocabulary:
                 out.extend(self.bytes[x] for x in piece.encode())
             else:
                 out.append(self.unknown)
-            a = end[a]
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -150,69 +188,97 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def varied(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as bytes of seven bits, the low ones first, and how many bytes each has."""
+    size = 1 + (codes >= 1 << 7) + (codes >= 1 << 14) + (codes >= 1 << 21)
+    place = np.arange(4)
+    every = (codes[:, None] >> (7 * place)) & 127 | np.where(place < size[:, None] - 1, 128, 0)
+    return every[place < size[:, None]].astype(np.uint8), size
+
+
+def unvaried(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of bytes, and where each ends."""
+    ends = np.flatnonzero(data < 128) + 1
+    starts = np.concatenate(([0], ends[:-1]))[: len(ends)]
+    padded = np.concatenate((data & 127, np.zeros(4, np.uint8))).astype(np.int64)
+    return sum(np.where(starts + k < ends, padded[starts + k] << (7 * k), 0) for k in range(4)), ends
+
+
+def _offsets(size: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(size)))
+
+
 def _dealt(path: str, others: list[str]):
     """Each row's other columns, its block and its chunks as places in the block's dictionary, which the block's first row has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         block = TaskContext.get().partitionId() << 32
-        known: dict[str, int] = {}
-        left = BLOCK_BYTES
-        for batch in slices(batches):
-            codes, heads = [], [None] * batch.num_rows
-            start, place = 0, known.setdefault
-            pieces = []
-            for k, text in enumerate(batch["text"].to_pylist()):
-                text = text or ""
-                codes.append(np.array([place(c, len(known)) for c in v.chunks(text)], np.int32))
-                left -= len(text)
-                if left <= 0 or k == batch.num_rows - 1:
-                    # The dictionary goes out with what has been read: a block never spans two slices.
-                    heads[start] = list(known)
-                    pieces.append((start, k + 1, block))
-                    known.clear()
-                    start, left, block = k + 1, BLOCK_BYTES, block + 1
-            of = np.concatenate([np.full(b - a, x, np.int64) for a, b, x in pieces])
+        for batch in slices(batches, size=BLOCK_BYTES):
+            known: dict[str, int] = {}
+            place, codes, words = known.setdefault, [], []
+            for text in batch["text"].to_pylist():
+                found = v.chunks(text or "")
+                words.append(len(found))
+                codes.append(np.fromiter((place(c, len(known)) for c in found), np.int32, len(found)))
+            codes = np.concatenate(codes)
+            order = np.argsort(-np.bincount(codes, minlength=len(known)), kind="stable")
+            rank = np.empty(len(known), np.int32)
+            rank[order] = np.arange(len(known))
+            data, size = varied(rank[codes])
+            ends = _offsets(size)[_offsets(words)].astype(np.int32)
+            chunks = list(known)
+            heads = [[chunks[k] for k in order.tolist()]] + [None] * (batch.num_rows - 1)
+            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays(
-                [*(batch[c] for c in others), pa.array(of), pa.array(codes, pa.list_(pa.int32())), pa.array(heads, pa.list_(pa.string()))],
+                [*(batch[c] for c in others), pa.array(np.full(batch.num_rows, block)), packed, pa.array(heads, pa.list_(pa.string()))],
                 [*others, "_block", "_codes", "_chunks"],
             )
+            block += 1
 
     return run
 
 
 def _segmented(path: str):
+    """Ids of each chunk, which is segmented once: equal chunks follow one another."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
+        last, ids = None, []
         for batch in slices(batches, "chunk"):
-            ids = pa.array([v.segment(c) for c in batch["chunk"].to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch["chunk"], ids], ["chunk", "ids"])
+            out = []
+            for chunk in batch["chunk"].to_pylist():
+                if chunk != last:
+                    last, ids = chunk, np.array(v.segment(chunk), "<u2" if len(v.piece) <= 1 << 16 else "<u4").tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch["of"], batch["place"], pa.array(out, pa.binary())], ["of", "place", "found"])
 
     return run
 
 
-def chunk_table(chunks: DataFrame, model: str) -> DataFrame:
-    """chunk, ids of every distinct chunk."""
-    return written(chunks.select("chunk").distinct().mapInArrow(_segmented(model), "chunk string, ids array<int>"), "chunks")
-
-
 def _joined(model: str, others: list[str]):
     def run(rows: pa.Table, table: pa.Table) -> pa.Table:
         v = vocabulary(model)
-        n = table.num_rows
-        of = np.empty(n, np.int64)
-        of[table["place"].to_numpy()] = np.arange(n)
-        lists = table["ids"].combine_chunks()
-        flat, ends = np.asarray(lists.flatten()), np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()))))
-        at, size = (ends[:-1][of], np.diff(ends)[of]) if n else (of, of)
-        out = []
-        for codes in rows["_codes"]:
-            c = np.asarray(codes.values)
-            k = size[c]
-            to = np.cumsum(k)
-            pick = flat[np.repeat(at[c] - (to - k), k) + np.arange(to[-1])] if len(c) else np.empty(0, np.int32)
-            out.append(np.concatenate(([v.begin], pick, [v.end])).astype(np.int32))
-        return pa.table({**{c: rows[c] for c in others}, "ids": pa.array(out, pa.list_(pa.int32()))})
+        wide = 2 if len(v.piece) <= 1 << 16 else 4
+        found = table["found"].to_pylist()
+        of = np.empty(len(found), np.int64)
+        of[table["place"].to_numpy()] = np.arange(len(found))
+        flat = np.frombuffer(b"".join(found), f"<u{wide}").astype(np.int32)
+        ends = _offsets([len(x) // wide for x in found])
+        at, size = ends[:-1][of], np.diff(ends)[of]
+        held = rows["_codes"].to_pylist()
+        codes, stops = unvaried(np.frombuffer(b"".join(held), np.uint8))
+        cuts = np.searchsorted(stops, _offsets([len(x) for x in held]), "right")  # codes before each row
+        k = size[codes]
+        to = _offsets(k)
+        tokens = np.diff(to[cuts]) + 2
+        starts = _offsets(tokens)
+        out = np.empty(starts[-1], np.int32)
+        inner = np.ones(len(out), bool)
+        inner[starts[:-1]] = inner[starts[1:] - 1] = False
+        out[starts[:-1]], out[starts[1:] - 1] = v.begin, v.end
+        out[inner] = flat[np.repeat(at[codes] - to[:-1], k) + np.arange(to[-1])]
+        return pa.table({**{c: rows[c] for c in others}, "ids": pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(out))})
 
     return run
 
@@ -223,10 +289,10 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
     kinds += ", " if others else ""
     rows = docs.select(*(F.col(f"`{c}`") for c in others), F.col(text).cast("string").alias("text"))
-    dealt = written(rows.mapInArrow(_dealt(model, others), f"{kinds}_block long, _codes array<int>, _chunks array<string>"), "dealt")
-    places = dealt.filter("_chunks IS NOT NULL").select("_block", F.posexplode("_chunks").alias("place", "chunk"))
-    found = places.join(chunk_table(places, model), "chunk").select(F.col("_block").alias("_of"), "place", "ids")
-    return dealt.drop("_chunks").groupBy("_block").cogroup(found.groupBy("_of")).applyInArrow(_joined(model, others), f"{kinds}ids array<int>")
+    dealt = written(rows.mapInArrow(_dealt(model, others), f"{kinds}_block long, _codes binary, _chunks array<string>"), "dealt", compression="zstd")
+    places = dealt.filter("_chunks IS NOT NULL").select(F.col("_block").alias("of"), F.posexplode("_chunks").alias("place", "chunk"))
+    found = places.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_segmented(model), "of long, place int, found binary")
+    return dealt.drop("_chunks").groupBy("_block").cogroup(found.groupBy("of")).applyInArrow(_joined(model, others), f"{kinds}ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
