@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_blocks, minhash, mixing, oracles, packing, quality, sentencepieces, spotsigs, suffixes, urls, wordpieces
+from . import chat, html_blocks, minhash, mixing, negatives, oracles, packing, quality, sentencepieces, spotsigs, suffixes, urls, wordpieces
 from .common import table
 
 URL_RULES = [
@@ -71,6 +71,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), targets)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.relabelled(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    return negatives.mine(negatives.integer_vectors(rows), F.col("vec_id") % 50 == 0)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,10 +94,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_minhash_near_dedup,
         op9_best_fit_packing,
         op10_source_mixing,
+        op12_hard_negatives,
         op13_sentencepiece,
     )
     return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": oracles.URLS, "op2_chat_format": oracles.CHATS, "op7_quality_rules": oracles.QUALITY, "op8_minhash_near_dedup": oracles.NEAR}
+    return {
+        "op1_url_filter": oracles.URLS,
+        "op2_chat_format": oracles.CHATS,
+        "op7_quality_rules": oracles.QUALITY,
+        "op8_minhash_near_dedup": oracles.NEAR,
+        "op12_hard_negatives": oracles.NEGATIVES,
+    }
