@@ -5,10 +5,10 @@ crosses the place in front of a run of markers, and a text falls into chunks: a
 reason a character that no longer piece holds is a chunk of its own, and a word ends before a sign that no piece has behind a
 letter. A model whose pieces do cross markers has whole texts as chunks.
 
-A text is kept as positions in the chunk dictionary of its block of some megabytes of texts (the commonest chunk first, as
-variable bytes), so that a word travels once for each block it occurs in. Dealt by chunk and sorted, all blocks' dictionaries make the
-table of distinct chunks: each is segmented once, by byte-pair merges of the model's scores, as its run of rows passes, and its ids go back
-to the blocks and there to the texts by position. A very common word has one row for each block, whatever its number of occurrences.
+Texts become positions in the table of distinct chunks; each chunk is segmented once, by byte-pair merges of the model's scores, when it
+enters the table, and the ids of a block of texts are gathered from the table by position, all at once. A worker has one
+table for all tasks it runs. It is bounded by TABLE_BYTES and starts anew beyond them, which costs time only: nothing is dealt out, so
+no word is hot, and a lost task is done again by itself.
 
 Defined results. Null and empty texts have the begin and end ids only. Blanks, line ends and characters without a piece
 are encoded as they are, the latter by bytes. A literal marker (U+2581) reads back as a blank, as the library has it. Repeated
@@ -21,21 +21,21 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices
 
 MARK = "▁"
-#: Bytes of texts with one dictionary; a single longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+#: Bytes of a worker's table, CHUNK_BYTES of overhead for each chunk included.
+TABLE_BYTES, CHUNK_BYTES = 64 << 20, 160
 #: Characters up to which a chunk's pairs are scanned, not kept in a heap.
 SHORT = 40
 
@@ -188,111 +188,66 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def varied(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes as bytes of seven bits, the low ones first, and how many bytes each has."""
-    size = 1 + (codes >= 1 << 7) + (codes >= 1 << 14) + (codes >= 1 << 21)
-    place = np.arange(4)
-    every = (codes[:, None] >> (7 * place)) & 127 | np.where(place < size[:, None] - 1, 128, 0)
-    return every[place < size[:, None]].astype(np.uint8), size
-
-
-def unvaried(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of bytes, and where each ends."""
-    ends = np.flatnonzero(data < 128) + 1
-    starts = np.concatenate(([0], ends[:-1]))[: len(ends)]
-    padded = np.concatenate((data & 127, np.zeros(4, np.uint8))).astype(np.int64)
-    return sum(np.where(starts + k < ends, padded[starts + k] << (7 * k), 0) for k in range(4)), ends
-
+class Chunks:
+    """The table of distinct chunks of the texts seen: ids of each, one after the other."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.size, self.bytes = array("i"), array("i"), 0
+
+    def encoded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, begin and end ids included, and where each text's ids start."""
+        if self.bytes > TABLE_BYTES:
+            self.clear()
+        v, place = self.v, self.place
+        codes, count = array("i"), []
+        for text in texts:
+            found = v.chunks(text or "")
+            count.append(len(found))
+            for chunk in found:
+                at = place.get(chunk)
+                if at is None:
+                    at = place[chunk] = len(place)
+                    ids = v.segment(chunk)
+                    self.ids.extend(ids)
+                    self.size.append(len(ids))
+                    self.bytes += CHUNK_BYTES + len(chunk) + 4 * len(ids)
+                codes.append(at)
+        codes, size = np.array(codes), np.array(self.size, np.int64)
+        starts = np.cumsum(size) - size
+        k = size[codes]
+        to = np.concatenate(([0], np.cumsum(k)))
+        cuts = np.concatenate(([0], np.cumsum(count)))
+        rows = np.concatenate(([0], np.cumsum(np.diff(to[cuts]) + 2)))
+        out, inner = np.empty(rows[-1], np.int32), np.ones(rows[-1], bool)
+        inner[rows[:-1]] = inner[rows[1:] - 1] = False
+        out[rows[:-1]], out[rows[1:] - 1] = v.begin, v.end
+        out[inner] = np.array(self.ids)[np.repeat(starts[codes] - to[:-1], k) + np.arange(to[-1])]
+        return out, rows
 
-def _offsets(size: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum(size)))
 
+@lru_cache(2)
+def chunks_of(model: str) -> Chunks:
+    return Chunks(vocabulary(model))
 
-def _dealt(path: str, others: list[str]):
-    """Each row's other columns, its block and its chunks as places in the block's dictionary, which the block's first row has."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
-        block = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, size=BLOCK_BYTES):
-            known: dict[str, int] = {}
-            place, codes, words = known.setdefault, [], []
-            for text in batch["text"].to_pylist():
-                found = v.chunks(text or "")
-                words.append(len(found))
-                codes.append(np.fromiter((place(c, len(known)) for c in found), np.int32, len(found)))
-            codes = np.concatenate(codes)
-            order = np.argsort(-np.bincount(codes, minlength=len(known)), kind="stable")
-            rank = np.empty(len(known), np.int32)
-            rank[order] = np.arange(len(known))
-            data, size = varied(rank[codes])
-            ends = _offsets(size)[_offsets(words)].astype(np.int32)
-            chunks = list(known)
-            heads = [[chunks[k] for k in order.tolist()]] + [None] * (batch.num_rows - 1)
-            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch[c] for c in others), pa.array(np.full(batch.num_rows, block)), packed, pa.array(heads, pa.list_(pa.string()))],
-                [*others, "_block", "_codes", "_chunks"],
-            )
-            block += 1
-
-    return run
-
-
-def _segmented(path: str):
-    """Ids of each chunk, which is segmented once: equal chunks follow one another."""
+def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """`docs` with `ids` (array<int>, begin and end ids included) in place of the column `text`."""
+    others = [c for c in docs.columns if c.lower() not in (text.lower(), "ids", "text")]
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
-        last, ids = None, []
-        for batch in slices(batches, "chunk"):
-            out = []
-            for chunk in batch["chunk"].to_pylist():
-                if chunk != last:
-                    last, ids = chunk, np.array(v.segment(chunk), "<u2" if len(v.piece) <= 1 << 16 else "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch["of"], batch["place"], pa.array(out, pa.binary())], ["of", "place", "found"])
-
-    return run
+        table = chunks_of(model)
+        for batch in slices(batches):
+            ids, rows = table.encoded(batch["text"].to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), lists], [*others, "ids"])
 
-
-def _joined(model: str, others: list[str]):
-    def run(rows: pa.Table, table: pa.Table) -> pa.Table:
-        v = vocabulary(model)
-        wide = 2 if len(v.piece) <= 1 << 16 else 4
-        found = table["found"].to_pylist()
-        of = np.empty(len(found), np.int64)
-        of[table["place"].to_numpy()] = np.arange(len(found))
-        flat = np.frombuffer(b"".join(found), f"<u{wide}").astype(np.int32)
-        ends = _offsets([len(x) // wide for x in found])
-        at, size = ends[:-1][of], np.diff(ends)[of]
-        held = rows["_codes"].to_pylist()
-        codes, stops = unvaried(np.frombuffer(b"".join(held), np.uint8))
-        cuts = np.searchsorted(stops, _offsets([len(x) for x in held]), "right")  # codes before each row
-        k = size[codes]
-        to = _offsets(k)
-        tokens = np.diff(to[cuts]) + 2
-        starts = _offsets(tokens)
-        out = np.empty(starts[-1], np.int32)
-        inner = np.ones(len(out), bool)
-        inner[starts[:-1]] = inner[starts[1:] - 1] = False
-        out[starts[:-1]], out[starts[1:] - 1] = v.begin, v.end
-        out[inner] = flat[np.repeat(at[codes] - to[:-1], k) + np.arange(to[-1])]
-        return pa.table({**{c: rows[c] for c in others}, "ids": pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(out))})
-
-    return run
-
-
-def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """`docs` with `ids` (array<int>, begin and end ids included) in place of the column `text`."""
-    others = [c for c in docs.columns if c.lower() not in (text.lower(), "ids", "_block", "_codes", "_chunks", "text")]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    kinds += ", " if others else ""
-    rows = docs.select(*(F.col(f"`{c}`") for c in others), F.col(text).cast("string").alias("text"))
-    dealt = written(rows.mapInArrow(_dealt(model, others), f"{kinds}_block long, _codes binary, _chunks array<string>"), "dealt", compression="zstd")
-    places = dealt.filter("_chunks IS NOT NULL").select(F.col("_block").alias("of"), F.posexplode("_chunks").alias("place", "chunk"))
-    found = places.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_segmented(model), "of long, place int, found binary")
-    return dealt.drop("_chunks").groupBy("_block").cogroup(found.groupBy("of")).applyInArrow(_joined(model, others), f"{kinds}ids array<int>")
+    return docs.select(*(F.col(f"`{c}`") for c in others), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{kinds}ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
