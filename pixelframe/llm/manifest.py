@@ -3,7 +3,7 @@
 Every row is a leaf. The leaves of a source, in order, are the first level of its tree; every three consecutive nodes, or what is left at the
 end, become one of the next level until one is left, the subroot. The subroots in order of their sources make a tree of the same kind, with the root.
 
-Trees are cut into aligned blocks of BLOCK = 3**LEVELS neighbouring nodes, so that a block's nodes have their ancestors of LEVELS levels to
+Trees are cut into aligned blocks of 3**LEVELS neighbouring nodes, so that a block's nodes have their ancestors of LEVELS levels to
 themselves. On the way up a task makes the trees of blocks, whose roots are the nodes of the next round, until each tree has one. On
 the way down a block gets what lies beside its root on the way to the top, as one row, and gives each of its nodes the siblings on the
 whole path. A tampered leaf makes a version of its block's tree: a new leaf and copies of its ancestors, all other nodes
@@ -32,9 +32,8 @@ from .common import written
 from .minhash import by_group, starts_of
 
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
-#: Nodes under one parent, levels of a block, and nodes of a block.
+#: Nodes under one parent, and levels of a block.
 ARITY, LEVELS = 3, 7
-BLOCK = ARITY**LEVELS
 
 
 def digest_of(parts: str) -> str:
@@ -93,10 +92,10 @@ def folded(digest: str, path: list[str]) -> str:
     return digest
 
 
-def _height(n: int) -> int:
+def _height(n: int, levels: int) -> int:
     """Levels of a block above its nodes, in a tree that has `n` nodes on their level."""
     out = 0
-    while n > 1 and out < LEVELS:
+    while n > 1 and out < levels:
         n, out = -(-n // ARITY), out + 1
     return out
 
@@ -116,34 +115,40 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("tree", "block").sortWithinPartitions("tree", "block", "pos")
 
 
-def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in by_group(batches, ["tree", "block"]):
-        starts = starts_of(t, ["tree", "block"])
-        tree, block, n, leaves = (t[c].to_pylist() for c in ("tree", "block", "n", "digest"))
-        rows = [(tree[a], block[a], -(-n[a] // BLOCK), Versions(leaves[a:b], _height(n[a])).root) for a, b in zip(starts, starts[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["tree", "pos", "n", "digest"]
-        )
+def _block(levels: int) -> Column:
+    return F.expr(f"pos div {ARITY**levels}").alias("block")
 
 
-def grown(nodes: DataFrame) -> list[DataFrame]:
+def _tops(levels: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, ["tree", "block"]):
+            starts = starts_of(t, ["tree", "block"])
+            tree, block, n, leaves = (t[c].to_pylist() for c in ("tree", "block", "n", "digest"))
+            rows = [(tree[a], block[a], -(-n[a] // ARITY**levels), Versions(leaves[a:b], _height(n[a], levels)).root) for a, b in zip(starts, starts[1:], strict=False)]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["tree", "pos", "n", "digest"])
+
+    return run
+
+
+def grown(nodes: DataFrame, height: int) -> list[DataFrame]:
     """The levels of blocks above nodes(tree, pos, n, digest), themselves included, up to one node a tree."""
     levels, n = [nodes], nodes.agg(F.max("n")).head()[0] or 1
     while len(levels) == 1 or n > 1:
-        rows = levels[-1].select("tree", F.expr(f"pos div {BLOCK}").alias("block"), "pos", "n", "digest")
-        levels.append(written(_dealt(rows).mapInArrow(_tops, "tree string, pos long, n long, digest string"), "tops"))
-        n = -(-n // BLOCK)
+        rows = levels[-1].select("tree", _block(height), "pos", "n", "digest")
+        levels.append(written(_dealt(rows).mapInArrow(_tops(height), "tree string, pos long, n long, digest string"), "tops"))
+        n = -(-n // ARITY**height)
     return levels
 
 
-def _paths(carried: list[str]):
+def _paths(carried: list[str], levels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, ["tree", "block"]):
             starts = starts_of(t, ["tree", "block"])
             n, leaves, altered, above, subroot = (t[c].to_pylist() for c in ("n", "digest", "altered", "path", "subroot"))
             paths, tops, subs, keep = [], [], [], []
             for a, b in zip(starts, starts[1:], strict=False):  # the first row of a block has what lies above it
-                tree, up = Versions(leaves[a + 1 : b], _height(n[a + 1])), above[a]
+                tree, up = Versions(leaves[a + 1 : b], _height(n[a + 1], levels)), above[a]
                 keep += range(a + 1, b)
                 for k in range(b - a - 1):
                     own = tree.siblings(k)
@@ -160,7 +165,7 @@ def _paths(carried: list[str]):
     return run
 
 
-def descended(nodes: DataFrame, heads: DataFrame, carried: list[str]) -> DataFrame:
+def descended(nodes: DataFrame, heads: DataFrame, carried: list[str], levels: int) -> DataFrame:
     """Each node with the path to the top: tree, pos, digest, `carried`, subroot, path, folded.
 
     heads: tree, pos, subroot, path of the blocks' own nodes on the level above. `folded` is the top of the node's version, or of its own path.
@@ -168,7 +173,7 @@ def descended(nodes: DataFrame, heads: DataFrame, carried: list[str]) -> DataFra
     kinds = {c: nodes.schema[c].dataType.simpleString() for c in carried}
     none = lambda kind: F.lit(None).cast(kind)
     rows = nodes.select(
-        "tree", F.expr(f"pos div {BLOCK}").alias("block"), "pos", "n", "digest", F.col("altered") if "altered" in nodes.columns else none("string").alias("altered"),
+        "tree", _block(levels), "pos", "n", "digest", F.col("altered") if "altered" in nodes.columns else none("string").alias("altered"),
         *carried, none("string").alias("subroot"), none("array<string>").alias("path"),
     )
     above = heads.select(
@@ -176,10 +181,10 @@ def descended(nodes: DataFrame, heads: DataFrame, carried: list[str]) -> DataFra
         *(none(k).alias(c) for c, k in kinds.items()), "subroot", "path",
     )
     named = "".join(f"`{c}` {k}, " for c, k in kinds.items())
-    return _dealt(rows.unionByName(above)).mapInArrow(_paths(carried), f"tree string, pos long, digest string, {named}subroot string, path array<string>, folded string")
+    return _dealt(rows.unionByName(above)).mapInArrow(_paths(carried, levels), f"tree string, pos long, digest string, {named}subroot string, path array<string>, folded string")
 
 
-def prove(docs: DataFrame, tampered: Column | None = None, new_text: Column | None = None) -> DataFrame:
+def prove(docs: DataFrame, tampered: Column | None = None, new_text: Column | None = None, height: int = LEVELS) -> DataFrame:
     """doc_id, leaf, subroot, root, path, folded_root, verified of every row of docs(doc_id, source, lang, n_chars, text).
 
     path: what stands before and after the row's node on each level up to the root. folded_root: the top recomputed from the leaf along its path; where
@@ -191,22 +196,22 @@ def prove(docs: DataFrame, tampered: Column | None = None, new_text: Column | No
     leaves = docs.select(
         tree.alias("tree"), F.col("doc_id").cast("long").alias("doc_id"), leaf_of(*FIELDS).alias("digest"), altered.alias("altered"), F.monotonically_increasing_id().alias("row")
     )
-    levels = grown(written(placed(written(leaves, "leaves"), ["doc_id", "digest", "row"]), "placed"))
+    levels = grown(written(placed(written(leaves, "leaves"), ["doc_id", "digest", "row"]), "placed"), height)
     sources = levels[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
-    forest = grown(written(placed(sources, ["name"]), "sources"))
+    forest = grown(written(placed(sources, ["name"]), "sources"), height)
     heads = forest[-1].select("tree", "pos", F.lit(None).cast("string").alias("subroot"), F.array().cast("array<string>").alias("path"))
     for level in reversed(forest[:-1]):
-        heads = written(descended(level, heads, ["name"] if level is forest[0] else []), "paths")
+        heads = written(descended(level, heads, ["name"] if level is forest[0] else [], height), "paths")
     heads = heads.select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("pos"), F.col("digest").alias("subroot"), "path")
     for level in reversed(levels[1:-1]):
-        heads = written(descended(level, heads, []), "paths")
+        heads = written(descended(level, heads, [], height), "paths")
     root = forest[-1].head()
-    out = descended(levels[0], heads, ["doc_id"]).withColumn("root", F.lit(root["digest"] if root else None).cast("string"))
+    out = descended(levels[0], heads, ["doc_id"], height).withColumn("root", F.lit(root["digest"] if root else None).cast("string"))
     return out.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", "path", F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, height: int = LEVELS) -> DataFrame:
     """`prove`, where rows whose id has an even CRC-32 lose the line feeds of their texts; the path as its digest."""
     odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
-    out = prove(docs, odd, F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit("")))
+    out = prove(docs, odd, F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit("")), height)
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("path", ""), 256).alias("proof_sha256"), "folded_root", "verified")

@@ -7,15 +7,15 @@ where STRETCH content words pass without one, the word before serves as anchor.
 pairs of neighbouring words, texts without a word the text itself.
 
 Sets fall into partitions by length such that two sets with a Jaccard similarity of `floor` or more are in one
-partition or in neighbours. `likeness` is pruned Jaccard: pairs from partitions further apart, and pairs
-whose lengths alone keep them under `floor`, are not intersected; it is exact from `floor` on and 0 below.
+partition or in neighbours. `likeness` is the exact similarity; only pairs with an empty set are not intersected for it. `similar` is
+pruned Jaccard: pairs from partitions further apart, and pairs whose lengths alone keep them under the floor, are not intersected.
 
 `with_next` brings each row's successor by doc_id without a global sort: rows are dealt by ranges of
-doc_id with bounds from approx_percentile, at most a few for each shuffle partition, and the rows at a
-bound are dealt to the range before it as well.
+doc_id with bounds from approx_percentile, at most a few for each shuffle partition. An id with more rows than a range should have is
+dealt on by the hash of its texts, in the order of hashes. The first row of each range is copied to the range before it.
 
 Defined results. Null text is empty: its set is empty, and its likeness to an empty set is 1, to any other
-0. A null doc_id sorts before all others, rows with one doc_id by text; the last row's successor is the
+0. A null doc_id sorts before all others, rows with one doc_id go by the hash of their texts, then by text; the last row's successor is the
 first, a single row's successor is itself. Repeated rows stay. An empty table gives an empty table.
 """
 
@@ -34,12 +34,14 @@ ANCHORS = (
     "le la les de des un une et à du en que qui pour dans par sur est pas au "
     "el los las y del por con una para es al se lo como su"
 ).split()
-#: Similarity under which pairs are pruned: sets of texts with nothing but chance in common are below it.
-FLOOR = 0.1
+#: Similarity from which two texts count as similar.
+FLOOR = 0.75
 #: Content words in a row after which each further word has its predecessor as anchor.
 STRETCH = 8
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 8
+#: Parts of one id at most.
+PARTS = 1 << 16
 
 
 def tokens(text: Column) -> Column:
@@ -85,16 +87,18 @@ def length_part(sigs: Column, floor: float = FLOOR) -> Column:
     return F.when(F.size(sigs) > 0, F.floor(F.log(F.size(sigs)) / -F.log(F.lit(floor)))).otherwise(-1).cast("int")
 
 
-def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
-    """Jaccard similarity of two sets, 0 to 1, from `floor` on; 0 below. What lengths exclude is not intersected."""
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets, 0 to 1; 1 for two empty ones."""
     few, many = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    apart = F.abs(length_part(a, floor) - length_part(b, floor)) > 1
     exact = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
-    return (
-        F.when(many == 0, F.lit(1.0))
-        .when((few == 0) | apart | (few < floor * many), F.lit(0.0))
-        .otherwise(let(exact, lambda x: F.when(x >= floor, x).otherwise(0.0)))
-    )
+    return F.when(many == 0, F.lit(1.0)).when(few == 0, F.lit(0.0)).otherwise(exact)
+
+
+def similar(a: Column, b: Column, floor: float = FLOOR) -> Column:
+    """Whether the similarity is `floor` or more. What length partitions or lengths exclude is not intersected."""
+    few, many = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    apart = (F.abs(length_part(a, floor) - length_part(b, floor)) > 1) | (few < floor * many)
+    return F.when(apart, F.lit(False)).otherwise(likeness(a, b) >= floor)
 
 
 def _range_of(key: Column, bounds: list[int]) -> Column:
@@ -112,24 +116,32 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     n = RANGES * slots(docs.sparkSession)
-    at = docs.agg(F.percentile_approx(key, [k / n for k in range(n)], 10 * n), F.min(key)).head()
+    at = docs.agg(F.percentile_approx(key, [k / n for k in range(n)], 10 * n), F.min(key), F.count("*")).head()
     bounds = sorted({*(at[0] or []), at[1] if at[1] is not None else 0})
+    # Ids with more rows than a range should have: fewer than n of them.
+    many = {r["key"]: min(PARTS, -(-r["n"] * n // at[2])) for r in docs.groupBy(key.alias("key")).agg(F.count("*").alias("n")).filter(F.col("n") * n > at[2]).filter("n > 1").collect()}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("key"))
-    own = _range_of(F.col("key"), bounds) - 1
-    first = F.array_contains(F.lit(bounds), F.col("key"))
-    before = F.when(own > 0, own - 1).otherwise(len(bounds) - 1)
-    places = F.when(first, F.array(F.struct(own.alias("bucket"), F.lit(0).alias("ghost")), F.struct(before.alias("bucket"), F.lit(1).alias("ghost")))).otherwise(
-        F.array(F.struct(own.alias("bucket"), F.lit(0).alias("ghost")))
-    )
-    dealt = rows.withColumn("place", F.explode(places)).select("doc_id", "text", "key", "place.bucket", "place.ghost")
-    order = Window.partitionBy("bucket").orderBy("ghost", "key", "text")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    bucket = (_range_of(F.col("key"), bounds) - 1).cast("long") * (2 * PARTS)
+    if many:
+        # Within a range, what lies before the id, the id's parts by hash, what lies behind it.
+        parts = F.element_at(F.create_map(*(F.lit(x) for pair in many.items() for x in pair)), F.col("key"))
+        part = F.floor((F.shiftright("hash", 32) + F.lit(2**31)) * parts / F.lit(2**32))
+        bucket = bucket + F.when(parts.isNull(), 0).otherwise(part)
+    rows = rows.withColumn("bucket", bucket)
+    order = Window.partitionBy("bucket").orderBy("ghost", "key", "hash", "text")
+    first = rows.groupBy("bucket").agg(F.min_by(F.struct("text", "key", "hash"), F.struct("key", "hash", "text")).alias("least"))
+    line = Window.orderBy("bucket")  # one row a range
+    before = F.coalesce(F.lag("bucket").over(line), F.max("bucket").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ghosts = first.select(before.alias("bucket"), F.lit(None).cast("long").alias("doc_id"), "least.text", "least.key", "least.hash", F.lit(1).alias("ghost"))
+    dealt = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts)
     return dealt.withColumn("next_text", F.lead("text").over(order)), order
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text of docs(doc_id, text) and of its edited text, whose last quarter comes from the next text.
 
-    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, length_part.
+    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, similar_next, length_part.
     """
     rows, order = with_next(docs)
     n = F.length("text")
@@ -149,6 +161,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
             fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
             likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
             likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+            similar(F.col("sigs"), F.col("next_sigs")).alias("similar_next"),
             length_part(F.col("sigs")).alias("length_part"),
         )
     )

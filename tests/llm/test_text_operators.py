@@ -94,6 +94,7 @@ def test_urls_equal_brute_force(spark):
     paths = ["", "/", "/x", "/x/", "/x/y", "/x/y/z", "/xy"]
     rules = [(h, p, r.choice(["allow", "block"])) for h in ["com", "a.com", "b.a.com", "net"] for p in ["", "/x", "/x/y", "/x/y/z"] if r.random() < 0.7]
     rows = [(i, f"http://{r.choice(hosts)}{r.choice(paths)}{r.choice(['', '?q=://z', '#f'])}") for i in range(300)]
+    rows += [(400 + i, f"http://a.com{p}{x}") for i, (p, x) in enumerate(itertools.product(paths, ["\U0010ffffx", "\U0010ffff", "\uffff/y", "\x00", "é"]))]
     rows += [(None, "http://a.com/x"), (301, None), (302, ""), (303, "no scheme"), (304, "http://"), (304, "http://")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit("clash"), "level": F.lit(1)})
     got = urls.judge_urls(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
@@ -154,8 +155,7 @@ def spot_sets(text):
 
 
 def spot_likeness(a, b):
-    x = len(a & b) / len(a | b) if a | b else 1.0
-    return x if x >= spotsigs.FLOOR else 0.0
+    return len(a & b) / len(a | b) if a | b else 1.0
 
 
 def test_spotsigs_equal_brute_force(spark, corpus):
@@ -164,6 +164,7 @@ def test_spotsigs_equal_brute_force(spark, corpus):
     rows = [r for r in corpus if r[0] is not None]
     rows = list({r[0]: r for r in rows}.values()) + [(3000 + k, " ".join(r.choices(pool, k=r.randint(1, 80)))) for k in range(40)]
     rows += [(4000, "the of and"), (4001, "the of and"), (4002, "cat"), (4003, "!?"), (4004, " ".join(f"x{k}" for k in range(30)))]
+    rows += [(4005 + j, "the shared pair here " + " ".join(f"of a{j}{k} b{j}{k}" for k in range(14))) for j in range(2)]
     got = {r["doc_id"]: r for r in spotsigs.compare_edited(docs_of(spark, rows)).collect()}
     order = sorted(rows)
     assert len(got) == len(rows)
@@ -177,8 +178,9 @@ def test_spotsigs_equal_brute_force(spark, corpus):
         assert len(got[i]["fingerprint"]) == 8 * len(a) and len(got[i]["edited_fingerprint"]) == 8 * len(b)
         assert got[i]["near_edited"] == pytest.approx(spot_likeness(a, b)), t
         assert got[i]["near_next"] == pytest.approx(spot_likeness(a, c)), t
+        assert got[i]["similar_next"] == (spot_likeness(a, c) >= spotsigs.FLOOR)
         near.add(got[i]["near_next"])
-    assert 0.0 in near and 1.0 in near
+    assert 0.0 in near and 1.0 in near and any(0 < x < 0.1 for x in near)
     assert got[3]["fingerprint"] == got[40]["fingerprint"]
     one = spotsigs.compare_edited(spark.createDataFrame([(1, "the cat sat on the mat")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
@@ -186,6 +188,20 @@ def test_spotsigs_equal_brute_force(spark, corpus):
     assert spotsigs.compare_edited(docs_of(spark, corpus).limit(0)).count() == 0
 
 
+def test_next_text_where_most_rows_share_an_id(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choices(["the", "cat", "dog", "of", "hill"], k=12)) for _ in range(300)]
+    rows = [(5, t) for t in texts[:200]] + [(None, t) for t in texts[200:260]] + [(k + 10, t) for k, t in enumerate(texts[260:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, order = spotsigs.with_next(df)
+    got = dealt.filter("ghost = 0").select("doc_id", "text", "next_text", "bucket").collect()
+    low = -(2**63)
+    line = sorted((low if x["doc_id"] is None else x["doc_id"], h, x["text"]) for x, h in zip(got, [z[0] for z in dealt.filter("ghost = 0").select("hash").collect()], strict=True))
+    follow = Counter((line[k][2], line[(k + 1) % len(line)][2]) for k in range(len(line)))
+    assert Counter((x["text"], x["next_text"]) for x in got) == follow
+    assert len({x["bucket"] for x in got if x["doc_id"] == 5}) > 4 and len({x["bucket"] for x in got if x["doc_id"] is None}) > 1
+
+
 def test_length_parts_lose_no_pair():
     import math
 
@@ -513,7 +529,7 @@ def test_mix_samples_by_its_probabilities(spark):
     assert mixing.sampled(df, targets).columns == df.columns
     again = mixing.sampled(df.repartition(7), targets)
     assert kept == sorted(map(str, again.collect())) and {x["topic"] for x in again.collect()} == {"clash"}
-    assert mixing.sampled(df.limit(0), targets).count() == 0
+    assert mixing.mix(df.limit(0)).count() == mixing.sampled(df.limit(0), targets).count() == 0
 
 
 @pytest.mark.parametrize("block", [1, 3, 7, 1000])
@@ -618,7 +634,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     chosen = kept["source_mixing"]
     assert chosen and all(want[i] == t for i, t in chosen.items())
     json = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    packed = stages["best_fit_packing"](spark, docs, str(tmp_path)).collect()
+    packed = p.run(spark, str(tmp_path)).collect()
     ids = {i: json.encode(t, add_special_tokens=False).ids + [2] for i, t in chosen.items()}
     assert {x["doc_id"] for x in packed} == set(ids)
     for x in packed:
