@@ -117,17 +117,19 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     n = RANGES * slots(docs.sparkSession)
     at = docs.agg(F.percentile_approx(key, [k / n for k in range(n)], 10 * n), F.min(key), F.count("*")).head()
-    bounds = sorted({*(at[0] or []), at[1] if at[1] is not None else 0})
     # Ids with more rows than a range should have: fewer than n of them.
     many = {r["key"]: min(PARTS, -(-r["n"] * n // at[2])) for r in docs.groupBy(key.alias("key")).agg(F.count("*").alias("n")).filter(F.col("n") * n > at[2]).filter("n > 1").collect()}
+    bounds = sorted({*(at[0] or []), at[1] if at[1] is not None else 0, *many})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("key"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    bucket = (_range_of(F.col("key"), bounds) - 1).cast("long") * (2 * PARTS)
+    own = (_range_of(F.col("key"), bounds) - 1).cast("long")
+    bucket = own * (2 * PARTS)
     if many:
-        # Within a range, what lies before the id, the id's parts by hash, what lies behind it.
+        # A range that begins with such an id: the id's parts by hash, then what lies behind it.
         parts = F.element_at(F.create_map(*(F.lit(x) for pair in many.items() for x in pair)), F.col("key"))
         part = F.floor((F.shiftright("hash", 32) + F.lit(2**31)) * parts / F.lit(2**32))
-        bucket = bucket + F.when(parts.isNull(), 0).otherwise(part)
+        behind = F.when(own.isin([k for k, b in enumerate(bounds) if b in many]), PARTS).otherwise(0)
+        bucket = bucket + F.coalesce(part, behind)
     rows = rows.withColumn("bucket", bucket)
     order = Window.partitionBy("bucket").orderBy("ghost", "key", "hash", "text")
     first = rows.groupBy("bucket").agg(F.min_by(F.struct("text", "key", "hash"), F.struct("key", "hash", "text")).alias("least"))
