@@ -300,6 +300,34 @@ def test_suffix_dedup_equals_brute_force(spark, corpus, hot, monkeypatch):
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted((str(i), *w) for (i, _), w in zip(corpus, want, strict=True))
 
 
+def test_previous_factors_equal_their_definition():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        run = np.sort(r.integers(0, 6, 30))
+        run = np.unique(run, return_inverse=True)[1]
+        position = r.permutation(30)
+        want = [any(run[j] == run[i] and position[j] < position[i] for j in range(30)) for i in range(30)]
+        assert suffixes.earlier(position, run).tolist() == want
+        # The nearest smaller position before or after, in suffix order, decides alone.
+        for i in range(30):
+            left = next((j for j in range(i - 1, -1, -1) if position[j] < position[i]), None)
+            right = next((j for j in range(i + 1, 30) if position[j] < position[i]), None)
+            assert want[i] == any(j is not None and run[j] == run[i] for j in (left, right))
+
+
+def test_windows_of_one_hash_are_confirmed(monkeypatch):
+    """With a hash that tells nothing apart the symbols decide."""
+    r = random.Random(6)
+    contexts = [bytes(r.choices(b"ab", k=6)) + b"anchor" + bytes(r.choices(b"ab", k=6)) for _ in range(40)]
+    n = len(contexts)
+    args = (np.zeros(n, np.int64), contexts, np.full(n, 6), np.full(n, 5), np.arange(n), np.ones(n, np.int64), 14, True, False)
+    want = suffixes.repeated(*args, exact=True)
+    plain = suffixes.repeated(*args)
+    monkeypatch.setattr(suffixes, "_sums", lambda data: np.zeros(len(data) + 1, np.uint64))
+    for got in (plain, suffixes.repeated(*args)):
+        assert [(l, sorted(x.tolist())) for l, x in got] == [(l, sorted(x.tolist())) for l, x in want] and want
+
+
 def test_suffix_dedup_of_a_group_beyond_the_limit(spark):
     """One passage in more texts than HOT contexts, each with other bytes around it."""
     r = random.Random(12)
@@ -313,40 +341,43 @@ def test_suffix_dedup_of_a_group_beyond_the_limit(spark):
     assert sorted((r[0], *r[1:]) for r in got) == sorted((i, *w) for (i, _), w in zip(rows, want, strict=True))
 
 
-def brute_first(rows, length, min_words):
-    """Texts of `rows` (unique ids) without later copies of windows, runs of under `min_words` whole words left in."""
+def brute_first(rows, length, words=True):
+    """Texts of `rows` (unique ids) without later copies of windows of words or bytes."""
     seen, out = set(), {}
     for i, t in sorted(rows):
         b = (t or "").encode()
+        starts = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] if words else list(range(len(b)))
+        units = re.findall(rb"[^\x20\x09-\x0D]+", b) if words else b
         gone, fresh = bytearray(len(b)), set()
-        for s in range(len(b) - length + 1):
-            w = b[s : s + length]
+        starts.append(len(b))
+        for s in range(len(units) - length + 1):
+            w = tuple(units[s : s + length])
             if w in seen or w in fresh:
-                gone[s : s + length] = b"\1" * length
+                for k in range(starts[s], starts[s + length]):
+                    gone[k] = 1
             fresh.add(w)
         seen |= fresh
-        for m in re.finditer(b"\1+", bytes(gone)):
-            inside = [w for w in re.finditer(rb"[^\x20\x09-\x0D]+", b) if m.start() <= w.start() and w.end() <= m.end()]
-            if len(inside) < min_words:
-                gone[m.start() : m.end()] = bytes(m.end() - m.start())
         out[i] = bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
     return out
 
 
-@pytest.mark.parametrize(("length", "min_words", "hot"), [(400, 0, 4000), (224, 50, 4000), (224, 0, 0), (130, 30, 2)])
-def test_suffix_dedup_keeps_the_first(spark, corpus, length, min_words, hot, monkeypatch):
+@pytest.mark.parametrize(("length", "in_words", "hot"), [(400, False, 4000), (130, False, 2), (51, True, 4000), (51, True, 0), (12, True, 2)])
+def test_suffix_dedup_keeps_the_first(spark, corpus, length, in_words, hot, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", hot)
     rows = [r for r in {r[0]: r for r in corpus if r[0] is not None}.values() if r[0] != 48]
-    got = suffixes.remove_copies(docs_of(spark, rows), length, min_words)
+    got = suffixes.remove_copies(docs_of(spark, rows), length, in_words)
     assert got.columns == docs_of(spark, rows).columns and {tuple(x[2:]) for x in got.collect()} == {(1, "x", 2, "t", 0)}
-    assert {x[0]: x[1] or "" for x in got.collect()} == brute_first(rows, length, min_words)
+    assert {x[0]: x[1] or "" for x in got.collect()} == brute_first(rows, length, in_words)
 
 
 def test_passages_of_over_fifty_words_go_and_names_do_not_clash(spark):
     r = random.Random(13)
     pool = ["".join(r.choices("abcdefghiéñ", k=r.randint(1, 9))) for _ in range(4000)]
     say = lambda n: " ".join(r.choices(pool, k=n))
-    long, short = say(51), say(40)
+    long, short, letters = say(51), say(40), " ".join(r.choices("abcdefghij", k=51))
+    few = spark.createDataFrame([(i, f"{say(20)}\t{x}  end{i} {say(3)}") for i, x in enumerate([letters, letters, letters.replace(" ", "\n"), letters[2:]])], "doc_id long, text string")
+    assert [" ".join(x["text"].split()).count(letters) for x in sorted(suffixes.remove_copies(few).collect())] == [1, 0, 0, 0]
+    assert [letters[2:] in x["text"] for x in sorted(suffixes.remove_copies(few).collect())] == [True, False, False, True]
     rows = [(i, f"{say(80)} {long} {say(80)} {short} {say(60)}", 7, 8, 9) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _tid int, _doc int, _spans int")
     got = sorted(suffixes.remove_copies(docs).collect())
@@ -629,7 +660,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
                 root = {k: low if v == high else v for k, v in root.items()}
     want = {i: t for i, t in want.items() if root[i] == i}
     assert kept["near_dedup"] == want and len(want) < len(kept["quality_rules"])
-    want = brute_first(sorted(want.items()), suffixes.PASSAGE, suffixes.PASSAGE_WORDS)
+    want = brute_first(sorted(want.items()), suffixes.PASSAGE_WORDS)
     assert kept["suffix_dedup"] == want and sum(passage in t for t in want.values()) == 1
     chosen = kept["source_mixing"]
     assert chosen and all(want[i] == t for i, t in chosen.items())
