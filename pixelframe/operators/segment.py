@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import written
+from .groups import group_numbers, sorted_groups, whole_groups
 from .pixels import gaussian_blur, histogram
 
 Offsets = list[tuple[int, int]]
@@ -314,8 +315,9 @@ def core_outer_stats(pixels: DataFrame, masks: DataFrame) -> DataFrame:
 def clahe(pixels: DataFrame, height: int, width: int, clip_limit: float = 2.0, tiles: int = 8, bins: int = 256, channel: str | None = None) -> DataFrame:
     """frame_id, y, x, v: equalized by tile with clipped histograms, look-up tables blended bilinearly.
 
-    Sizes that are no multiples of `tiles` are mirrored on the right and at the bottom for the histograms. With a channel (red, green
-    or blue) that field of `rgb` is equalized, and the result has frame_id, y, x, rgb. Lines of pixels meet the tables of two rows of tiles.
+    Tables hold the values that occur in a tile, whatever `bins` (up to 2**20) is. A task has the lines between two rows of tile
+    centres with the tables of both rows. Sizes that are no multiples of `tiles` are mirrored on the right and at the bottom for the histograms. With a channel (red, green
+    or blue) that field of `rgb` is equalized, and the result has frame_id, y, x, rgb.
     """
     if channel is not None:
         if "rgb" not in pixels.columns:
@@ -337,32 +339,60 @@ def clahe(pixels: DataFrame, height: int, width: int, clip_limit: float = 2.0, t
 
     placed = pixels.select("frame_id", "y", "x", "v").repartition("frame_id")
     padded = placed if whole else placed.select("frame_id", "v", "x", mirrored("y", height, full_h).alias("y")).select("frame_id", "v", "y", mirrored("x", width, full_w).alias("x"))
-    keys = ["frame_id", "ty", "tx"]
-    counts = padded.groupBy("frame_id", F.floor(F.col("y") / th).cast("int").alias("ty"), F.floor(F.col("x") / tw).cast("int").alias("tx"), "v").agg(F.count("*").alias("n"))
-    over = counts.groupBy(*keys).agg(F.sum(F.greatest(F.col("n") - clip, F.lit(0))).alias("excess"))
-    dense = over.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(counts, [*keys, "v"], "left")
-    batch, rest = F.floor(F.col("excess") / bins), F.col("excess") % bins
-    step = F.greatest(F.floor(bins / rest), F.lit(1))
-    extra = F.when(rest > 0, F.least(F.floor(F.col("v") / step) + 1, rest)).otherwise(0)
-    running = F.sum(F.least(F.coalesce("n", F.lit(0)), F.lit(clip))).over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    lut = F.least(F.rint((running + batch * (F.col("v") + 1) + extra) * (bins - 1) / area), F.lit(bins - 1.0))
-    rows = dense.select(*keys, "v", lut.alias("lut")).groupBy("frame_id", "ty").agg(F.sort_array(F.collect_list(F.struct("tx", "v", "lut"))).alias("t"))
-    rows = rows.select("frame_id", "ty", F.transform("t", lambda c: c["lut"]).alias("t"))  # by tx * bins + v
-    fy = F.col("y") / th - 0.5
-    at = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(tiles - 1)).cast("int")
-    lines = placed.groupBy("frame_id", "y").agg(F.collect_list(F.struct("x", "v")).alias("line"))
-    lines = lines.withColumns({"y1": at(F.floor(fy)), "y2": at(F.floor(fy) + 1), "ya": fy - F.floor(fy)})
-    upper, lower = (rows.select("frame_id", F.col("ty").alias(k), F.col("t").alias(f"t{k}")) for k in ("y1", "y2"))
-    met = lines.join(upper, ["frame_id", "y1"]).join(lower, ["frame_id", "y2"])
-
-    def blended(p: Column) -> Column:
-        fx = p["x"] / tw - 0.5
-        xa, x1, x2 = fx - F.floor(fx), at(F.floor(fx)) * bins + p["v"], at(F.floor(fx) + 1) * bins + p["v"]
-        line = lambda t: F.get(t, x1.cast("int")) * (1 - xa) + F.get(t, x2.cast("int")) * xa
-        s = line(F.col("ty1")) * (1 - F.col("ya")) + line(F.col("ty2")) * F.col("ya")
-        return F.struct(p["x"].alias("x"), F.rint(F.round(s, 6)).cast("int").alias("v"))
-
-    return met.select("frame_id", "y", F.inline(F.transform("line", blended))).select("frame_id", "y", "x", "v")
+    tile = lambda c, size: F.floor(F.col(c) / size).cast("int")
+    counts = padded.groupBy("frame_id", tile("y", th).alias("ty"), tile("x", tw).alias("tx"), "v").agg(F.count("*").alias("n"))
+    # Between two rows of tile centres lies a band of lines, which meets the tables of both rows, the outer bands one of them twice.
+    roles = F.array_compact(
+        F.array(
+            F.struct(F.col("ty").alias("band"), F.lit(1).alias("side")), F.struct((F.col("ty") + 1).alias("band"), F.lit(0).alias("side")),
+            F.when(F.col("ty") == 0, F.struct(F.lit(0).alias("band"), F.lit(0).alias("side"))), F.when(F.col("ty") == tiles - 1, F.struct(F.lit(tiles).alias("band"), F.lit(1).alias("side"))),
+        )
+    )
+    none = F.lit(None).cast("int")
+    tables = counts.withColumn("o", F.explode(roles)).select("frame_id", "o.band", "o.side", "tx", F.col("v").cast("int").alias("v"), F.col("n").cast("long").alias("n"), none.alias("y"), none.alias("x"))
+    lines = placed.select(
+        "frame_id", F.least(F.floor(F.col("y") / th - 0.5) + 1, F.lit(tiles)).cast("int").alias("band"), F.lit(2).alias("side"), F.lit(0).alias("tx"), F.col("v").cast("int").alias("v"),
+        F.lit(0).cast("long").alias("n"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"),
+    )
+    kind = pixels.schema["frame_id"].dataType.simpleString()
+    dealt = sorted_groups(tables.unionByName(lines), ["frame_id", "band"], ["side", "tx", "v"])
+    return dealt.mapInArrow(_equalized(th, tw, tiles, bins, clip), f"frame_id {kind}, y int, x int, v int")
+
+
+def _equalized(th: int, tw: int, tiles: int, bins: int, clip: int):  # noqa: ANN202
+    """Pixels (side 2) by the tables of the tiles above (side 0) and below (side 1) them: counts of the values that occur, in order."""
+
+    def levels(keys: np.ndarray, running: np.ndarray, excess: np.ndarray, code: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """What each tile makes of each value: the clipped count of values up to it, by binary search, and its share of what was clipped."""
+        at = np.searchsorted(keys, code << 20 | v, "right") - 1
+        own = (at >= 0) & (keys[at] >> 20 == code)
+        batch, rest = np.divmod(excess[code], bins)
+        step = np.maximum(bins // np.maximum(rest, 1), 1)
+        extra = np.where(rest > 0, np.minimum(v // step + 1, rest), 0)
+        return np.minimum(np.rint((np.where(own, running[at], 0) + batch * (v + 1) + extra) * (bins - 1) / (th * tw)), bins - 1.0)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for t in whole_groups(batches, ["frame_id", "band"]):
+            group, side, tx, v, n = group_numbers(t, ["frame_id", "band"]), *(t[c].to_numpy() for c in ("side", "tx", "v", "n"))
+            at = side < 2
+            code = (group[at] * 2 + side[at]) * tiles + tx[at]
+            keys = code.astype(np.int64) << 20 | v[at]
+            clipped = np.minimum(n[at], clip)
+            total = np.cumsum(clipped)
+            heads = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))[: len(code)]
+            running = total - np.repeat((total - clipped)[heads], np.diff(np.concatenate((heads, [len(code)]))))
+            excess = np.zeros((int(group[-1]) + 1) * 2 * tiles, np.int64)
+            np.add.at(excess, code, np.maximum(n[at] - clip, 0))
+            px = t.filter(pa.array(~at))
+            y, x, w, g = px["y"].to_numpy(), px["x"].to_numpy(), px["v"].to_numpy().astype(np.int64), group[~at].astype(np.int64)
+            fy, fx = y / th - 0.5, x / tw - 0.5
+            ya, xa = fy - np.floor(fy), fx - np.floor(fx)
+            left, right = (np.clip(np.floor(fx) + k, 0, tiles - 1).astype(np.int64) for k in (0, 1))
+            row = lambda s: sum(levels(keys, running, excess, (g * 2 + s) * tiles + c, w) * share for c, share in ((left, 1 - xa), (right, xa)))  # noqa: B023, E731
+            out = np.rint(np.round(row(0) * (1 - ya) + row(1) * ya, 6)).astype(np.int32)
+            yield from pa.table({"frame_id": px["frame_id"], "y": px["y"], "x": px["x"], "v": pa.array(out)}).to_batches()
+
+    return run
 
 
 _TURNS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]

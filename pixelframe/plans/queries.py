@@ -364,6 +364,21 @@ def j_estimate_shift(spark, sf):
     return register.estimate_shift(p, p.filter("z = 0").select("stack_id", "y", "x", "v"), 1).withColumn("corr", r("corr"))
 
 
+@query("""
+WITH s(dy, dx) AS (SELECT a.i, b.i FROM range(-2, 3) a(i), range(-2, 3) b(i)),
+c AS (SELECT f.frame_id, dy, dx, round(corr(f.v::DOUBLE, g.v::DOUBLE), 9) AS c FROM px8 f, s, px8 g WHERE g.stack_id = f.stack_id AND g.z = 0 AND g.y = f.y - dy AND g.x = f.x - dx GROUP BY 1, 2, 3),
+b AS (SELECT frame_id, arg_max(dy, k) AS dy, arg_max(dx, k) AS dx, max(c) AS c FROM (SELECT *, row(c, -(abs(dy) + abs(dx)), -dy, -dx) AS k FROM c) GROUP BY 1),
+n AS (SELECT b.*, (SELECT max(c) FROM c WHERE c.frame_id = b.frame_id AND c.dy = b.dy - 1 AND c.dx = b.dx) AS up, (SELECT max(c) FROM c WHERE c.frame_id = b.frame_id AND c.dy = b.dy + 1 AND c.dx = b.dx) AS down,
+  (SELECT max(c) FROM c WHERE c.frame_id = b.frame_id AND c.dy = b.dy AND c.dx = b.dx - 1) AS l, (SELECT max(c) FROM c WHERE c.frame_id = b.frame_id AND c.dy = b.dy AND c.dx = b.dx + 1) AS r FROM b)
+SELECT frame_id, round(dy + CASE WHEN up - 2 * c + down < 0 THEN (up - down) / (2 * (up - 2 * c + down)) ELSE 0 END, 4)::DOUBLE AS dy,
+  round(dx + CASE WHEN l - 2 * c + r < 0 THEN (l - r) / (2 * (l - 2 * c + r)) ELSE 0 END, 4)::DOUBLE AS dx, round(c, 6) AS corr FROM n
+""")
+def j_estimate_shift_subpixel(spark, sf):
+    p = fx.px8(spark, sf)
+    s = register.estimate_shift(p, p.filter("z = 0").select("stack_id", "y", "x", "v"), 2, subpixel=True)
+    return s.select("frame_id", r("dy", 4).alias("dy"), r("dx", 4).alias("dx"), r("corr").alias("corr"))
+
+
 @query("SELECT a.frame_id, a.y, a.x, coalesce(b.v, 0) AS v FROM px8 a LEFT JOIN px8 b ON b.frame_id = a.frame_id AND b.y = a.y + (a.z % 3) - 1 AND b.x = a.x + (a.z % 2)")
 def j_apply_shift(spark, sf):
     p = fx.px8(spark, sf)
@@ -775,6 +790,19 @@ def c_clahe_channel(spark, sf):
     return segment.clahe(fx.px8(spark, sf).withColumn("rgb", rgb), 8, 8, 2.0, 2, channel="green").select(*PX, "rgb.*")
 
 
+@query("""
+WITH t AS (SELECT frame_id, y // 4 AS ty, x // 4 AS tx, v, count(*) AS n FROM px16 GROUP BY 1, 2, 3, 4),
+p AS (SELECT frame_id, y, x, v, y / 4.0 - 0.5 AS fy, x / 4.0 - 0.5 AS fx FROM px16),
+c AS (SELECT p.*, greatest(0, least(1, floor(fy) + a))::INT AS ty, greatest(0, least(1, floor(fx) + b))::INT AS tx, a, b,
+  (CASE WHEN a = 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE WHEN b = 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) AS w FROM p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(a, b)),
+k AS (SELECT c.frame_id, c.y, c.x, c.v, c.w, c.a, c.b, sum(least(t.n, 1)) FILTER (t.v <= c.v) AS run, sum(greatest(t.n - 1, 0)) AS ex FROM c JOIN t USING (frame_id, ty, tx) GROUP BY c.frame_id, c.y, c.x, c.v, c.w, c.a, c.b),
+l AS (SELECT *, least(65535, round_even((coalesce(run, 0) + (ex // 65536) * (v + 1) + CASE WHEN ex % 65536 > 0 THEN least(v // greatest(65536 // (ex % 65536), 1) + 1, ex % 65536) ELSE 0 END) * 65535.0 / 16, 0)) AS lut FROM k)
+SELECT frame_id, y, x, round_even(round(sum(w * lut), 6), 0)::INT AS v FROM l GROUP BY 1, 2, 3
+""")
+def c_clahe_16_bit(spark, sf):
+    return segment.clahe(fx.px16(spark, sf), 8, 8, 2.0, 2, bins=65536)
+
+
 @query(f"""
 WITH f AS (SELECT stack_id AS frame_id, y, x, CAST(trunc(round(avg(v), 9)) AS INT) AS v FROM px8 GROUP BY 1, 2, 3),
 b AS (SELECT frame_id, y, x, CAST(least(255, round_even(v * 1.5, 0)) AS INT) AS v FROM f), {_even('b')}
