@@ -1063,29 +1063,60 @@ def _taps(name: str) -> str:
     return f"taps(k, lo, hi) AS (VALUES {', '.join(f'({k}, {a!r}::DOUBLE, {b!r}::DOUBLE)' for k, (a, b) in enumerate(zip(lo, hi, strict=True)))})"
 
 
-def _mirror(i: str) -> str:
-    """The line's sample under tap k of coefficient i, of 8 with half-sample symmetric borders."""
-    at = f"((2 * {i} + 17 - k) % 16)"
-    return f"CASE WHEN {at} < 8 THEN {at} ELSE 15 - {at} END"
-
-
-@query(f"""
-WITH {_taps('db3')},
-dx AS (SELECT stack_id, z, y, i AS x, sum(lo * v) AS l, sum(hi * v) AS h FROM px8, taps, range(6) r(i) WHERE x = {_mirror('i')} GROUP BY 1, 2, 3, 4),
-c AS (SELECT stack_id, z, i AS y, x, sum(lo * l) AS a, sum(hi * l) AS h, sum(lo * h) AS v, sum(hi * h) AS d FROM dx, taps, range(6) r(i) WHERE y = {_mirror('i')} GROUP BY 1, 2, 3, 4),
-k AS (SELECT *, row_number() OVER (PARTITION BY stack_id, y, x ORDER BY round(sqrt(h * h + v * v), 9) DESC, z) AS kd, row_number() OVER (PARTITION BY stack_id, y, x ORDER BY round(abs(a), 9) DESC, z) AS ka FROM c),
-s AS (SELECT stack_id, y, x, avg(a) FILTER (ka <= 2) AS a, avg(h) FILTER (kd <= 2) AS h, avg(v) FILTER (kd <= 2) AS v, avg(d) FILTER (kd <= 2) AS d FROM k GROUP BY 1, 2, 3),
-f AS (SELECT 5 - k AS k, lo, hi FROM taps),
-uy AS (SELECT stack_id, j AS y, x, sum(a * lo + h * hi) AS l, sum(v * lo + d * hi) AS h FROM s, f, range(8) r(j) WHERE (j + 4 - k) % 2 = 0 AND y = (j + 4 - k) // 2 GROUP BY 1, 2, 3),
-ux AS (SELECT stack_id, y, j AS x, sum(l * lo + h * hi) AS v FROM uy, f, range(8) r(j) WHERE (j + 4 - k) % 2 = 0 AND x = (j + 4 - k) // 2 GROUP BY 1, 2, 3)
-SELECT stack_id, y::INT AS y, x::INT AS x, trunc(least(255, greatest(0, round(v, 6))))::INT AS v FROM ux
-""")
+def _mirror(i: str, n: int = 8) -> str:
+    """The line's sample under tap k of coefficient i, of n with half-sample symmetric borders."""
+    at = f"((2 * {i} + {2 * n} + 1 - k) % {2 * n})"
+    return f"CASE WHEN {at} < {n} THEN {at} ELSE {2 * n - 1} - {at} END"
+
+
+def _levels(n: int, levels: int) -> list[int]:
+    """Lengths of a line at each level, for six taps."""
+    out = [n]
+    for _ in range(levels):
+        out.append((out[-1] + 5) // 2)
+    return out
+
+
+def _edf_sql(levels: int, top_n: int) -> str:
+    """Fusion of px8 by db3: transform, choice and inverse of all levels."""
+    size = _levels(8, levels)
+    parts = [_taps("db3"), "f AS (SELECT 5 - k AS k, lo, hi FROM taps)", "a0 AS (SELECT stack_id, z, y, x, v::DOUBLE AS a FROM px8)"]
+    for k in range(1, levels + 1):
+        n, m = size[k - 1], size[k]
+        parts += [
+            f"x{k} AS (SELECT stack_id, z, y, i AS x, sum(lo * a) AS l, sum(hi * a) AS h FROM a{k - 1}, taps, range({m}) r(i) WHERE x = {_mirror('i', n)} GROUP BY 1, 2, 3, 4)",
+            f"a{k} AS MATERIALIZED (SELECT stack_id, z, i AS y, x, sum(lo * l) AS a, sum(hi * l) AS h, sum(lo * h) AS v, sum(hi * h) AS d FROM x{k}, taps, range({m}) r(i) WHERE y = {_mirror('i', n)} GROUP BY 1, 2, 3, 4)",
+            f"k{k} AS (SELECT *, row_number() OVER (PARTITION BY stack_id, y, x ORDER BY round(sqrt(h * h + v * v), 9) DESC, z) AS r FROM a{k})",
+            f"d{k} AS (SELECT stack_id, y, x, avg(h) AS h, avg(v) AS v, avg(d) AS d FROM k{k} WHERE r <= {top_n} GROUP BY 1, 2, 3)",
+        ]
+    parts += [
+        f"ka AS (SELECT *, row_number() OVER (PARTITION BY stack_id, y, x ORDER BY round(abs(a), 9) DESC, z) AS r FROM a{levels})",
+        f"u{levels} AS (SELECT stack_id, y, x, avg(a) AS a FROM ka WHERE r <= {top_n} GROUP BY 1, 2, 3)",
+    ]
+    for k in range(levels, 0, -1):
+        n = 2 * size[k] - 4
+        parts += [
+            f"s{k} AS (SELECT * FROM u{k} JOIN d{k} USING (stack_id, y, x))",
+            f"y{k} AS (SELECT stack_id, j AS y, x, sum(a * lo + h * hi) AS l, sum(v * lo + d * hi) AS h FROM s{k}, f, range({n}) r(j) WHERE (j + 4 - k) % 2 = 0 AND y = (j + 4 - k) // 2 GROUP BY 1, 2, 3)",
+            f"u{k - 1} AS (SELECT stack_id, y, j AS x, sum(l * lo + h * hi) AS a FROM y{k}, f, range({n}) r(j) WHERE (j + 4 - k) % 2 = 0 AND x = (j + 4 - k) // 2 GROUP BY 1, 2, 3)",
+        ]
+    return f"WITH {', '.join(parts)} SELECT stack_id, y::INT AS y, x::INT AS x, trunc(least(255, greatest(0, round(a, 6))))::INT AS v FROM u0"
+
+
+@query(_edf_sql(1, 2))
 def e_edf_db3(spark, sf):
     from ..operators.wavelet import edf_fuse
 
     return edf_fuse(fx.px8(spark, sf), "db3", 1, top_n=2)
 
 
+@query(_edf_sql(3, 1))
+def e_edf_three_levels(spark, sf):
+    from ..operators.wavelet import edf_fuse
+
+    return edf_fuse(fx.px8(spark, sf), "db3", 3)
+
+
 
 @query(f"""
 WITH t(k, w) AS (VALUES {", ".join(f"({k - 5}, {w!r}::DOUBLE)" for k, w in enumerate(P.taps(11)))}),

@@ -97,3 +97,31 @@ def test_groups_stay_whole():
         seen = [set(p["k"].to_pylist()) for p in out]
         assert all(not (a & b) for k, a in enumerate(seen) for b in seen[k + 1 :])
         assert all(group_numbers(p, ["k"])[-1] + 1 == len(s) for p, s in zip(out, seen, strict=True))
+
+
+@pytest.mark.parametrize(("name", "levels", "top_n", "invert"), [("haar", 2, 1, False), ("db3", 3, 2, False), ("db3", 1, 3, True)])
+def test_fusion_of_partials_equals_a_sort(spark, name, levels, top_n, invert, monkeypatch):
+    """Slices over several tasks and chunks, one more slice than is kept and one less, ties between equal slices."""
+    from pixelframe.operators import wavelet
+
+    monkeypatch.setattr(wavelet, "CHUNK", 50)
+    r = np.random.default_rng(9)
+    stacks = {s: r.integers(0, 256, (n, 13, 18)).astype(float) for s, n in ((1, 5), (2, top_n), (3, 1))}
+    stacks[1][3] = stacks[1][1]
+    p = None
+    for s, a in stacks.items():
+        for z, image in enumerate(a):
+            one = pixels_of(spark, {s * 10 + z: image}, stack_id=s, z=z * 7, bit_depth=8)
+            p = one if p is None else p.unionByName(one)
+    got = {(x["stack_id"], x["y"], x["x"]): x["v"] for x in wavelet.edf_fuse(p.repartition(5), name, levels, top_n, invert).collect()}
+    for s, a in stacks.items():
+        both = [wavelet.coefficients(image, name, levels) for image in a]
+        strength, values = np.stack([b[0] for b in both]), np.stack([b[1] for b in both])
+        order = np.argsort(strength if invert else -strength, axis=0, kind="stable")[:top_n]
+        mean = np.take_along_axis(values, order[:, None], 0).mean(axis=0)
+        want = np.clip(np.round(wavelet.image_of(mean, 13, 18, name, levels), 6), 0, 255).astype(int)
+        assert all(got[s, y, x] == want[y, x] for y in range(13) for x in range(18))
+        assert np.allclose(wavelet.image_of(both[0][1], 13, 18, name, levels), a[0])
+    ends = {x["stack_id"]: (x["min_z"], x["max_z"]) for x in wavelet.edf_z_range(p, name, levels, 9).collect()}
+    assert ends == {s: (0, len(a) - 1) for s, a in stacks.items()}
+    assert wavelet.edf_fuse(p.limit(0), name, levels).count() == 0
