@@ -1,7 +1,7 @@
 """Pulse-rate analysis of motion series: detrending, spectra, band-pass, pulses and their summary.
 
-Series are rows (series_id, idx, value). A series is one region of one video: thousands of samples, so the
-recursive steps (band-pass, greedy peak choice) run on one series at a time, many series in parallel.
+Series are rows (series_id, idx, value). Spectra, band-pass and the choice of pulses work on blocks of samples (`blocks`), so that one
+series of any length is spread over tasks.
 """
 
 from __future__ import annotations
@@ -9,10 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+from .durable import written
+
 
 def _series():
     return Window.partitionBy("series_id")
@@ -42,21 +44,8 @@ def detrend(series: DataFrame, fps: float, lo_hz: float) -> DataFrame:
 
 
 def power_spectrum(series: DataFrame, fps: float, value: str = "detrended", max_hz: float | None = None) -> DataFrame:
-    """series_id, k, freq, power: Hann-windowed, zero-padded to four times the length (256 at least), up to max_hz. One transform a series."""
-
-    def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("idx")[value].to_numpy(float)
-        size = 1 << math.ceil(math.log2(max(4 * len(v), 256)))
-        x = v - v.mean()
-        if v.std() > 0:
-            x = x * np.hanning(len(v))
-        top = size // 2 if max_hz is None else min(size // 2, math.ceil(size * max_hz / fps))
-        k = np.arange(top + 1)
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "k": k, "freq": k * fps / size, "power": np.abs(np.fft.rfft(x, size)[: top + 1]) ** 2})
-
-    kind = series.schema["series_id"].dataType.simpleString()
-    rows = series.select("series_id", "idx", F.col(value).cast("double").alias(value))
-    return rows.groupBy("series_id").applyInPandas(spectrum, f"series_id {kind}, k int, freq double, power double")
+    """series_id, k, freq, power: Hann-windowed, zero-padded to four times the length (256 at least), up to max_hz."""
+    return blocks.spectrum(blocks.cut(series.select("series_id", "idx", value), [value]), value, fps, max_hz)
 
 
 def dominant_frequency(spectrum: DataFrame, fps: float, lo: float, hi: float) -> DataFrame:
@@ -82,95 +71,55 @@ def butterworth(lo: float, hi: float) -> tuple[np.ndarray, np.ndarray]:
     return gain * np.poly([1, 1, -1, -1]), np.poly((4 + s) / (4 - s)).real
 
 
-def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
-    out = np.empty(len(x))
-    b, a, z = b.tolist(), a.tolist(), [*z.tolist(), 0.0]
-    for i, v in enumerate(x.tolist()):
-        y = b[0] * v + z[0]
-        for k in range(1, len(b)):
-            z[k - 1] = b[k] * v + z[k] - a[k] * y
-        out[i] = y
-    return out
+def band_filter(fps: float, lo: float, hi: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """The band-pass of edges in Hz, or None where they leave no band."""
+    lo, hi = max(1e-4, lo / (fps / 2)), min(0.999, hi / (fps / 2))
+    return butterworth(lo, hi) if hi > lo else None
 
 
-def bandpassed(x: np.ndarray, fps: float, lo: float, hi: float) -> np.ndarray:
-    """Forward and backward, ends extended oddly by 15; the signal less its mean where that cannot be done."""
-    lo, hi = max(1e-4, lo / (fps / 2)), min(0.999, hi / (fps / 2))
-    if hi <= lo or len(x) <= 15:
-        return x - x.mean()
-    b, a = butterworth(lo, hi)
-    ext = np.concatenate((2 * x[0] - x[15:0:-1], x, 2 * x[-1] - x[-2:-17:-1]))
-    m = np.eye(4)
-    m[:, 0] += a[1:]
-    m[np.arange(3), np.arange(1, 4)] -= 1
-    zi = np.linalg.solve(m, b[1:] - a[1:] * b[0])
-    y = _filter(b, a, ext, zi * ext[0])[::-1]
-    return _filter(b, a, y, zi * y[0])[::-1][15:-15]
-
-
-def maxima(x: np.ndarray) -> np.ndarray:
-    """Inner local maxima; a plateau counts at its middle."""
-    out, i = [], 1
-    while i < len(x) - 1:
-        if x[i - 1] < x[i]:
-            j = i
-            while j < len(x) - 1 and x[j + 1] == x[i]:
-                j += 1
-            if j < len(x) - 1 and x[j + 1] < x[i]:
-                out.append((i + j) // 2)
-            i = j
-        i += 1
-    return np.array(out, int)
-
-
-def apart(x: np.ndarray, peaks: np.ndarray, distance: int) -> np.ndarray:
-    """The tallest first, each drops what is closer than `distance`."""
-    keep = np.ones(len(peaks), bool)
-    for k in np.argsort(x[peaks], kind="stable")[::-1]:
-        if keep[k]:
-            near = np.abs(peaks - peaks[k]) < distance
-            near[k] = False
-            keep &= ~near
-    return peaks[keep]
-
-
-def prominent(x: np.ndarray, peaks: np.ndarray, least: float) -> np.ndarray:
-    out = []
-    for p in peaks:
-        left, right = p, p
-        while left > 0 and x[left - 1] <= x[p]:
-            left -= 1
-        while right < len(x) - 1 and x[right + 1] <= x[p]:
-            right += 1
-        if x[p] - max(x[left : p + 1].min(), x[p : right + 1].min()) >= least:
-            out.append(p)
-    return np.array(out, int)
+def bandpass(series: DataFrame, fps: float, lo: float, hi: float, value: str = "value") -> DataFrame:
+    """series_id, idx, wave: `value` between lo and hi Hz, forward and backward, the ends extended oddly by 15 samples.
+
+    The value less its mean where there is no band or a series has 15 samples or fewer.
+    """
+    parts = blocks.cut(series.select("series_id", "idx", value, F.lit(0.0).alias("by")), [value], [F.col("by")])
+    done = blocks.filter_both_ways(parts, value, lambda _: band_filter(fps, lo, hi), "by", "wave")
+    return blocks.uncut(done, ["idx", "wave"])
+
+
+def pulses(series: DataFrame, distance: int, least: float | None = None, value: str = "value", size: int | None = None) -> DataFrame:
+    """series_id, idx of the local maxima that are `distance` samples apart, the tallest first, and `least` prominent."""
+    extra = [F.col("distance"), F.col("least")]
+    parts = blocks.cut(series.select("series_id", "idx", value, F.lit(distance).cast("long").alias("distance"), F.lit(least).cast("double").alias("least")), [value], extra, size)
+    return _indices(parts, _chosen(parts, value, least is not None))
+
+
+def _chosen(parts: DataFrame, value: str, tall: bool) -> DataFrame:
+    found = blocks.apart(parts, blocks.maxima(parts, value), value, "distance")
+    return blocks.prominent(parts, found, value, "least") if tall else found
+
+
+def _indices(parts: DataFrame, found: DataFrame) -> DataFrame:
+    return found.join(parts.select("series_id", "block", "idx"), ["series_id", "block"]).select(
+        "series_id", F.explode(F.transform("at", lambda k: F.get("idx", k.cast("int")))).alias("idx")
+    )
 
 
 def waves(detrended: DataFrame, f0: DataFrame, fps: float, band: tuple[float, float]) -> DataFrame:
     """series_id, idx, value, baseline, detrended, wave, is_peak, is_trough. f0 of 0 stands for the band's middle."""
-    columns = ["series_id", "idx", "value", "baseline", "detrended"]
-    rows = detrended.select(*columns).join(f0.select("series_id", "f0"), "series_id")
-    fields = [rows.schema[c] for c in columns]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", ignore_index=True)
-        f = float(pdf.f0.iloc[0]) or sum(band) / 2
-        wave = bandpassed(pdf.detrended.to_numpy(float), fps, 0.7 * f, min(1.6 * f, fps / 2 * 0.95))
-        distance = max(1, round(fps / f * 0.6))
-        peaks = apart(wave, maxima(wave), distance)
-        if wave.std() > 0:
-            peaks = prominent(wave, peaks, 0.5 * wave.std())
-        out = pdf[columns].copy()
-        out["wave"] = wave
-        for name, at in (("is_peak", peaks), ("is_trough", apart(-wave, maxima(-wave), distance))):
-            flags = np.zeros(len(out), bool)
-            flags[at] = True
-            out[name] = flags
-        return out
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    return rows.groupBy("series_id").applyInPandas(run, f"{schema}, wave double, is_peak boolean, is_trough boolean")
+    f = F.when(F.col("f0") != 0, F.col("f0")).otherwise(sum(band) / 2).alias("f")
+    rows = detrended.select("series_id", "idx", "value", "baseline", "detrended").join(f0.select("series_id", f), "series_id")
+    parts = blocks.cut(rows, ["value", "baseline", "detrended"], [F.col("f")])
+    parts = blocks.filter_both_ways(parts, "detrended", lambda f: band_filter(fps, 0.7 * f, min(1.6 * f, fps / 2 * 0.95)), "f", "wave")
+    std = blocks.spread(parts, "wave").select("series_id", "block", (0.5 * F.col("std")).alias("least"))
+    distance = F.greatest(F.lit(1.0), F.rint(fps / F.col("f") * 0.6)).cast("long")
+    parts = written(parts.join(std, ["series_id", "block"]).withColumns({"distance": distance, "dip": F.transform("wave", lambda x: -x)}), "waves")
+    on = ["series_id", "block"]
+    peaks = _chosen(parts, "wave", True).withColumnRenamed("at", "up")
+    troughs = _chosen(parts, "dip", False).withColumnRenamed("at", "down")
+    flags = blocks.flagged(parts.select(*on, F.size("idx").cast("long").alias("n")).join(peaks, on).join(troughs, on), {"up": "is_peak", "down": "is_trough"})
+    columns = ["idx", "value", "baseline", "detrended", "wave", "is_peak", "is_trough"]
+    return blocks.uncut(parts.join(flags, on), columns).select("series_id", *columns)
 
 
 def local_maxima(series: DataFrame, value: str = "value") -> DataFrame:

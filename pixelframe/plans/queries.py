@@ -615,6 +615,51 @@ def a_pulsatility_index(spark, sf):
     return pulse.pulsatility_index(fx.ev_series(spark, sf).withColumn("detrended", F.col("value") - 5)).withColumn("pulsatility_index", r("pulsatility_index"))
 
 
+def _bandpass_sql(lo: float, hi: float) -> str:
+    """Daily sums between two frequencies, forward and backward, one sample after the other."""
+    from ..operators.blocks import start_state
+
+    b, a = pulse.band_filter(1.0, lo, hi)
+    zi = start_state(b, a)
+    step = lambda v, y: ", ".join(f"{float(b[k + 1])!r} * {v} - {float(a[k + 1])!r} * {y}" + (f" + z{k + 1}" if k < 3 else "") for k in range(4))
+    start = lambda v: ", ".join(f"{float(x)!r} * {v}" for x in zi)
+    states = ", ".join(f"z{k}" for k in range(4))
+    run = lambda name, source: f"""
+{name}0 AS (SELECT series_id, k, v, {float(b[0])!r}::DOUBLE * v AS bv FROM {source}),
+{name}(series_id, k, y, {states}) AS (SELECT series_id, -1::BIGINT, 0::DOUBLE, {start('v')} FROM {source} WHERE k = 0
+  UNION ALL SELECT t.series_id, t.k, bv + z0, {step('v', '(bv + z0)')} FROM {name} r JOIN {name}0 t ON t.series_id = r.series_id AND t.k = r.k + 1)"""
+    return f"""WITH RECURSIVE s AS (SELECT series_id, idx - 1 AS i, idx, value::DOUBLE AS v, count(*) OVER (PARTITION BY series_id) AS n FROM evs),
+h AS (SELECT series_id, n, max(v) FILTER (i = 0) AS a, max(v) FILTER (i = n - 1) AS b FROM s GROUP BY 1, 2),
+g AS (SELECT h.*, unnest(range(n + 30)) AS k FROM h WHERE n > 15),
+x AS (SELECT g.series_id, k, CASE WHEN k < 15 THEN 2 * a - s.v WHEN k < g.n + 15 THEN s.v ELSE 2 * b - s.v END AS v FROM g JOIN s ON s.series_id = g.series_id
+  AND s.i = CASE WHEN k < 15 THEN 15 - k WHEN k < g.n + 15 THEN k - 15 ELSE 2 * g.n + 13 - k END),
+{run('f', 'x')},
+u AS (SELECT f.series_id, h.n + 29 - k AS k, y AS v FROM f JOIN h USING (series_id) WHERE k >= 0),
+{run('w', 'u')}
+SELECT s.series_id, s.idx, round(coalesce(w.y, s.v - avg(s.v) OVER (PARTITION BY s.series_id)), 5)::DOUBLE AS wave FROM s LEFT JOIN w ON w.series_id = s.series_id AND w.k = s.n + 14 - s.i"""
+
+
+@query(_bandpass_sql(0.08, 0.3))
+def z_bandpass(spark, sf):
+    return pulse.bandpass(fx.ev_series(spark, sf), 1.0, 0.08, 0.3).withColumn("wave", r("wave", 5))
+
+
+@query("""
+WITH s AS (SELECT series_id, idx, (value * 100)::BIGINT AS v FROM evs),
+g AS (SELECT *, sum(CASE WHEN v = o THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY idx) AS g FROM (SELECT *, lag(v) OVER (PARTITION BY series_id ORDER BY idx) AS o FROM s)),
+i AS (SELECT series_id, g, min(idx) AS a, max(idx) AS b, min(v) AS v FROM g GROUP BY 1, 2),
+m AS (SELECT series_id, (a + b) // 2 AS idx, v FROM (SELECT *, lag(v) OVER w AS o, lead(v) OVER w AS q FROM i WINDOW w AS (PARTITION BY series_id ORDER BY g)) WHERE v > o AND v > q),
+k AS (SELECT series_id, unnest(list_reduce(list([idx] ORDER BY v DESC, idx DESC), lambda kept, p: CASE WHEN len(list_filter(kept, lambda q: abs(q - p[1]) < 4)) = 0 THEN list_append(kept, p[1]) ELSE kept END)) AS idx FROM m GROUP BY 1),
+p AS (SELECT k.series_id, k.idx, s.v, (SELECT coalesce(max(o.idx), 0) FROM s o WHERE o.series_id = k.series_id AND o.idx < k.idx AND o.v > s.v) AS a,
+  (SELECT coalesce(min(o.idx), 1000000) FROM s o WHERE o.series_id = k.series_id AND o.idx > k.idx AND o.v > s.v) AS b FROM k JOIN s ON s.series_id = k.series_id AND s.idx = k.idx)
+SELECT p.series_id, p.idx::INT AS idx FROM p JOIN s ON s.series_id = p.series_id AND s.idx > a AND s.idx < b
+GROUP BY p.series_id, p.idx, p.v HAVING p.v - greatest(min(s.v) FILTER (s.idx <= p.idx), min(s.v) FILTER (s.idx >= p.idx)) >= 3000
+""")
+def z_pulses(spark, sf):
+    cents = F.round(F.col("value") * 100).cast("double").alias("value")
+    return pulse.pulses(fx.ev_series(spark, sf).select("series_id", "idx", cents), 4, 3000.0).select("series_id", F.col("idx").cast("int").alias("idx"))
+
+
 @query()
 def z_analyze_pulsatility(spark, sf):
     s = fx.ev_series(spark, sf).withColumn("idx", F.col("idx") - 1)
