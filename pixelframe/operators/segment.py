@@ -200,23 +200,18 @@ def _labelled(reach: int):  # noqa: ANN202
     return run
 
 
-def connected_components(region: DataFrame, connectivity: int = 8) -> DataFrame:
-    """frame_id, y, x, label: the row-major place of the component's first pixel.
+def labelled_runs(runs: DataFrame, connectivity: int = 8) -> DataFrame:
+    """frame_id, y, a, b, label of runs (frame_id, y, a, b): the row-major place of the first pixel of the run's component.
 
-    Rows are first cut into runs by a gaps-and-islands window. No component leaves its frame, so a frame of up to FRAME_RUNS runs is
-    labelled in one task; in larger ones runs of neighbouring rows that touch are the edges of a graph.
+    No component leaves its frame, so a frame of up to FRAME_RUNS runs is labelled in one task; in larger ones runs of neighbouring rows
+    that touch are the edges of a graph.
     """
-    order = Window.partitionBy("frame_id", "y").orderBy("x")
-    placed = region.select("frame_id", "y", "x").repartition("frame_id").withColumn("_g", F.col("x") - F.row_number().over(order))
     line = 1 << 24  # wider than any frame
-    node = F.min(F.col("y").cast("long") * line + F.col("x")).alias("node")
-    runs = written(placed.groupBy("frame_id", "y", "_g").agg(F.min("x").alias("a"), F.max("x").alias("b"), node), "runs")
+    kind = runs.schema["frame_id"].dataType.simpleString()
+    runs = written(runs.select("frame_id", "y", "a", "b", (F.col("y").cast("long") * line + F.col("a")).alias("node")), "runs")
     reach = 1 if connectivity == 8 else 0
     large = written(runs.groupBy("frame_id").count().filter(F.col("count") > FRAME_RUNS).select("frame_id"), "large")
-    kind = region.schema["frame_id"].dataType.simpleString()
-    labels = runs.select("frame_id", "y", "a", "b", "node").join(large, "frame_id", "left_anti").groupBy("frame_id").applyInArrow(
-        _labelled(reach), f"frame_id {kind}, node long, label long"
-    )
+    labels = runs.join(large, "frame_id", "left_anti").groupBy("frame_id").applyInArrow(_labelled(reach), f"frame_id {kind}, node long, label long")
     if not large.isEmpty():
         some = runs.join(large, "frame_id", "left_semi")
         below = some.select("frame_id", (F.col("y") - 1).alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("node").alias("node2"))
@@ -224,7 +219,12 @@ def connected_components(region: DataFrame, connectivity: int = 8) -> DataFrame:
         roots = _roots(touch.select("frame_id", F.col("node").alias("a"), F.col("node2").alias("b")))
         of_large = some.join(roots, ["frame_id", "node"], "left").select("frame_id", "node", F.coalesce("root", "node").alias("label"))
         labels = labels.unionByName(of_large)
-    found = runs.join(labels, ["frame_id", "node"])
+    return runs.join(labels, ["frame_id", "node"]).drop("node")
+
+
+def connected_components(region: DataFrame, connectivity: int = 8) -> DataFrame:
+    """frame_id, y, x, label: the row-major place of the component's first pixel."""
+    found = labelled_runs(_runs(region), connectivity)
     return found.select("frame_id", "y", F.explode(F.sequence("a", "b")).alias("x"), "label")
 
 
@@ -242,11 +242,12 @@ def grid(frames: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def fill_holes(region: DataFrame, height: int, width: int) -> DataFrame:
-    """With the 4-connected background parts that do not reach the frame's edge."""
-    back = connected_components(grid(region, height, width).join(region, ["frame_id", "y", "x"], "left_anti"), 4)
-    edge = F.max(F.col("y").isin(0, height - 1) | F.col("x").isin(0, width - 1))
+    """With the 4-connected background parts that do not reach the frame's edge. The background is the runs between those of the region."""
+    runs = _runs(region)
+    back = written(labelled_runs(_unset(runs, height, width), 4), "background")
+    edge = F.max(F.col("y").isin(0, height - 1) | (F.col("a") == 0) | (F.col("b") == width - 1))
     holes = back.groupBy("frame_id", "label").agg(edge.alias("e")).filter(~F.col("e"))
-    return region.select("frame_id", "y", "x").unionByName(back.join(holes, ["frame_id", "label"], "left_semi").select("frame_id", "y", "x"))
+    return _set_pixels(runs.unionByName(back.join(holes, ["frame_id", "label"], "left_semi").select("frame_id", "y", "a", "b")))
 
 
 def largest_component(components: DataFrame, min_area: int = 1000) -> DataFrame:
@@ -263,21 +264,46 @@ def containing_component(components: DataFrame, core: DataFrame) -> DataFrame:
     return components.join(hit, ["frame_id", "label"], "left_semi")
 
 
+def component_runs(components: DataFrame) -> DataFrame:
+    """frame_id, label, y, a, b: the maximal runs of each component's lines."""
+    p = components.select("frame_id", "label", "y", "x").repartition("frame_id")
+    placed = p.withColumn("_g", F.col("x") - F.row_number().over(Window.partitionBy("frame_id", "label", "y").orderBy("x")))
+    return placed.groupBy("frame_id", "label", "y", "_g").agg(F.min("x").alias("a"), F.max("x").alias("b")).drop("_g")
+
+
+def boundary_runs(runs: DataFrame, corners: bool = False) -> DataFrame:
+    """Runs of the pixels with a 4-neighbour (with `corners` an 8-neighbour) outside their component: a run less what lies between runs above and below it."""
+    keys, reach = ["frame_id", "label", "y"], int(corners)
+    runs = written(runs, "component_runs")
+
+    def beside(step: int, lo: str, hi: str) -> DataFrame:
+        """The parts of each run that a run of the next line on one side covers."""
+        other = runs.select("frame_id", "label", (F.col("y") + step).alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        met = runs.join(other, keys)
+        return met.select(*keys, "a", "b", F.greatest("a", F.col("a2") + reach).alias(lo), F.least("b", F.col("b2") - reach).alias(hi)).filter(F.col(lo) <= F.col(hi))
+
+    both = beside(1, "lo1", "hi1").join(beside(-1, "lo2", "hi2").drop("b"), [*keys, "a"])
+    inner = both.select(*keys, "a", "b", F.greatest("lo1", "lo2", F.col("a") + 1).alias("lo"), F.least("hi1", "hi2", F.col("b") - 1).alias("hi")).filter("lo <= hi")
+    ends = runs.select(*keys, "a", "b", (F.col("b") + 1).alias("lo"), (F.col("b") + 1).alias("hi"))
+    last = F.lag("hi").over(Window.partitionBy(*keys, "a").orderBy("lo"))
+    return inner.unionByName(ends).select(*keys, (F.coalesce(last, F.col("a") - 1) + 1).alias("_a"), (F.col("lo") - 1).alias("b")).filter("_a <= b").withColumnRenamed("_a", "a")
+
+
 def boundary(components: DataFrame) -> DataFrame:
     """Pixels with a 4-neighbour outside their component."""
-    offsets = [(-1, 0), (1, 0), (0, -1), (0, 1)]
-    o = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets)))
-    sent = components.select("frame_id", "label", "y", "x", o.alias("o")).select("frame_id", "label", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    inner = sent.groupBy("frame_id", "label", "y", "x").count().filter("count = 4")
-    return components.join(inner, ["frame_id", "label", "y", "x"], "left_anti")
+    edge = boundary_runs(component_runs(components))
+    return edge.select("frame_id", "y", F.explode(F.sequence("a", "b")).alias("x"), "label")
 
 
 def region_measures(components: DataFrame) -> DataFrame:
     """Area (pixels), bounding box, aspect ratio, truncated centroid and polygon area by Pick's formula."""
-    b = boundary(components).groupBy("frame_id", "label").agg(F.count("*").alias("border"))
-    m = components.groupBy("frame_id", "label").agg(
-        F.count("*").alias("area_pixels"), F.min("x").alias("bx"), F.min("y").alias("by"), (F.max("x") - F.min("x") + 1).alias("width"),
-        (F.max("y") - F.min("y") + 1).alias("height"), F.avg("x").cast("int").alias("cx"), F.avg("y").cast("int").alias("cy"),
+    runs = written(component_runs(components), "component_runs")
+    n = F.col("b") - F.col("a") + 1
+    size = F.sum(n.cast("long"))
+    b = boundary_runs(runs).groupBy("frame_id", "label").agg(size.alias("border"))
+    m = runs.groupBy("frame_id", "label").agg(
+        size.alias("area_pixels"), F.min("a").alias("bx"), F.min("y").alias("by"), (F.max("b") - F.min("a") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"),
+        (F.sum((F.col("a") + F.col("b")).cast("long") * n) / 2 / size).cast("int").alias("cx"), (F.sum(F.col("y").cast("long") * n) / size).cast("int").alias("cy"),
     )
     m = m.join(b, ["frame_id", "label"])
     return m.withColumns({"aspect_ratio": F.col("width") / F.col("height"), "polygon_area": F.col("area_pixels") - F.col("border") / 2 - 1})
@@ -395,39 +421,50 @@ def _equalized(th: int, tw: int, tiles: int, bins: int, clip: int):  # noqa: ANN
     return run
 
 
-_TURNS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
-
-
-def contour_length(points: set[tuple[int, int]]) -> float:
-    """Length of the outer contour of a pixel set: 1 for a straight step, root 2 for a diagonal one."""
-    start = min(points)
-    at, heading, total, first = start, 6, 0.0, None
-    while True:
-        for k in range(8):
-            turn = (heading + k) % 8
-            step = (at[0] + _TURNS[turn][0], at[1] + _TURNS[turn][1])
-            if step in points:
-                break
-        else:
-            return 0.0
-        if first is None:
-            first = (at, turn)
-        elif (at, turn) == first:
-            return total
-        total += 1.0 if turn % 2 == 0 else 2**0.5
-        at, heading = step, (turn + 5) % 8 if turn % 2 else (turn + 6) % 8
+def _surroundings(runs: DataFrame) -> DataFrame:
+    """Background runs (frame_id, y, a, b, label) of each frame's bounding box and a ring of one pixel around it, by 4-connected part."""
+    box = runs.groupBy("frame_id").agg(F.min("a").alias("x0"), F.max("b").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    lines = box.select("frame_id", F.explode(F.sequence(F.col("y0") - 1, F.col("y1") + 1)).alias("y"), (F.col("x1") + 2).alias("a"), (F.col("x1") + 2).alias("b"))
+    both = runs.select("frame_id", "y", "a", "b").unionByName(lines).join(box.select("frame_id", (F.col("x0") - 2).alias("x0")), "frame_id")
+    last = F.lag("b").over(Window.partitionBy("frame_id", "y").orderBy("a"))
+    gaps = both.select("frame_id", "y", (F.coalesce(last, F.col("x0")) + 1).alias("_a"), (F.col("a") - 1).alias("b")).filter("_a <= b").withColumnRenamed("_a", "a")
+    return labelled_runs(gaps, 4)
 
 
 def perimeter(components: DataFrame) -> DataFrame:
-    """frame_id, label, perimeter, from each component's boundary pixels alone."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        length = contour_length(set(zip(pdf.y.tolist(), pdf.x.tolist(), strict=True)))
-        return pd.DataFrame({"frame_id": pdf.frame_id.iloc[:1], "label": pdf.label.iloc[:1], "perimeter": [length]})
+    """frame_id, label, perimeter: the length of the outer contour of 8-connected components, 1 for a straight step, root 2 for a diagonal one.
 
-    b = boundary(components)
-    kind = b.schema["frame_id"].dataType.simpleString()
-    return b.groupBy("frame_id", "label").applyInPandas(run, f"frame_id {kind}, label long, perimeter double")
+    Steps are told by the pixels of 2 by 2 squares: two side by side, the contour passes between them and the empty two; three, it
+    cuts the corner before the empty one; two across, it passes on the side of each empty one. Only empty pixels of the background part
+    that surrounds the component count, not those of its holes.
+    """
+    runs = written(component_runs(components), "component_runs")
+    back = written(_surroundings(runs), "background")
+    edge = boundary_runs(runs, corners=True).select("frame_id", "label", "y", F.explode(F.sequence("a", "b")).alias("x"))
+    corner = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(1 << (2 * dy + dx)).alias("bit")) for dy in (0, 1) for dx in (0, 1))))
+    squares = edge.withColumn("o", corner).groupBy("frame_id", "label", (F.col("y") - F.col("o.dy")).alias("qy"), (F.col("x") - F.col("o.dx")).alias("qx")).agg(F.sum("o.bit").alias("set"))
+    # For each pattern of set pixels (bit 2 dy + dx): places of empty pixels to ask for, and the step that each stands for.
+    straight, diagonal = 1.0, 2**0.5
+    patterns = [(3, 1, 0, straight), (12, 0, 0, straight), (5, 0, 1, straight), (10, 0, 0, straight)]
+    patterns += [(15 - (1 << (2 * dy + dx)), dy, dx, diagonal) for dy in (0, 1) for dx in (0, 1)]
+    patterns += [(6, 0, 0, diagonal), (6, 1, 1, diagonal), (9, 0, 1, diagonal), (9, 1, 0, diagonal)]
+    table = F.create_map(
+        *(
+            x
+            for bits in sorted({p[0] for p in patterns})
+            for x in (F.lit(bits).cast("long"), F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(length).alias("length")) for b, dy, dx, length in patterns if b == bits)))
+        )
+    )
+    steps = squares.withColumn("p", F.explode(F.element_at(table, F.col("set")))).select(
+        "frame_id", "label", (F.col("qy") + F.col("p.dy")).alias("y"), (F.col("qx") + F.col("p.dx")).alias("x"), "p.length"
+    )
+    # The pixel above a component's first one belongs to what surrounds it.
+    first = runs.select("frame_id", "label", "y", "a").groupBy("frame_id", "label").agg(F.min(F.struct("y", "a")).alias("f"))
+    asked = steps.unionByName(first.select("frame_id", "label", (F.col("f.y") - 1).alias("y"), F.col("f.a").alias("x"), F.lit(None).cast("double").alias("length")))
+    part = back.select("frame_id", "y", F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("label").alias("part"))
+    found = asked.join(part, ["frame_id", "y"]).filter(F.col("x").between(F.col("_a"), F.col("_b")))
+    lengths = found.groupBy("frame_id", "label", "part").agg(F.count_if(F.col("length") == straight).alias("s"), F.count_if(F.col("length") > straight).alias("d"), F.count_if(F.col("length").isNull()).alias("outer"))
+    return lengths.filter("outer > 0").select("frame_id", "label", (F.col("s") + F.lit(diagonal) * F.col("d")).alias("perimeter"))
 
 
 def with_circularity(regions: DataFrame, perimeters: DataFrame, px: Column) -> DataFrame:
@@ -458,31 +495,58 @@ def polygon_area(corners: list[tuple[int, int]]) -> float:
     return abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(corners, corners[1:] + corners[:1], strict=True))) / 2
 
 
-def convexity(components: DataFrame) -> DataFrame:
-    """frame_id, label, area, hull_area (of pixel centres), convexity; 1 under four rows' ends or without area.
+#: Lines whose ends make one partial hull.
+HULL_LINES = 512
 
-    Only the ends of a component's rows reach the hull.
-    """
+
+def hulls(components: DataFrame) -> DataFrame:
+    """frame_id, label, y, x of the corners of each component's convex hull. Hulls of blocks of lines merge: a hull's corners are those of its parts."""
+    kind = components.schema["frame_id"].dataType.simpleString()
     ends = components.groupBy("frame_id", "label", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    sizes = region_measures(components).select("frame_id", "label", "polygon_area")
+    points = ends.select("frame_id", "label", F.floor(F.col("y") / HULL_LINES).cast("int").alias("part"), "y", F.explode(F.array_distinct(F.array("a", "b"))).alias("x"))
+
+    def corners(keys: list[str]):  # noqa: ANN202
+        def run(batches):  # noqa: ANN001, ANN202
+            for t in whole_groups(batches, keys):
+                group, y, x = group_numbers(t, keys), t["y"].to_numpy(), t["x"].to_numpy()
+                starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist()
+                keep, ys, xs = [], [], []
+                for a, b in zip(starts, [*starts[1:], len(group)], strict=True):
+                    found = hull(list(zip(y[a:b].tolist(), x[a:b].tolist(), strict=True)))
+                    keep += [a] * len(found)
+                    ys += [p[0] for p in found]
+                    xs += [p[1] for p in found]
+                heads = t.select(["frame_id", "label", "part"]).take(pa.array(keep, pa.int64()))
+                yield from heads.append_column("y", pa.array(ys, pa.int32())).append_column("x", pa.array(xs, pa.int32())).to_batches()
+
+        return run
+
+    schema = f"frame_id {kind}, label long, part int, y int, x int"
+    parts = sorted_groups(points.select("frame_id", "label", "part", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")), ["frame_id", "label", "part"]).mapInArrow(corners(["frame_id", "label", "part"]), schema)
+    return sorted_groups(parts, ["frame_id", "label"]).mapInArrow(corners(["frame_id", "label"]), schema).drop("part")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        area = polygon_area(hull([*zip(pdf.y.tolist(), pdf.a.tolist(), strict=True), *zip(pdf.y.tolist(), pdf.b.tolist(), strict=True)]))
-        return pd.DataFrame({"frame_id": pdf.frame_id.iloc[:1], "label": pdf.label.iloc[:1], "hull_area": [area]})
 
+def convexity(components: DataFrame) -> DataFrame:
+    """frame_id, label, polygon_area, hull_area (of pixel centres), convexity; 1 where the hull has no area."""
     kind = components.schema["frame_id"].dataType.simpleString()
-    hulls = ends.groupBy("frame_id", "label").applyInPandas(run, f"frame_id {kind}, label long, hull_area double")
+    sizes = region_measures(components).select("frame_id", "label", "polygon_area")
+
+    def area(t: pa.Table) -> pa.Table:
+        corners = hull(list(zip(t["y"].to_pylist(), t["x"].to_pylist(), strict=True)))
+        return pa.table({"frame_id": t["frame_id"].slice(0, 1), "label": t["label"].slice(0, 1), "hull_area": pa.array([polygon_area(corners)])})
+
+    areas = hulls(components).groupBy("frame_id", "label").applyInArrow(area, f"frame_id {kind}, label long, hull_area double")
     ratio = F.when(F.col("hull_area") > 0, F.col("polygon_area") / F.col("hull_area")).otherwise(1.0)
-    return sizes.join(hulls, ["frame_id", "label"]).withColumn("convexity", ratio)
+    return sizes.join(areas, ["frame_id", "label"]).withColumn("convexity", ratio)
 
 
 def hull_fallback(components: DataFrame, least: float = 0.75, growth: float = 0.3) -> DataFrame:
     """Components under `least` convexity whose hull adds less than `growth` are replaced by it: frame_id, y, x, label."""
     loose = convexity(components).filter((F.col("convexity") < least) & (F.col("hull_area") < (1 + growth) * F.col("polygon_area")))
-    ends = components.join(loose, ["frame_id", "label"], "left_semi").groupBy("frame_id", "label", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    corners_of = hulls(components.join(loose, ["frame_id", "label"], "left_semi"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        corners = hull([*zip(pdf.y.tolist(), pdf.a.tolist(), strict=True), *zip(pdf.y.tolist(), pdf.b.tolist(), strict=True)])
+        corners = hull(list(zip(pdf.y.tolist(), pdf.x.tolist(), strict=True)))
         rows = []
         for y in range(int(pdf.y.min()), int(pdf.y.max()) + 1):
             xs = []
@@ -494,7 +558,7 @@ def hull_fallback(components: DataFrame, least: float = 0.75, growth: float = 0.
         return out.assign(frame_id=pdf.frame_id.iloc[0], label=pdf.label.iloc[0])[["frame_id", "label", "y", "a", "b"]]
 
     kind = components.schema["frame_id"].dataType.simpleString()
-    filled = ends.groupBy("frame_id", "label").applyInPandas(run, f"frame_id {kind}, label long, y int, a int, b int")
+    filled = corners_of.groupBy("frame_id", "label").applyInPandas(run, f"frame_id {kind}, label long, y int, a int, b int")
     cells = filled.select("frame_id", "y", F.explode(F.sequence("a", "b")).alias("x"), "label")
     rest = components.join(loose, ["frame_id", "label"], "left_anti").select("frame_id", "y", "x", "label")
     return rest.unionByName(cells)

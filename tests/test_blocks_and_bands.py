@@ -125,3 +125,100 @@ def test_fusion_of_partials_equals_a_sort(spark, name, levels, top_n, invert, mo
     ends = {x["stack_id"]: (x["min_z"], x["max_z"]) for x in wavelet.edf_z_range(p, name, levels, 9).collect()}
     assert ends == {s: (0, len(a) - 1) for s, a in stacks.items()}
     assert wavelet.edf_fuse(p.limit(0), name, levels).count() == 0
+
+
+TURNS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+
+
+def contour_length(points):
+    """A walk around the outer contour, keeping the outside on the left."""
+    start = min(points)
+    at, heading, total, first = start, 6, 0.0, None
+    while True:
+        for k in range(8):
+            turn = (heading + k) % 8
+            step = (at[0] + TURNS[turn][0], at[1] + TURNS[turn][1])
+            if step in points:
+                break
+        else:
+            return 0.0
+        if first is None:
+            first = (at, turn)
+        elif (at, turn) == first:
+            return total
+        total += 1.0 if turn % 2 == 0 else 2**0.5
+        at, heading = step, (turn + 5) % 8 if turn % 2 else (turn + 6) % 8
+
+
+def flooded(free, start, steps):
+    seen, todo = {start}, [start]
+    while todo:
+        y, x = todo.pop()
+        for dy, dx in steps:
+            p = (y + dy, x + dx)
+            if p in free and p not in seen:
+                seen.add(p)
+                todo.append(p)
+    return seen
+
+
+@pytest.fixture(scope="module")
+def shapes(spark):
+    """Random frames, rings in rings, a line, one pixel, a frame set all over."""
+    r = np.random.default_rng(4)
+    frames = {k: (r.random((12, 14)) < 0.35 + 0.06 * k).astype(float) for k in range(8)}
+    rings = np.zeros((12, 14))
+    for k in range(0, 6, 2):
+        rings[k : 12 - k, k : 14 - k] = 1
+        rings[k + 1 : 11 - k, k + 1 : 13 - k] = 0
+    frames |= {20: rings, 21: np.eye(12, 14), 22: np.pad([[1.0]], ((3, 8), (4, 9))), 23: np.ones((12, 14))}
+    region = None
+    for k, a in frames.items():
+        one = pixels_of(spark, {k: np.where(a > 0, 1.0, np.nan)}).drop("v")
+        region = one if region is None else region.unionByName(one)
+    return frames, region.cache()
+
+
+def test_perimeters_equal_a_walk(spark, shapes):
+    frames, region = shapes
+    c = segment.connected_components(region)
+    points = {}
+    for x in c.collect():
+        points.setdefault((x["frame_id"], x["label"]), set()).add((x["y"], x["x"]))
+    got = {(x["frame_id"], x["label"]): x["perimeter"] for x in segment.perimeter(c).collect()}
+    assert got.keys() == points.keys()
+    for key, p in points.items():
+        assert got[key] == pytest.approx(contour_length(p)), key
+    edges = {}
+    for x in segment.boundary(c).collect():
+        edges.setdefault((x["frame_id"], x["label"]), set()).add((x["y"], x["x"]))
+    for key, p in points.items():
+        assert edges[key] == {q for q in p if not all((q[0] + dy, q[1] + dx) in p for dy, dx in TURNS[::2])}
+    for x in segment.region_measures(c).collect():
+        p = points[x["frame_id"], x["label"]]
+        ys, xs = zip(*p, strict=True)
+        assert (x["area_pixels"], x["bx"], x["by"], x["width"], x["height"]) == (len(p), min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1)
+        assert (x["cx"], x["cy"]) == (int(np.mean(xs)), int(np.mean(ys))) and x["polygon_area"] == len(p) - len(edges[x["frame_id"], x["label"]]) / 2 - 1
+
+
+def test_holes_are_filled_by_runs(spark, shapes):
+    frames, region = shapes
+    got = {}
+    for x in segment.fill_holes(region, 12, 14).collect():
+        got.setdefault(x["frame_id"], []).append((x["y"], x["x"]))
+    for k, a in frames.items():
+        free = {(y, x) for y in range(-1, 13) for x in range(-1, 15) if not (0 <= y < 12 and 0 <= x < 14 and a[y, x])}
+        outside = flooded(free, (-1, -1), TURNS[::2])
+        want = [(y, x) for y in range(12) for x in range(14) if (y, x) not in outside]
+        assert sorted(got[k]) == want
+
+
+@pytest.mark.parametrize("lines", [512, 2])
+def test_hulls_of_blocks_merge(spark, shapes, lines, monkeypatch):
+    monkeypatch.setattr(segment, "HULL_LINES", lines)
+    c = segment.connected_components(shapes[1])
+    points = {}
+    for x in c.collect():
+        points.setdefault((x["frame_id"], x["label"]), []).append((x["y"], x["x"]))
+    got = {(x["frame_id"], x["label"]): x["hull_area"] for x in segment.convexity(c).collect()}
+    assert got == {k: pytest.approx(segment.polygon_area(segment.hull(p))) for k, p in points.items()}
