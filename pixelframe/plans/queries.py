@@ -904,7 +904,29 @@ def m_boundary(spark, sf):
     return segment.boundary(segment.connected_components(fx.regions8(spark, sf))).select(*PX, "label")
 
 
-@query()
+_ROOT2 = repr(2**0.5)
+
+
+@query(f"""
+WITH {_EIGHT},
+bg AS (SELECT frame_id, y, x FROM (SELECT DISTINCT frame_id FROM reg8), range(-1, 9) a(y), range(-1, 9) b(x) EXCEPT SELECT frame_id, y, x FROM reg8),
+f(frame_id, label, y, x) AS (SELECT DISTINCT frame_id, label, label // 16777216 - 1, label % 16777216 FROM cc UNION
+  SELECT f.frame_id, f.label, g.y, g.x FROM f JOIN bg g ON g.frame_id = f.frame_id AND abs(g.y - f.y) + abs(g.x - f.x) = 1),
+q AS (SELECT frame_id, label, y - dy AS qy, x - dx AS qx, sum(1 << (2 * dy + dx))::INT AS bits FROM cc, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx) GROUP BY ALL),
+p(bits, dy, dx, len) AS (VALUES (3, 1, 0, 1.0::DOUBLE), (12, 0, 0, 1), (5, 0, 1, 1), (10, 0, 0, 1), (14, 0, 0, {_ROOT2}), (13, 0, 1, {_ROOT2}), (11, 1, 0, {_ROOT2}), (7, 1, 1, {_ROOT2}),
+  (6, 0, 0, {_ROOT2}), (6, 1, 1, {_ROOT2}), (9, 0, 1, {_ROOT2}), (9, 1, 0, {_ROOT2})),
+l AS (SELECT q.frame_id, q.label, sum(len) AS p FROM q JOIN p USING (bits) JOIN f ON f.frame_id = q.frame_id AND f.label = q.label AND f.y = qy + dy AND f.x = qx + dx GROUP BY 1, 2),
+e AS (SELECT frame_id, label, count(*) AS border FROM cc c WHERE (SELECT count(*) FROM cc q WHERE q.frame_id = c.frame_id AND q.label = c.label AND abs(q.y - c.y) + abs(q.x - c.x) = 1) < 4 GROUP BY 1, 2),
+a AS (SELECT frame_id, label, count(*) - border / 2 - 1 AS area FROM cc JOIN e USING (frame_id, label) GROUP BY 1, 2, border),
+t AS (SELECT DISTINCT frame_id, label, y, unnest([min(x), max(x)]) AS x FROM cc GROUP BY 1, 2, 3),
+b AS (SELECT u.frame_id, u.label, u.y * v.x - u.x * v.y AS c FROM t u JOIN t v ON v.frame_id = u.frame_id AND v.label = u.label AND (v.y, v.x) <> (u.y, u.x)
+  JOIN t w ON w.frame_id = u.frame_id AND w.label = u.label GROUP BY u.frame_id, u.label, u.y, u.x, v.y, v.x
+  HAVING count_if((v.y - u.y) * (w.x - u.x) - (v.x - u.x) * (w.y - u.y) > 0 OR ((v.y - u.y) * (w.x - u.x) - (v.x - u.x) * (w.y - u.y) = 0
+    AND (w.y - u.y) * (w.y - v.y) + (w.x - u.x) * (w.x - v.x) > 0)) = 0),
+h AS (SELECT frame_id, label, abs(sum(c)) / 2 AS hull FROM b GROUP BY 1, 2)
+SELECT a.frame_id, a.label, round(coalesce(p, 0), 6)::DOUBLE AS perimeter, round(CASE WHEN p > 0 THEN 4 * pi() * area / (p * p) ELSE 0 END, 6)::DOUBLE AS circularity, coalesce(hull, 0)::DOUBLE AS hull_area,
+  round(CASE WHEN hull > 0 THEN area / hull ELSE 1 END, 6)::DOUBLE AS convexity FROM a LEFT JOIN l USING (frame_id, label) LEFT JOIN h USING (frame_id, label)
+""")
 def m_contours_and_hulls(spark, sf):
     c = segment.connected_components(fx.regions8(spark, sf))
     shapes = segment.with_circularity(segment.region_measures(c), segment.perimeter(c), F.lit(0.5))
@@ -1070,17 +1092,42 @@ def r_stream_with_mask(spark, sf):
     return spark.read.parquet(out).filter("m > 127").groupBy("frame_id").agg(F.sum("v").alias("inside"))
 
 
+def _arriving(spark, rows, schema: str):
+    """A stream of `rows` (with a timepoint `at`) from many files in no order, some rows twice, ended by a late heartbeat."""
+    from ..streaming.live import new_frames
+
+    source = _place(spark, "arriving")
+    timed = rows.withColumn("ts", F.timestamp_seconds(F.col("at") * 60)).drop("at")
+    timed.unionByName(timed.filter(F.pmod(F.xxhash64(*timed.columns[:2]), F.lit(3)) == 0)).repartition(12, F.xxhash64("ts", *timed.columns[:1])).write.parquet(source)
+    beat = {"ts": F.timestamp_seconds(F.lit(10**9)), timed.columns[0]: F.lit(-1)}
+    spark.range(1).select(*(beat.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in timed.schema)).write.mode("append").parquet(source)
+    return new_frames(spark, source, schema)
+
+
 @query()
 def r_live_growth(spark, sf):
-    from ..streaming.live import live_growth, new_frames, run_available
+    from ..streaming.live import live_growth, run_available
 
-    source, out = _place(spark, "arriving"), _place(spark, "growth")
-    tracks = fx.ev_tracks(spark, sf).select("series_id", "timepoint", F.col("area_pixels").cast("double").alias("area_pixels"), "contour_found")
-    tracks.coalesce(1).write.parquet(source)
-    run_available(live_growth(new_frames(spark, source, "series_id int, timepoint int, area_pixels double, contour_found boolean")), out, _place(spark, "progress"))
+    tracks = fx.ev_tracks(spark, sf).select("series_id", "timepoint", F.col("area_pixels").cast("double").alias("area_pixels"), "contour_found", F.col("timepoint").alias("at"))
+    stream = _arriving(spark, tracks, "series_id int, timepoint int, area_pixels double, contour_found boolean, ts timestamp")
+    out = _place(spark, "growth")
+    run_available(live_growth(stream), out, _place(spark, "progress"))
     return spark.read.parquet(out).withColumn("growth_pct", r("growth_pct"))
 
 
+@query("""
+SELECT stack_id, z, round(avg(d), 6)::DOUBLE AS motion FROM (SELECT stack_id, z, abs(v - lag(v) OVER (PARTITION BY stack_id, y, x ORDER BY z)) AS d FROM px8) WHERE d IS NOT NULL GROUP BY 1, 2
+""")
+def r_live_motion(spark, sf):
+    from ..streaming.live import live_motion, run_available
+
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda c: c["v"])
+    frames = fx.px8(spark, sf).groupBy("stack_id", "z").agg(cells.alias("data")).withColumn("at", F.col("z") + 1)
+    out = _place(spark, "motion")
+    run_available(live_motion(_arriving(spark, frames, "stack_id int, z int, data array<int>, ts timestamp")), out, _place(spark, "progress"))
+    return spark.read.parquet(out).withColumn("motion", r("motion"))
+
+
 ORACLES["r_live_growth"] = ORACLES["w_growth_rate"]
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def new_frames(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -51,20 +52,69 @@ def enriched(pixels: DataFrame, mask: DataFrame) -> DataFrame:
     return pixels.join(mask, ["y", "x"])
 
 
-def _growth(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    before = state.get if state.exists else None
-    rows = []
-    for r in pd.concat(list(pdfs)).sort_values("timepoint").itertuples():
-        if before and before[1] and before[0] != r.timepoint:
-            rows.append((key[0], int(r.timepoint), (r.area_pixels - before[1]) / before[1] * 100))
-        before = (int(r.timepoint), float(r.area_pixels))
-    if before:
-        state.update(before)
-    yield pd.DataFrame(rows, columns=["series_id", "timepoint", "growth_pct"])
+class InOrder(StatefulProcessor):
+    """Rows of a key in the order of their event times, whatever order, files and batches they come in.
 
+    A row waits under its event time, with a timer for it; when the watermark has passed, `step(before, row)` makes an output row (or None) of
+    it and of the row before. Deliveries of one event time are one row, the last. `keep_ms` is the time to live of the row before, 0 for ever.
+    """
 
-def live_growth(tracks: DataFrame) -> DataFrame:
-    """Growth from one detection to the next; the state of a series is its last detection."""
-    return tracks.filter("contour_found").groupBy("series_id").applyInPandasWithState(
-        _growth, "series_id int, timepoint int, growth_pct double", "timepoint int, area double", "append", GroupStateTimeout.NoTimeout
-    )
+    def __init__(self, row: str, names: list[str], step: Callable, keep_ms: int = 0):
+        self.row, self.names, self.step, self.keep_ms = row, names, step, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", self.row)
+        self.last = handle.getValueState("last", self.row, self.keep_ms or None)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for pdf in rows:
+            pdf = pdf[pdf["counts"].eq(True)]
+            for at, *values in zip(pdf["ts"], *(pdf[c] for c in self.names), strict=True):
+                ms = at.value // 1_000_000
+                self.waiting.updateValue((ms,), tuple(v.tolist() if hasattr(v, "tolist") else v for v in values))
+                self.handle.registerTimer(ms)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = (expiredTimerInfo.getExpiryTimeInMs(),)
+        row = self.waiting.getValue(at)
+        self.waiting.removeKey(at)
+        made = self.step(tuple(self.last.get()), tuple(row)) if self.last.exists() else None
+        self.last.update(tuple(row))
+        yield pd.DataFrame([(key[0], *made)] if made else [])
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(stream: DataFrame, key: str, counts: Column, row: str, step: Callable, out: str, delay: str, keep_ms: int) -> DataFrame:
+    # Rows that do not count are left out behind the watermark, which they move, not by a filter, which Spark would put before it.
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    names = [c.split()[0] for c in row.split(", ")]
+    kind = stream.schema[key].dataType.simpleString()
+    timed = stream.withWatermark("ts", delay).select(key, "ts", counts.alias("counts"), *names)
+    return timed.groupBy(key).transformWithStateInPandas(InOrder(row, names, step, keep_ms), f"{key} {kind}, {out}", "append", "eventTime")
+
+
+def _growth(before: tuple, row: tuple) -> tuple | None:
+    return (int(row[0]), (row[1] - before[1]) / before[1] * 100) if before[1] and before[0] != row[0] else None
+
+
+def live_growth(tracks: DataFrame, delay: str = "1 day", keep_ms: int = 0) -> DataFrame:
+    """Growth from one detection to the next of a stream of tracks(series_id, ts, timepoint, area_pixels, contour_found), by event time.
+
+    Rows may come out of order by up to `delay`; what is later is dropped. Frames without detection move the watermark, but are none.
+    """
+    found = tracks.withColumn("area", F.col("area_pixels").cast("double"))
+    return _in_order(found, "series_id", F.col("contour_found"), "timepoint int, area double", _growth, "timepoint int, growth_pct double", delay, keep_ms)
+
+
+def _motion(before: tuple, row: tuple) -> tuple | None:
+    now, then = np.asarray(row[1], np.int64), np.asarray(before[1], np.int64)
+    return (int(row[0]), float(np.abs(now - then).mean())) if len(now) == len(then) and len(now) else None
+
+
+def live_motion(frames: DataFrame, delay: str = "1 day", keep_ms: int = 0) -> DataFrame:
+    """Mean absolute difference of each frame to the one before of its stack, of a stream of frames(stack_id, ts, z, data); frames of other sizes have none."""
+    return _in_order(frames, "stack_id", F.col("data").isNotNull(), "z int, data array<int>", _motion, "z int, motion double", delay, keep_ms)

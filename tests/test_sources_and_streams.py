@@ -97,13 +97,21 @@ def test_streams_equal_batches(spark, tmp_path):
 
 
 def test_live_growth_equals_batch(spark, tmp_path):
-    rows = [(s, t, 100 + 7 * t * (s + 1), True) for s in range(3) for t in range(1, 6)]
+    """Rows out of order over many files and two batches, repeated deliveries, rows without detection, a heartbeat at the end."""
+    rows = [(s, t, 100 + 7 * t * (s + 1), t % 4 != 2) for s in range(3) for t in range(1, 12)]
     tracks = spark.createDataFrame(rows, "series_id int, timepoint int, area_pixels long, contour_found boolean")
-    tracks.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = live.new_frames(spark, f"{tmp_path}/in", tracks.schema)
-    live.run_available(live.live_growth(stream), f"{tmp_path}/out", f"{tmp_path}/c")
-    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {tuple(r) for r in series.growth_rate(tracks).collect()}
+    timed = tracks.withColumn("ts", F.timestamp_seconds(F.col("timepoint") * 60))
+    beat = spark.createDataFrame([(-1, 0, 0, False)], tracks.schema).withColumn("ts", F.timestamp_seconds(F.lit(10**6)))
+    run = lambda: live.run_available(live.live_growth(live.new_frames(spark, f"{tmp_path}/in", timed.schema), "1 hour"), f"{tmp_path}/out", f"{tmp_path}/c")
+    timed.filter("timepoint % 3 = 0").repartition(5, "timepoint").write.parquet(f"{tmp_path}/in")
+    run()
+    late = timed.filter("timepoint % 3 != 0")
+    late.unionByName(late.filter("series_id = 1")).repartition(5, "timepoint").write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    beat.write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got) == sorted(tuple(r) for r in series.growth_rate(tracks).collect())
 
 
 def test_stream_static_join(spark, tmp_path):
