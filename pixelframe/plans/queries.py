@@ -1368,4 +1368,57 @@ def v_aligned_and_cropped(spark, sf):
 def v_pulsatility_report(spark, sf):
     from .workflows import pulsatility_report
 
-    return pulsatility_report(fx.px8(spark, sf), fx.rois8(spark), 10.0)[0]
+    return pulsatility_report(fx.px8(spark, sf), fx.rois8(spark), 10.0, stride=2, size=(8, 8), max_width=4)[0]
+
+
+@query("""
+WITH h AS (SELECT stack_id, z // 2 AS z, y // 2 AS y, x // 2 AS x, round_even(avg(v), 0) AS v FROM px8 WHERE z % 2 = 0 AND z < 60 GROUP BY 1, 2, 3, 4),
+d AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY stack_id, y, x ORDER BY z)) AS diff FROM h)
+SELECT stack_id || '/' || roi AS series_id, (z - 1)::INT AS idx, round(avg(diff), 6)::DOUBLE AS value FROM d JOIN rois8 ON y >= y0 // 2 AND y < y1 // 2 AND x >= x0 // 2 AND x < x1 // 2 WHERE diff IS NOT NULL GROUP BY stack_id, roi, z
+""")
+def v_motion_series(spark, sf):
+    from .workflows import motion_series
+
+    s, _ = motion_series(fx.px8(spark, sf), fx.rois8(spark), 10.0, stride=2, max_frames=30, size=(8, 8), max_width=4)
+    return s.select("series_id", F.col("idx").cast("int").alias("idx"), r("value").alias("value"))
+
+
+@query(f"SELECT stack_id AS frame_id, y, x, 0 AS r, v AS g, 0 AS b FROM ({_edf_sql(3, 1)})")
+def v_stills_of_slices(spark, sf):
+    """Slices named `{{stack}}_{{slice}}.png` to a still of each stack, fused by depth of field with the default levels."""
+    from .workflows import stack_stills
+
+    named = fx.px8(spark, sf).withColumn("name", F.concat(F.col("stack_id").cast("string"), F.lit("_"), (F.col("z") - 5).cast("string"), F.lit(".png"))).drop("stack_id", "z")
+    key = K.key_xy(F.col("name"))
+    slices = named.withColumns({"stack_id": key["x"], "z": key["y"]}).filter("stack_id IS NOT NULL")
+    return stack_stills(slices, projection="edf").select("frame_id", "y", "x", "rgb.*")
+
+
+@query()
+def v_core_outer(spark, sf):
+    from .workflows import core_outer
+
+    return core_outer(fx.px8(spark, sf), 8, 8, 2, 3, 3, 1)
+
+
+@query("""
+WITH b AS (SELECT frame_id, stack_id AS session, z // 2 AS t, z % 2 AS k, y, x, v FROM px8), s(dy, dx) AS (SELECT a.i, b.i FROM range(-1, 2) a(i), range(-1, 2) b(i)),
+c AS (SELECT f.frame_id, f.session, f.t, f.k, dy, dx, round(corr(f.v::DOUBLE, g.v::DOUBLE), 9) AS c FROM b f, s, b g WHERE g.session = f.session AND g.k = 0 AND g.t = f.t + f.k - 1 AND g.y = f.y - dy AND g.x = f.x - dx GROUP BY ALL),
+m AS (SELECT frame_id, arg_max(dy, q) AS dy, arg_max(dx, q) AS dx FROM (SELECT *, row(c, -(abs(dy) + abs(dx)), -dy, -dx) AS q FROM c) GROUP BY 1),
+f AS (SELECT DISTINCT frame_id, session, t, k FROM b),
+p AS (SELECT session, t, sum(coalesce(dy, 0)) OVER w AS y, sum(coalesce(dx, 0)) OVER w AS x FROM f LEFT JOIN m USING (frame_id) WHERE k = 0 WINDOW w AS (PARTITION BY session ORDER BY t))
+SELECT session, t::INT AS timepoint, k::INT AS z, frame_id, 1::BIGINT AS island, (p.y + CASE WHEN k = 0 THEN 0 ELSE dy END)::BIGINT AS sum_dy, (p.x + CASE WHEN k = 0 THEN 0 ELSE dx END)::BIGINT AS sum_dx
+FROM f LEFT JOIN m USING (frame_id) JOIN p USING (session, t)
+""")
+def v_aligned_session(spark, sf):
+    z = F.col("z")
+    p = fx.px8(spark, sf).select(F.col("stack_id").alias("session"), F.floor(z / 2).cast("int").alias("timepoint"), (z % 2).alias("z"), *PX, "v")
+    return register.align_session(p, 0, 1)
+
+
+@query("""
+SELECT series_id, printf('timepoints %d (%d - %d), area mean=%.1f std=%.1f, darkness mean=%.2f std=%.2f', count(*), min(timepoint), max(timepoint), avg(area_pixels), stddev_samp(area_pixels),
+  avg(average_darkness), stddev_samp(average_darkness)) AS line FROM trk WHERE contour_found GROUP BY 1
+""")
+def x_summary_lines(spark, sf):
+    return series.summary_lines(fx.ev_tracks(spark, sf))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import pixels as P
@@ -82,13 +82,34 @@ def growth_tables(tracks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return series.growth_rate(tracks), series.growth_summary(tracks), series.area_darkness_corr(tracks)
 
 
-def pulsatility_report(pixels: DataFrame, rois: DataFrame, fps: float, method: str = "diff", block: int = 16, **bands: float) -> tuple[DataFrame, DataFrame]:
-    """Motion by region (frame differences, or `flow`: speeds of blocks), then the pulse analysis of every region: (summary, waveform)."""
+def motion_series(
+    pixels: DataFrame, rois: DataFrame, fps: float, method: str = "diff", block: int = 16, stride: int = 1, max_frames: int | None = None,
+    size: tuple[int, int] | None = None, max_width: int | None = None,
+) -> tuple[DataFrame, float]:
+    """(series_id, idx, value: motion by stack and region; frames a second): frame differences, or `flow`, speeds of blocks.
+
+    Every stride-th frame counts, at most max_frames of them. With the frames' size (height, width) and a max_width they are first
+    averaged down to that width, to whole values, and the regions with them. Speeds are in pixels of the frames that are compared.
+    """
     if method not in ("flow", "diff"):
         raise ValueError(f"unknown method {method!r}")
-    motion = P.motion_diff(pixels, rois) if method == "diff" else pulse.block_motion_by_roi(pixels, rois, block)
-    s = motion.select(F.concat_ws("/", "stack_id", "roi").alias("series_id"), (F.col("z") - 1).alias("idx"), F.col("motion").alias("value"))
-    return pulse.analyze_pulsatility(s, fps, **bands)
+    frames = P.decimate(pixels.select("frame_id", "stack_id", F.col("z").alias("frame_idx")).distinct(), stride, max_frames, F.lit(float(fps)))
+    place = Window.partitionBy("stack_id").orderBy("frame_idx")
+    frames = frames.select("frame_id", "stack_id", (F.row_number().over(place) - 1).alias("z"))
+    scale = 1.0
+    if size is not None and max_width is not None:
+        small, scale = P.downscale_to(pixels.join(frames.select("frame_id"), "frame_id", "left_semi"), *size, max_width)
+        pixels = small.withColumn("v", F.rint(F.round("v", 6)).cast("int"))
+        rois = rois.select("roi", *(F.rint(F.col(c) * scale).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    kept = pixels.select("frame_id", "y", "x", "v").join(frames, "frame_id")
+    motion = P.motion_diff(kept, rois) if method == "diff" else pulse.block_motion_by_roi(kept, rois, block)
+    return motion.select(F.concat_ws("/", "stack_id", "roi").alias("series_id"), (F.col("z") - 1).alias("idx"), F.col("motion").alias("value")), fps / stride
+
+
+def pulsatility_report(pixels: DataFrame, rois: DataFrame, fps: float, min_bpm: float = 30.0, max_bpm: float = 300.0, **motion: object) -> tuple[DataFrame, DataFrame]:
+    """Motion by region (`motion_series`), then the pulse analysis of every region: (summary, waveform)."""
+    s, rate = motion_series(pixels, rois, fps, **motion)
+    return pulse.analyze_pulsatility(s, rate, min_bpm, max_bpm)
 
 
 def core_outer(pixels: DataFrame, height: int, width: int, tiles: int = 8, core_min: int = 1000, outer_min: int = 5000, radius: int = 10) -> DataFrame:
