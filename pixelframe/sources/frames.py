@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,22 +31,29 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 
     Color images come as luminance, 0.299 r + 0.587 g + 0.114 b, rounded in 16-bit fixed point; alpha is ignored.
     """
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][nN][gG]").load(path)
     png = F.hex(F.substring("content", 1, 4)) == "89504E47"
     deep = files.filter(png & (F.hex(F.substring("content", 25, 1)) == "10")).select("path").head(1)
     if deep:
         raise ValueError(f"16-bit image: {deep[0][0]}")
-    i = spark.read.format("image").load(path).select("image.*")
-    byte = lambda k: F.conv(F.hex(F.substring("data", k, F.lit(1))), 16, 10).cast("int")
-    n = F.col("nChannels")
-
-    def gray(k):  # noqa: ANN001, ANN202
-        at = (k - 1) * n + 1  # blue, green, red, alpha
-        luminance = F.shiftright(byte(at + 2) * 19595 + byte(at + 1) * 38470 + byte(at) * 7471 + 0x8000, 16)
-        return F.when(n == 1, byte(k)).when(n.isin(3, 4), luminance).otherwise(F.raise_error(F.concat(F.lit("channels not handled: "), n.cast("string"))).cast("int"))
-
-    data = F.transform(F.sequence(F.lit(1), F.col("height") * F.col("width")), gray)
-    return i.select(F.col("origin").alias("frame_id"), "height", "width", F.lit(8).alias("bit_depth"), data.alias("data"))
+    images = spark.read.format("image").load(path).select("image.*").select("origin", "height", "width", "nChannels", "data")
+    return images.mapInArrow(_gray, "frame_id string, height int, width int, bit_depth int, data array<int>")
+
+
+def _gray(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each image's bytes as gray values, an image at a time: Spark cuts the batches by bytes."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            height, width, channels = (batch[c][k].as_py() for c in ("height", "width", "nChannels"))
+            if channels not in (1, 3, 4):
+                raise ValueError(f"channels not handled: {channels}")
+            v = np.frombuffer(batch["data"][k].as_buffer(), np.uint8).reshape(-1, channels).astype(np.int32)
+            if channels > 1:  # blue, green, red, alpha
+                v = (v[:, 2] * 19595 + v[:, 1] * 38470 + v[:, 0] * 7471 + 0x8000) >> 16
+            data = pa.ListArray.from_arrays(pa.array([0, height * width], pa.int32()), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [batch["origin"].slice(k, 1), *(pa.array([x], pa.int32()) for x in (height, width, 8)), data], ["frame_id", "height", "width", "bit_depth", "data"]
+            )
 
 
 def read_frame_table(spark: SparkSession, path: str) -> DataFrame:

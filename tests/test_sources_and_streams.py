@@ -47,6 +47,29 @@ def test_mixed_folder_keeps_color_frames(spark, tmp_path):
     assert got == {"gray.png": (1, 3, [0, 7, 255]), "rgb.png": (1, 4, [76, 150, 29, 255]), "rgba.png": (1, 2, [124, 0])}
 
 
+def test_large_images(spark, tmp_path):
+    """Four megapixels, gray and color, decoded as arrays."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    def png(a):
+        h, w = a.shape[:2]
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        raw = b"".join(b"\0" + row.tobytes() for row in a)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0 if a.ndim == 2 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 1)) + chunk(b"IEND", b"")
+
+    r = np.random.default_rng(0)
+    gray, color = r.integers(0, 256, (2000, 2100), np.uint8), r.integers(0, 256, (2000, 2000, 3), np.uint8)
+    for name, a in (("gray.png", gray), ("color.png", color)):
+        (tmp_path / name).write_bytes(png(a))
+    luminance = (color.astype(np.int64) @ [19595, 38470, 7471] + 0x8000) >> 16
+    total = F.aggregate("data", F.lit(0).cast("long"), lambda a, v: a + v)
+    got = {x["frame_id"].rsplit("/", 1)[1]: tuple(x)[1:] for x in S.read_frames(spark, str(tmp_path)).select("frame_id", "height", "width", total, F.get("data", F.lit(12345))).collect()}
+    assert got == {n: (*a.shape, int(a.sum()), int(a.ravel()[12345])) for n, a in (("gray.png", gray.astype(np.int64)), ("color.png", luminance))}
+
+
 def test_csv_readers(spark, tmp_path):
     (tmp_path / "t.csv").write_text("N,actual_time\n1,a\nx,b\n2,c\n1,d\n")
     assert {r["N"]: r["actual_time"] for r in S.read_timestamps(spark, str(tmp_path / "t.csv")).collect()} == {1: "d", 2: "c"}
