@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import BLOCK, slices
+
 TURN, OPEN, CLOSE, BEGIN, END = "<<TURN>>", "[INST]", "[/INST]", "<s>", "</s>"
 CONTROL = (TURN, OPEN, CLOSE, BEGIN, END)
 _TOKEN = re.compile(r"\\(.)|" + "|".join(f"({re.escape(c)})" for c in CONTROL), re.S)
@@ -102,15 +104,17 @@ def format_chats(chats: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts, spans = [], []
-            for turns in batch["turns"].to_pylist():
-                texts.append(render([(t["role"] or "", t["text"] or "") for t in turns]))
+            texts, spans, at, held = [], [], 0, 0
+            for k in range(batch.num_rows):
+                texts.append(render([(t["role"] or "", t["text"] or "") for t in batch["turns"][k].as_py()]))
                 spans.append([{"start": a, "end": b} for a, b in parse(texts[-1])[1]])
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch["conv_id"], pa.array(texts, pa.string()), pa.array(spans, span)], ["conv_id", "formatted", "loss_spans"]
-            )
+                held += len(texts[-1])
+                if k == batch.num_rows - 1 or held >= BLOCK:
+                    ids = batch["conv_id"].slice(at, k + 1 - at)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), pa.array(spans, span)], ["conv_id", "formatted", "loss_spans"])
+                    texts, spans, at, held = [], [], k + 1, 0
 
     return grouped.mapInArrow(run, "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>")
 
@@ -122,7 +126,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """DIGEST of the turns that the parser recovers from `formatted`, and of the texts under the loss mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "formatted"):
             rows = []
             for conv, text, mask in zip(*(batch[c].to_pylist() for c in ("conv_id", "formatted", "loss_spans")), strict=True):
                 turns, _ = parse(text)

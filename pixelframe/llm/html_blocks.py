@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 INLINE = frozenset("a abbr b bdi bdo big cite code em font i kbd mark q s samp small span strike strong sub sup tt u var time wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg textarea".split())
@@ -479,25 +481,27 @@ def labeller(path: Path = WEIGHTS) -> Labeller:
     return model
 
 
+#: Bytes of pages that are labelled together; a longer page is alone.
+PAGES_BYTES = 4 << 20
+
+
 def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """page_id, url, text and n_chars (long, code points) for every row of pages(page_id, url, html)."""
     model = model or labeller()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                found = [leaves(h or "") for h in batch["html"].to_pylist()]
-                texts = [""] * len(found)
-                order = sorted((k for k, x in enumerate(found) if x), key=lambda k: len(found[k]))
-                for k in range(0, len(order), 64):
-                    block = order[k : k + 64]
-                    for i, y in zip(block, model.predict([Sequence(found[i]) for i in block]), strict=True):
-                        texts[i] = "\n".join(leaf[0] for leaf, v in zip(found[i], y, strict=True) if v >= 0.5)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                    ["page_id", "url", "text", "n_chars"],
-                )
+        for batch in slices(batches, "html", PAGES_BYTES):
+            found = [leaves(h or "") for h in batch["html"].to_pylist()]
+            texts = [""] * len(found)
+            order = sorted((k for k, x in enumerate(found) if x), key=lambda k: len(found[k]))
+            for k in range(0, len(order), 64):
+                block = order[k : k + 64]
+                for i, y in zip(block, model.predict([Sequence(found[i]) for i in block]), strict=True):
+                    texts[i] = "\n".join(leaf[0] for leaf, v in zip(found[i], y, strict=True) if v >= 0.5)
+            yield pa.RecordBatch.from_arrays(
+                [batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                ["page_id", "url", "text", "n_chars"],
+            )
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(
         run, "page_id long, url string, text string, n_chars long"

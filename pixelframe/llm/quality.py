@@ -123,15 +123,14 @@ SAMPLE_ROWS, SEED = 400, 11
 
 
 def plan_cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected), best first, from a random sample of at most `sample_rows` rows of all.
+    """(rule, seconds, share rejected), best first, from a random sample of at most `sample_rows` rows of all, which stays with the executors.
 
     The sample sets the order only. Rules that reject nothing in it follow, cheapest first.
     """
-    spark = docs.sparkSession
     n = docs.count()
     drawn = docs if n <= 2 * sample_rows else docs.sample(False, 2 * sample_rows / n, SEED)
-    rows = drawn.select(F.col(text_col).cast("string").alias("t")).limit(sample_rows).collect()
-    local = spark.createDataFrame(rows, "t string").coalesce(1).withColumn("n", n_words(F.col("t"))).cache()
+    rows = drawn.select(F.col(text_col).cast("string").alias("t")).orderBy(F.rand(SEED)).limit(sample_rows)
+    local = rows.withColumn("n", n_words(F.col("t"))).cache()
     total = max(1, local.count())
     facts = Facts.of(F.col("t"), n_words=F.col("n"))
     found = []

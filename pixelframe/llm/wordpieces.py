@@ -25,13 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 VOCABULARY = "word_bpe_49k.json"
 END, SYMBOLS = 256, 257
 #: Fixed values of the byte-level alphabet: the ranges of bytes that stand for themselves.
 PLAIN_BYTES = (range(33, 127), range(161, 173), range(174, 256))
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Cached runs a Python worker holds at most; the cache is then emptied.
-CACHE_WORDS = 150_000
+#: Cached runs a Python worker holds at most, when the cache is emptied, and characters of the longest that it takes.
+CACHE_WORDS, CACHE_CHARS = 150_000, 100
 
 
 def byte_of() -> dict[str, int]:
@@ -125,7 +127,7 @@ def count_pieces(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             words, pieces, chars = [], [], []
             for text in batch["text"].to_pylist():
                 text = text or ""
@@ -135,7 +137,9 @@ def count_pieces(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     if got is None:
                         if len(_known) >= CACHE_WORDS:
                             _known.clear()
-                        got = _known[r] = measure(r, machine)
+                        got = measure(r, machine)
+                        if len(r) <= CACHE_CHARS:
+                            _known[r] = got
                     w += got[0]
                     p += got[1]
                 chars.append(len(text))
