@@ -13,8 +13,9 @@ Targets come from a table (dimension, value, share). Values that it does not nam
 n ** temper over their sum, scaled to what the named ones leave.
 
 Topics are those of a model: k-means over hashed words (log counts by inverse document frequency, unit length, less the
-mean of the document's language, so that topics are not languages), fitted on a sample of at most SAMPLE documents with the
-least hashes of id and text. The model is a few matrices of fixed size; every document is assigned by it.
+mean of the document's language, so that topics are not languages), fitted on all documents: each round adds up sums of fixed
+size over them, in whole numbers, so that the model does not depend on partitions. Languages have their means by LANGS hash
+values, null one of its own. The model is a few matrices of fixed size; every document is assigned by it.
 
 Skew: rows are aggregated to cells before any exchange; rounds work on cells, in Spark.
 
@@ -26,23 +27,26 @@ An empty table gives an empty table. `sampled` keeps all columns as they are, wh
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import BLOCK, free_name, written
+from .common import BLOCK, free_name, slices, written
 from .minhash import lower_bytes, word_hashes
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPER, ROUNDS, TOLERANCE, SEED = 0.9, 50, 1e-6, 17
 #: Share of the tokens in cells whose rate may exceed the one that stands for probability 1.
 SLACK = 0.02
-#: Documents that the topic model is fitted on at most, hashed-word features, topics and rounds of k-means.
-SAMPLE, FEATURES, TOPICS, FITS = 4096, 256, 6, 15
+#: Hashed-word features, slots of hashed languages, topics, rounds of k-means and planes that they begin with.
+FEATURES, LANGS, TOPICS, FITS, PLANES = 256, 256, 6, 15, 6
+#: Features are whole numbers of this part of 1; rows of a step.
+SCALE, ROWS = 4096, 2048
 #: Target shares of the query and the pipeline: (dimension, value, share).
 TARGETS = [("lang", "en", 0.57), ("lang", "fr", 0.16), ("lang", "de", 0.16), ("lang", "es", 0.11)]
 
@@ -56,44 +60,93 @@ def word_counts(texts: list[str | None]) -> np.ndarray:
     return np.bincount(at, minlength=len(raw) * FEATURES).reshape(len(raw), FEATURES)
 
 
+def slots_of(langs: list[str | None]) -> np.ndarray:
+    """The slot of each language's name, the last one for null."""
+    slot = {lang: LANGS if lang is None else crc32(lang.encode()) % LANGS for lang in set(langs)}
+    return np.array([slot[lang] for lang in langs], np.int64)
+
+
+def directions_of(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weighted log counts of unit length, in whole SCALE-ths: their sums are exact, whatever the partitions."""
+    x = np.log1p(counts) * idf
+    return np.rint(x * (SCALE / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)))
+
+
 @dataclass(frozen=True)
 class Topics:
-    """A fitted model: weights of the features, means by language (None: of all) and centres, the most frequent first."""
+    """A fitted model: weights of the features, means by slot of languages and centres, the most frequent first. Means and centres are whole numbers."""
 
     idf: np.ndarray
-    means: dict[str | None, np.ndarray]
+    means: np.ndarray
     centres: np.ndarray
 
-    def features(self, counts: np.ndarray, langs: list[str | None]) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        return x - np.array([self.means.get(lang, self.means[None]) for lang in langs]).reshape(len(x), -1)
-
     def assign(self, counts: np.ndarray, langs: list[str | None]) -> list[str]:
-        x = self.features(counts, langs)
-        near = (x @ self.centres.T - (self.centres**2).sum(1) / 2).argmax(1)
+        near = nearest(directions_of(counts, self.idf) - self.means[slots_of(langs)], self.centres)
         return [f"t{k}" if n else "none" for k, n in zip(near.tolist(), counts.sum(1).tolist(), strict=True)]
 
 
-def fit(counts: np.ndarray, langs: list[str | None], topics: int = TOPICS) -> Topics:
-    """k-means from the farthest points; the same rows in the same order give the same model."""
-    if not len(counts):
-        return Topics(np.ones(FEATURES), {None: np.zeros(FEATURES)}, np.zeros((1, FEATURES)))
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.1
-    bare = Topics(idf, {None: np.zeros(FEATURES)}, np.zeros((1, FEATURES)))
-    x = bare.features(counts, langs)
-    means = {lang: x[[k for k, v in enumerate(langs) if v == lang]].mean(0) for lang in set(langs) if lang is not None}
-    means[None] = x.mean(0)
-    x = Topics(idf, means, bare.centres).features(counts, langs)
-    centres = x[(x**2).sum(1).argmax()][None]
-    while len(centres) < min(topics, len(x)):
-        away = np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
-        centres = np.vstack([centres, x[away.argmax()]])
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row; products of whole numbers below 2**53 are exact, so batches of other sizes decide alike."""
+    return (x @ centres.T - (centres**2).sum(1) / 2).argmax(1)
+
+
+def added(x: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each of n groups, with their number as a last column."""
+    out = np.zeros((n, x.shape[1] + 1), np.int64)
+    for k in np.unique(groups):
+        out[k] = [*x[groups == k].sum(0), (groups == k).sum()]
+    return out
+
+
+def means_of(sums: np.ndarray) -> np.ndarray:
+    """Mean of each group of `added`, rounded; 0 for one without rows."""
+    return np.rint(sums[:, :-1] / np.maximum(sums[:, -1:], 1))
+
+
+#: Of (rows, slots) the sums of a pass over all documents.
+Step = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def idf_of(present: np.ndarray) -> np.ndarray:
+    """Weights by the number of documents with each feature, and of all as a last value."""
+    return np.log((1 + present[-1]) / (1 + present[:-1])) + 0.1
+
+
+def presence(counts: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return added((counts > 0).astype(np.int64), np.zeros(len(counts), np.int64), 1)
+
+
+def clustered(summed: Callable[[Step, int], np.ndarray], topics: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means by slot and centres by k-means, where `summed` adds up what a step makes of all directions_of documents.
+
+    Rounds begin at means of documents that are on one side of PLANES fixed planes: the largest one first, then the one that is
+    farthest from those before, by distance times documents. A centre without documents stays where it is.
+    """
+    by_slot = summed(lambda x, slots: added(x, slots, LANGS + 1), LANGS + 1)
+    means = np.where(by_slot[:, -1:] > 0, means_of(by_slot), means_of(by_slot.sum(0, keepdims=True))).astype(np.int16)
+    planes = np.random.RandomState(SEED).choice([-1.0, 1.0], (FEATURES, PLANES))
+    sides = 2 ** np.arange(PLANES)
+    cells = summed(lambda x, slots: added(y := x - means[slots], (y @ planes > 0) @ sides, 2**PLANES), 2**PLANES)
+    cells = cells[cells[:, -1] > 0]
+    starts = means_of(cells)
+    centres = starts[cells[:, -1].argmax()][None] if len(cells) else np.zeros((1, FEATURES))
+    while len(centres) < min(topics, len(cells)):
+        away = np.min([((starts - c) ** 2).sum(1) for c in centres], axis=0) * cells[:, -1]
+        centres = np.vstack([centres, starts[away.argmax()]])
     for _ in range(FITS):
-        near = (x @ centres.T - (centres**2).sum(1) / 2).argmax(1)
-        centres = np.stack([x[near == k].mean(0) if (near == k).any() else c for k, c in enumerate(centres)])
-    order = np.argsort(-np.bincount(near, minlength=len(centres)), kind="stable")
-    return Topics(idf, means, centres[order])
+        sums = summed(lambda x, slots, at=centres: added(y := x - means[slots], nearest(y, at), len(at)), len(centres))
+        before, centres = centres, np.where(sums[:, -1:] > 0, means_of(sums), centres)
+        if (before == centres).all():
+            break
+    return means, centres[np.argsort(-sums[:, -1], kind="stable")]
+
+
+def fit(counts: np.ndarray, langs: list[str | None], topics: int = TOPICS) -> Topics:
+    """The model of documents given as arrays."""
+    slots = slots_of(langs)
+    idf = idf_of(presence(counts, slots)[0])
+    x = directions_of(counts, idf)
+    return Topics(idf, *clustered(lambda step, n: step(x, slots), topics))
 
 
 def _blocks(texts: pa.Array) -> list[tuple[int, int]]:
@@ -107,19 +160,46 @@ def _blocks(texts: pa.Array) -> list[tuple[int, int]]:
     return [*out, (at, len(texts))] if at < len(texts) else out
 
 
-def fitted_topics(docs: DataFrame) -> Topics:
-    """The topic model of docs(doc_id, text, lang); the driver sees the counts of at most SAMPLE documents."""
-    rows = docs.select(chance(F.col("doc_id"), F.col("text")).alias("u"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    n = rows.count()
-    drawn = rows.filter(F.col("u") < 0.9 * SAMPLE / n) if n > 0.9 * SAMPLE else rows
+def _summed(rows: DataFrame, kind: str, step: Step, n: int) -> np.ndarray:
+    """What `step` makes of all rows(slot, x), x being the bytes of FEATURES numbers: added up in each task, then by cell in Spark."""
 
-    @F.arrow_udf("binary")
-    def counted(texts: pa.Array) -> pa.Array:
-        return pa.array([word_counts([t.as_py()]).astype("<u4").tobytes() for t in texts], pa.binary())
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, FEATURES + 1), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                x = np.frombuffer(b"".join(part["x"].to_pylist()), kind).reshape(-1, FEATURES).astype(np.float64)
+                total += step(x, part["slot"].to_numpy())
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel()[cells])], ["cell", "value"])
 
-    least = drawn.select("u", "lang", counted("text").alias("counts")).orderBy("u", F.hash("counts")).limit(SAMPLE).collect()
-    counts = np.frombuffer(b"".join(r["counts"] for r in least), "<u4").reshape(len(least), FEATURES).astype(np.float64)
-    return fit(counts, [r["lang"] for r in least])
+    out = np.zeros(n * (FEATURES + 1), np.int64)
+    for r in rows.select("slot", "x").mapInArrow(tasks, "cell long, value long").groupBy("cell").agg(F.sum("value").alias("value")).collect():
+        out[r["cell"]] = r["value"]
+    return out.reshape(n, FEATURES + 1)
+
+
+def fitted_topics(docs: DataFrame, topics: int = TOPICS) -> Topics:
+    """The topic model of all docs(text, lang). Each pass over them sends the driver sums of fixed size, at most (LANGS + 1) * (FEATURES + 1)."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            counts = word_counts(batch["text"].to_pylist()).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array(slots_of(batch["lang"].to_pylist())), pa.array([c.tobytes() for c in counts], pa.binary())], ["slot", "x"])
+
+    texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    counts = written(texts.mapInArrow(counted, "slot long, x binary"), "word-counts")
+    idf = idf_of(_summed(counts, "<u4", presence, 1)[0])
+
+    def directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch["x"].to_pylist()), "<u4").reshape(-1, FEATURES)
+            for at in range(0, len(x), ROWS):
+                made = directions_of(x[at : at + ROWS], idf).astype("<i2")
+                yield pa.RecordBatch.from_arrays([batch["slot"].slice(at, ROWS), pa.array([v.tobytes() for v in made], pa.binary())], ["slot", "x"])
+
+    rows = written(counts.mapInArrow(directed, "slot long, x binary"), "directions")
+    return Topics(idf, *clustered(lambda step, n: _summed(rows, "<i2", step, n), topics))
 
 
 def measure(model: Topics) -> Callable[[Column, Column], Column]:
@@ -170,23 +250,27 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     `marginal_error` is what remains after the last round; more than `tolerance` warns.
     """
     total = cells.agg(F.sum("tokens")).head()[0] or 1.0
-    now = written(cells.filter("tokens > 0").withColumn("weight", F.col("tokens") / F.lit(total)), "cells")
+    now = cells.filter("tokens > 0").withColumn("weight", F.col("tokens") / F.lit(total))
+    for name, target in targets.items():
+        goal = target.select(F.col("value").alias("v"), F.col("share").alias(f"share_{name}"))
+        now = now.join(goal, F.col(name).eqNullSafe(F.col("v"))).drop("v")
+    now = written(now, "cells")
     before = float("inf")
     for _ in range(rounds):
         off = F.lit(0.0)
-        for name, target in targets.items():
-            sums = now.groupBy(F.col(name).alias("v")).agg(F.sum("weight").alias("s"))
-            factor = sums.join(target, F.col("v").eqNullSafe(F.col("value"))).select("v", (F.col("share") / F.col("s")).alias("f"))
+        for name in targets:
+            factor = now.groupBy(F.col(name).alias("v")).agg((F.max(f"share_{name}") / F.sum("weight")).alias("f"))
             now = now.join(factor, F.col(name).eqNullSafe(F.col("v"))).withColumn("weight", F.col("weight") * F.col("f"))
             now = now.withColumn("off", F.greatest(off, F.abs(F.col("f") - 1))).drop("v", "f")
             off = F.col("off")
-        now = written(now, "raked")
-        worst = now.agg(F.max("off")).head()[0]
-        now = now.drop("off")
+        seen = Observation()
+        now = written(now.observe(seen, F.max("off").alias("off")), "raked").drop("off")
+        worst = seen.get["off"]
         # Targets that contradict each other stop improving.
         if worst is None or worst <= tolerance or worst > 0.999 * before:
             break
         before = worst
+    now = now.drop(*(f"share_{name}" for name in targets))
     error = marginal_error(now, targets)
     if error > tolerance:
         warnings.warn(f"marginals miss their targets by up to {error:.3g} after {rounds} rounds", RuntimeWarning, stacklevel=2)

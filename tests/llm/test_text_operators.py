@@ -586,6 +586,19 @@ def test_topics_are_those_of_the_texts():
     assert mixing.fit(counts[:0], [], 3).assign(counts[:1], [None]) == ["t0"]
 
 
+def test_topics_are_fitted_on_all_documents(spark):
+    """More documents than any sample of 4096 had: Spark's sums give the model of all of them, whatever the partitions."""
+    r = random.Random(12)
+    pool = [[f"{k}y{i}" for i in range(30)] for k in range(4)]
+    rows = [(i, " ".join(r.choices(pool[i % 4], k=r.randint(0, 12))), r.choice(["en", "fr", None])) for i in range(5000)] + [(5000, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = mixing.fit(mixing.word_counts([x[1] for x in rows]), [x[2] for x in rows])
+    for found in (mixing.fitted_topics(docs), mixing.fitted_topics(docs.repartition(7, "text"))):
+        assert (found.idf == want.idf).all() and (found.means == want.means).all() and (found.centres == want.centres).all()
+    present = (mixing.word_counts([x[1] for x in rows]) > 0).sum(0)
+    assert want.idf == pytest.approx(np.log(5002 / (1 + present)) + 0.1)
+
+
 def test_raking_tells_its_error_and_the_kept_share(spark):
     facts = spark.createDataFrame([("a", "x", "t", 5), ("b", "y", "t", 5)], "source string, lang string, topic string, n_tokens long")
     off_targets = spark.createDataFrame([("source", "a", 0.9), ("lang", "x", 0.1)], "dimension string, value string, share double")
