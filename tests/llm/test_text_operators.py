@@ -599,6 +599,25 @@ def test_topics_are_fitted_on_all_documents(spark):
     assert want.idf == pytest.approx(np.log(5002 / (1 + present)) + 0.1)
 
 
+def test_pipeline_mixes_by_topics_of_all_documents(spark, monkeypatch):
+    """More documents than any sample of 4096 had: the stage's model has seen each of them, and the stage keeps what the model of all of them gives."""
+    import corpus_pipeline as p
+
+    r = random.Random(14)
+    pool = [[f"{k}z{i}" for i in range(30)] for k in range(4)]
+    rows = [(i, " ".join(r.choices(pool[i % 4], k=r.randint(1, 12 + 20 * (i % 4)))), r.choice(["en", "en", "fr", None]), r.choice(["s1", "s2"])) for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    stage, fitted, models = dict(p.STAGES)["source_mixing"], mixing.fitted_topics, []
+    monkeypatch.setattr(mixing, "fitted_topics", lambda docs: models.append(fitted(docs)) or models[-1])
+    got = sorted(x["doc_id"] for x in stage(spark, docs, "").collect())
+    counts = mixing.word_counts([x[1] for x in rows])
+    assert len(models) == 1 and models[0].idf == pytest.approx(np.log(5001 / (1 + (counts > 0).sum(0))) + 0.1)
+    whole = mixing.fit(counts, [x[2] for x in rows])
+    monkeypatch.setattr(mixing, "fitted_topics", lambda docs: whole)
+    want = sorted(x["doc_id"] for x in stage(spark, docs, "").collect())
+    assert got == want and 0 < len(got) < len(rows)
+
+
 def test_raking_tells_its_error_and_the_kept_share(spark):
     facts = spark.createDataFrame([("a", "x", "t", 5), ("b", "y", "t", 5)], "source string, lang string, topic string, n_tokens long")
     off_targets = spark.createDataFrame([("source", "a", 0.9), ("lang", "x", 0.1)], "dimension string, value string, share double")
