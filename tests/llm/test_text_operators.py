@@ -341,6 +341,19 @@ def test_suffix_dedup_of_a_group_beyond_the_limit(spark):
     assert sorted((r[0], *r[1:]) for r in got) == sorted((i, *w) for (i, _), w in zip(rows, want, strict=True))
 
 
+def test_query_keeps_passages_below_its_bytes_and_pipeline_does_not(spark):
+    """57 words that two texts share: as 399 bytes with the blanks around them they stay in the query's result, as 400 they go; the stage by words cuts both."""
+    r = random.Random(15)
+    say = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    shared = [f"{say(56)} {'z' * k}" for k in (5, 6)]
+    assert [len(f" {x} ") for x in shared] == [399, 400] and {len(x.split()) for x in shared} == {57}
+    rows = [(i, f"{say(70)}{'xy'[i % 2]} {shared[i // 2]} {'uv'[i % 2]}{say(70)}") for i in range(4)]
+    got = sorted(suffixes.digest(docs_of(spark, rows, extra=False)).collect())
+    assert [x["n_removed"] for x in got] == [0, 0, 400, 400]
+    assert [x["kept_text"] for x in got] == [t.replace(f" {shared[1]} ", "") for _, t in rows]
+    assert [shared[i // 2] in t for i, t in sorted(suffixes.remove_copies(docs_of(spark, rows, extra=False)).collect())] == [True, False, True, False]
+
+
 def brute_first(rows, length, words=True):
     """Texts of `rows` (unique ids) without later copies of windows of words or bytes."""
     seen, out = set(), {}
