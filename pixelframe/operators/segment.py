@@ -148,7 +148,7 @@ def _roots(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select("frame_id", F.col("b").alias("a"), F.col("a").alias("b")))
         near = both if large else both.filter("b < a")
         least = near.groupBy("frame_id", "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        moved = near.join(least, ["frame_id", "a"])
+        moved = near.join(least.hint("merge"), ["frame_id", "a"])
         if large:
             out = moved.filter("b > a").select("frame_id", F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -172,12 +172,9 @@ FRAME_RUNS = 500_000
 
 
 def _labelled(reach: int):  # noqa: ANN202
-    """A frame's runs (node, y, a, b) to their component's least node."""
+    """Runs (frame_id, node, y, a, b) of whole frames, sorted by line and place, with their component's least node."""
 
-    def run(t: pa.Table) -> pa.Table:
-        y, a, b, node = (t[c].to_numpy() for c in ("y", "a", "b", "node"))
-        order = np.lexsort((a, y))
-        y, a, b, node = (v[order].tolist() for v in (y, a, b, node))
+    def labels(line: list[int], a: list[int], b: list[int], node: list[int]) -> list[int]:
         root = list(range(len(node)))
 
         def top(k: int) -> int:
@@ -187,15 +184,21 @@ def _labelled(reach: int):  # noqa: ANN202
 
         above = 0  # the first run of the line above that may still touch
         for k in range(len(node)):
-            while above < k and (y[above] < y[k] - 1 or y[above] == y[k] - 1 and b[above] + reach < a[k]):
+            while above < k and (line[above] < line[k] - 1 or line[above] == line[k] - 1 and b[above] + reach < a[k]):
                 above += 1
             i = above
-            while i < k and y[i] == y[k] - 1 and a[i] <= b[k] + reach:
+            while i < k and line[i] == line[k] - 1 and a[i] <= b[k] + reach:
                 p, q = top(i), top(k)
                 root[max(p, q)] = min(p, q)  # runs are in order of their first pixel, so the least index is the least node
                 i += 1
-        label = [node[top(k)] for k in range(len(node))]
-        return pa.table({"frame_id": t["frame_id"], "node": pa.array(node, pa.int64()), "label": pa.array(label, pa.int64())})
+        return [node[top(k)] for k in range(len(node))]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for t in whole_groups(batches, ["frame_id"]):
+            y, a, b, node = (t[c].to_numpy() for c in ("y", "a", "b", "node"))
+            line = y.astype(np.int64) + group_numbers(t, ["frame_id"]).astype(np.int64) * (int(y.max()) - int(y.min()) + 2)  # no line of a frame is next to one of another
+            found = labels(line.tolist(), a.tolist(), b.tolist(), node.tolist())
+            yield from t.drop_columns(["node"]).append_column("label", pa.array(found, pa.int64())).to_batches()
 
     return run
 
@@ -207,19 +210,26 @@ def labelled_runs(runs: DataFrame, connectivity: int = 8) -> DataFrame:
     that touch are the edges of a graph.
     """
     line = 1 << 24  # wider than any frame
-    kind = runs.schema["frame_id"].dataType.simpleString()
     runs = written(runs.select("frame_id", "y", "a", "b", (F.col("y").cast("long") * line + F.col("a")).alias("node")), "runs")
     reach = 1 if connectivity == 8 else 0
     large = written(runs.groupBy("frame_id").count().filter(F.col("count") > FRAME_RUNS).select("frame_id"), "large")
-    labels = runs.join(large, "frame_id", "left_anti").groupBy("frame_id").applyInArrow(_labelled(reach), f"frame_id {kind}, node long, label long")
-    if not large.isEmpty():
+    none = large.isEmpty()
+    small = runs if none else runs.join(large, "frame_id", "left_anti")
+    schema = runs.drop("node").schema.add("label", "long")
+    labels = sorted_groups(small.select("frame_id", "y", "a", "b", "node"), ["frame_id"], ["y", "a"]).mapInArrow(_labelled(reach), schema)
+    if not none:
         some = runs.join(large, "frame_id", "left_semi")
         below = some.select("frame_id", (F.col("y") - 1).alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("node").alias("node2"))
-        touch = some.join(below, ["frame_id", "y"]).filter((F.col("a2") <= F.col("b") + reach) & (F.col("b2") >= F.col("a") - reach))
+        touch = some.join(below.hint("merge"), ["frame_id", "y"]).filter((F.col("a2") <= F.col("b") + reach) & (F.col("b2") >= F.col("a") - reach))
         roots = _roots(touch.select("frame_id", F.col("node").alias("a"), F.col("node2").alias("b")))
-        of_large = some.join(roots, ["frame_id", "node"], "left").select("frame_id", "node", F.coalesce("root", "node").alias("label"))
+        of_large = some.join(roots.hint("merge"), ["frame_id", "node"], "left").select("frame_id", "y", "a", "b", F.coalesce("root", "node").alias("label"))
         labels = labels.unionByName(of_large)
-    return runs.join(labels, ["frame_id", "node"]).drop("node")
+    return labels
+
+
+def connected_runs(region: DataFrame, connectivity: int = 8) -> DataFrame:
+    """frame_id, y, a, b, label: the runs of `connected_components` as a table, which measures, perimeters and hulls take in place of its pixels."""
+    return written(labelled_runs(_runs(region), connectivity), "components")
 
 
 def connected_components(region: DataFrame, connectivity: int = 8) -> DataFrame:
@@ -265,24 +275,28 @@ def containing_component(components: DataFrame, core: DataFrame) -> DataFrame:
 
 
 def component_runs(components: DataFrame) -> DataFrame:
-    """frame_id, label, y, a, b: the maximal runs of each component's lines."""
+    """frame_id, label, y, a, b: the maximal runs of each component's lines, as a table; components that are such runs stay as they are."""
+    if {"a", "b"} <= set(components.columns):
+        return components.select("frame_id", "label", "y", "a", "b")
     p = components.select("frame_id", "label", "y", "x").repartition("frame_id")
     placed = p.withColumn("_g", F.col("x") - F.row_number().over(Window.partitionBy("frame_id", "label", "y").orderBy("x")))
-    return placed.groupBy("frame_id", "label", "y", "_g").agg(F.min("x").alias("a"), F.max("x").alias("b")).drop("_g")
+    return written(placed.groupBy("frame_id", "label", "y", "_g").agg(F.min("x").alias("a"), F.max("x").alias("b")).drop("_g"), "component_runs")
 
 
 def boundary_runs(runs: DataFrame, corners: bool = False) -> DataFrame:
-    """Runs of the pixels with a 4-neighbour (with `corners` an 8-neighbour) outside their component: a run less what lies between runs above and below it."""
+    """Runs of the pixels with a 4-neighbour (with `corners` an 8-neighbour) outside their component: a run less what lies between runs above and below it.
+
+    Tables of runs take some two bytes a row on disk, which says little of what a broadcast would hold; joins of them are told to merge.
+    """
     keys, reach = ["frame_id", "label", "y"], int(corners)
-    runs = written(runs, "component_runs")
 
     def beside(step: int, lo: str, hi: str) -> DataFrame:
         """The parts of each run that a run of the next line on one side covers."""
         other = runs.select("frame_id", "label", (F.col("y") + step).alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        met = runs.join(other, keys)
+        met = runs.join(other.hint("merge"), keys)
         return met.select(*keys, "a", "b", F.greatest("a", F.col("a2") + reach).alias(lo), F.least("b", F.col("b2") - reach).alias(hi)).filter(F.col(lo) <= F.col(hi))
 
-    both = beside(1, "lo1", "hi1").join(beside(-1, "lo2", "hi2").drop("b"), [*keys, "a"])
+    both = beside(1, "lo1", "hi1").join(beside(-1, "lo2", "hi2").drop("b").hint("merge"), [*keys, "a"])
     inner = both.select(*keys, "a", "b", F.greatest("lo1", "lo2", F.col("a") + 1).alias("lo"), F.least("hi1", "hi2", F.col("b") - 1).alias("hi")).filter("lo <= hi")
     ends = runs.select(*keys, "a", "b", (F.col("b") + 1).alias("lo"), (F.col("b") + 1).alias("hi"))
     last = F.lag("hi").over(Window.partitionBy(*keys, "a").orderBy("lo"))
@@ -297,7 +311,7 @@ def boundary(components: DataFrame) -> DataFrame:
 
 def region_measures(components: DataFrame) -> DataFrame:
     """Area (pixels), bounding box, aspect ratio, truncated centroid and polygon area by Pick's formula."""
-    runs = written(component_runs(components), "component_runs")
+    runs = component_runs(components)
     n = F.col("b") - F.col("a") + 1
     size = F.sum(n.cast("long"))
     b = boundary_runs(runs).groupBy("frame_id", "label").agg(size.alias("border"))
@@ -305,7 +319,7 @@ def region_measures(components: DataFrame) -> DataFrame:
         size.alias("area_pixels"), F.min("a").alias("bx"), F.min("y").alias("by"), (F.max("b") - F.min("a") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"),
         (F.sum((F.col("a") + F.col("b")).cast("long") * n) / 2 / size).cast("int").alias("cx"), (F.sum(F.col("y").cast("long") * n) / size).cast("int").alias("cy"),
     )
-    m = m.join(b, ["frame_id", "label"])
+    m = m.join(b.hint("merge"), ["frame_id", "label"])
     return m.withColumns({"aspect_ratio": F.col("width") / F.col("height"), "polygon_area": F.col("area_pixels") - F.col("border") / 2 - 1})
 
 
@@ -424,10 +438,10 @@ def _equalized(th: int, tw: int, tiles: int, bins: int, clip: int):  # noqa: ANN
 def _surroundings(runs: DataFrame) -> DataFrame:
     """Background runs (frame_id, y, a, b, label) of each frame's bounding box and a ring of one pixel around it, by 4-connected part."""
     box = runs.groupBy("frame_id").agg(F.min("a").alias("x0"), F.max("b").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    lines = box.select("frame_id", F.explode(F.sequence(F.col("y0") - 1, F.col("y1") + 1)).alias("y"), (F.col("x1") + 2).alias("a"), (F.col("x1") + 2).alias("b"))
-    both = runs.select("frame_id", "y", "a", "b").unionByName(lines).join(box.select("frame_id", (F.col("x0") - 2).alias("x0")), "frame_id")
-    last = F.lag("b").over(Window.partitionBy("frame_id", "y").orderBy("a"))
-    gaps = both.select("frame_id", "y", (F.coalesce(last, F.col("x0")) + 1).alias("_a"), (F.col("a") - 1).alias("b")).filter("_a <= b").withColumnRenamed("_a", "a")
+    lines = box.select("frame_id", F.explode(F.sequence(F.col("y0") - 1, F.col("y1") + 1)).alias("y"), F.explode(F.array(F.col("x0") - 2, F.col("x1") + 2)).alias("a"))
+    both = runs.select("frame_id", "y", "a", "b").unionByName(lines.withColumn("b", F.col("a")))
+    last = F.lag("b").over(Window.partitionBy("frame_id", "y").orderBy("a"))  # none before the left end of a line
+    gaps = both.select("frame_id", "y", (last + 1).alias("_a"), (F.col("a") - 1).alias("b")).filter("_a <= b").withColumnRenamed("_a", "a")
     return labelled_runs(gaps, 4)
 
 
@@ -438,7 +452,7 @@ def perimeter(components: DataFrame) -> DataFrame:
     cuts the corner before the empty one; two across, it passes on the side of each empty one. Only empty pixels of the background part
     that surrounds the component count, not those of its holes.
     """
-    runs = written(component_runs(components), "component_runs")
+    runs = component_runs(components)
     back = written(_surroundings(runs), "background")
     edge = boundary_runs(runs, corners=True).select("frame_id", "label", "y", F.explode(F.sequence("a", "b")).alias("x"))
     corner = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(1 << (2 * dy + dx)).alias("bit")) for dy in (0, 1) for dx in (0, 1))))
@@ -462,14 +476,14 @@ def perimeter(components: DataFrame) -> DataFrame:
     first = runs.select("frame_id", "label", "y", "a").groupBy("frame_id", "label").agg(F.min(F.struct("y", "a")).alias("f"))
     asked = steps.unionByName(first.select("frame_id", "label", (F.col("f.y") - 1).alias("y"), F.col("f.a").alias("x"), F.lit(None).cast("double").alias("length")))
     part = back.select("frame_id", "y", F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("label").alias("part"))
-    found = asked.join(part, ["frame_id", "y"]).filter(F.col("x").between(F.col("_a"), F.col("_b")))
+    found = asked.join(part.hint("merge"), ["frame_id", "y"]).filter(F.col("x").between(F.col("_a"), F.col("_b")))
     lengths = found.groupBy("frame_id", "label", "part").agg(F.count_if(F.col("length") == straight).alias("s"), F.count_if(F.col("length") > straight).alias("d"), F.count_if(F.col("length").isNull()).alias("outer"))
     return lengths.filter("outer > 0").select("frame_id", "label", (F.col("s") + F.lit(diagonal) * F.col("d")).alias("perimeter"))
 
 
 def with_circularity(regions: DataFrame, perimeters: DataFrame, px: Column) -> DataFrame:
     """perimeter, perimeter_um and 4 pi A / P**2 by the polygon area; 0 without perimeter."""
-    joined = regions.join(perimeters, ["frame_id", "label"])
+    joined = regions.join(perimeters.hint("merge"), ["frame_id", "label"])
     round_ = F.when(F.col("perimeter") > 0, 4 * F.pi() * F.col("polygon_area") / F.pow("perimeter", F.lit(2))).otherwise(0.0)
     return joined.withColumns({"perimeter_um": F.when(px > 0, F.col("perimeter") * px).otherwise(0.0), "circularity": round_})
 
@@ -499,45 +513,63 @@ def polygon_area(corners: list[tuple[int, int]]) -> float:
 HULL_LINES = 512
 
 
-def hulls(components: DataFrame) -> DataFrame:
-    """frame_id, label, y, x of the corners of each component's convex hull. Hulls of blocks of lines merge: a hull's corners are those of its parts."""
-    kind = components.schema["frame_id"].dataType.simpleString()
-    ends = components.groupBy("frame_id", "label", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+def _hulls_of(t: pa.Table, keys: list[str]) -> tuple[list[int], list[list[tuple[int, int]]]]:
+    """First row and hull's corners of each group of points."""
+    group, points = group_numbers(t, keys), list(zip(t["y"].to_pylist(), t["x"].to_pylist(), strict=True))
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist()
+    return starts, [hull(points[a:b]) for a, b in zip(starts, [*starts[1:], len(points)], strict=True)]
+
+
+def _corners(keys: list[str]):  # noqa: ANN202
+    """Points to the corners of each group's hull."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for t in whole_groups(batches, keys):
+            starts, found = _hulls_of(t, keys)
+            heads = t.select(["frame_id", "label", "part"]).take(pa.array([a for a, f in zip(starts, found, strict=True) for _ in f], pa.int64()))
+            y, x = (pa.array([p[k] for f in found for p in f], pa.int32()) for k in (0, 1))
+            yield from heads.append_column("y", y).append_column("x", x).to_batches()
+
+    return run
+
+
+def _areas(keys: list[str]):  # noqa: ANN202
+    """Points to the area of each group's hull."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for t in whole_groups(batches, keys):
+            starts, found = _hulls_of(t, keys)
+            yield from t.select(keys).take(pa.array(starts, pa.int64())).append_column("hull_area", pa.array([float(polygon_area(f)) for f in found], pa.float64())).to_batches()
+
+    return run
+
+
+def _hull_schema(components: DataFrame) -> str:
+    return f"frame_id {components.schema['frame_id'].dataType.simpleString()}, label long, part int, y int, x int"
+
+
+def _partial_hulls(components: DataFrame) -> DataFrame:
+    """Corners of the hulls of blocks of lines, a component's together and sorted: a hull's corners are those of its parts."""
+    lo, hi = ("a", "b") if {"a", "b"} <= set(components.columns) else ("x", "x")
+    ends = components.groupBy("frame_id", "label", "y").agg(F.min(lo).alias("a"), F.max(hi).alias("b"))
     points = ends.select("frame_id", "label", F.floor(F.col("y") / HULL_LINES).cast("int").alias("part"), "y", F.explode(F.array_distinct(F.array("a", "b"))).alias("x"))
+    whole = points.select("frame_id", "label", "part", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+    keys = ["frame_id", "label", "part"]
+    return sorted_groups(sorted_groups(whole, keys).mapInArrow(_corners(keys), _hull_schema(components)), keys[:2])
 
-    def corners(keys: list[str]):  # noqa: ANN202
-        def run(batches):  # noqa: ANN001, ANN202
-            for t in whole_groups(batches, keys):
-                group, y, x = group_numbers(t, keys), t["y"].to_numpy(), t["x"].to_numpy()
-                starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist()
-                keep, ys, xs = [], [], []
-                for a, b in zip(starts, [*starts[1:], len(group)], strict=True):
-                    found = hull(list(zip(y[a:b].tolist(), x[a:b].tolist(), strict=True)))
-                    keep += [a] * len(found)
-                    ys += [p[0] for p in found]
-                    xs += [p[1] for p in found]
-                heads = t.select(["frame_id", "label", "part"]).take(pa.array(keep, pa.int64()))
-                yield from heads.append_column("y", pa.array(ys, pa.int32())).append_column("x", pa.array(xs, pa.int32())).to_batches()
-
-        return run
-
-    schema = f"frame_id {kind}, label long, part int, y int, x int"
-    parts = sorted_groups(points.select("frame_id", "label", "part", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")), ["frame_id", "label", "part"]).mapInArrow(corners(["frame_id", "label", "part"]), schema)
-    return sorted_groups(parts, ["frame_id", "label"]).mapInArrow(corners(["frame_id", "label"]), schema).drop("part")
-
-
-def convexity(components: DataFrame) -> DataFrame:
-    """frame_id, label, polygon_area, hull_area (of pixel centres), convexity; 1 where the hull has no area."""
-    kind = components.schema["frame_id"].dataType.simpleString()
-    sizes = region_measures(components).select("frame_id", "label", "polygon_area")
 
-    def area(t: pa.Table) -> pa.Table:
-        corners = hull(list(zip(t["y"].to_pylist(), t["x"].to_pylist(), strict=True)))
-        return pa.table({"frame_id": t["frame_id"].slice(0, 1), "label": t["label"].slice(0, 1), "hull_area": pa.array([polygon_area(corners)])})
+def hulls(components: DataFrame) -> DataFrame:
+    """frame_id, label, y, x of the corners of each component's convex hull."""
+    return _partial_hulls(components).mapInArrow(_corners(["frame_id", "label"]), _hull_schema(components)).drop("part")
+
 
-    areas = hulls(components).groupBy("frame_id", "label").applyInArrow(area, f"frame_id {kind}, label long, hull_area double")
+def convexity(components: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """frame_id, label, polygon_area, hull_area (of pixel centres), convexity; 1 where the hull has no area. With `regions`, all of their columns."""
+    sizes = region_measures(components).select("frame_id", "label", "polygon_area") if regions is None else regions
+    kind = components.schema["frame_id"].dataType.simpleString()
+    areas = _partial_hulls(components).mapInArrow(_areas(["frame_id", "label"]), f"frame_id {kind}, label long, hull_area double")
     ratio = F.when(F.col("hull_area") > 0, F.col("polygon_area") / F.col("hull_area")).otherwise(1.0)
-    return sizes.join(areas, ["frame_id", "label"]).withColumn("convexity", ratio)
+    return sizes.join(areas.hint("merge"), ["frame_id", "label"]).withColumn("convexity", ratio)
 
 
 def hull_fallback(components: DataFrame, least: float = 0.75, growth: float = 0.3) -> DataFrame:

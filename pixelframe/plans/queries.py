@@ -928,10 +928,9 @@ SELECT a.frame_id, a.label, round(coalesce(p, 0), 6)::DOUBLE AS perimeter, round
   round(CASE WHEN hull > 0 THEN area / hull ELSE 1 END, 6)::DOUBLE AS convexity FROM a LEFT JOIN l USING (frame_id, label) LEFT JOIN h USING (frame_id, label)
 """)
 def m_contours_and_hulls(spark, sf):
-    c = segment.connected_components(fx.regions8(spark, sf))
-    shapes = segment.with_circularity(segment.region_measures(c), segment.perimeter(c), F.lit(0.5))
-    hulls = segment.convexity(c).select("frame_id", "label", "hull_area", r("convexity").alias("convexity"))
-    return shapes.join(hulls, ["frame_id", "label"]).select("frame_id", "label", r("perimeter").alias("perimeter"), r("circularity").alias("circularity"), "hull_area", "convexity")
+    c = segment.connected_runs(fx.regions8(spark, sf))
+    shapes = segment.convexity(c, segment.with_circularity(segment.region_measures(c), segment.perimeter(c), F.lit(0.5)))
+    return shapes.select("frame_id", "label", r("perimeter").alias("perimeter"), r("circularity").alias("circularity"), "hull_area", r("convexity").alias("convexity"))
 
 
 @query("""

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pixelframe.operators import register, segment
 from pixelframe.operators.groups import group_numbers, whole_groups
 
@@ -222,3 +223,31 @@ def test_hulls_of_blocks_merge(spark, shapes, lines, monkeypatch):
         points.setdefault((x["frame_id"], x["label"]), []).append((x["y"], x["x"]))
     got = {(x["frame_id"], x["label"]): x["hull_area"] for x in segment.convexity(c).collect()}
     assert got == {k: pytest.approx(segment.polygon_area(segment.hull(p))) for k, p in points.items()}
+
+
+def test_runs_take_the_place_of_pixels(spark, shapes):
+    c, runs = segment.connected_components(shapes[1]), segment.connected_runs(shapes[1])
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for f in (segment.region_measures, segment.perimeter, segment.hulls, segment.convexity, segment.boundary):
+        assert rows(f(runs)) == rows(f(c))
+    sizes = segment.region_measures(runs)
+    whole = segment.convexity(runs, sizes)
+    assert whole.columns == [*sizes.columns, "hull_area", "convexity"]
+    assert rows(whole.select("frame_id", "label", "polygon_area", "hull_area", "convexity")) == rows(segment.convexity(c))
+
+
+def test_contours_and_hulls_broadcast_no_table_of_runs(spark, monkeypatch):
+    """Such tables are small on disk and large in memory: by their files' size Spark broadcast them, which filled the driver's heap."""
+    plans, written = [], segment.written
+
+    def run(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+
+    def spied(df, label):
+        run(df)
+        return written(df, label)
+
+    monkeypatch.setattr(segment, "written", spied)
+    run(entry.queries()["m_contours_and_hulls"](spark, "/root/testdata/sf0.001"))
+    assert len(plans) > 3 and not [p for p in plans if "Broadcast" in p]
