@@ -4,8 +4,10 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -315,6 +317,19 @@ def test_previous_factors_equal_their_definition():
             assert want[i] == any(j is not None and run[j] == run[i] for j in (left, right))
 
 
+def test_suffix_dedup_leaves_no_shuffle_files_of_its_tables(spark, corpus):
+    """They stayed until the driver happened to collect its garbage, so that at worst all were on disk at once."""
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {p.name for d in folders for p in Path(d).rglob("shuffle_*")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(key)
+    suffixes.digest(docs_of(spark, corpus))
+    end = time.time() + 20
+    while (left := files() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(key) == was
+
+
 def test_windows_of_one_hash_are_confirmed(monkeypatch):
     """With a hash that tells nothing apart the symbols decide."""
     r = random.Random(6)
